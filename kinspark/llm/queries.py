@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinspark.llm import packing, tokencount, tokenrecords
+from kinspark.llm import decontaminate, packing, simhash, tokencount, tokenrecords
 
 
 def _tokenizer() -> str:
@@ -29,6 +29,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer()).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_packing)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_packing, op9_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     Layout: one byte of length and the piece, with a zero byte between pieces (no piece holds one there).
     """
     seen: Counter[str] = Counter()
-    for (text,) in columns_of(docs, text_col).where(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, 20_000)).limit(sample_docs).toLocalIterator():
+    for (text,) in columns_of(docs, text_col).where(F.col(text_col).isNotNull()).limit(sample_docs).toLocalIterator():
         seen.update(p for p in pieces_of(text)[:-1] if len(p) <= 40 and "\0" not in p)
     t = load_tokenizer(tokenizer_path)
     top = sorted(seen, key=lambda p: (-seen[p], p))[:entries]
