@@ -65,7 +65,7 @@ def _short_keys(rows: DataFrame, lengths: list[int]) -> DataFrame:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, broadcast_windows: int = 200_000
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, text_xxhash64, contaminated.
 
     A window is ``width`` consecutive words of an item, or all words of a shorter item.  A word of a document is
     hit if it lies in an occurrence of a window; a document is contaminated if n_hit > 0 and at least a
@@ -112,12 +112,21 @@ def contamination(
     # Spans by their first word: each adds what reaches beyond the words hit so far.
     add = "greatest(0, s.first + s.len - greatest(s.first, x.next))"
     covered = F.expr(f"aggregate(array_sort(spans), struct(0 as next, 0 as hit), (x, s) -> struct(greatest(x.next, s.first + s.len) as next, x.hit + {add} as hit)).hit")
-    out = per.select("id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    out = per.select("id", "h", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
     return out.select(
         F.col("id").alias(id_col),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.col("h").alias("text_xxhash64"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that are contaminated; options are those of :func:`contamination`."""
+    bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
+    bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(text_col), F.lit(0)) == F.col("_bad_h"))
+    return docs.join(bad, same, "left_anti")

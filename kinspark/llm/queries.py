@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinspark.llm import decontaminate, packing, simhash, tokencount, tokenrecords
+from kinspark.llm import decontaminate, langid, licenses, packing, qualityrules, simhash, tokencount, tokenrecords, urlfilter, weakquality
 
 
 def _tokenizer() -> str:
@@ -29,14 +29,104 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer()).drop("ids")
 
 
-def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return weakquality.score_quality(docs, weakquality.fit_quality_model(docs))
 
 
-def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_language_model(docs))
+
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(_read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
+
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = qualityrules.fit_ratio(docs, _read(spark, sf_dir, "labels").where("quality = 1"))
+    return qualityrules.judge(docs, model)
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_packing, op9_simhash, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_xxhash64")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_token_records,
+        op3_packing,
+        op4_quality_classifier,
+        op5_language_id,
+        op6_url_filter,
+        op7_quality_rules,
+        op8_license_scan,
+        op9_simhash,
+        op10_decontamination,
+    )
+}
+
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": rf"""
+with rules(v, h, p) as (values {_RULES_SQL}),
+u as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+),
+n as (select distinct host, path from u),
+best as (
+  select host, path, arg_max(h || p, (length(h || p), length(h))) as rule, arg_max(v, (length(h || p), length(h))) as v
+  from n join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path
+)
+select u.page_id, u.host, u.path, best.rule, coalesce(best.v, 'allow') as verdict
+from u left join best on u.host = best.host and u.path = best.path
+""",
+    "op10_decontamination": r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+),
+d as (select doc_id, w, len(w) as n from w),
+i as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark
+),
+win as (
+  select distinct item_id, least(13, len(w)) as k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as p from i where len(w) > 0)
+),
+pos as (select doc_id, w, n, unnest(range(1, n + 1)) as p from d),
+hit as (
+  select doc_id, p, k, item_id
+  from (select doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') as s from pos, (select distinct k from win) where p + k - 1 <= n) as a
+  join win using (k, s)
+),
+words as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from hit) group by doc_id),
+items as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as s
+  from hit group by doc_id
+)
+select d.doc_id, cast(n as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+""",
+}
