@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed into windows."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, slices, to_batch
-from kinspark.llm.pretokens import PieceCache
+from kinspark.llm.pretokens import piece_cache
 
 #: Sequence ids hold the task above this bit and the task's own count below it.
 _TASK_BIT = 36
@@ -69,15 +69,17 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
     k = max(1, math.ceil(total / capacity))
     while True:
         slots = differencing(sizes, k)
-        if all(sum(sizes[i] for i in s) <= capacity for s in slots):
+        most = max(sum(sizes[i] for i in s) for s in slots)
+        if most <= capacity:
             return [s for s in slots if s]
-        k += max(1, k // 400)
+        # So many more windows that the fullest would fit if all shrank alike.
+        k = max(k + 1, k * most // capacity)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, piece: int = 256, group: int = 4096
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, piece: int = 256, group: int = 2048, with_ids: bool = True
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if ``with_ids``.
 
     A document's ids end with ``end_id``.  It is cut into full windows of ``capacity``, its rest into
     pieces of at most ``piece`` ids; ``group`` pieces at a time are packed by differencing, within the task that
@@ -87,11 +89,12 @@ def pack_documents(
     texts and one group of pieces.
     """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
+        [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), *[("ids", pa.binary())] * with_ids]
     )
+    wide = len(schema.names)
 
     def run(batches):
-        cache, tail = PieceCache(tokenizer_path, 4), np.array([end_id], "<u4").tobytes()
+        cache, tail = piece_cache(tokenizer_path, 4), np.array([end_id], "<u4").tobytes()
         sequence, wait, rows = TaskContext.get().partitionId() << _TASK_BIT, [], []
 
         def flush():
@@ -105,7 +108,7 @@ def pack_documents(
                 at = 0
                 for i in slot:
                     doc, start, ids, whole = wait[i]
-                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), whole, sequence, at, ids))
+                    rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), whole, sequence, at, ids)[:wide])
                     at += len(ids) // 4
                 sequence += 1
             wait.clear()
@@ -118,7 +121,7 @@ def pack_documents(
                     full = whole - whole % capacity
                     for at in range(0, full, capacity):
                         own = ids[4 * at : 4 * (at + capacity)]
-                        rows.append((doc, at, capacity, zlib.crc32(own), whole, sequence, 0, own))
+                        rows.append((doc, at, capacity, zlib.crc32(own), whole, sequence, 0, own)[:wide])
                         sequence += 1
                     for at in range(full, whole, piece):
                         wait.append((doc, at, ids[4 * at : 4 * min(at + piece, whole)], whole))
@@ -131,5 +134,5 @@ def pack_documents(
         if rows:
             yield flush()
 
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, fields)

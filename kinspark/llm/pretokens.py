@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 _CUT = re.compile(r"(?= \S)")
+#: A space that is not before a word.
+_ODD = re.compile(r" (?:\s|\Z)")
 
 
 @lru_cache(maxsize=2)
@@ -28,8 +30,23 @@ def load_tokenizer(path: str):
 
 
 def pieces_of(text: str) -> list[str]:
-    """The pieces of a text; joined they are the text.  An empty text has none."""
-    return _CUT.split(text) if text else []
+    """Keys of the pieces of a text in order.  An empty text has none.
+
+    The key of a piece that is a space and a word without spaces is the word; the key of any other piece is a space
+    and the piece.  So most texts are cut by a plain split at spaces.
+    """
+    if not text:
+        return []
+    if _ODD.search(text):
+        return [p[1:] if p[0] == " " and len(p) > 1 and " " not in p[1:] else " " + p for p in _CUT.split(text) if p]
+    out = text.split(" ")
+    out[0] = " " + out[0]
+    return out
+
+
+def piece_of(key: str) -> str:
+    """The piece of a key."""
+    return key[1:] if key[0] == " " else " " + key
 
 
 @lru_cache(maxsize=2)
@@ -66,14 +83,12 @@ class PieceCache:
     """The number of ids of each piece (``width`` 0), or its ids as bytes, ``width`` little-endian bytes each.
 
     Two generations of some ``limit`` pieces each.  A full young generation becomes the old one; what is still
-    used moves over when asked for, what is not goes.  ``fixed`` is in every generation from its start.
-    Memory is bounded, results never depend on it.
+    used moves over when asked for, what is not goes.  Memory is bounded, results never depend on it.
     """
 
-    def __init__(self, path: str, width: int = 0, limit: int = 400_000, fixed: dict | None = None):
+    def __init__(self, path: str, width: int = 0, limit: int = 700_000):
         self.path, self.width, self.limit = path, width, limit
-        self.fixed = fixed or {}
-        self.young, self.old = dict(self.fixed), {}
+        self.fixed, self.young, self.old = {}, {}, {}
         self.exact_cuts = _is_cuttable(path)
 
     def _values(self, ids: np.ndarray, stops: list[int]) -> list:
@@ -84,26 +99,26 @@ class PieceCache:
         w, raw = self.width, ids.astype(f"<u{self.width}").tobytes()
         return [raw[a * w : b * w] for a, b in zip(starts, stops, strict=True)]
 
-    def _encode(self, pieces: list[str]) -> dict:
-        """The value of each piece.  Those that begin with a space are encoded as one text, then parted by bytes."""
+    def _encode(self, keys: list[str]) -> dict:
+        """The value of each key's piece.  Words behind spaces are encoded as one text, then parted by bytes."""
         t, out, alone, joined = load_tokenizer(self.path), {}, [], []
-        for p in pieces:
-            (joined if p[0] == " " and p[1:2].strip() else alone).append(p)
+        for k in keys:
+            (alone if k[0] == " " else joined).append(k)
         for at in range(0, len(joined), 4000):
             part = joined[at : at + 4000]
-            ids = np.array(t.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum([len(p.encode()) for p in part])
+            ids = np.array(t.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.cumsum([len(k.encode()) + 1 for k in part])
             stops = np.searchsorted(np.cumsum(_token_bytes(self.path)[ids]), ends) + 1
             out.update(zip(part, self._values(ids, stops.tolist()), strict=True))
         for at in range(0, len(alone), 1000):
             part = alone[at : at + 1000]
-            for p, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[p] = self._values(np.array(e.ids, dtype=np.int64), [len(e.ids)])[0]
+            for k, e in zip(part, t.encode_batch_fast([k[1:] for k in part], add_special_tokens=False), strict=True):
+                out[k] = self._values(np.array(e.ids, dtype=np.int64), [len(e.ids)])[0]
         return out
 
     def values(self, texts: list[str | None]) -> list[list]:
         """For each text the values of its pieces in order; null counts as the empty text."""
-        cut = [(pieces_of(x) if self.exact_cuts else [x]) if x else [] for x in texts]
+        cut = [(pieces_of(x) if self.exact_cuts else [" " + x]) if x else [] for x in texts]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, dict(self.fixed)
         young, old, new = self.young, self.old, []
@@ -120,3 +135,15 @@ class PieceCache:
             if len(p) > 40:  # longer than any word of prose: hardly met again
                 del young[p]
         return out
+
+    def seed(self, fixed: dict) -> None:
+        """Values that every generation has from its start; the first such set stays."""
+        if not self.fixed:
+            self.fixed = fixed
+            self.young.update(fixed)
+
+
+@lru_cache(maxsize=2)
+def piece_cache(path: str, width: int = 0) -> PieceCache:
+    """The cache of this worker process; it lives on from task to task."""
+    return PieceCache(path, width)

@@ -26,7 +26,7 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer()).drop("ids")
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, slices, to_batch
-from kinspark.llm.pretokens import PieceCache, load_tokenizer, pieces_of
+from kinspark.llm.pretokens import load_tokenizer, piece_cache, piece_of, pieces_of
 
 
 def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text", entries: int = 20_000, sample_docs: int = 400) -> bytes:
@@ -24,7 +24,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text
         seen.update(p for p in pieces_of(text)[:-1] if len(p) <= 40 and "\0" not in p)
     t = load_tokenizer(tokenizer_path)
     top = sorted(seen, key=lambda p: (-seen[p], p))[:entries]
-    lengths = [len(e.ids) for e in t.encode_batch_fast(top, add_special_tokens=False)]
+    lengths = [len(e.ids) for e in t.encode_batch_fast([piece_of(k) for k in top], add_special_tokens=False)]
     return b"\0".join(bytes([n]) + p.encode() for p, n in zip(top, lengths, strict=True) if 0 < n < 256)
 
 
@@ -47,7 +47,8 @@ def count_tokens(
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        cache = PieceCache(tokenizer_path, fixed=_unpack(table.value))
+        cache = piece_cache(tokenizer_path)
+        cache.seed(_unpack(table.value))
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(1).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, scratch_path, slices, stored, to_batch
-from kinspark.llm.pretokens import PieceCache, load_tokenizer
+from kinspark.llm.pretokens import load_tokenizer, piece_cache
 
 _HEAD, _DATA, _INDEX, _SUM = struct.Struct("<QI"), struct.Struct("<BBq"), struct.Struct("<qQQ"), struct.Struct("<I")
 # Fixed value: the constant that is added to a rotated checksum in length-delimited record files.
@@ -112,7 +112,7 @@ def write_token_records(
     def run(batches):
         width = 2 if load_tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
         tail = np.array(end, dtype=f"<u{width}").tobytes()
-        cache, shard, first, part = PieceCache(tokenizer_path, width), None, None, 0
+        cache, shard, first, part = piece_cache(tokenizer_path, width), None, None, 0
 
         def row():
             shard.close()
