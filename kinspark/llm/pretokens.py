@@ -86,7 +86,7 @@ class PieceCache:
     used moves over when asked for, what is not goes.  Memory is bounded, results never depend on it.
     """
 
-    def __init__(self, path: str, width: int = 0, limit: int = 700_000):
+    def __init__(self, path: str, width: int = 0, limit: int = 350_000):
         self.path, self.width, self.limit = path, width, limit
         self.fixed, self.young, self.old = {}, {}, {}
         self.exact_cuts = _is_cuttable(path)
