@@ -124,16 +124,17 @@ def features(text: str | None, bits: int) -> np.ndarray:
 
 def _fit_scorer(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression on probabilities y by accelerated gradient steps; (weights, intercept)."""
-    w, b = np.zeros(x.shape[1], np.float32), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    y = y.astype(np.float32)  # all in one type: a product of mixed types would copy x each time
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     pw, pb = w.copy(), b
-    step = 1.3  # rows have a squared norm of at most 2, so the curvature is at most (2 + 1) / 4
+    step = np.float32(1.3)  # rows have a squared norm of at most 2, so the curvature is at most (2 + 1) / 4
     for t in range(rounds):
-        k = t / (t + 3)
+        k = np.float32(t / (t + 3))
         lw, lb = w + k * (w - pw), b + k * (b - pb)
         g = 1 / (1 + np.exp(-np.clip(x @ lw + lb, -60, 60))) - y
         pw, pb = w, b
-        w, b = (lw - step * (x.T @ g / len(x) + l2 * lw)).astype(np.float32), float(lb - step * g.mean())
-    return w, b
+        w, b = lw - step * (g @ x / np.float32(len(x)) + np.float32(l2) * lw), lb - step * g.mean()
+    return w, float(b)
 
 
 @dataclass
