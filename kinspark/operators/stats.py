@@ -80,28 +80,38 @@ def correlate_columns(x: DataFrame, y: DataFrame, method: str = "pearson", weigh
     return _finish(sums, ["gene"])
 
 
-def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out: str = "p_adj", key: list[str] | None = None) -> DataFrame:
+def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out: str = "p_adj") -> DataFrame:
     """Adjusted p-values over all rows; null p-values are no part of the family and stay null.
 
-    Distinct p-values with their counts are ranked, so the ordered step is over no more rows than there are values.
+    Distinct p-values with their counts are dealt by ranges.  Ranks and running extremes are taken within each
+    range and carried over by one row per range, so no task orders them all.
     """
     if method is None:
         return df
-    counts = stored(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n")), "pvalues")
-    m = counts.agg(F.sum("_n")).first()[0] or 0
-    up, down = Window.orderBy("_p"), Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("_n").over(up)
-    if method == "fdr_bh":
-        table = counts.withColumn("_r", rank).withColumn("_q", F.least(F.lit(1.0), F.min(F.col("_p") * F.lit(float(m)) / F.col("_r")).over(down)))
-    elif method == "bonferroni":
-        table = counts.withColumn("_q", F.least(F.lit(1.0), F.col("_p") * F.lit(float(m))))
-    elif method == "holm":
-        first = rank - F.col("_n")
-        up_rows = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        table = counts.withColumn("_s", F.col("_p") * (F.lit(float(m)) - first)).withColumn("_q", F.least(F.lit(1.0), F.max("_s").over(up_rows)))
-    else:
+    if method not in ("fdr_bh", "bonferroni", "holm"):
         raise ValueError(f"unknown method {method!r}")
-    return df.join(table.select("_p", F.col("_q").alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")
+    df = stored(df, "tests")  # p-values computed anew could differ in their last bit and miss the join
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranged = stored(counts.repartitionByRange("_p").withColumn("_b", F.spark_partition_id()), "pvalues")
+    m = float(ranged.agg(F.sum("_n")).first()[0] or 0)
+    if method == "bonferroni":
+        table = ranged.withColumn("_q", F.col("_p") * F.lit(m))
+    else:
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ranged.groupBy("_b").agg(F.sum("_n").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+        up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = ranged.join(F.broadcast(starts), "_b").withColumn("_r", F.col("_o") + F.sum("_n").over(up))
+        if method == "fdr_bh":
+            # The least value at this p-value or a larger one.
+            one, pick, inner, outer = F.col("_p") * F.lit(m) / F.col("_r"), F.min, Window.partitionBy("_b").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        else:
+            # The largest value at this p-value or a smaller one.
+            one, pick, inner, outer = F.col("_p") * (F.lit(m) - F.col("_r") + F.col("_n")), F.max, up, before
+        ranks = ranks.withColumn("_s", one)
+        ends = ranks.groupBy("_b").agg(pick("_s").alias("_e")).select("_b", pick("_e").over(outer).alias("_e"))
+        join_up = F.least if method == "fdr_bh" else F.greatest
+        table = ranks.join(F.broadcast(ends), "_b").withColumn("_q", join_up(pick("_s").over(inner), F.col("_e")))
+    return df.join(table.select("_p", F.least(F.lit(1.0), F.col("_q")).alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5, degree: int = 3, p_method: str = "lrt") -> DataFrame:

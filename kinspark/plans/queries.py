@@ -41,11 +41,11 @@ def clone_sizes(spark, sf):
 
 
 @query("""
-with k as (select cast(user_id as varchar) as clone, count(*) as n_cells from events group by 1 having count(*) >= 60)
+with k as (select cast(user_id as varchar) as clone, count(*) as n_cells from events group by 1 having count(*) >= 5)
 select clone, n_cells, (select count(distinct event_type) from events e where cast(e.user_id as varchar) = k.clone) as n_fates from k
 """)
 def clones_min_size(spark, sf):
-    return groups.group_table(event_cells(spark, sf), "fate", min_size=60 if "0.001" not in sf else 3)
+    return groups.group_table(event_cells(spark, sf), "fate", min_size=5)
 
 
 def _composition_sql(table_name: str, clone: str, fate: str, least: int) -> str:
@@ -182,10 +182,10 @@ def transfer_expr_sum(spark, sf):
     return expression.transfer(x, labels, "sum").select("grp", "gene", F.round("value", 4).alias("value"))
 
 
-@query(f"with {_V_SQL} select clone as grp, gene, round(sum(value) / max(n), 4) as value from v join k using (clone) group by 1, 2")
+@query(f"with {_V_SQL} select clone as grp, gene, round(sum(value) / max(n) + 1e-9, 6) as value from v join k using (clone) group by 1, 2")
 def transfer_expr_average(spark, sf):
     _, x, labels = _event_expr(spark, sf)
-    return expression.transfer(x, labels).select("grp", "gene", F.round("value", 4).alias("value"))
+    return expression.transfer(x, labels).select("grp", "gene", F.round(F.col("value") + 1e-9, 6).alias("value"))  # off exact halves
 
 
 @query(f"""with {_V_SQL}, n as (select clone, split, count(*) as m from v group by 1, 2)

@@ -13,7 +13,7 @@ from kinspark.operators.groups import NA, labelled
 
 def windowed_sizes(stream: DataFrame, ts: str, label: str, window: str = "1 hour", late: str = "10 minutes", na: str = NA) -> DataFrame:
     """(start, clone, n_cells) per tumbling window; rows later than the watermark are dropped."""
-    own = labelled(stream.withWatermark(ts, late), label, na)
+    own = labelled(stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late), label, na)
     return own.groupBy(F.window(ts, window).alias("w"), F.col(label).alias("clone")).agg(F.count("*").alias("n_cells")).select(F.col("w.start").alias("start"), "clone", "n_cells")
 
 
