@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -18,8 +19,8 @@ class Tree:
         self.left, self.right, self.feature, self.threshold, self.value, self.cover = left, right, feature, threshold, value, cover
 
     @classmethod
-    def of(cls, node) -> Tree:
-        """From a fitted Spark tree node; numeric splits only."""
+    def of(cls, node, label: int | None = None) -> Tree:
+        """From a fitted Spark tree node; numeric splits only.  ``label``: values are the share of that class."""
         left, right, feature, threshold, value, cover = [], [], [], [], [], []
 
         def walk(x) -> int:
@@ -27,8 +28,9 @@ class Tree:
             for a in (left, right, feature):
                 a.append(-1)
             threshold.append(0.0)
-            value.append(float(x.prediction()))
-            cover.append(float(x.impurityStats().count()))
+            stats = x.impurityStats()
+            value.append(float(x.prediction()) if label is None else float(stats.stats()[label]) / (sum(stats.stats()) or 1.0))
+            cover.append(float(stats.count()) if label is None else sum(stats.stats()))
             if x.subtreeDepth() > 0:
                 feature[at], threshold[at] = x.split().featureIndex(), x.split().threshold()
                 left[at] = walk(x.leftChild())
@@ -123,6 +125,41 @@ def fit_boosted(
     return predictions, shaps, models
 
 
+def encode_categories(table: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """String features as 0/1 columns, one for each value but the first; other features stay."""
+    out, names = table, []
+    for f in features:
+        if dict(table.dtypes)[f] != "string":
+            names.append(f)
+            continue
+        for value in sorted(r[0] for r in table.where(F.col(f).isNotNull()).select(f).distinct().limit(1000).collect())[1:]:
+            out = out.withColumn(f"{f}={value}", F.coalesce((F.col(f) == value).cast("double"), F.lit(0.0)))
+            names.append(f"{f}={value}")
+    return out, names
+
+
+def fit_classes(table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, object]:
+    """One model of all responses as classes: each row stands once for each class, weighed by that response's value.
+
+    Returns predictions (key, response, y, predicted, validation), predicted being the class's probability, and
+    attributions (key, response, feature, value, shap) of those probabilities.
+    """
+    flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
+    each = F.explode(F.array(*[F.struct(F.lit(float(i)).alias("c"), F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias("w")) for i, r in enumerate(responses)]))
+    train = rows.where(~F.col("_val")).select("_x", each.alias("e")).select("_x", F.col("e.c").alias("_c"), F.col("e.w").alias("_w")).where("_w > 0")
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_c", weightCol="_w", numTrees=n_trees, maxDepth=depth, seed=seed).fit(train)
+    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+    predictions = shaps = None
+    for i, r in enumerate(responses):
+        part = scored.select(F.col(key), F.lit(r).alias("response"), F.col(r).cast("double").alias("y"), F.try_element_at("_p", F.lit(i + 1)).alias("predicted"), F.col("_val").alias("validation"))
+        predictions = part if predictions is None else predictions.unionByName(part)
+        trees = [(1.0 / len(model.trees), Tree.of(t._call_java("rootNode"), i)) for t in model.trees]
+        part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), trees, list(features), key).withColumn("response", F.lit(r))
+        shaps = part if shaps is None else shaps.unionByName(part)
+    return predictions, shaps, model
+
+
 def shap_values(rows: DataFrame, trees: list[tuple[float, Tree]], names: list[str], key: str = "clone") -> DataFrame:
     """(key, feature, value, shap) of rows (key, x); rows are independent, so nothing is shuffled."""
     sent = rows.sparkSession.sparkContext.broadcast(trees)

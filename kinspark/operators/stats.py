@@ -180,6 +180,7 @@ def morans_i(edges: DataFrame, x: DataFrame, n_obs: int | None = None, center: b
 
     Values are not centred by default: columns are expected to be scaled.  One-sided normal p-value.
     """
+    edges, x = stored(edges, "edges"), stored(x, "values")
     n = n_obs if n_obs is not None else x.select("node").distinct().count()
     if center:
         x = x.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("gene")))

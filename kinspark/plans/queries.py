@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.functions.transforms import transform
-from kinspark.operators import boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
+from kinspark.operators import anchors, boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
 from kinspark.plans.inputs import CELLS_SQL, EXPR_SQL, SMALL_SQL, cells, event_cells, expr, knn_sql, order_cells
 from kinspark.sources.store import stored, table
 
@@ -573,6 +573,26 @@ def merge_order(spark, sf):
     return spark.createDataFrame([(integrate.write_order(order),)], "merges string")
 
 
+def _gene_points(spark, sf):
+    return cells(spark, sf).select(F.col("cell").alias("id"), "batch", F.slice("x", 1, 16).alias("x"))
+
+
+@query()
+def anchors_cca(spark, sf):
+    return anchors.find_anchors(_gene_points(spark, sf), n_comps=8)
+
+
+@query()
+def anchors_rpca(spark, sf):
+    return anchors.find_anchors(_gene_points(spark, sf), "rpca", n_comps=8)
+
+
+@query()
+def integrate_data(spark, sf):
+    points = _gene_points(spark, sf)
+    return anchors.integrate(points, anchors.find_anchors(points, n_comps=8), k_weight=30, n_comps=8, scale=True)
+
+
 @query()
 def geometric_sketch(spark, sf):
     return sketch.sketch(cells(spark, sf).select("cell", "batch", F.slice("x", 1, 6).alias("x")), 0.2, by="batch")
@@ -585,6 +605,16 @@ def _boosted(spark, sf):
     return boost.fit_boosted(wide, [f"g{i}" for i in range(6)], ["y1"], "val", n_trees=8, depth=3)
 
 
+@query()
+def class_predictions(spark, sf):
+    v = event_cells(spark, sf)
+    comp = groups.composition(v, groups.group_sizes(v, min_size=1), "fate").groupBy("clone").pivot("fate").agg(F.first("prop"))
+    fates = [c for c in comp.columns if c != "clone"]
+    means = v.groupBy("clone").agg(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n"), F.max("split").alias("split"))
+    wide, features = boost.encode_categories(stored(comp.join(means, "clone"), "classes"), ["mean", "n", "split"])
+    return boost.fit_classes(wide, features, fates, n_trees=5, depth=3)[0]
+
+
 @query()
 def boosted_predictions(spark, sf):
     return _boosted(spark, sf)[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinspark.functions.transforms import transform
-from kinspark.operators import boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
+from kinspark.operators import anchors, boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
 
 CELLS = "cell long, clone string, fate string, x array<double>"
 
@@ -272,3 +272,41 @@ def test_figure_tables(spark):
     assert plotdata.kde_grid(coords, grp).count() == 0
     e = frame(spark, [("a", [1.0, 2.0, 3.0])], "clone string, u array<double>")
     assert plotdata.embedding_table(e, frame(spark, [("a", "red")], "clone string, colour string")).first().colour == "red"
+
+
+def test_canonical_directions_are_singular_vectors():
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(30, 5)), rng.normal(size=(20, 5))
+    left, right = anchors._canonical(a.T @ a, b.T @ b, 3)
+    u, s, vt = np.linalg.svd(a @ b.T)
+    assert np.allclose(np.abs((a @ left).T @ u[:, :3]), np.eye(3), atol=1e-8)
+    assert np.allclose(np.abs((b @ right).T @ vt[:3].T), np.eye(3), atol=1e-8)
+
+
+@pytest.mark.parametrize("method", ["cca", "rpca"])
+def test_anchors_bring_shifted_batches_together(spark, method):
+    rng = np.random.default_rng(10)
+    centre = 6 * rng.normal(size=(3, 6))
+    x = np.concatenate([centre[i % 3] + rng.normal(size=(1, 6)) * 0.3 for i in range(90)])
+    shift = np.where(np.arange(90) < 50, 0.0, 4.0)[:, None]
+    p = frame(spark, [(i, "a" if i < 50 else "b", (x[i] + shift[i]).tolist()) for i in range(90)], "id long, batch string, x array<double>")
+    found = anchors.find_anchors(p, method, n_comps=3, k_score=10, k_filter=30)
+    got = found.collect()
+    assert len(got) > 20 and np.mean([r.a % 3 == r.b % 3 for r in got]) > 0.95 and all(0 <= r.weight <= 1 for r in got)
+    out = {r.id: np.array(r.x) for r in anchors.integrate(p, found, k_weight=10, n_comps=3).collect()}
+    gap = lambda m: np.mean([np.linalg.norm(np.mean([m[i] for i in range(50) if i % 3 == c], axis=0) - np.mean([m[i] for i in range(50, 90) if i % 3 == c], axis=0)) for c in range(3)])
+    assert gap(out) < 0.2 * gap({i: x[i] + shift[i] for i in range(90)})
+    with pytest.raises(ValueError):
+        anchors.find_anchors(p, "other")
+
+
+def test_classes_follow_their_feature(spark):
+    rows = [(i, float(i % 10), "u" if i % 2 else "v", 1.0 if i % 10 < 5 else 0.0, 0.0 if i % 10 < 5 else 1.0) for i in range(60)]
+    table = frame(spark, rows, "clone long, a double, k string, y0 double, y1 double")
+    wide, names = boost.encode_categories(table, ["a", "k"])
+    assert names == ["a", "k=v"]
+    pred, shap, _ = boost.fit_classes(wide, names, ["y0", "y1"], n_trees=5, depth=2)
+    got = {(r.clone, r.response): r.predicted for r in pred.collect()}
+    assert got[0, "y0"] > 0.8 and got[9, "y0"] < 0.2 and got[0, "y0"] + got[0, "y1"] == pytest.approx(1)
+    top = {(r.response, r.feature): r.mean_shap for r in boost.shap_summary(shap).collect()}
+    assert top["y0", "a"] > top["y0", "k=v"]
