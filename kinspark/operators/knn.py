@@ -33,6 +33,32 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the k nearest rows of y for each row of x, ties to the lower row of y.
+
+    For Euclidean distances a matrix product gives all squares up to rounding; what can be among the k
+    nearest within that rounding is computed again from differences and ranked by it.
+    """
+    k = min(k, len(y))
+    if metric != "euclidean":
+        d = _distances(x, y, metric)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(len(x)), k), best.ravel(), np.take_along_axis(d, best, axis=1).ravel()
+    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    square = nx[:, None] + ny[None, :] - 2.0 * (x @ y.T)
+    edge = np.partition(square, k - 1, axis=1)[:, k - 1] + 1e-12 * (nx + ny.max()) * x.shape[1] + 1e-300
+    rows, cols = np.nonzero(square <= edge[:, None])
+    exact = np.empty(len(rows))
+    for at in range(0, len(rows), 50_000):
+        diff = x[rows[at : at + 50_000]] - y[cols[at : at + 50_000]]
+        exact[at : at + 50_000] = np.sqrt((diff * diff).sum(axis=1))
+    order = np.lexsort((cols, exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    first = np.searchsorted(rows, np.arange(len(x)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep], exact[keep]
+
+
 def _blocks(rows: DataFrame, name: str, block_rows: int, keys: list[str]) -> DataFrame:
     """(keys, block, name: array of (id, x)) of about ``block_rows`` rows each."""
     n = max(1, math.ceil(rows.count() / block_rows))
@@ -63,9 +89,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
                 n_id = n_id[order]
                 x = np.array([np.asarray(r["x"], dtype=np.float64) for r in qs])
                 y = np.array([np.asarray(r["x"], dtype=np.float64) for r in ns])[order]
-                d = _distances(x, y, metric)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows of y are in the order of ids
-                yield pd.DataFrame({"q": np.repeat(np.array(q_id, dtype=object), best.shape[1]), "n": n_id[best.ravel()], "d": np.take_along_axis(d, best, axis=1).ravel()})
+                i, j, d = nearest(x, y, k, metric)
+                yield pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": n_id[j], "d": d})
 
     found = pairs.select("qs", "ns").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")))

@@ -82,6 +82,16 @@ def test_knn_is_brute_force(spark, metric):
     assert got == want
 
 
+def test_nearest_ranks_by_exact_distances_far_from_the_origin():
+    rng = np.random.default_rng(11)
+    x = 1e6 + rng.normal(size=(40, 5))
+    y = np.concatenate([1e6 + rng.normal(size=(50, 5)), x[:5], x[:5]])
+    i, j, d = knn.nearest(x, y, 7, "euclidean")
+    full = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    want = np.argsort(full, axis=1, kind="stable")[:, :7]
+    assert np.array_equal(j.reshape(40, 7), want) and np.array_equal(i, np.repeat(np.arange(40), 7)) and np.allclose(d, np.take_along_axis(full, want, 1).ravel())
+
+
 def test_knn_ties_few_rows_and_nulls(spark):
     p = frame(spark, [(3, [0.0]), (1, [0.0]), (2, [0.0]), (4, None)], "id long, x array<double>")
     assert {r.q: r.n for r in knn.knn(p, p, 1).collect()} == {1: 1, 2: 1, 3: 1}
