@@ -67,7 +67,7 @@ def annotate_cells(cells: DataFrame, clones: DataFrame, column: str, label: str
     """Each member gets its group's value; members of no known group get ``na``, a null of a known group stays."""
     side = clones.select(F.col("clone").alias("_clone"), F.col(column).alias("_value"), F.lit(True).alias("_hit"))
     joined = cells.join(side, F.col(label) == F.col("_clone"), "left")
-    return joined.withColumn(out or f"c2v_{column}", F.when(F.col("_hit"), F.col("_value").cast("string")).otherwise(F.lit(na))).drop("_clone", "_value", "_hit")
+    return joined.withColumn(out or f"group_{column}", F.when(F.col("_hit"), F.col("_value").cast("string")).otherwise(F.lit(na))).drop("_clone", "_value", "_hit")
 
 
 def annotate_clones(cells: DataFrame, clones: DataFrame, column: str, label: str = "clone", out: str | None = None) -> DataFrame:

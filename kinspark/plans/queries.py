@@ -103,12 +103,12 @@ def make_unique_clones(spark, sf):
 
 
 @query("""
-select o_orderkey as cell, case when c_custkey is null then 'NA' else c_mktsegment end as c2v_segment
+select o_orderkey as cell, case when c_custkey is null then 'NA' else c_mktsegment end as group_segment
 from orders left join (select * from customer where c_custkey % 5 <> 0) on o_custkey = c_custkey
 """)
 def annotate_cells(spark, sf):
     c = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("clone"), F.col("c_mktsegment").alias("segment"))
-    return groups.annotate_cells(order_cells(spark, sf), c, "segment").select("cell", "c2v_segment")
+    return groups.annotate_cells(order_cells(spark, sf), c, "segment").select("cell", "group_segment")
 
 
 @query("select cast(o_custkey as varchar) as clone, min(c_mktsegment) as gex_segment from orders join customer on o_custkey = c_custkey group by 1 having count(*) >= 3")

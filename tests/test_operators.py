@@ -41,7 +41,7 @@ def test_unique_labels_keep_every_member(spark):
 def test_annotation_keeps_nulls_and_refuses_two_values(spark):
     clones = frame(spark, [("a", "v"), ("b", None)], "clone string, t string")
     c = frame(spark, [(1, "a", "p", None), (2, "b", "q", None), (3, "z", "r", None), (4, "a", "s", None)], CELLS)
-    assert {(r.cell, r.c2v_t) for r in groups.annotate_cells(c, clones, "t").collect()} == {(1, "v"), (2, None), (3, "NA"), (4, "v")}
+    assert {(r.cell, r.group_t) for r in groups.annotate_cells(c, clones, "t").collect()} == {(1, "v"), (2, None), (3, "NA"), (4, "v")}
     with pytest.raises(Exception, match="more than one value"):
         groups.annotate_clones(c, clones, "fate").collect()
 
