@@ -15,7 +15,6 @@ cells as (
   from embeddings
 )"""
 EXPR_SQL = "expr as (select cell, 'g' || (i - 1) as gene, x[i] as value from (select cell, x, unnest(range(1, 65)) as i from cells))"
-SMALL_SQL = "expr as (select cell, 'g' || (i - 1) as gene, x[i] as value from (select cell, x, unnest(range(1, 9)) as i from cells))"
 
 
 def knn_sql(k: int, queries: str = "true", index: str = "true", extra: str = "true") -> str:
@@ -36,9 +35,9 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def expr(spark: SparkSession, sf: str, genes: int = 64) -> DataFrame:
+def expr(spark: SparkSession, sf: str) -> DataFrame:
     """cell, gene, value: the coordinates of x as genes."""
-    rows = cells(spark, sf).select("cell", F.posexplode(F.slice("x", 1, genes)).alias("i", "value"))
+    rows = cells(spark, sf).select("cell", F.posexplode("x").alias("i", "value"))
     return rows.select("cell", F.concat(F.lit("g"), F.col("i").cast("string")).alias("gene"), "value")
 
 

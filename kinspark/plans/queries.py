@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.transforms import transform
 from kinspark.operators import anchors, boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
-from kinspark.plans.inputs import CELLS_SQL, EXPR_SQL, SMALL_SQL, cells, event_cells, expr, knn_sql, order_cells
+from kinspark.plans.inputs import CELLS_SQL, EXPR_SQL, cells, event_cells, expr, knn_sql, order_cells
 from kinspark.sources.store import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,10 +104,10 @@ def make_unique_clones(spark, sf):
 
 @query("""
 select o_orderkey as cell, case when c_custkey is null then 'NA' else c_mktsegment end as group_segment
-from orders left join (select * from customer where c_custkey % 5 <> 0) on o_custkey = c_custkey
+from orders left join customer on o_custkey = c_custkey
 """)
 def annotate_cells(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("clone"), F.col("c_mktsegment").alias("segment"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("clone"), F.col("c_mktsegment").alias("segment"))
     return groups.annotate_cells(order_cells(spark, sf), c, "segment").select("cell", "group_segment")
 
 
@@ -140,7 +140,7 @@ def nesting_clones(spark, sf):
 
 
 def _connect_sql(rule: str, weight: str) -> str:
-    base = "o as (select o_orderkey as k, o_custkey as g, o_orderdate as t, 1.0 / count(*) over (partition by o_custkey) as share from orders where o_custkey % 4 = 0)"
+    base = "o as (select o_orderkey as k, o_custkey as g, o_orderdate as t, 1.0 / count(*) over (partition by o_custkey) as share from orders)"
     w = f"cast({weight} as double) as weight"
     if rule == "pairs":
         return f"with {base} select a.k as src, b.k as dst, round({w.replace('share', 'a.share').split(' as weight')[0]}, 6) as weight from o a join o b on a.g = b.g and a.k <> b.k"
@@ -152,7 +152,7 @@ def _connect_sql(rule: str, weight: str) -> str:
 
 def _connect(rule: str, weighted: bool):
     def run(spark, sf):
-        o = table(spark, sf, "orders").where("o_custkey % 4 = 0").select(F.col("o_orderkey").alias("clone"), F.col("o_custkey").alias("g"), F.col("o_orderdate").alias("t"))
+        o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("clone"), F.col("o_custkey").alias("g"), F.col("o_orderdate").alias("t"))
         out = groups.connect(o, "g", weighted=weighted) if rule == "pairs" else groups.connect(o, "g", "t", rule, weighted=weighted)
         return out.select("src", "dst", *r6("weight"))
 
@@ -242,17 +242,17 @@ def nan_mask(spark, sf):
     return expression.missing_rows(holes, v.select("obs"))
 
 
-@query(f"with {CELLS_SQL}, {SMALL_SQL}, d as (select expr.*, batch from expr join cells using (cell)) select cell, gene, round(value - avg(value) over (partition by batch, gene), 6) + 0.0 as value from d")
+@query(f"with {CELLS_SQL}, {EXPR_SQL}, d as (select expr.*, batch from expr join cells using (cell)) select cell, gene, round(value - avg(value) over (partition by batch, gene), 6) + 0.0 as value from d")
 def regress_categories(spark, sf):
-    dense = expr(spark, sf, 8).join(cells(spark, sf).select("cell", "batch"), "cell")
+    dense = expr(spark, sf).join(cells(spark, sf).select("cell", "batch"), "cell")
     return expression.regress_categories(dense, ["batch"]).select("cell", "gene", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(f"""with {CELLS_SQL}, {SMALL_SQL}, d as (select expr.*, batch, cell_type from expr join cells using (cell)),
+@query(f"""with {CELLS_SQL}, {EXPR_SQL}, d as (select expr.*, batch, cell_type from expr join cells using (cell)),
 e as (select *, value - avg(value) over (partition by batch, gene) as v from d)
 select cell, gene, round(v - avg(v) over (partition by cell_type, gene), 6) + 0.0 as value from e""")
 def regress_categories_two(spark, sf):
-    dense = expr(spark, sf, 8).join(cells(spark, sf).select("cell", "batch", "cell_type"), "cell")
+    dense = expr(spark, sf).join(cells(spark, sf).select("cell", "batch", "cell_type"), "cell")
     return expression.regress_categories(dense, ["batch", "cell_type"]).select("cell", "gene", (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -307,13 +307,13 @@ def clonal_nn_masked(spark, sf):
     return edges.unionByName(apart.select("src", F.concat(F.lit("mask:"), F.col("mask")).alias("dst"), F.col("n").alias("weight")))
 
 
-def _means(spark, sf, genes=8):
+def _means(spark, sf):
     c = cells(spark, sf)
     labels = expression.group_labels(c, groups.group_sizes(c, min_size=1))
-    return labels, expr(spark, sf, genes).join(labels, "cell").groupBy("grp", "gene").agg(F.avg("value").alias("value"))
+    return labels, expr(spark, sf).join(labels, "cell").groupBy("grp", "gene").agg(F.avg("value").alias("value"))
 
 
-_MEANS = f"{SMALL_SQL}, m0 as (select clone as node, gene, avg(value) as value from expr join cells using (cell) where clone <> 'NA' group by 1, 2), h as (select src, dst from g where weight > 0 union select node, node from m0)"
+_MEANS = f"{EXPR_SQL}, m0 as (select clone as node, gene, avg(value) as value from expr join cells using (cell) where clone <> 'NA' group by 1, 2), h as (select src, dst from g where weight > 0 union select node, node from m0)"
 
 
 def _smooth_sql(steps: int) -> str:
@@ -428,13 +428,13 @@ for _kind in ("numeric", "categorical"):
 
 
 def _xy(spark, sf):
-    x = expr(spark, sf, 16).select(F.col("cell").alias("obs"), "gene", "value")
-    y = expr(spark, sf, 18).where("gene in ('g16', 'g17')").select(F.col("cell").alias("obs"), F.col("gene").alias("response"), "value")
+    x = expr(spark, sf).select(F.col("cell").alias("obs"), "gene", "value")
+    y = expr(spark, sf).where("gene in ('g16', 'g17')").select(F.col("cell").alias("obs"), F.col("gene").alias("response"), "value")
     label = cells(spark, sf).select(F.col("cell").alias("obs"), F.lit("label").alias("response"), F.col("cell_type").cast("double").alias("value"))
     return x, y.unionByName(label)
 
 
-_XY = f"""{CELLS_SQL}, x as (select cell as obs, 'g' || (i - 1) as gene, x[i] as v from (select cell, x, unnest(range(1, 17)) as i from cells)),
+_XY = f"""{CELLS_SQL}, x as (select cell as obs, 'g' || (i - 1) as gene, x[i] as v from (select cell, x, unnest(range(1, 65)) as i from cells)),
 y as (select cell as obs, 'g' || (i - 1) as response, x[i] as v from (select cell, x, unnest([17, 18]) as i from cells) union all select cell, 'label', cast(cell_type as double) from cells)"""
 _R = "round(r, 6) as r, round(slope, 6) as slope"
 
@@ -461,12 +461,13 @@ def weighted_corr(spark, sf):
     return stats.correlate(x, y, weights=weights).select("gene", "response", *r6("r", "slope"))
 
 
-@query(f"""with {CELLS_SQL}, {SMALL_SQL}, s as (select cell, gene, value from expr), t as (select cell, 'g' || (cast(substr(gene, 2) as bigint)) as gene, x[cast(substr(gene, 2) as bigint) + 9] as value from expr join cells using (cell))
-select gene, round(corr(s.value, t.value), 6) as r, round(regr_slope(t.value, s.value), 6) as slope from s join t using (cell, gene) group by 1""")
+@query(f"""with {CELLS_SQL}, {EXPR_SQL}, s as (select cell, cast(substr(gene, 2) as bigint) as i, value from expr), t as (select cell, i - 32 as i, value from s where i >= 32)
+select 'g' || i as gene, round(corr(s.value, t.value), 6) as r, round(regr_slope(t.value, s.value), 6) as slope from s join t using (cell, i) group by 1""")
 def corr_columns(spark, sf):
-    x = expr(spark, sf, 8).withColumnRenamed("cell", "obs")
-    y = expr(spark, sf, 16).select(F.col("cell").alias("obs"), F.concat(F.lit("g"), (F.expr("cast(substr(gene, 2) as bigint)") - 8).cast("string")).alias("gene"), "value").where("gene not like 'g-%'")
-    return stats.correlate_columns(x, y).select("gene", *r6("r", "slope"))
+    # Each coordinate of the first half with its counterpart in the second.
+    rows = expr(spark, sf).select(F.col("cell").alias("obs"), F.expr("cast(substr(gene, 2) as bigint)").alias("i"), "value")
+    named = lambda df, off: df.select("obs", F.concat(F.lit("g"), (F.col("i") - off).cast("string")).alias("gene"), "value")
+    return stats.correlate_columns(named(rows.where("i < 32"), 0), named(rows.where("i >= 32"), 32)).select("gene", *r6("r", "slope"))
 
 
 @query("""
@@ -518,7 +519,7 @@ def association_binomial(spark, sf):
 @query()
 def gam(spark, sf):
     x, y = _xy(spark, sf)
-    return stats.associations({"all": x.where("gene in ('g0', 'g1', 'g2', 'g3')")}, y.where("response <> 'label'"), method="gam")
+    return stats.associations({"all": x}, y.where("response <> 'label'"), method="gam")
 
 
 @query()
@@ -529,7 +530,7 @@ def gpca_scores(spark, sf):
 
 @query()
 def eigenvalue_test(spark, sf):
-    return stats.eigenvalue_test(cells(spark, sf).select(F.slice("x", 1, 8).alias("x")), n_simulations=200)
+    return stats.eigenvalue_test(cells(spark, sf).select("x"), n_simulations=200)
 
 
 @query()
@@ -562,7 +563,7 @@ def project_poisson(spark, sf):
 
 @query()
 def align(spark, sf):
-    points = cells(spark, sf).select(F.col("cell").alias("id"), "batch", F.slice("x", 1, 8).alias("x"))
+    points = cells(spark, sf).select(F.col("cell").alias("id"), "batch", "x")
     edges, order = integrate.find_mnn(points)
     return integrate.align(points, edges, order)
 
@@ -574,7 +575,7 @@ def merge_order(spark, sf):
 
 
 def _gene_points(spark, sf):
-    return cells(spark, sf).select(F.col("cell").alias("id"), "batch", F.slice("x", 1, 16).alias("x"))
+    return cells(spark, sf).select(F.col("cell").alias("id"), "batch", "x")
 
 
 @query()
@@ -595,14 +596,14 @@ def integrate_data(spark, sf):
 
 @query()
 def geometric_sketch(spark, sf):
-    return sketch.sketch(cells(spark, sf).select("cell", "batch", F.slice("x", 1, 6).alias("x")), 0.2, by="batch")
+    return sketch.sketch(cells(spark, sf).select("cell", "batch", "x"), 0.2, by="batch")
 
 
 def _boosted(spark, sf):
-    wide = _means(spark, sf, 6)[1].groupBy(F.col("grp").alias("clone")).pivot("gene", [f"g{i}" for i in range(6)]).agg(F.first("value"))
+    wide = _means(spark, sf)[1].groupBy(F.col("grp").alias("clone")).pivot("gene", [f"g{i}" for i in range(64)]).agg(F.first("value"))
     size = groups.group_sizes(cells(spark, sf), min_size=1)
     wide = stored(wide.join(size, "clone").withColumn("y1", 3 * F.col("g0") - F.col("g1")).withColumn("val", F.xxhash64("clone") % 4 == 0), "boost")
-    return boost.fit_boosted(wide, [f"g{i}" for i in range(6)], ["y1"], "val", n_trees=8, depth=3)
+    return boost.fit_boosted(wide, [f"g{i}" for i in range(64)], ["y1"], "val", n_trees=8, depth=3)
 
 
 @query()
@@ -698,10 +699,10 @@ def blended_colours(spark, sf):
     return plotdata.blend_colours(_coords(spark, sf)[0], "x", "y", corners, (0.1, 0.9)).select("node", *r6("red", "green", "blue", "combined"))
 
 
-@query(f"""with {CELLS_SQL}, {SMALL_SQL}, z as (select cell, gene, value, least(1.5, (value - avg(value) over (partition by gene)) / stddev_samp(value) over (partition by gene)) as z from expr)
+@query(f"""with {CELLS_SQL}, {EXPR_SQL}, z as (select cell, gene, value, least(1.5, (value - avg(value) over (partition by gene)) / stddev_samp(value) over (partition by gene)) as z from expr)
 select cell_type as grp, gene, round(avg(z), 6) + 0.0 as mean_z, round(avg(case when value > 0 then 1.0 else 0.0 end), 6) as share from z join cells using (cell) group by 1, 2""")
 def scaled_dotplot(spark, sf):
-    x = expr(spark, sf, 8).withColumnRenamed("cell", "node")
+    x = expr(spark, sf).withColumnRenamed("cell", "node")
     out = plotdata.dotplot(x, cells(spark, sf).select(F.col("cell").alias("node"), F.col("cell_type").alias("grp")), cap=1.5)
     return out.select("grp", "gene", (F.round("mean_z", 6) + 0.0).alias("mean_z"), *r6("share"))
 
