@@ -79,16 +79,30 @@ def _token_bytes(path: str) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Values by key; a key without one is noted in ``unknown`` and gives None."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.unknown: list[str] = []
+
+    def __missing__(self, key):
+        self.unknown.append(key)
+
+
 class PieceCache:
     """The number of ids of each piece (``width`` 0), or its ids as bytes, ``width`` little-endian bytes each.
 
-    Two generations of some ``limit`` pieces each.  A full young generation becomes the old one; what is still
-    used moves over when asked for, what is not goes.  Memory is bounded, results never depend on it.
+    Pieces are kept until there are ``limit``; as words of prose come in order of their frequency, these are the frequent
+    ones.  From then on the others are encoded each time.  If their share grows to well over what it was at first, the
+    texts have changed, and the cache starts anew.  Memory is bounded, results never depend on it.
     """
 
-    def __init__(self, path: str, width: int = 0, limit: int = 350_000):
+    def __init__(self, path: str, width: int = 0, limit: int = 700_000):
         self.path, self.width, self.limit = path, width, limit
-        self.fixed, self.young, self.old = {}, {}, {}
+        self.fixed, self.known = {}, _Known()
+        self.seen = self.missed = 0  # pieces since the cache is full
+        self.usual: float | None = None  # share of missed ones at first
         self.exact_cuts = _is_cuttable(path)
 
     def _values(self, ids: np.ndarray, stops: list[int]) -> list:
@@ -119,31 +133,49 @@ class PieceCache:
     def values(self, texts: list[str | None]) -> list[list]:
         """For each text the values of its pieces in order; null counts as the empty text."""
         cut = [(pieces_of(x) if self.exact_cuts else [" " + x]) if x else [] for x in texts]
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, dict(self.fixed)
-        young, old, new = self.young, self.old, []
-        for p in set().union(*cut).difference(young):
-            v = old.get(p)
-            if v is None:
-                new.append(p)
-            else:
-                young[p] = v
-        young.update(self._encode(new))
-        look = young.__getitem__
-        out = [list(map(look, p)) for p in cut]
-        for p in new:
-            if len(p) > 40:  # longer than any word of prose: hardly met again
-                del young[p]
+        known, unknown = self.known, self.known.unknown
+        look, out, again = known.__getitem__, [], []
+        for i, keys in enumerate(cut):
+            before = len(unknown)
+            out.append(list(map(look, keys)))
+            if len(unknown) > before:
+                again.append(i)
+        full, missed = len(known) >= self.limit, len(unknown)
+        if again:
+            new = list(dict.fromkeys(unknown))
+            unknown.clear()
+            known.update(self._encode(new))
+            for i in again:
+                out[i] = list(map(look, cut[i]))
+            for k in new:
+                if full or len(k) > 40:  # a piece longer than any word of prose is hardly met again
+                    del known[k]
+        if full:
+            self._watch(sum(map(len, cut)), missed)
         return out
 
+    def _watch(self, seen: int, missed: int, window: int = 2_000_000) -> None:
+        """Count misses of the full cache; start anew once their share has grown by half."""
+        self.seen, self.missed = self.seen + seen, self.missed + missed
+        if self.seen >= window:
+            share = self.missed / self.seen
+            if self.usual is None:
+                self.usual = share
+            elif share > 1.5 * self.usual + 0.01:
+                self.known, self.usual = _Known(self.fixed), None
+            self.seen = self.missed = 0
+
     def seed(self, fixed: dict) -> None:
-        """Values that every generation has from its start; the first such set stays."""
+        """Values that are there from the start; the first such set stays."""
         if not self.fixed:
             self.fixed = fixed
-            self.young.update(fixed)
+            self.known.update(fixed)
 
 
 @lru_cache(maxsize=2)
-def piece_cache(path: str, width: int = 0) -> PieceCache:
-    """The cache of this worker process; it lives on from task to task."""
-    return PieceCache(path, width)
+def piece_cache(path: str, width: int = 0, limit: int = 700_000) -> PieceCache:
+    """The cache of this worker process; it lives on from task to task.
+
+    Some 200 bytes for each of ``limit`` pieces.
+    """
+    return PieceCache(path, width, limit)

@@ -50,7 +50,7 @@ def count_tokens(
         cache = piece_cache(tokenizer_path)
         cache.seed(_unpack(table.value))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1024):
                 texts = part.column(1).to_pylist()
                 n = [sum(v) for v in cache.values(texts)]
                 yield to_batch(schema, id=part.column(0), n_bytes=[len(x.encode()) if x else 0 for x in texts], n_tokens=n, over_limit=[x > limit_tokens for x in n])

@@ -23,6 +23,17 @@ def test_pieces_give_the_librarys_ids(tokenizer, tokenizer_path):
     assert sum(PieceCache(tokenizer_path).values(["The cat"])[0]) == 2
 
 
+def test_a_full_cache_starts_anew_when_texts_change(tokenizer_path):
+    cache = PieceCache(tokenizer_path, limit=50)
+    first, second = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    want = [sum(v) for v in PieceCache(tokenizer_path).values([first, second])]
+    for text, n in ((first, want[0]), (second, want[1])):
+        for _ in range(4):
+            assert sum(cache.values([text])[0]) == n
+            cache._watch(0, 0, window=1)
+    assert "v5" in cache.known and "w5" not in cache.known and len(cache.known) <= 120
+
+
 def test_other_tokenizers_are_not_cut(tokenizer_path):
     import public_tokenizers
 
