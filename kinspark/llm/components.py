@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import stored
+from kinspark.llm.common import forget, stored
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -33,5 +33,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # Small star: each node tells its smaller neighbours, and itself, of the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        current = stored(small.where("u <> v").distinct(), "edges")
+        after = stored(small.where("u <> v").distinct(), "edges")
+        forget(current)
+        current = after
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
