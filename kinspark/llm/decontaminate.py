@@ -128,5 +128,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``docs`` without the rows that are contaminated; options are those of :func:`contamination`."""
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
     bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(text_col), F.lit(0)) == F.col("_bad_h"))
+    same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)) == bad["_bad_h"])
     return docs.join(bad, same, "left_anti")
