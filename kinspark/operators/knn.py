@@ -1,7 +1,7 @@
 """Exact k nearest neighbours by blocks, and the group graph that they make.
 
-Both sides are cut into blocks of some hundreds of rows; each pair of blocks is one matrix computation that
-sends on at most k rows per query row, and a window keeps the best k of all.  No side has to fit in memory.
+Both sides are cut into blocks of some hundreds of rows; each pair of blocks is one matrix computation.
+A task keeps the best k rows of a query block over all blocks that it meets, a window the best k of all tasks.  No side has to fit in memory.
 Ties go to the lower id.
 """
 
@@ -63,7 +63,7 @@ def _blocks(rows: DataFrame, name: str, block_rows: int, keys: list[str]) -> Dat
     """(keys, block, name: array of (id, x)) of about ``block_rows`` rows each."""
     n = max(1, math.ceil(rows.count() / block_rows))
     own = rows.where("x is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    return own.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias(name)).drop("block")
+    return own.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias(name)).withColumnRenamed("block", f"{name}_block")
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 512) -> DataFrame:
@@ -81,18 +81,34 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
     pairs = a.join(b, by) if by else a.crossJoin(b)
     q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
 
+    def best_of(parts):
+        """The k best rows of each q among frames that each hold some."""
+        if len(parts) == 1:
+            return parts[0]
+        rows = pd.concat(parts).sort_values(["q", "d", "n"], kind="stable")
+        return rows[rows.groupby("q", sort=False).cumcount() < k]
+
     def run(frames):
+        # Pairs of one query block come one after the other: only their k best rows are sent on.
+        block, parts = None, []
         for frame in frames:
-            for qs, ns in zip(frame["qs"], frame["ns"], strict=True):
+            for key, qs, ns in zip(frame["key"], frame["qs"], frame["ns"], strict=True):
+                if key != block:
+                    if parts:
+                        yield best_of(parts)
+                    block, parts = key, []
                 q_id, n_id = [r["id"] for r in qs], np.array([r["id"] for r in ns], dtype=object)
                 order = np.argsort(n_id, kind="stable")
                 n_id = n_id[order]
                 x = np.array([np.asarray(r["x"], dtype=np.float64) for r in qs])
                 y = np.array([np.asarray(r["x"], dtype=np.float64) for r in ns])[order]
                 i, j, d = nearest(x, y, k, metric)
-                yield pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": n_id[j], "d": d})
+                parts = [best_of([*parts, pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": n_id[j], "d": d})])]
+        if parts:
+            yield best_of(parts)
 
-    found = pairs.select("qs", "ns").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
+    key = F.concat_ws("|", F.col("qs_block").cast("string"), *([F.col(by).cast("string")] if by else []))
+    found = pairs.select(key.alias("key"), "qs", "ns").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")))
     return ranked.where(F.col("r") <= k).withColumn("r", F.col("r") - 1)
 
