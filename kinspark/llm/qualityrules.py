@@ -90,10 +90,13 @@ class RatioModel:
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 14, most_trusted: int = 200_000, smooth: float = 0.5) -> RatioModel:
     """Count n-grams of all documents, and of those whose id is among ``trusted``.
 
-    Of more than ``most_trusted`` trusted ids those with the least hashes are taken, so what is broadcast has a
-    bound.  Each task sends one count per bucket; the driver gets 2 to the ``bits`` rows.
+    Of more than ``most_trusted`` trusted ids the share whose hashes lie below a threshold is taken, so what is
+    broadcast has a bound.  Each task sends one count per bucket; the driver gets 2 to the ``bits`` rows.
     """
-    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_trusted)
+    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    n = ids.count()
+    if n > most_trusted:  # a little less than the bound, so that chance doesn't reach it
+        ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < int(0.95 * most_trusted / n * (1 << 31)))
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def run(batches):
