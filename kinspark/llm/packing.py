@@ -122,8 +122,8 @@ def pack_documents(
 
         for batch in batches:
             for part in slices(batch, 1024):
-                for doc, values in zip(part.column(0).to_pylist(), cache.values(part.column(1).to_pylist()), strict=True):
-                    ids = b"".join(values) + tail
+                for doc, ids in zip(part.column(0).to_pylist(), cache.totals(part.column(1)), strict=True):
+                    ids += tail
                     whole = len(ids) // 4
                     full = whole - whole % capacity
                     for at in range(0, full, capacity):

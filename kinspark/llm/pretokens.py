@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?= \S)")
 #: A space that is not before a word.
 _ODD = re.compile(r" (?:\s|\Z)")
+#: The same, and more than it, for Arrow's regular expressions.
+_ODD_RE2 = r" (?:[\s\v\x1c-\x1f\x{85}\pZ]|\z)"
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +103,7 @@ class PieceCache:
     texts have changed, and the cache starts anew.  Memory is bounded, results never depend on it.
     """
 
-    def __init__(self, path: str, width: int = 0, limit: int = 700_000):
+    def __init__(self, path: str, width: int = 0, limit: int = 400_000):
         self.path, self.width, self.limit = path, width, limit
         self.fixed, self.known = {}, _Known()
         self.seen = self.missed = 0  # pieces since the cache is full
@@ -130,28 +135,71 @@ class PieceCache:
                 out[k] = self._values(np.array(e.ids, dtype=np.int64), [len(e.ids)])[0]
         return out
 
-    def values(self, texts: list[str | None]) -> list[list]:
-        """For each text the values of its pieces in order; null counts as the empty text."""
-        cut = [(pieces_of(x) if self.exact_cuts else [" " + x]) if x else [] for x in texts]
-        known, unknown = self.known, self.known.unknown
-        look, out, again = known.__getitem__, [], []
-        for i, keys in enumerate(cut):
-            before = len(unknown)
-            out.append(list(map(look, keys)))
-            if len(unknown) > before:
-                again.append(i)
+    def _lookup(self, keys: list[str]) -> list:
+        """The values of keys."""
+        known = self.known
+        look, unknown = known.__getitem__, known.unknown
+        out = list(map(look, keys))
         full, missed = len(known) >= self.limit, len(unknown)
-        if again:
+        if missed:
             new = list(dict.fromkeys(unknown))
             unknown.clear()
             known.update(self._encode(new))
-            for i in again:
-                out[i] = list(map(look, cut[i]))
+            out = list(map(look, keys))
             for k in new:
                 if full or len(k) > 40:  # a piece longer than any word of prose is hardly met again
                     del known[k]
         if full:
-            self._watch(sum(map(len, cut)), missed)
+            self._watch(len(keys), missed)
+        return out
+
+    def values(self, texts: list[str | None]) -> list[list]:
+        """For each text the values of its pieces in order; null counts as the empty text."""
+        cut = [(pieces_of(x) if self.exact_cuts else [" " + x]) if x else [] for x in texts]
+        found = iter(self._lookup([k for keys in cut for k in keys]))
+        return [list(islice(found, len(keys))) for keys in cut]
+
+    def totals(self, texts: pa.Array) -> list:
+        """For each text the sum of its pieces' numbers of ids, or its ids as bytes.
+
+        Texts without doubled or trailing white space are split and numbered by Arrow, so that Python only
+        meets the distinct words of a batch; their values are put in place by one gather.
+        """
+        odd = pc.or_(pc.is_null(texts), pc.fill_null(pc.or_(pc.match_substring_regex(texts, _ODD_RE2), pc.equal(texts, "")), True))
+        if not self.exact_cuts:
+            odd = pa.array(np.ones(len(texts), dtype=bool))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list = [0 if not self.width else b""] * len(texts)
+        at = np.flatnonzero(odd)
+        for i, v in zip(at.tolist(), self.values(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[i] = b"".join(v) if self.width else sum(v)
+        at = np.flatnonzero(~odd)
+        if not len(at):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(at)), " ")
+        edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten()
+        numbered = words.dictionary_encode()
+        # The first word of a text has no space before it: it gets a key of its own.
+        first = words.take(pa.array(edge[:-1])).to_pylist()
+        keys = [w or " " for w in numbered.dictionary.to_pylist()] + [" " + w for w in first]
+        place = numbered.indices.to_numpy().astype(np.int64)
+        place[edge[:-1]] = len(numbered.dictionary) + np.arange(len(first))
+        values = self._lookup(keys)
+        if not self.width:
+            ends = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[place])])[edge]
+            sums = np.diff(ends).tolist()
+            for i, n in zip(at.tolist(), sums, strict=True):
+                out[i] = n
+            return out
+        size = np.array([len(v) for v in values], dtype=np.int64) // self.width
+        begin, own = np.cumsum(size) - size, size[place]
+        stop = np.cumsum(own)
+        ids = np.frombuffer(b"".join(values), f"<u{self.width}")
+        gathered = ids[np.repeat(begin[place] - (stop - own), own) + np.arange(int(stop[-1]))].tobytes()
+        ends = (np.concatenate([[0], stop])[edge] * self.width).tolist()
+        for i, a, b in zip(at.tolist(), ends, ends[1:], strict=False):
+            out[i] = gathered[a:b]
         return out
 
     def _watch(self, seen: int, missed: int, window: int = 2_000_000) -> None:
@@ -173,7 +221,7 @@ class PieceCache:
 
 
 @lru_cache(maxsize=2)
-def piece_cache(path: str, width: int = 0, limit: int = 700_000) -> PieceCache:
+def piece_cache(path: str, width: int = 0, limit: int = 400_000) -> PieceCache:
     """The cache of this worker process; it lives on from task to task.
 
     Some 200 bytes for each of ``limit`` pieces.

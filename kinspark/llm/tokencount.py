@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,9 @@ def count_tokens(
         cache.seed(_unpack(table.value))
         for batch in batches:
             for part in slices(batch, 1024):
-                texts = part.column(1).to_pylist()
-                n = [sum(v) for v in cache.values(texts)]
-                yield to_batch(schema, id=part.column(0), n_bytes=[len(x.encode()) if x else 0 for x in texts], n_tokens=n, over_limit=[x > limit_tokens for x in n])
+                n = cache.totals(part.column(1))
+                n_bytes = pc.fill_null(pc.binary_length(part.column(1)), 0)
+                yield to_batch(schema, id=part.column(0), n_bytes=n_bytes.cast(pa.int64()), n_tokens=n, over_limit=[x > limit_tokens for x in n])
 
     out = src.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
