@@ -112,21 +112,21 @@ def write_token_records(
     def run(batches):
         width = 2 if load_tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
         tail = np.array(end, dtype=f"<u{width}").tobytes()
-        cache, shard, first, part = piece_cache(tokenizer_path, width), None, None, 0
+        cache, shard, first, part = piece_cache(tokenizer_path, width, 550_000), None, None, 0
 
         def row():
             shard.close()
             return to_batch(schema, path=[shard.path], first_id=[first[0]], first_hash=[first[1]], part=[part], n_docs=[shard.docs], n_tokens=[shard.tokens], n_bytes=[shard.bytes])
 
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, 1024):
                 keys, hashes = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                for key, h, ids in zip(keys, hashes, cache.values(rows.column(2).to_pylist()), strict=True):
+                for key, h, ids in zip(keys, hashes, cache.totals(rows.column(2)), strict=True):
                     if shard is None:
                         store, root = fs.FileSystem.from_uri(folder)
                         store.create_dir(root, recursive=True)
                         shard, first = _Shard(folder), (key, h)
-                    shard.add(key, b"".join(ids) + tail, width)
+                    shard.add(key, ids + tail, width)
                     if shard.bytes >= shard_bytes:
                         yield row()
                         shard, part = None, part + 1
@@ -163,5 +163,4 @@ def read_token_records(shards: DataFrame) -> DataFrame:
                 if rows:
                     yield to_batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
-    tasks = shards.sparkSession.sparkContext.defaultParallelism * 4
-    return placed.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, min(shards.count(), 100_000))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
