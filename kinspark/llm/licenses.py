@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-Blocks of lines that speak of licensing are compressed alone and with each license template as a raw zstandard
-dictionary.  How much smaller a block gets, against the size of what it shares at best, ranks the templates
-without any words lists per license; the best are confirmed by the exact differences of wording between template
-and block, which also tells a changed license from an unchanged one.
+Wherever a piece of a license template stands unchanged in a text, a window of the template's length is compared
+with it: by the exact differences of wording, which also tell a changed license from an unchanged one, and by how
+much smaller the window gets with the template as a raw zstandard dictionary, against the size of what it shares at
+best.  Every template is compared, and what stands around a window does not count.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,11 @@ _TELLING = re.compile(
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case; what white space, other signs and capitals do is no difference of wording."""
+    return _WORD.findall(text.lower())
+
+
 def blocks_of(text: str | None, gap: int = 2) -> list[str]:
     """Runs of lines from one telling line to the next, as long as no more than ``gap`` other lines lie between."""
     if not text or not _TELLING.search(text):
@@ -68,61 +74,96 @@ def blocks_of(text: str | None, gap: int = 2) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def _compressors(templates: tuple[tuple[str, str], ...], level: int = 3):
-    """(license, words, alone, with, own size) of each template."""
+def _compressors(templates: tuple[tuple[str, str], ...], most_changed: float, level: int = 3):
+    """A plain compressor, (license, words, most differing words, with, own size) of each template, and its pieces.
+
+    A template of which at most k words differ, cut into k + 1 pieces, has a piece without a difference.  Pieces are
+    kept by their first ``width`` words.
+    """
     import zstandard as zstd
 
-    plain, out = zstd.ZstdCompressor(level=level, write_content_size=False), []
+    if not 0 <= most_changed < 1:
+        raise ValueError("most_changed must be at least 0 and below 1")
+    plain, out, pieces = zstd.ZstdCompressor(level=level, write_content_size=False), [], []
     for name, body in templates:
-        raw = zstd.ZstdCompressionDict(_plain(body).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        with_it = zstd.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
-        out.append((name, _WORD.findall(_plain(body)), with_it, len(plain.compress(_plain(body).encode()))))
-    return plain, out
-
-
-def _plain(text: str) -> str:
-    """Lower case, all white space one space; what line breaks and capitals do is no difference of wording."""
-    return " ".join(text.lower().split())
+        if wanted := words_of(body):
+            most = int(most_changed * len(wanted))
+            cuts = [len(wanted) * i // (most + 1) for i in range(most + 2)]
+            pieces += [(len(out), a, wanted[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            data = " ".join(wanted).encode("utf-8", "surrogatepass")
+            raw = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            with_it = zstd.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
+            out.append((name, wanted, most, with_it, len(plain.compress(data))))
+    width = min((3, *(len(p) for _, _, p in pieces)))
+    by_start: dict[tuple[str, ...], list] = {}
+    for piece in pieces:
+        by_start.setdefault(tuple(piece[2][:width]), []).append(piece)
+    return plain, out, width, by_start
+
+
+def _fit(template: list[str], block: list[str]) -> tuple[int, int]:
+    """Least number of words to add, drop or change to turn the template into some run of the block's words, and the end of that run."""
+    code: dict[str, int] = {}
+    wanted = [code.setdefault(w, len(code)) for w in template]
+    b = np.array([code.get(w, -1) for w in block], dtype=np.int64)
+    place = np.arange(len(b) + 1)
+    row = np.zeros(len(b) + 1, dtype=np.int64)  # a run may begin anywhere
+    for i, t in enumerate(wanted, 1):
+        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (b != t)]))
+        row = np.minimum.accumulate(new - place) + place
+    end = int(row.argmin())
+    return int(row[end]), end
 
 
 def wording_differences(template: list[str], block: list[str]) -> int:
     """Least number of words to add, drop or change to turn the template into some run of the block's words."""
-    row = [0] * (len(block) + 1)  # a run may begin anywhere
-    for i, t in enumerate(template, 1):
-        before, row[0] = row[0], i
-        for j, b in enumerate(block, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (t != b))
-    return min(row)
+    return _fit(template, block)[0]
 
 
-def scan(blocks: list[str], templates=TEMPLATES, least_saved: float = 0.4, most_changed: float = 0.15, ranked: int = 4) -> list[tuple[str, float, int, int]]:
+def scan(blocks: list[str], templates=TEMPLATES, least_saved: float = 0.4, most_changed: float = 0.15) -> list[tuple[str, float, int, int]]:
     """(license, share saved, differing words, words of the template) of each license found in blocks.
 
-    Of each block those templates whose dictionary saves at least ``least_saved`` of the template's own size are
-    ranked by what they save; the first ``ranked`` are compared word by word and confirmed up to ``most_changed``
-    of the template's words.  One entry a license, the one with the fewest differences.
+    Windows of a template's length are taken wherever a piece of it stands unchanged, which no run of words with up
+    to ``most_changed`` of the template's words differing can escape, however long its line and whatever stands
+    around it.  Each template is compared word by word there, and its dictionary must save at least ``least_saved``
+    of its own size on the words of the best run alone.  One entry a license, the one with the fewest differences.
     """
-    plain, known = _compressors(tuple(templates))
+    plain, known, width, by_start = _compressors(tuple(templates), most_changed)
     best: dict[str, tuple] = {}
     for block in blocks:
-        short = _plain(block)
-        data, words = short.encode("utf-8", "surrogatepass"), _WORD.findall(short)
-        alone = len(plain.compress(data))
-        saved = [((alone - len(with_it.compress(data))) / min(own, alone), name, wanted) for name, wanted, with_it, own in known]
-        for share, name, wanted in sorted((x for x in saved if x[0] >= least_saved), key=lambda x: (-x[0], x[1], -len(x[2])))[:ranked]:
-            off = wording_differences(wanted, words)
-            if off <= most_changed * len(wanted):
-                entry = (off / len(wanted), -share, name, off, len(wanted))
-                best[name] = min(best.get(name, entry), entry)
+        words = words_of(block)
+        begins: dict[int, set[int]] = {}
+        for i, start in enumerate(zip(*(words[n:] for n in range(width)), strict=False)):
+            for k, at, piece in by_start.get(start, ()):
+                if words[i : i + len(piece)] == piece:
+                    begins.setdefault(k, set()).add(i - at)
+        for k, found in begins.items():
+            name, wanted, most, with_it, own = known[k]
+            windows: list[list[int]] = []
+            for begin in sorted(found):
+                end = begin + len(wanted) + most
+                if windows and begin - most <= windows[-1][1]:
+                    windows[-1][1] = end
+                else:
+                    windows.append([max(0, begin - most), end])
+            for begin, end in windows:
+                off, last = _fit(wanted, words[begin:end])
+                if off <= most:
+                    run = " ".join(words[max(0, begin + last - len(wanted)) : begin + last]).encode("utf-8", "surrogatepass")
+                    alone = len(plain.compress(run))
+                    share = (alone - len(with_it.compress(run))) / min(own, alone)
+                    if share >= least_saved:
+                        entry = (off / len(wanted), -share, name, off, len(wanted))
+                        best[name] = min(best.get(name, entry), entry)
     return [(name, -b[1], b[3], b[4]) for name, b in sorted(best.items())]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_blocks, licenses, exact_licenses, n_differences, found.
 
-    licenses: names of confirmed licenses in order, joined by commas; exact_licenses: those without any differing
-    word; n_differences: differing words of all; found: a struct for each with its measures.  Whole texts are
-    scanned.  A null or empty text has no blocks; null ids and repeated rows have their rows; an empty table gives
+    n_blocks: runs of lines that speak of licensing; licenses: names of confirmed licenses in order, joined by
+    commas; exact_licenses: those without any differing word; n_differences: differing words of all; found: a struct
+    for each with its measures.  Whole texts are scanned, not only their blocks.  A null or empty text has no blocks; null ids and repeated rows have their rows; an empty table gives
     an empty result; other columns are not read.
     """
     item = pa.struct([("license", pa.string()), ("saved", pa.float64()), ("differences", pa.int64()), ("template_words", pa.int64())])
@@ -132,12 +173,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for part in slices(batch):
                 texts = part.column(1).to_pylist()
-                blocks = [blocks_of(t) for t in texts]
-                found = [scan(b, templates) for b in blocks]
+                found = [scan([t] if t else [], templates) for t in texts]
                 yield to_batch(
                     schema,
                     id=part.column(0),
-                    n_blocks=[len(b) for b in blocks],
+                    n_blocks=[len(blocks_of(t)) for t in texts],
                     licenses=[",".join(x[0] for x in f) for f in found],
                     exact_licenses=[",".join(x[0] for x in f if x[2] == 0) for f in found],
                     n_differences=[sum(x[2] for x in f) for f in found],

@@ -196,3 +196,43 @@ def test_license_scan_is_plain_search_on_the_table(spark, odd, empty):
     got = {r.doc_id: set(filter(None, r.exact_licenses.split(","))) for r in licenses.scan_licenses(docs).collect()}
     assert got == {r.doc_id: {k for k, line in lines.items() if line in r.text} for r in docs.collect()}
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def long_line(rng, n, notice):
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n)]
+    at = int(rng.integers(0, n))
+    return " ".join([*words[:at], notice, *words[at:]])
+
+
+def test_notices_in_long_lines_are_found(spark):
+    rng = np.random.default_rng(8)
+    rows = [(name, long_line(rng, n, body)) for name, body in licenses.TEMPLATES for n in (20, 200, 2000, 20_000)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.exact_licenses.split(",") for r in licenses.scan_licenses(docs).collect()}
+    assert all(name in got[i] for i, (name, _) in enumerate(rows))
+
+
+def least_edits(template, block):
+    row = [0] * (len(block) + 1)
+    for i, t in enumerate(template, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(block, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (t != b))
+    return min(row)
+
+
+def test_changed_notices_are_brute_force():
+    rng = np.random.default_rng(9)
+    for name, body in licenses.TEMPLATES * 6:
+        words = body.split()
+        for _ in range(rng.integers(0, max(1, int(0.2 * len(words))) + 1)):
+            at, how = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+            words[at : at + (how != 2)] = [] if how == 0 else [f"w{rng.integers(0, 99)}"]
+        text = long_line(rng, 60, " ".join(words))
+        want = {}
+        for n, b in licenses.TEMPLATES:
+            wanted = licenses.words_of(b)
+            off = least_edits(wanted, licenses.words_of(text))
+            if off <= 0.15 * len(wanted):
+                want[n] = min(want.get(n, (9.0, 0)), (off / len(wanted), off))
+        assert {x[0]: x[2] for x in licenses.scan([text])} == {n: off for n, (_, off) in want.items()}, (name, text)
