@@ -48,7 +48,7 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 _TELLING = re.compile(
-    r"licen[cs]e|copyright|\(c\)|©|rights reserved|permission|warrant|liabilit|liable|redistribut|public domain|creative commons|\bcc[ -]?(by|0)|conditions|spdx", re.IGNORECASE
+    r"licen[cs]e|copyright|\(c\)|©|rights\W+reserved|permission|warrant|liabilit|liable|redistribut|public\W+domain|creative\W+commons|\bcc[\s-]?(by|0)|conditions|spdx", re.IGNORECASE
 )
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -58,18 +58,38 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(text: str | None, gap: int = 2) -> list[str]:
-    """Runs of lines from one telling line to the next, as long as no more than ``gap`` other lines lie between."""
-    if not text or not _TELLING.search(text):
+def _telling_runs(text: str | None, gap: int) -> list[list[int]]:
+    """First and last line of each run of telling lines with no more than ``gap`` other lines between two of them."""
+    out: list[list[int]] = []
+    line = at = 0
+    for m in _TELLING.finditer(text or ""):
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        last = line + m[0].count("\n")  # line breaks and signs part the words of a phrase as spaces do
+        if out and line - out[-1][1] <= gap + 1:
+            out[-1][1] = last
+        else:
+            out.append([line, last])
+    return out
+
+
+def blocks_of(text: str | None, gap: int = 2, reach: int | None = None) -> list[str]:
+    """Runs of telling lines with the lines around them, at least ``reach`` words (the longest template) on both sides.
+
+    A wrapped license has lines without a telling word at its ends, so blocks don't end with the telling lines.
+    """
+    if not (runs := _telling_runs(text, gap)):
         return []
-    lines, out, begin, last = text.split("\n"), [], None, 0
-    for i, line in enumerate(lines):
-        if _TELLING.search(line):
-            if begin is not None and i - last > gap + 1:
-                out.append("\n".join(lines[begin : last + 1]))
-                begin = None
-            begin, last = i if begin is None else begin, i
-    out.append("\n".join(lines[begin : last + 1]))
+    reach = max(len(words_of(body)) for _, body in TEMPLATES) if reach is None else reach
+    lines, out = text.split("\n"), []
+    for begin, last in runs:
+        before = after = 0
+        while begin > 0 and before < reach:
+            begin -= 1
+            before += len(lines[begin].split())
+        while last < len(lines) - 1 and after < reach:
+            last += 1
+            after += len(lines[last].split())
+        out.append("\n".join(lines[begin : last + 1]))
     return out
 
 
@@ -177,7 +197,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield to_batch(
                     schema,
                     id=part.column(0),
-                    n_blocks=[len(blocks_of(t)) for t in texts],
+                    n_blocks=[len(_telling_runs(t, 2)) for t in texts],
                     licenses=[",".join(x[0] for x in f) for f in found],
                     exact_licenses=[",".join(x[0] for x in f if x[2] == 0) for f in found],
                     n_differences=[sum(x[2] for x in f) for f in found],

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -212,6 +213,22 @@ def test_notices_in_long_lines_are_found(spark):
     assert all(name in got[i] for i, (name, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("width", [20, 40, 60, 78])
+def test_wrapped_notices_are_exact(width):
+    for name, body in licenses.TEMPLATES:
+        text = "x y z\n" * 3 + "\n".join(" * " + line for line in textwrap.wrap(body, width)) + "\nx y z" * 3
+        for parts in (licenses.blocks_of(text), [text]):
+            assert (name, 0) in {(x[0], x[2]) for x in licenses.scan(parts)}
+    assert len(licenses.blocks_of("in the public\ndomain")) == len(licenses.blocks_of("all rights  reserved")) == 1
+
+
+def test_all_notices_of_a_block_are_found():
+    short = {name: body for name, body in licenses.TEMPLATES if len(body) < 150}
+    assert len(short) >= 6 and [x[0] for x in licenses.scan(licenses.blocks_of("\n".join(short.values())))] == sorted(short)
+    every = "\n".join(body for _, body in licenses.TEMPLATES)
+    assert [(x[0], x[2]) for x in licenses.scan([every])] == sorted({(name, 0) for name, _ in licenses.TEMPLATES})
+
+
 def least_edits(template, block):
     row = [0] * (len(block) + 1)
     for i, t in enumerate(template, 1):
