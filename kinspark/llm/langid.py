@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from kinspark.llm.common import columns_of, slices, to_batch
 
 UNDETERMINED = "und"
+#: Scores of texts that are unlike all learnt languages are less.
+UNLIKE = 0.25
 
 
 @lru_cache(maxsize=1)
@@ -51,11 +53,25 @@ def presence(text: str | None, bits: int, longest: int = 4) -> np.ndarray | None
 
 @dataclass
 class LanguageModel:
-    """Languages and the folded matrix (bits x languages); no languages if there was nothing to learn from."""
+    """Languages and the folded matrix (bits x languages); no languages if there was nothing to learn from.
+
+    The regression tells languages apart, but a text that shares nothing with any of them gets half marks from it.
+    So ``shares`` (bits x languages: the share of a language's documents that have an n-gram) tells whether the
+    n-grams of a text are those of a learnt language: their mean share, for the language where it is largest, must
+    reach a line over the logarithm of the number of n-grams, ``line``: value at 0, slope, first and last logarithm.
+    """
 
     languages: list[str]
     weights: np.ndarray
     bits: int
+    shares: np.ndarray
+    line: tuple[float, float, float, float]
+
+    def likeness(self, x: np.ndarray) -> np.ndarray:
+        """Mean share of the n-grams of each row, over what the line asks for; below 1 is unlike all learnt."""
+        n = x.sum(axis=1)
+        asked = self.line[0] + self.line[1] * np.clip(np.log(n), *self.line[2:])
+        return (x @ self.shares).max(axis=1) / n / np.maximum(asked, 1e-9)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -63,8 +79,10 @@ class LanguageModel:
         if found and self.languages:
             x = np.array([p for _, p in found], dtype=np.float32)
             s = (x @ self.weights) / np.sqrt(x.sum(axis=1, keepdims=True))
-            # Targets of the regression are 1 for a text's language and -1 for others.
-            for (i, _), best, value in zip(found, s.argmax(axis=1).tolist(), np.clip((s.max(axis=1) + 1) / 2, 0, 1).tolist(), strict=True):
+            like = self.likeness(x)
+            # Targets of the regression are 1 for a text's language and -1 for others; a text unlike all stays below UNLIKE.
+            value = np.clip((s.max(axis=1) + 1) / 2, 0, 1) * np.where(like < 1, UNLIKE * like, 1)
+            for (i, _), best, value in zip(found, s.argmax(axis=1).tolist(), value.tolist(), strict=True):
                 lang[i], score[i] = self.languages[best], value
         return lang, score
 
@@ -74,6 +92,23 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _least_likeness(mean: np.ndarray, label: np.ndarray, count: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """The line of :class:`LanguageModel`, from the mean shares (rows x languages) of the ``n`` n-grams of its own documents.
+
+    A document's own part is taken out of its language's share.  All but the 2 in 1,000 least like the rest lie above
+    the line with a third to spare.  Without a second document of some language nothing can be asked for.
+    """
+    if count.min() < 2:
+        return 0.0, 0.0, 0.0, 0.0
+    mean, own, each = mean.copy(), np.arange(len(label)), count[label]
+    mean[own, label] = (mean[own, label] * each - 1) / (each - 1)
+    most, at = mean.max(axis=1), np.log(n)
+    slope = float(np.polyfit(at, most, 1)[0]) if np.ptp(at) > 1 else 0.0
+    rest = most - slope * at
+    middle = float(np.median(rest))
+    return middle - 4 / 3 * (middle - float(np.quantile(rest, 0.002))), slope, float(at.min()), float(at.max())
+
+
 def fit_language_model(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, landmarks: int = 256, ridge: float = 0.3, bits: int = 14
 ) -> LanguageModel:
@@ -101,7 +136,8 @@ def fit_language_model(
     got.sort(key=lambda r: (r.lang, r.id, r.bits))
     languages = sorted({r.lang for r in got})
     if not languages:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), bits)
+        nothing = np.zeros((1 << bits, 0), np.float32)
+        return LanguageModel([], nothing, bits, nothing, (0.0, 0.0, 0.0, 0.0))
     packed = np.array([np.frombuffer(r.bits, np.uint8) for r in got])
     label = np.array([languages.index(r.lang) for r in got])
     # Landmarks: the same number of each language, spread over its sample.
@@ -122,13 +158,22 @@ def fit_language_model(
     w = 1.0 / share[label]  # languages weigh alike
     y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     beta = np.linalg.solve(phi.T @ (phi * w[:, None]) + ridge / len(phi) * np.eye(phi.shape[1]), phi.T @ (y * w[:, None]))
-    return LanguageModel(languages, (z.T @ (root @ beta).astype(np.float32)).astype(np.float32), bits)
+    shares, n = np.zeros((1 << bits, len(languages)), np.float32), np.zeros(len(packed))
+    parts = [np.arange(a, min(a + 256, len(packed))) for a in range(0, len(packed), 256)]
+    for part in parts:
+        x = np.unpackbits(packed[part], axis=1).astype(np.float32)
+        shares += x.T @ (label[part][:, None] == np.arange(len(languages))).astype(np.float32)
+        n[part] = x.sum(axis=1)
+    shares /= share.astype(np.float32)
+    mean = np.concatenate([np.unpackbits(packed[part], axis=1).astype(np.float32) @ shares for part in parts]) / n[:, None]
+    return LanguageModel(languages, (z.T @ (root @ beta).astype(np.float32)).astype(np.float32), bits, shares, _least_likeness(mean, label, share, n))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1).
 
-    Whole texts are read, nothing else of a row.  A null text, a text without a letter, and every text
+    Whole texts are read, nothing else of a row.  A text unlike all learnt languages has the best of them with a score
+    below ``UNLIKE``.  A null text, a text without a letter, and every text
     while no language was learnt, is ``und`` with score 0; null ids and repeated rows have their rows; ties
     go to the first language in order; other columns are not read.
     """
@@ -145,8 +190,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return src.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = UNLIKE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``; none unlike all learnt."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

@@ -116,6 +116,27 @@ def test_languages_are_learnt_and_odd_texts_have_results(spark, odd, empty):
     assert langid.keep_identified(docs, model).count() > 0.98 * docs.count()
 
 
+FOREIGN = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+)
+
+
+def test_foreign_texts_and_noise_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_language_model(docs)
+    rng = np.random.default_rng(3)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), n)) for n in (60, 300, 3000, 30_000)]
+    planted = spark.createDataFrame([(i, t) for i, t in enumerate([*FOREIGN, *(" ".join([t] * 9) for t in FOREIGN), *noise])], "doc_id long, text string")
+    assert langid.keep_identified(planted, model).count() == 0
+    assert langid.keep_identified(docs.where(langid.held_out("doc_id")), model).count() >= 0.99 * docs.where(langid.held_out("doc_id")).count()
+    left = langid.fit_language_model(docs.where("lang <> 'es'"))
+    spanish = docs.where("lang = 'es' and length(text) > 400")
+    assert langid.keep_identified(spanish, left).count() < 0.1 * spanish.count()
+
+
 # --- quality
 
 
