@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -114,26 +115,34 @@ def fit_language_model(
 ) -> LanguageModel:
     """Learn from at most ``per_language`` documents of each language that are not held out.
 
-    They are those whose hash of the id lies below the language's share of its count, so the sample depends on no
-    order and no language's rows meet in one task.  The driver gets their bits (2 KB each), not their texts.
+    They are those with the least hashes of id and text; rows that repeat both count once.  Only hashes below the
+    language's share of its count of distinct ones are looked at, so the sample depends on no order and no language's
+    rows meet in one task.  The driver gets their bits (2 KB each), not their texts.
     """
     train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # A little less than the bound, so that chance doesn't reach it.
-    share = F.when(F.col("_n") <= per_language, F.lit(1.0)).otherwise(0.85 * per_language / F.col("_n"))
-    shares = columns_of(train, lang_col).groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).select("_lang", (share * (1 << 31)).alias("_share"))
-    below = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1 << 31)), F.lit(0)) < F.col("_share")
-    rows = columns_of(train, id_col, lang_col, text_col).join(F.broadcast(shares), F.col(lang_col) == F.col("_lang")).where(below)
+    hashed = columns_of(train, id_col, lang_col, text_col).select(F.xxhash64(id_col, text_col).alias("_hash"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    # A little more than the bound, so that neither chance nor the rough count falls below it; the driver leaves the rest.
+    share = F.when(F.col("_n") <= per_language, F.lit(1.0)).otherwise((1.2 * per_language + 50) / F.col("_n"))
+    shares = hashed.groupBy(F.col("_lang").alias("_of")).agg(F.approx_count_distinct("_hash", 0.02).alias("_n")).select("_of", (share * (1 << 31)).alias("_share"))
+    below = F.pmod(F.col("_hash"), F.lit(1 << 31)) < F.col("_share")
+    rows = hashed.join(F.broadcast(shares), F.col("_lang") == F.col("_of")).where(below)
 
     def run(batches):
+        seen = set()  # of the sample only, which is small
         for batch in batches:
             for part in slices(batch):
-                bit = [presence(x, bits) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1).cast(pa.string()), pa.array([None if b is None else np.packbits(b).tobytes() for b in bit], pa.binary())], names=["id", "lang", "bits"]
-                )
-
-    got = rows.select(F.col(id_col).cast("long"), lang_col, text_col).mapInArrow(run, "id long, lang string, bits binary").where("bits is not null").collect()
-    got.sort(key=lambda r: (r.lang, r.id, r.bits))
+                out = []
+                for key in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if key[:2] not in seen:
+                        seen.add(key[:2])
+                        if (bit := presence(key[2], bits)) is not None:
+                            out.append((*key[:2], np.packbits(bit).tobytes()))
+                yield to_batch(schema, hash=[x[0] for x in out], lang=[x[1] for x in out], bits=[x[2] for x in out])
+
+    schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
+    once = rows.select("_hash", "_lang", "_text").mapInArrow(run, "hash long, lang string, bits binary").dropDuplicates(["hash", "lang"]).collect()
+    once.sort(key=lambda r: (r.lang, r.hash % (1 << 31), r.hash))
+    got = [r for _, of_one in groupby(once, key=lambda r: r.lang) for r in islice(of_one, per_language)]
     languages = sorted({r.lang for r in got})
     if not languages:
         nothing = np.zeros((1 << bits, 0), np.float32)

@@ -137,6 +137,22 @@ def test_foreign_texts_and_noise_go_and_clean_ones_stay(spark):
     assert langid.keep_identified(spanish, left).count() < 0.1 * spanish.count()
 
 
+def test_null_and_repeated_ids_keep_the_bound(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    sizes, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (sizes.append(len(rows := collect(self))), rows)[1])
+    many = docs.crossJoin(spark.range(4)).select("doc_id", F.concat("text", F.lit(" x"), F.col("id").cast("string")).alias("text"), "lang")
+    for ids in (F.lit(None).cast("long"), F.lit(4).cast("long")):
+        sizes.clear()
+        assert langid.fit_language_model(many.withColumn("doc_id", ids), per_language=50).languages == ["de", "en", "es", "fr"]
+        assert 4 * 50 <= max(sizes) <= 4 * 250
+    one = docs.where("doc_id is not null and text is not null").orderBy("doc_id").limit(1)
+    copies = one.withColumn("doc_id", F.lit(None).cast("long"))
+    want = langid.fit_language_model(docs.union(copies), per_language=50)
+    got = langid.fit_language_model(docs.union(copies.crossJoin(spark.range(3000)).drop("id")), per_language=50)
+    assert np.array_equal(got.weights, want.weights)
+
+
 # --- quality
 
 
