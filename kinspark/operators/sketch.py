@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.sources.store import stored
+
 
 def _boxes(points: DataFrame, low: list[float], side: float) -> DataFrame:
     box = F.transform("x", lambda v, i: F.floor((v - F.element_at(F.array(*[F.lit(float(b)) for b in low]), i + 1)) / F.lit(side)))
     return points.withColumn("box", F.xxhash64(box))
 
 
+def _first(rows: DataFrame, wanted: int, bits: int = 16) -> DataFrame:
+    """The first ``wanted`` rows by (r, t, cell), by counts: only one hash range of one rank is ever sorted."""
+    below, last = 0, rows.agg(F.max("r")).first()[0]
+    while last - below > 1:  # the least rank that reaches the number
+        middle = (below + last) // 2
+        below, last = (below, middle) if rows.where(F.col("r") <= middle).count() >= wanted else (middle, last)
+    need = wanted - rows.where(F.col("r") < last).count()
+    part = F.shiftright("t", 64 - bits)
+    own, done, cut = rows.where(F.col("r") == last), 0, None
+    for k, count in sorted(map(tuple, own.groupBy(part.alias("k")).count().collect())):
+        if done + count >= need:
+            cut = k
+            break
+        done += count
+    whole = rows.where((F.col("r") < last) | ((F.col("r") == last) & (part < cut)))
+    return whole.unionByName(own.where(part == cut).orderBy("t", "cell").limit(need - done))
+
+
 def sketch(points: DataFrame, n: float = 0.2, by: str | None = None, seed: int = 42, rounds: int = 30) -> DataFrame:
     """(cell, gs) with gs ``sketch`` or ``full``; n in (0, 1] is a share of the rows, above 1 a number; per ``by`` value.
 
@@ -36,7 +56,7 @@ def sketch(points: DataFrame, n: float = 0.2, by: str | None = None, seed: int =
         tag = F.xxhash64("cell", F.lit(seed))
         one = _boxes(own, low, side).select("cell", "box", tag.alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("box").orderBy("t", "cell")))
         # Fewer boxes than rows wanted: second rows of boxes follow the first ones.
-        picked = one.orderBy("r", "t", "cell").limit(wanted).select("cell", F.lit("sketch").alias("gs"))
+        picked = _first(stored(one.drop("box"), "sketch"), wanted).select("cell", F.lit("sketch").alias("gs"))
         part = own.select("cell").join(picked, "cell", "left").select("cell", F.coalesce("gs", F.lit("full")).alias("gs"))
         out = part if out is None else out.unionByName(part)
     return out

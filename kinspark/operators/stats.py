@@ -236,11 +236,27 @@ def _statistic(singular: np.ndarray, n: int, p: int) -> float:
     return float((value[0] / (value[1:].mean() / dof) - mu) / scale)
 
 
+def null_gram(n: int, dim: int, rng: np.random.Generator) -> np.ndarray:
+    """Gram matrix of n x dim standardised normal values, drawn without them where n exceeds dim.
+
+    Centred rows have a Wishart matrix of n - 1 degrees of freedom, whose root is drawn by Bartlett's decomposition.
+    """
+    if n <= dim:
+        z = rng.normal(size=(n, dim))
+        root = (z - z.mean(axis=0)).T
+    else:
+        root = np.tril(rng.normal(size=(dim, dim)), -1)
+        root[np.diag_indices(dim)] = np.sqrt(rng.chisquare(n - 1 - np.arange(dim)))
+    g = root @ root.T
+    sd = np.sqrt(np.diag(g) / n)
+    return g / sd / sd[:, None]
+
+
 def eigenvalue_test(points: DataFrame, flavor: str = "synthetic", n_simulations: int = 10_000, seed: int = 42, null: np.ndarray | None = None) -> DataFrame:
     """(statistic, p_value, p_is_upper_bound): is the largest eigenvalue of standardised points (x) more than noise?
 
-    The Gram matrix is summed in Spark.  ``asymptotic`` uses the Tracy-Widom law, ``synthetic`` normal samples of
-    the same shape, drawn in Spark tasks with a seed of their own each.  If no sample reaches the statistic the p-value is
+    The Gram matrix is summed in Spark.  ``asymptotic`` uses the Tracy-Widom law, ``synthetic`` Gram matrices of
+    normal samples of the same shape, drawn in Spark tasks with a seed of their own each.  If no sample reaches the statistic the p-value is
     the bound 1 / n_simulations.
     """
     spark = points.sparkSession
@@ -273,9 +289,8 @@ def eigenvalue_test(points: DataFrame, flavor: str = "synthetic", n_simulations:
                 for f in frames:
                     hits = 0
                     for i in f["id"]:
-                        z = np.random.default_rng([seed, int(i)]).normal(size=(n, dim))
-                        z = (z - z.mean(axis=0)) / z.std(axis=0)
-                        hits += _statistic(np.sqrt(np.maximum(np.linalg.eigvalsh(z.T @ z)[::-1], 0)), n, dim) >= stat
+                        g = null_gram(n, dim, np.random.default_rng([seed, int(i)]))
+                        hits += _statistic(np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0)), n, dim) >= stat
                     yield pd.DataFrame({"hits": [int(hits)]})
 
             count = n_simulations

@@ -530,7 +530,7 @@ def gpca_scores(spark, sf):
 
 @query()
 def eigenvalue_test(spark, sf):
-    return stats.eigenvalue_test(cells(spark, sf).select("x"), n_simulations=200)
+    return stats.eigenvalue_test(cells(spark, sf).select("x"))
 
 
 @query()

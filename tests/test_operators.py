@@ -269,6 +269,28 @@ def test_sketch_takes_the_number_asked_for(spark):
     assert count(0.2) == 12 and count(7) == 7 and count(0.5, by="batch") == 30 and count(1.0) == 60
 
 
+@pytest.mark.parametrize("wanted", [1, 7, 100, 101, 180, 299, 300])
+def test_sketch_takes_first_rows_without_sorting_all(spark, wanted):
+    rows = spark.range(300).selectExpr("id as cell", "xxhash64(id) as t", "1 + id % 3 * (id % 2) as r")
+    picked = sketch._first(rows, wanted, bits=3)
+    want = rows.orderBy("r", "t", "cell").limit(wanted)
+    assert sorted(picked.collect()) == sorted(want.collect())
+
+
+def test_null_gram_has_the_law_of_standardised_samples():
+    rng = np.random.default_rng(5)
+
+    def direct(n, dim):
+        z = rng.normal(size=(n, dim))
+        z = (z - z.mean(axis=0)) / z.std(axis=0)
+        return z.T @ z
+
+    for n, dim in ((30, 5), (4, 6)):
+        top = [np.sort([np.linalg.eigvalsh(f(n, dim))[-1] for _ in range(4000)]) for f in (direct, lambda n, dim: stats.null_gram(n, dim, rng))]
+        assert np.quantile(top[1], [0.1, 0.5, 0.9]) == pytest.approx(np.quantile(top[0], [0.1, 0.5, 0.9]), rel=0.02)
+    assert np.diag(stats.null_gram(10**9, 5, rng)) == pytest.approx([1e9] * 5)  # a table of this size is not drawn
+
+
 def test_figure_tables(spark):
     h = frame(spark, [(0, 3.0), (1, 2.0)], "epoch int, loss double")
     assert [r.change for r in plotdata.loss_changes(h).orderBy("epoch").collect()] == [None, -1.0]
