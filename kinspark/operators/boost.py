@@ -125,14 +125,20 @@ def fit_boosted(
     return predictions, shaps, models
 
 
-def encode_categories(table: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """String features as 0/1 columns, one for each value but the first; other features stay."""
+def encode_categories(table: DataFrame, features: list[str], most_values: int = 1000) -> tuple[DataFrame, list[str]]:
+    """String features as 0/1 columns, one for each value but the first; other features stay.
+
+    More than ``most_values`` values of a feature are an error: none is left out.
+    """
     out, names = table, []
     for f in features:
         if dict(table.dtypes)[f] != "string":
             names.append(f)
             continue
-        for value in sorted(r[0] for r in table.where(F.col(f).isNotNull()).select(f).distinct().limit(1000).collect())[1:]:
+        values = sorted(r[0] for r in table.where(F.col(f).isNotNull()).select(f).distinct().limit(most_values + 1).collect())
+        if len(values) > most_values:
+            raise ValueError(f"{f} has more than {most_values} values")
+        for value in values[1:]:
             out = out.withColumn(f"{f}={value}", F.coalesce((F.col(f) == value).cast("double"), F.lit(0.0)))
             names.append(f"{f}={value}")
     return out, names

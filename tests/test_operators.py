@@ -291,6 +291,14 @@ def test_null_gram_has_the_law_of_standardised_samples():
     assert np.diag(stats.null_gram(10**9, 5, rng)) == pytest.approx([1e9] * 5)  # a table of this size is not drawn
 
 
+def test_no_value_of_a_feature_is_left_out(spark):
+    table = spark.range(1200).selectExpr("id as clone", "concat('v', id) as product")
+    with pytest.raises(ValueError):
+        boost.encode_categories(table, ["product"])
+    wide, names = boost.encode_categories(table.where("clone < 50"), ["product"], most_values=50)
+    assert len(names) == 49 and set(names) < set(wide.columns)
+
+
 def test_figure_tables(spark):
     h = frame(spark, [(0, 3.0), (1, 2.0)], "epoch int, loss double")
     assert [r.change for r in plotdata.loss_changes(h).orderBy("epoch").collect()] == [None, -1.0]
