@@ -20,7 +20,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, slices, stored, to_batch
@@ -32,6 +32,8 @@ SEGMENTS = (22, 21, 21)
 MAX_BITS = 3
 # Fixed value: generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code of length 23.
 _GENERATOR = 0b110001110101
+#: Most rows of two longs that are sent to every task.
+MOST_BROADCAST = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -124,70 +126,161 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def text_hash(text: Column) -> Column:
+    """XXH64 of a text that tells texts of one id apart; 0 for null."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, h, fp) per row: the text's hash, and its fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fp = np.array([fingerprint(x) for x in part.column(1).to_pylist()], dtype=np.uint64)
-                yield to_batch(schema, doc_id=part.column(0), fp=fp.view(np.int64))
+                fp = np.array([fingerprint(x) for x in part.column(2).to_pylist()], dtype=np.uint64)
+                yield to_batch(schema, doc_id=part.column(0), h=part.column(1), fp=fp.view(np.int64))
+
+    src = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def _keyed(prints: DataFrame, side: int) -> DataFrame:
+    """(key, fp) of one side of the join, from distinct fingerprints ``fp``."""
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
-    return columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 4096):
+                fp = part.column(0).to_numpy()
+                p, k = join_keys(fp.view(np.uint64), side)
+                for at in range(0, len(p), 100_000):
+                    yield to_batch(schema, key=k[at : at + 100_000], fp=fp[p[at : at + 100_000]])
+
+    return prints.select("fp").mapInArrow(run, "key long, fp long")
+
+
+def _near(a: DataFrame, b: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b), a < b, of rows with the same key whose fingerprints differ in at most ``max_bits`` bits."""
+    both = a.select("key", F.col("fp").alias("a")).join(b.select("key", F.col("fp").alias("b")), "key")
+    return both.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b: the pairs of the distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits."""
+    """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` bits.
+
+    The join meets every pair that shares a key; :func:`chains` is for families that are too dense for that.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys find links of at most {MAX_BITS} bits")
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    return _near(_keyed(prints, 0), _keyed(prints, 1), max_bits).distinct()
+
+
+def _stars(prints: DataFrame) -> DataFrame:
+    """(a, b): edges that connect exactly the fingerprints ``fp`` within two bits of one another, over any number of steps.
+
+    Each fingerprint names itself and its 64 neighbours of one bit.  Those that name the same vector are at most
+    two bits apart, and there are at most 65; they become a star around the least of them.
+    """
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
+    balls = prints.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("ball"))
+    met = balls.groupBy("ball").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    return met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
 
-    def keyed(side: int) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for part in slices(batch, 4096):
-                    fp = part.column(0).to_numpy()
-                    p, k = join_keys(fp.view(np.uint64), side)
-                    for at in range(0, len(p), 100_000):
-                        yield to_batch(schema, key=k[at : at + 100_000], fp=fp[p[at : at + 100_000]])
 
-        return prints.select("fp").mapInArrow(run, "key long, fp long")
+def chains(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = 64) -> DataFrame:
+    """(a, b): edges that connect the same fingerprints as :func:`links`, but few in a dense family.
 
-    a, b = keyed(0).withColumnRenamed("fp", "a"), keyed(1).withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.join(b, "key").where(near).select("a", "b").distinct()
+    A key with more than ``dense`` codewords is hot: many variants of one text share it, and their pairs would grow
+    with the square.  All other keys are joined as they are, at most ``dense`` rows for each fuzzy key.  Fingerprints
+    of hot keys are first connected over links of one and two bits, by stars.  Links of three bits then only matter
+    between what stars left apart: in each hot key the rows of its largest part meet those of others, and the
+    others meet one another.
+    """
+    if max_bits < 2:
+        return links(prints, max_bits)
+    a, b = _keyed(prints, 0), _keyed(prints, 1)
+    hot = stored(b.groupBy("key").count().where(F.col("count") > dense).select("key"), "hot-keys")
+    n = hot.count()
+    if n == 0:
+        return _near(a, b, max_bits).distinct()
+    side = F.broadcast(hot) if n <= MOST_BROADCAST else hot
+    plain = _near(a.join(side, "key", "left_anti"), b.join(side, "key", "left_anti"), max_bits)
+    a, b = stored(a.join(side, "key", "left_semi"), "hot-fuzzy"), stored(b.join(side, "key", "left_semi"), "hot-codes")
+    stars = stored(_stars(a.select("fp").unionByName(b.select("fp")).distinct()), "stars")
+    if max_bits == 2:
+        return plain.unionByName(stars).distinct()
+    part = connected_components(stars, "a", "b").withColumnsRenamed({"node": "fp", "component": "part"})
+    a, b = (x.join(part, "fp", "left").select("key", "fp", F.coalesce("part", "fp").alias("part")) for x in (a, b))
+    sizes = a.unionByName(b).groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "most")
+    mixed = stored(mixed, "mixed-keys")
+    a, b = (x.join(mixed, "key") for x in (a, b))
+    inside, apart = F.col("part") == F.col("most"), F.col("part") != F.col("most")
+    across = _near(a.where(apart), b, max_bits).unionByName(_near(a.where(inside), b.where(apart), max_bits))
+    return plain.unionByName(across).unionByName(stars).distinct()
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp) of ``docs``, h the text's hash, and (fp, n, component_id, first_id, first_h) of distinct fingerprints.
+
+    first_id and first_h are of the first row of the component: the least id, null ids last, then the least h.
+    """
+    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    prints = stored(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
+    found = connected_components(chains(prints, max_bits), "a", "b")
+    named = prints.join(found, prints.fp == found.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("label"))
+    # Only labels of more than one fingerprint need the first row of the whole component.
+    whole = found.join(prints.select(F.col("fp").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("all"))
+    placed = named.join(whole, named.label == whole.component, "left").select("fp", "n", F.coalesce("all", "first").alias("first"))
+    return marked, stored(placed.select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "placed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def _join_placed(marked: DataFrame, placed: DataFrame, hot_share: int) -> DataFrame:
+    """``marked`` with what ``placed`` says of its fingerprint: frequent ones by a broadcast join, the others by a shuffle."""
+    least = marked.count() // hot_share
+    most, rare = placed.where(F.col("n") > least).drop("n"), placed.where(F.col("n") <= least).drop("n")
+    return marked.join(F.broadcast(most), "fp").unionByName(marked.join(F.broadcast(most), "fp", "left_anti").join(rare, "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, hot_share: int = 10_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Equal fingerprints are one node of the graph; links join nodes; component_id is the least doc_id of all
     that can be reached, itself included.  Documents without words (null, empty, blank) have fingerprint zero and
     link like others.  A null id takes part but never becomes a component's id while another is there; if all
     are null it is null.  Repeated rows share their component.  An empty table gives an empty result.
-    No group is expanded into pairs of documents: the most frequent fingerprints (at most 10,000 can have
-    over a ten-thousandth of the rows) get their component by a broadcast join, the others by a shuffle.
+    No group is expanded into pairs of documents: the most frequent fingerprints (at most ``hot_share`` can have over one
+    row in that many) get their component by a broadcast join, the others by a shuffle.
     """
-    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
-    found = connected_components(links(prints, max_bits), "a", "b")
-    named = prints.join(found, prints.fp == found.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("label"))
-    # Only labels of more than one fingerprint need the least id of the whole component.
-    whole = found.join(prints.select(F.col("fp").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
-    placed = stored(named.join(whole, named.label == whole.component, "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")), "placed")
-    most = placed.where(F.col("n") > marked.count() // 10_000).select("fp", "component_id")
-    rare = placed.where(F.col("n") <= marked.count() // 10_000).select("fp", "component_id")
-    out = marked.join(F.broadcast(most), "fp").unionByName(marked.join(F.broadcast(most), "fp", "left_anti").join(rare, "fp"))
+    out = _join_placed(*_placed(docs, id_col, text_col, max_bits), hot_share)
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id is the component's.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, most_broadcast: int = MOST_BROADCAST, hot_share: int = 10_000) -> DataFrame:
+    """``docs``, all columns, with one row of each component: the least id, null ids last, of equal ids the least text hash.
 
-    Of rows with that same id one stays.  Rows with a null id stay, as nothing can name them.
+    Rows are told apart by id and text hash, so the order of rows is no matter, and an id that two texts share loses
+    neither.  Of rows equal in both one stays, the one with the least hash over all columns.  Null ids and null, empty or
+    very long texts follow the same rule; an empty table stays empty; extra columns are kept whatever their names.
+    Texts don't move while the rows that go are few enough to broadcast (counted first); else they are shuffled once.
     """
-    groups = near_duplicates(docs, id_col, text_col, max_bits)
-    names = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    out = docs.join(names, docs[id_col] == names["_kept"], "left_semi").dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    marked, placed = _placed(docs, id_col, text_col, max_bits)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
+    keys = _join_placed(marked, placed, hot_share).groupBy("doc_id", "h").agg(F.bool_and(same).alias("stays"), F.count("*").alias("n"))
+    keys = stored(keys.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "not-single")
+    near = F.broadcast if keys.count() <= most_broadcast else (lambda x: x)
+
+    def on(df):
+        return docs[id_col].cast("long").eqNullSafe(df["_id"]) & (text_hash(docs[text_col]) == df["_h"])
+
+    rest = docs.join(near(keys), on(keys), "left_anti")
+    again = keys.where("stays")
+    if again.isEmpty():
+        return rest
+    # Rows that repeat the one that stays: one of each, without sending more than one from a task.
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    repeated = docs.join(near(again), on(again), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*plain).alias("_of"), F.col(f"`{id_col}`").cast("long").alias("_id"), text_hash(F.col(f"`{text_col}`")).alias("_h"))
+    one = repeated.groupBy("_id", "_h").agg(F.min_by("_row", "_of").alias("_row")).select("_row.*")
+    return rest.unionByName(one)

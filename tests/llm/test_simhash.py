@@ -1,7 +1,9 @@
 import re
 from collections import Counter
+from itertools import permutations
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def brute_groups(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def check(df):
+def check(df, **options):
     rows = [(r.doc_id, brute_print(r.text)) for r in df.collect()]
     root = brute_groups([p for _, p in rows])
     least = {}
@@ -42,7 +44,7 @@ def check(df):
         if i is not None:
             least[g] = min(i, least.get(g, i))
     want = Counter((i, f"{p:016x}", least.get(g)) for (i, p), g in zip(rows, root, strict=True))
-    assert Counter(tuple(r) for r in simhash.near_duplicates(df).collect()) == want
+    assert Counter(tuple(r) for r in simhash.near_duplicates(df, **options).collect()) == want
 
 
 def test_golay_code():
@@ -63,9 +65,18 @@ def test_keys_meet_for_every_three_bits():
     assert len(hit) == 5000
 
 
-def test_odd_rows_are_brute_force(odd, empty):
-    check(odd)
-    assert simhash.near_duplicates(empty).count() == 0
+@pytest.mark.parametrize("hot_share", [10_000, 2, 1])
+def test_odd_rows_are_brute_force(odd, empty, hot_share):
+    check(odd, hot_share=hot_share)  # all by broadcast, some of both, all by a shuffle
+    assert simhash.near_duplicates(empty, hot_share=hot_share).count() == 0
+
+
+def first_rows(rows):
+    """(id, text) of the first row of each component, by brute force."""
+    root = brute_groups([brute_print(t) for _, t in rows])
+    hashed = {t: 0 if t is None else xxhash.xxh64(t.encode(), seed=42).intdigest() for _, t in rows}
+    signed = {t: h - (1 << 64) if h >> 63 else h for t, h in hashed.items()}
+    return Counter(min(((i is None, i or 0, signed[t]), i, t) for (i, t), g in zip(rows, root, strict=True) if g == mine)[1:] for mine in set(root))
 
 
 def test_table_is_brute_force(spark, sf_dir):
@@ -76,10 +87,58 @@ def test_table_is_brute_force(spark, sf_dir):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.component_id for r in groups.collect()}
 
 
-def test_keep_one_of_repeated_rows(odd):
-    kept = simhash.keep_one(odd)
-    ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 101 not in ids and kept.where("doc_id is null").count() == 2
+@pytest.mark.parametrize("most", [0, 1000])
+def test_keep_one_of_odd_rows(odd, empty, most):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    kept = simhash.keep_one(odd, most_broadcast=most)
+    assert kept.columns == odd.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == first_rows(rows)
+    assert simhash.keep_one(empty, most_broadcast=most).count() == 0
+
+
+A, B = "An own text that nothing else here is like at all.", "The other text, which two documents have in common today."
+
+
+@pytest.mark.parametrize("order", list(permutations([(1, B), (5, B), (5, A)])))
+def test_an_id_of_two_texts_loses_neither(spark, order):
+    docs = spark.createDataFrame(list(order), "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in simhash.keep_one(docs).collect()) == [(1, B), (5, A)]
+
+
+def test_equal_rows_leave_the_same_one_in_any_order(spark):
+    rows = [(7, A, f"s{i}", {"k": i}) for i in range(5)] + [(None, A, "x", None), (None, B, "y", None), (None, B, "z", None)]
+    kept = []
+    for some in (rows, rows[::-1]):
+        got = simhash.keep_one(spark.createDataFrame(some, "doc_id long, text string, source string, m map<string, int>").repartition(3)).collect()
+        kept.append(sorted((str(r.doc_id), r.text, r.source, str(r.m)) for r in got))
+    assert kept[0] == kept[1] and [r[:2] for r in kept[0]] == [("7", A), ("None", B)]
+
+
+def flipped(rng, centre, n, most, least=0):
+    return {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(least, most + 1), replace=False)) for _ in range(n)}
+
+
+def signed_prints(spark, prints):
+    return spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+
+
+@pytest.mark.parametrize("max_bits", [1, 2, 3])
+def test_chains_connect_what_links_connect(spark, max_bits):
+    rng = np.random.default_rng(5)
+    prints = sorted(flipped(rng, 0x123456789ABCDEF0, 400, 3) | flipped(rng, 0xF00D << 40, 200, 9) | flipped(rng, 0, 100, 64) | {(1 << 64) - 1, 1 << 63})
+    df = signed_prints(spark, prints)
+    groups = []
+    for edges in (simhash.chains(df, max_bits, dense=4), simhash.links(df, max_bits)):
+        groups.append({(r.node, r.component) for r in connected_components(edges, "a", "b").collect()})
+    assert groups[0] == groups[1] and len(groups[0]) > 100
+
+
+def test_a_dense_family_has_few_edges(spark):
+    rng = np.random.default_rng(6)
+    prints = signed_prints(spark, sorted(flipped(rng, 0x0F1E2D3C4B5A6978, 18_000, 3, 3)))
+    n = prints.count()
+    edges = simhash.chains(prints)
+    assert n > 14_000 and edges.count() < 100 * n
+    assert connected_components(edges, "a", "b").select("component").distinct().count() == 1
 
 
 def test_components_of_a_long_chain(spark):
