@@ -1,10 +1,11 @@
 """Language identification with a string kernel.
 
 The kernel of two texts counts the n-grams of letters (n = 1 to 4, the blended spectrum) that are present in
-both, over the root of the product of their own counts.  Presence is kept in hashed bits.  Nyström landmarks
-stand for the training texts; kernel ridge regression of one language against the rest is solved in their
-space.  As the kernel is a product of bit vectors, landmark coordinates and regression fold into one matrix
-(bits x languages), and a batch of texts is scored by one matrix product.
+both, over the root of the product of their own counts.  Presence is kept in hashed bits.  A long text holds nearly
+every n-gram, so presence is taken in windows of a text and the windows' scores are averaged by their letters: a score
+does not fall or rise with a text's length.  Nyström landmarks stand for the training windows; kernel ridge regression of
+one language against the rest is solved in their space.  As the kernel is a product of bit vectors, landmark coordinates
+and regression fold into one matrix (bits x languages), and a batch of windows is scored by one matrix product.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from kinspark.llm.common import columns_of, slices, to_batch
 UNDETERMINED = "und"
 #: Scores of texts that are unlike all learnt languages are less.
 UNLIKE = 0.25
+#: Characters of a window.
+WINDOW = 2048
 
 
 @lru_cache(maxsize=1)
@@ -31,8 +34,8 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool)
 
 
-def presence(text: str | None, bits: int, longest: int = 4) -> np.ndarray | None:
-    """Hashed presence of the n-grams of a text's letters, words parted by one space; None without a letter."""
+def presence(text: str | None, bits: int, longest: int = 4) -> tuple[np.ndarray, int] | None:
+    """Hashed presence of the n-grams of a text's letters, words parted by one space, and their number; None without a letter."""
     if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -49,7 +52,14 @@ def presence(text: str | None, bits: int, longest: int = 4) -> np.ndarray | None
             break
         h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
         out[(h * np.uint32(0x9E3779B1)) >> shift] = True
-    return out
+    return out, int(letter.sum())
+
+
+def windows_of(text: str | None, bits: int):
+    """(presence, letters) of each window of a text that has a letter; together the windows are the whole text."""
+    for at in range(0, len(text or ""), WINDOW):
+        if (found := presence(text[at : at + WINDOW], bits)) is not None:
+            yield found
 
 
 @dataclass
@@ -68,23 +78,30 @@ class LanguageModel:
     shares: np.ndarray
     line: tuple[float, float, float, float]
 
-    def likeness(self, x: np.ndarray) -> np.ndarray:
-        """Mean share of the n-grams of each row, over what the line asks for; below 1 is unlike all learnt."""
-        n = x.sum(axis=1)
+    def likeness(self, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Mean share of the ``n`` n-grams of each window, over what the line asks for; below 1 is unlike all learnt."""
         asked = self.line[0] + self.line[1] * np.clip(np.log(n), *self.line[2:])
-        return (x @ self.shares).max(axis=1) / n / np.maximum(asked, 1e-9)
+        return shared.max(axis=1) / n / np.maximum(asked, 1e-9)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text; memory is bounded by 256 windows, however long a text is."""
         lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        found = [(i, p) for i, p in ((i, presence(x, self.bits)) for i, x in enumerate(texts)) if p is not None]
-        if found and self.languages:
-            x = np.array([p for _, p in found], dtype=np.float32)
-            s = (x @ self.weights) / np.sqrt(x.sum(axis=1, keepdims=True))
-            like = self.likeness(x)
-            # Targets of the regression are 1 for a text's language and -1 for others; a text unlike all stays below UNLIKE.
-            value = np.clip((s.max(axis=1) + 1) / 2, 0, 1) * np.where(like < 1, UNLIKE * like, 1)
-            for (i, _), best, value in zip(found, s.argmax(axis=1).tolist(), value.tolist(), strict=True):
-                lang[i], score[i] = self.languages[best], value
+        if not self.languages:
+            return lang, score
+        k, both = len(self.languages), np.concatenate([self.weights, self.shares], axis=1)
+        total, like, letters = np.zeros((len(texts), k)), np.zeros(len(texts)), np.zeros(len(texts))
+        every = ((i, *w) for i, text in enumerate(texts) for w in windows_of(text, self.bits))
+        while some := list(islice(every, 256)):
+            at, x, size = np.array([w[0] for w in some]), np.array([w[1] for w in some], dtype=np.float32), np.array([w[2] for w in some], dtype=float)
+            n, product = x.sum(axis=1), x @ both
+            np.add.at(total, at, product[:, :k] / np.sqrt(n)[:, None] * size[:, None])
+            np.add.at(like, at, self.likeness(n, product[:, k:]) * size)
+            np.add.at(letters, at, size)
+        for i in np.flatnonzero(letters).tolist():
+            mean, near = total[i] / letters[i], like[i] / letters[i]
+            # Targets of the regression are 1 for a window's language and -1 for others; a text unlike all stays below UNLIKE.
+            value = float(np.clip((mean.max() + 1) / 2, 0, 1))
+            lang[i], score[i] = self.languages[int(mean.argmax())], value * (UNLIKE * near if near < 1 else 1.0)
         return lang, score
 
 
@@ -111,18 +128,22 @@ def _least_likeness(mean: np.ndarray, label: np.ndarray, count: np.ndarray, n: n
 
 
 def fit_language_model(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, landmarks: int = 256, ridge: float = 0.3, bits: int = 14
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, landmarks: int = 256, ridge: float = 0.3, bits: int = 14, most_languages: int = 200
 ) -> LanguageModel:
-    """Learn from at most ``per_language`` documents of each language that are not held out.
+    """Learn from one window each of at most ``per_language`` documents of each language that are not held out.
 
     They are those with the least hashes of id and text; rows that repeat both count once.  Only hashes below the
     language's share of its count of distinct ones are looked at, so the sample depends on no order and no language's
-    rows meet in one task.  The driver gets their bits (2 KB each), not their texts.
+    rows meet in one task.  The hash also picks the window of a long text.  The driver gets bits (2 KB each), not texts.
+    Null texts and null languages teach nothing, null and repeated ids are told apart by their texts; an empty table
+    gives a model without languages; more than ``most_languages`` languages are an error.
     """
     train = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     hashed = columns_of(train, id_col, lang_col, text_col).select(F.xxhash64(id_col, text_col).alias("_hash"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     # A little more than the bound, so that neither chance nor the rough count falls below it; the driver leaves the rest.
     share = F.when(F.col("_n") <= per_language, F.lit(1.0)).otherwise((1.2 * per_language + 50) / F.col("_n"))
+    if len(hashed.select("_lang").distinct().limit(most_languages + 1).collect()) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     shares = hashed.groupBy(F.col("_lang").alias("_of")).agg(F.approx_count_distinct("_hash", 0.02).alias("_n")).select("_of", (share * (1 << 31)).alias("_share"))
     below = F.pmod(F.col("_hash"), F.lit(1 << 31)) < F.col("_share")
     rows = hashed.join(F.broadcast(shares), F.col("_lang") == F.col("_of")).where(below)
@@ -135,8 +156,9 @@ def fit_language_model(
                 for key in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if key[:2] not in seen:
                         seen.add(key[:2])
-                        if (bit := presence(key[2], bits)) is not None:
-                            out.append((*key[:2], np.packbits(bit).tobytes()))
+                        at = key[0] % max(1, -(-len(key[2]) // WINDOW)) * WINDOW
+                        if (found := presence(key[2][at : at + WINDOW], bits)) is not None:
+                            out.append((*key[:2], np.packbits(found[0]).tobytes()))
                 yield to_batch(schema, hash=[x[0] for x in out], lang=[x[1] for x in out], bits=[x[2] for x in out])
 
     schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
@@ -200,7 +222,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = UNLIKE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``; none unlike all learnt."""
+    """The rows of ``docs``, all columns, whose text has a language with at least ``least_score``; none unlike all learnt.
+
+    Whole texts are read and their length is no matter.  Rows with a null text or one without a letter go; null ids and repeated
+    rows are judged one by one; an empty table stays empty; extra columns go through untouched.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

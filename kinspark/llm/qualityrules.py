@@ -7,8 +7,9 @@ trusted than like the corpus.  Every document is judged by the same threshold; n
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,21 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, _SYMBOLS)), dup, repeated_words(word_ids(words)[0])
 
 
+@lru_cache(maxsize=200_000)
+def _word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big")
+
+
 def ngram_buckets(text: str | None, bits: int) -> np.ndarray:
-    """The buckets of a text's words (A-Z in lower case) and word pairs, repeats included."""
+    """The buckets of a text's words (A-Z in lower case) and word pairs, repeats included.
+
+    A word's hash is the first four bytes of its MD5, which SQL has too; hashes of pairs and buckets are products of it.
+    """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.int64)
     ids, distinct = word_ids(words)
-    h = np.array([zlib.crc32(w) for w in distinct], dtype=np.uint32)[ids]
+    h = np.fromiter(map(_word_hash, distinct), np.uint32, len(distinct))[ids]
     pair = (h[:-1] * np.uint32(0x85EBCA6B)) ^ (h[1:] + np.uint32(0x27D4EB2F))
     both = np.concatenate([h, pair]) * np.uint32(0x9E3779B1)
     return (both >> np.uint32(32 - bits)).astype(np.int64)
@@ -87,16 +96,16 @@ class RatioModel:
         return float(self.ratio[at].mean()) if len(at) else None
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 14, most_trusted: int = 200_000, smooth: float = 0.5) -> RatioModel:
-    """Count n-grams of all documents, and of those whose id is among ``trusted``.
+def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 14, most_broadcast: int = 1_000_000, smooth: float = 0.5) -> RatioModel:
+    """Count n-grams of all documents, and of all those whose id is among ``trusted``.
 
-    Of more than ``most_trusted`` trusted ids the share whose hashes lie below a threshold is taken, so what is
-    broadcast has a bound.  Each task sends one count per bucket; the driver gets 2 to the ``bits`` rows.
+    Trusted ids are counted first: up to ``most_broadcast`` are broadcast and texts stay where they are, more are joined by a
+    shuffle; the counts are the same.  Each task sends one count per bucket; the driver gets 2 to the ``bits`` rows.
+    A document with a null id is never trusted, repeated ids in ``trusted`` count once, repeated documents each time; null
+    and empty texts have no n-grams; an empty table, or nothing trusted, gives a model that judges nothing.
     """
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-    n = ids.count()
-    if n > most_trusted:  # a little less than the bound, so that chance doesn't reach it
-        ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 31)) < int(0.95 * most_trusted / n * (1 << 31)))
+    small = ids.count() <= most_broadcast
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def run(batches):
@@ -111,7 +120,12 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
         some = np.flatnonzero(raw)
         yield to_batch(schema, bucket=some, raw=raw[some], target=target[some])
 
-    marked = columns_of(docs, id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left").select(text_col, F.col("_id").isNotNull().alias("good"))
+    src = columns_of(docs, id_col, text_col)
+    if small:
+        marked = src.join(F.broadcast(ids), F.col(id_col) == F.col("_id"), "left").select(text_col, F.col("_id").isNotNull().alias("good"))
+    else:  # documents without an id would all meet in one task
+        joined = src.where(F.col(id_col).isNotNull()).join(ids.hint("merge"), F.col(id_col) == F.col("_id"), "left")
+        marked = joined.select(text_col, F.col("_id").isNotNull().alias("good")).unionByName(src.where(F.col(id_col).isNull()).select(text_col, F.lit(False).alias("good")))
     got = marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.full(1 << bits, smooth), np.full(1 << bits, smooth)
     for bucket, r, t in got:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinspark.llm import decontaminate, langid, licenses, packing, qualityrules, simhash, tokencount, tokenrecords, urlfilter, weakquality
 
@@ -50,7 +51,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = qualityrules.fit_ratio(docs, _read(spark, sf_dir, "labels").where("quality = 1"))
-    return qualityrules.judge(docs, model)
+    return qualityrules.judge(docs, model).withColumn("log_ratio", F.round("log_ratio", 6))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,32 @@ best as (
 )
 select u.page_id, u.host, u.path, best.rule, coalesce(best.v, 'allow') as verdict
 from u left join best on u.host = best.host and u.path = best.path
+""",
+    "op7_quality_rules": r"""
+with d as (select row_number() over () as i, doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+v as (select i, unnest(w) as v, unnest(range(1, len(w) + 1)) as p from d),
+e as (select i, p, concat_ws(' ', v, lead(v, 1) over o, lead(v, 2) over o, lead(v, 3) over o, lead(v, 4) over o, lead(v, 5) over o, lead(v, 6) over o, lead(v, 7) over o) as s, lead(v, 7) over o as last from v window o as (partition by i order by p)),
+k as (select i, p, count(*) over (partition by i, s) as n from e where last is not null),
+r as (select i, count(distinct q) as n_repeat_words from (select i, unnest(range(p, p + 8)) as q from k where n > 1) group by i),
+l as (select i, count(*) as n, count(distinct s) as m from (select i, unnest(string_split(t, chr(10))) as s from d) where regexp_matches(s, '[^\x20\x09-\x0D]') group by i),
+b as (
+  select i, doc_id, w, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         coalesce(n - m, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from d left join l using (i) left join r using (i)
+),
+x as (select i, p, cast('0x' || md5(translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))[1:8] as ubigint) as h from v),
+f as (select i, h, lead(h) over (partition by i order by p) as h2 from x),
+y as (select i, h from x union all select i, xor((h * 2246822507::ubigint) & 4294967295::ubigint, (h2 + 668265263::ubigint) & 4294967295::ubigint) from f where h2 is not null),
+g as (select i, ((h * 2654435761::ubigint) & 4294967295::ubigint) >> 18 as bucket from y),
+c as (
+  select bucket, count(*) as raw, count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as target from g join d using (i) group by bucket
+),
+s as (select sum(raw) + 8192.0 as raw, sum(target) + 8192.0 as target from c),
+z as (select bucket, ln((c.target + 0.5) / s.target) - ln((c.raw + 0.5) / s.raw) as ratio from c, s),
+m as (select i, avg(ratio) as log_ratio from g join z using (bucket) group by i)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, round(log_ratio, 6) as log_ratio,
+       coalesce(not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and log_ratio >= -0.1, false) as kept
+from b left join m using (i)
 """,
     "op10_decontamination": r"""
 with w as (

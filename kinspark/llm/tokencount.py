@@ -13,15 +13,17 @@ from kinspark.llm.common import columns_of, slices, to_batch
 from kinspark.llm.pretokens import load_tokenizer, piece_cache, piece_of, pieces_of
 
 
-def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text", entries: int = 20_000, sample_docs: int = 400) -> bytes:
+def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text", entries: int = 20_000, sample_docs: int = 400, longest: int = 20_000) -> bytes:
     """The compact table of tier one: lengths of pre-tokens that are worth sending to every worker.
 
     It is a cache and no statistic: it decides where a length is looked up, never what the length is.  At
-    most ``entries`` pieces are taken from at most ``sample_docs`` documents, so its size has a fixed bound.
+    most ``entries`` pieces are taken from at most ``sample_docs`` documents of at most ``longest`` bytes, so what the driver
+    gets and sends has a fixed bound.  Without such documents the table is empty and the workers' caches do all.
     Layout: one byte of length and the piece, with a zero byte between pieces (no piece holds one there).
     """
     seen: Counter[str] = Counter()
-    for (text,) in columns_of(docs, text_col).where(F.col(text_col).isNotNull()).limit(sample_docs).toLocalIterator():
+    short = F.col(text_col).isNotNull() & (F.octet_length(text_col) <= longest)
+    for (text,) in columns_of(docs, text_col).where(short).take(sample_docs):  # reads no more partitions than it needs
         seen.update(p for p in pieces_of(text)[:-1] if len(p) <= 40 and "\0" not in p)
     t = load_tokenizer(tokenizer_path)
     top = sorted(seen, key=lambda p: (-seen[p], p))[:entries]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, stored, to_batch
+from kinspark.llm.common import columns_of, forget, slices, stored, to_batch
 
 GOOD, NONE, BAD = 1, 0, -1
 
@@ -81,23 +81,23 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(b - a, -60, 60)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, most_false: float = 0.02, rounds: int = 500) -> LabelModel:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, quiet: float = 0.99, weight: float = 0.01, rounds: int = 500) -> LabelModel:
     """EM from patterns of votes and how many documents have each.
 
-    Labellers are taken as independent within a class.  A labeller may condemn at most the share ``most_false`` of
-    good documents: it is an alarm, quiet on most bad documents too.  Without that bound the largest kind of
-    bad document alone would become the bad class, as its alarms ring together.
+    Labellers are taken as independent within a class, and every accuracy is estimated.  They are alarms, so EM starts from
+    alarms that are seldom false (right on the share ``quiet`` of good documents) and quiet on most bad documents too; that
+    belief also stands as a prior that weighs as much as the share ``weight`` of all documents, so it is alike at every size.
     """
-    m = patterns.shape[1]
-    model = LabelModel(0.9, np.full(m, 1 - most_false), np.full(m, 0.3))
+    m, prior = patterns.shape[1], weight * counts.sum() + 1
+    model = LabelModel(0.9, np.full(m, quiet), np.full(m, 0.3))
     up, down = patterns == GOOD, patterns == BAD
     for _ in range(rounds):
         p = model.posterior(patterns)
         g, b = (counts * p)[:, None], (counts * (1 - p))[:, None]
         new = LabelModel(
             float(np.clip((g.sum() + 9) / (counts.sum() + 10), 1e-6, 1 - 1e-6)),
-            np.clip(((g * up).sum(axis=0) + 1) / ((g * (up | down)).sum(axis=0) + 1), 1 - most_false, 1 - 1e-6),
-            np.clip(((b * down).sum(axis=0) + 0.3) / ((b * (up | down)).sum(axis=0) + 1), 0.02, 0.98),
+            np.clip(((g * up).sum(axis=0) + prior * quiet) / ((g * (up | down)).sum(axis=0) + prior), 1e-6, 1 - 1e-6),
+            np.clip(((b * down).sum(axis=0) + 0.3) / ((b * (up | down)).sum(axis=0) + 1), 1e-6, 1 - 1e-6),
         )
         step = max(abs(new.good - model.good), np.abs(new.right_good - model.right_good).max(), np.abs(new.right_bad - model.right_bad).max())
         model = new
@@ -171,8 +171,10 @@ def _unpack(codes: np.ndarray) -> np.ndarray:
 def fit_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, bits: int = 12) -> QualityModel:
     """Label model from the votes on all documents; scorer from at most ``sample_docs`` of them.
 
-    The sample is balanced: half from patterns whose posterior says bad, as far as there are any, the least keys
-    first.  The driver gets the counts of patterns (at most 3 to the number of labellers) and the sample's features.
+    The sample is balanced: at most half from patterns whose posterior says bad, as far as there are any, and half from the
+    others.  Each side takes the hashes of id and text below its share, so no task orders or gathers a side; rows that repeat both, null
+    ids or not, count once.  A null or empty text votes nothing.  An empty table gives a model that scores all alike.  The driver gets
+    the counts of patterns (at most 3 to the number of labellers) and the sample's features.
     """
     voted = stored(_voted(docs, id_col, text_col), "votes")
     table = voted.groupBy("votes").count().orderBy("votes").collect()
@@ -182,8 +184,12 @@ def fit_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labels = fit_label_model(_unpack(codes), counts)
     posterior = dict(zip(codes.tolist(), labels.posterior(_unpack(codes)).tolist(), strict=True))
     bad = [c for c, p in posterior.items() if p < 0.5]
-    parts = [voted.where(F.col("votes").isin(bad) == side).orderBy("key", "id").limit(sample_docs // 2) for side in (True, False)]
-    picked = parts[0].unionByName(parts[1]).select(F.col("key").alias("_key"), "votes").dropDuplicates(["_key"])
+    half, isbad = sample_docs // 2, F.col("votes").isin(bad)
+    n_bad = float(sum(n for c, n in zip(codes.tolist(), counts.tolist(), strict=True) if posterior[c] < 0.5))
+    # A little more than half, so that chance hardly falls below it; the driver leaves the rest.
+    share = [min(1.0, (1.2 * half + 50) / max(1.0, n)) * (1 << 31) for n in (n_bad, counts.sum() - n_bad)]
+    below = F.pmod("key", F.lit(1 << 31)) < F.when(isbad, F.lit(share[0])).otherwise(F.lit(share[1]))
+    picked = voted.where(below).select(F.col("key").alias("_key"), "votes").dropDuplicates(["_key"])
 
     def run(batches):
         for batch in batches:
@@ -193,7 +199,9 @@ def fit_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keyed = columns_of(docs, id_col, text_col).select(F.coalesce(F.xxhash64(id_col, text_col), F.lit(0)).alias("key"), text_col)
     rows = keyed.join(F.broadcast(picked), F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("key", "votes", text_col)
-    got = sorted(rows.mapInArrow(run, "key long, votes int, x binary").collect())
+    found = sorted(rows.mapInArrow(run, "key long, votes int, x binary").collect(), key=lambda r: (r.key % (1 << 31), r.key))
+    got = [r for side in (True, False) for r in [r for r in found if (posterior[r.votes] < 0.5) == side][:half]]
+    forget(voted)
     x = np.array([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
     y = np.array([posterior[r.votes] for r in got])
     w, b = _fit_scorer(x, y)
@@ -227,7 +235,11 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``.
+
+    Whole texts are read.  A null or empty text has the score of the intercept; null ids and repeated rows are judged one by
+    one; an empty table stays empty; extra columns go through untouched.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

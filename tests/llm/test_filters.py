@@ -1,6 +1,7 @@
 import hashlib
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -153,6 +154,55 @@ def test_null_and_repeated_ids_keep_the_bound(spark, monkeypatch):
     assert np.array_equal(got.weights, want.weights)
 
 
+@pytest.fixture(scope="module")
+def small_docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def test_scores_do_not_depend_on_length(spark, small_docs):
+    model = langid.fit_language_model(small_docs)
+    rows = [r for r in small_docs.where("lang is not null and length(text) > 200").select("lang", "text").collect()]
+    for lang in model.languages:
+        own = [r.text for r in rows if r.lang == lang]
+        single = np.mean(model.predict(own)[1])
+        (name,), (score,) = model.predict([" ".join(own)])
+        assert name == lang and score > 0.9 * single and score >= langid.UNLIKE
+    chinese = "".join(map(chr, np.random.default_rng(0).integers(0x4E00, 0x9FFF, 20_000)))
+    assert max(w[0].mean() for w in langid.windows_of(chinese, model.bits)) < 0.5
+    assert sum(w[1] for w in langid.windows_of("a1" * 5000, 14)) == 5000 and list(langid.windows_of("12 " * 5000, 14)) == []
+
+
+def test_regression_is_brute_force_kernel_ridge(small_docs):
+    docs = small_docs.where("length(text) between 100 and 2000").orderBy("doc_id").limit(120)
+    model = langid.fit_language_model(docs, landmarks=10_000, ridge=0.3)  # every window is a landmark: nothing is left out
+    rows = docs.collect()
+    learnt = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    grams = {r.doc_id: set(np.flatnonzero(langid.presence(r.text, 14)[0]).tolist()) for r in rows}
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(grams[a.doc_id], grams[b.doc_id]) for b in learnt] for a in learnt])
+    y = np.array([[1.0 if r.lang == x else -1.0 for x in model.languages] for r in learnt])
+    size = np.array([sum(r.lang == x.lang for x in learnt) for r in learnt])
+    alpha = np.linalg.solve(k + 0.3 / len(learnt) * np.diag(size), y)
+    for r in rows:
+        want = np.array([kernel(grams[r.doc_id], grams[b.doc_id]) for b in learnt]) @ alpha
+        bits = langid.presence(r.text, 14)[0].astype(np.float32)
+        assert bits @ model.weights / np.sqrt(bits.sum()) == pytest.approx(want, abs=2e-3)
+
+
+def test_too_many_languages_are_an_error(small_docs):
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit_language_model(small_docs, most_languages=3)
+
+
+def test_stages_that_filter_take_odd_rows(odd, empty, small_docs):
+    language, quality = langid.fit_language_model(small_docs), weakquality.fit_quality_model(small_docs)
+    bench = odd.sparkSession.createDataFrame([(1, "the cat sat the cat sat")], "item_id long, text string")
+    for keep in (lambda d: langid.keep_identified(d, language), lambda d: weakquality.keep_good(d, quality), lambda d: decontaminate.drop_contaminated(d, bench)):
+        kept = keep(odd)
+        assert kept.columns == odd.columns and Counter(map(tuple, kept.collect())) <= Counter(map(tuple, odd.collect()))
+        assert keep(empty).count() == 0
+
+
 # --- quality
 
 
@@ -175,6 +225,71 @@ def test_em_recovers_accuracies():
     assert model.good == pytest.approx(0.8, abs=0.02) and model.right_bad == pytest.approx([0.6, 0.5, 0.7, 0.4], abs=0.04)
 
 
+def plain_em(votes, quiet, weight, rounds):
+    """EM document by document, in plain Python."""
+    m, n = len(votes[0]), len(votes)
+    good, rg, rb = 0.9, [quiet] * m, [0.3] * m
+    prior = weight * n + 1
+    for _ in range(rounds):
+        p = []
+        for v in votes:
+            a, b = good, 1 - good
+            for x, g, d in zip(v, rg, rb, strict=True):
+                a *= {1: g, -1: 1 - g, 0: 1}[x]
+                b *= {1: 1 - d, -1: d, 0: 1}[x]
+            p.append(a / (a + b))
+        good = (sum(p) + 9) / (n + 10)
+        rg = [(sum(q for q, v in zip(p, votes, strict=True) if v[j] > 0) + prior * quiet) / (sum(q for q, v in zip(p, votes, strict=True) if v[j]) + prior) for j in range(m)]
+        rb = [(sum(1 - q for q, v in zip(p, votes, strict=True) if v[j] < 0) + 0.3) / (sum(1 - q for q, v in zip(p, votes, strict=True) if v[j]) + 1) for j in range(m)]
+    return good, rg, rb
+
+
+def test_label_model_is_plain_em(small_docs):
+    votes = [weakquality.votes(r.text) for r in small_docs.select("text").collect()]
+    patterns, counts = np.unique(np.array(votes), axis=0, return_counts=True)
+    model = weakquality.fit_label_model(patterns, counts.astype(float), rounds=20)
+    good, rg, rb = plain_em(votes, 0.99, 0.01, 20)
+    assert model.good == pytest.approx(good, abs=1e-6)
+    assert model.right_good == pytest.approx(np.clip(rg, 1e-6, 1 - 1e-6), abs=1e-6) and model.right_bad == pytest.approx(np.clip(rb, 1e-6, 1 - 1e-6), abs=1e-6)
+
+
+def test_scorer_is_a_plain_linear_one(small_docs):
+    model = weakquality.fit_quality_model(small_docs)
+    for r in small_docs.limit(40).collect():
+        data = (r.text or "").encode()
+        grams = Counter((int.from_bytes(data[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 20 for i in range(len(data) - 2))
+        words = data.split()
+        z = model.intercept + sum(model.weights[g] * np.sqrt(n / max(1, len(data) - 2)) for g, n in grams.items())
+        z += model.weights[-1] * np.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)))
+        assert model.scores([r.text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_logistic_regression_reaches_newtons_optimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 6)).astype(np.float32) / 3
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=6) * 2 + 0.3)))
+    w, b = weakquality._fit_scorer(x, y, l2=1e-2, rounds=3000)
+    a, t = np.column_stack([x, np.ones(len(x))]).astype(float), np.zeros(7)
+    ridge = np.diag([1e-2] * 6 + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ t))
+        t -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / len(x) + ridge, a.T @ (p - y) / len(x) + ridge @ t)
+    assert [*w, b] == pytest.approx(t, abs=2e-2)
+
+
+def test_quality_sample_keeps_its_bound(small_docs, monkeypatch):
+    sizes, collect = [], type(small_docs).collect
+    monkeypatch.setattr(type(small_docs), "collect", lambda self: (sizes.append(len(rows := collect(self))), rows)[1])
+    spark = small_docs.sparkSession
+    many = small_docs.crossJoin(spark.range(4)).select(F.lit(None).cast("long").alias("doc_id"), F.concat("text", F.lit(" x"), F.col("id").cast("string")).alias("text"))
+    weakquality.fit_quality_model(many, sample_docs=200)
+    assert 150 <= max(sizes) <= 600
+    copies = small_docs.where("length(text) > 300").orderBy("doc_id").limit(1).crossJoin(spark.range(3000)).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    sizes.clear()
+    weakquality.fit_quality_model(many.unionByName(copies), sample_docs=200)
+    assert max(sizes) <= 600
+
+
 def base(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     seen, dup = set(), 0
@@ -200,6 +315,13 @@ def test_base_rules_are_brute_force(spark, odd, empty):
     assert qualityrules.judge(odd, model).count() == odd.count() and qualityrules.judge(empty, qualityrules.fit_ratio(empty, empty)).count() == 0
 
 
+def test_trusted_ids_by_shuffle_count_alike(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for d, trusted in ((docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")), (odd, odd.select("doc_id").where("doc_id is null or doc_id > 4"))):
+        a, b = (qualityrules.fit_ratio(d, trusted, most_broadcast=n) for n in (0, 1000))
+        assert np.array_equal(a.ratio, b.ratio) and a.ratio.any()
+
+
 def test_ratio_drops_junk_and_keeps_what_is_trusted(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = qualityrules.fit_ratio(docs, labels.where("quality = 1"))
