@@ -1,8 +1,8 @@
 """Packing token ids into windows by multiway differencing.
 
 Full windows are cut off long documents.  The rests are packed in groups by the Karmarkar-Karp method for
-many subsets: rests of like size start as partitions with a quarter of the slots filled; the two partitions of
-largest imbalance are merged again and again, the fullest slot of one with the emptiest of the other, so imbalances cancel.
+many subsets: each rest starts as a partition of its own; the two partitions of largest imbalance are merged again
+and again, the fullest slot of one with the emptiest of the other, so imbalances cancel.
 What remains is one partition with slots of nearly equal sums, the windows.  When a slot is over capacity
 the number of windows rises and the group is packed anew.
 """
@@ -26,42 +26,83 @@ from kinspark.llm.pretokens import piece_cache
 _TASK_BIT = 36
 
 
+def _merged(a: np.ndarray, ha: np.ndarray, b: np.ndarray, hb: np.ndarray, follow: list[int], tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two partitions as one: the fullest slot of one with the emptiest of the other."""
+    b, hb = b[::-1], hb[::-1]
+    sums, heads = a + b, np.where(ha < 0, hb, ha)
+    both = np.flatnonzero((ha >= 0) & (hb >= 0))
+    for x, y in zip(ha[both].tolist(), hb[both].tolist(), strict=True):
+        follow[tail[x]] = y
+        tail[x] = tail[y]
+    order = np.argsort(sums, kind="stable")
+    sums = sums[order]
+    return sums - sums[0], heads[order]
+
+
+def _placed(sums: np.ndarray, heads: np.ndarray, follow: list[int], tail: list[int], item: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A partition after an item has gone to its emptiest slot."""
+    head, total = int(heads[0]), int(sums[0]) + size
+    if head < 0:
+        head = item
+    else:
+        follow[tail[head]] = item
+        tail[head] = item
+    at = int(np.searchsorted(sums[1:], total))
+    sums = np.concatenate([sums[1 : at + 1], [total], sums[at + 1 :]])
+    return sums - sums[0], np.concatenate([heads[1 : at + 1], [head], heads[at + 1 :]])
+
+
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Indexes of ``sizes`` in k subsets of nearly equal sums, by largest-differencing of k-part partitions.
 
-    The first partitions hold k/4 items each, next to one another in size and in slots of their own: they are as
-    good to start from as single items and many times fewer.
+    Each item starts as a partition of its own, and len(sizes) - 1 merges make one of all.  A partition is its slot sums
+    relative to the least, rising, and the first item of each slot; its imbalance is the largest of the sums.  Of equal
+    imbalances the partition made last comes first, then single items in falling order.  While a partition has empty slots its
+    imbalance is its largest item's, so it meets single items one after the other, each in an empty slot: these merges are
+    done at one go.
     """
     if k == 1:
         return [list(range(len(sizes)))]
-    follow, tail, heap = [-1] * len(sizes), list(range(len(sizes))), []
-    size, few = np.array(sizes, dtype=np.int64), max(1, k // 4)
+    follow, tail, size = [-1] * len(sizes), list(range(len(sizes))), np.array(sizes, dtype=np.int64)
     falling = np.argsort(-size, kind="stable")
-    # A partition is (its slot sums relative to the least, rising; the first item of each slot).
-    for n, at in enumerate(range(0, len(sizes), few)):
-        own = falling[at : at + few][::-1]
-        sums, heads = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[k - len(own) :], heads[k - len(own) :] = size[own], own
-        heap.append((-int(sums[-1] - sums[0]), n, sums - sums[0], heads))
-    heapq.heapify(heap)
-    n = len(heap)
-    while len(heap) > 1:
-        _, _, a, ha = heapq.heappop(heap)
-        _, _, b, hb = heapq.heappop(heap)
-        b, hb = b[::-1], hb[::-1]
-        sums = a + b
-        heads = np.where(ha < 0, hb, ha)
-        both = np.flatnonzero((ha >= 0) & (hb >= 0))
-        for x, y in zip(ha[both].tolist(), hb[both].tolist(), strict=True):
-            follow[tail[x]] = y
-            tail[x] = tail[y]
-        order = np.argsort(sums, kind="stable")
-        sums, heads = sums[order], heads[order]
-        sums -= sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), n, sums, heads))
+    weight = size[falling]
+    heap, at, n = [], 0, 0  # merged partitions; the next single item; merged partitions so far
+
+    def push(sums: np.ndarray, heads: np.ndarray) -> None:
+        nonlocal n
         n += 1
+        heapq.heappush(heap, (-int(sums[-1]), -n, sums, heads))
+
+    def next_is_single() -> bool:
+        return at < len(weight) and (not heap or weight[at] > -heap[0][0])
+
+    while True:
+        if next_is_single():
+            # A new partition from the next item and those that come before all merged partitions, while it has empty slots.
+            few = min(k, max(1, int(np.searchsorted(-weight[at:], heap[0][0])) if heap else len(weight) - at))
+            sums, heads = np.zeros(k, np.int64), np.full(k, -1, np.int64)
+            sums[k - few :], heads[k - few :] = weight[at : at + few][::-1], falling[at : at + few][::-1]
+            at += few
+            if few < k or not heap and at == len(weight):
+                if heap:
+                    _, _, b, hb = heapq.heappop(heap)
+                    sums, heads = _merged(sums, heads, b, hb, follow, tail)
+                elif at == len(weight):
+                    break
+            push(sums - sums[0], heads)
+        else:
+            _, _, sums, heads = heapq.heappop(heap)
+            if next_is_single():
+                sums, heads = _placed(sums, heads, follow, tail, int(falling[at]), int(weight[at]))
+                at += 1
+            elif heap:
+                _, _, b, hb = heapq.heappop(heap)
+                sums, heads = _merged(sums, heads, b, hb, follow, tail)
+            else:
+                break
+            push(sums, heads)
     out = []
-    for i in heap[0][3].tolist():
+    for i in heads.tolist():
         slot = []
         while i >= 0:
             slot.append(i)
