@@ -16,11 +16,14 @@ SLICE_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder of this machine serves.
+    Where that is unset a temporary folder of this machine serves a local master; on a cluster it is an error, as no
+    other machine could read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jdir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="kinspark-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,11 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a frame made by :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def made_of(df: DataFrame, *parts: DataFrame) -> DataFrame:
+    """``df``, with a note of the stored frames that only it reads, for :func:`forget`."""
+    df.parts = parts
+    return df
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames made by :func:`stored`, and of those that they were made of, once nothing reads them."""
+    for df in frames:
+        if (at := getattr(df, "stored_at", None)) is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        forget(*getattr(df, "parts", ()))
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:

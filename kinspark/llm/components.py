@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import forget, stored
+from kinspark.llm.common import forget, made_of, stored
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Alternating large-star and small-star steps: edges (node, smaller node) are rewired to the least neighbour
     until each node points at its component's least one.  Rounds grow with the logarithm of a component's
-    size.  Each round is written to the shared folder, so lineage stays short and lost tasks are repeated from there.
+    size.  Each round is written to the shared folder, so lineage stays short and lost tasks are repeated from there;
+    ``forget`` deletes the last one once the result has been used.
     """
     current = stored(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
@@ -22,9 +23,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            least = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return made_of(current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least), current)
         before = state
         # Large star: each node tells its larger neighbours of the least among itself and its neighbours.
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

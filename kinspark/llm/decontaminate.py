@@ -63,7 +63,7 @@ def _short_keys(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, broadcast_windows: int = 200_000
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, broadcast_windows: int = 200_000, most_broadcast: int = 1_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, text_xxhash64, contaminated.
 
@@ -74,9 +74,11 @@ def contamination(
     ids and repeated rows of ``docs`` each have their row; with an empty benchmark nothing is hit; only the
     named columns are read.
     Up to ``broadcast_windows`` windows (counted first) are broadcast and documents are read where they lie.
-    Beyond it shingles are joined by a shuffle of (row, place, hash) and texts only meet their candidates.
+    Beyond it shingles are joined by a shuffle of (row, place, hash), and only texts that may hold a window move, or
+    none that doesn't while the keys of those (counted first) are at most ``most_broadcast``.
     """
-    src = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), words_of(F.col(text_col)).alias("w"))
+    texts = columns_of(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), F.col(text_col).alias("text"))
+    src = texts.select("id", "h", words_of(F.col("text")).alias("w"))
     windows = stored(item_windows(benchmark, item_col, item_text_col, width), "windows")
     lengths = [r[0] for r in windows.where(f"len < {_SHINGLE}").select("len").distinct().collect()]
     small = windows.count() <= broadcast_windows * width
@@ -97,22 +99,29 @@ def contamination(
         return at.select("id", "h", F.size("w").alias("n_words"), F.when(same, F.struct("first", "len")).alias("span"), F.when(same, F.col("items")).alias("items"), F.col("row").alias("row"))
 
     first = (F.col("pos") - F.col("offset")).alias("first")
+    places = _short_keys(_shingled(src), lengths)
     if small:
-        rows = _short_keys(_shingled(src), lengths) if not lengths else _shingled(src).unionByName(_short_keys(_shingled(src), lengths).where("pos > 0"))
-        found = rows.join(F.broadcast(prefix), F.col("key") == F.col("wkey"), "left").where("words is not null or pos = 0")
-        met = hits(found.select("id", "h", "w", first, "len", "words", "items", (F.col("pos") == 0).cast("long").alias("row")))
+        found = places.join(F.broadcast(prefix), F.col("key") == F.col("wkey"), "left").where("words is not null or pos = 0")
+        met = stored(hits(found.select("id", "h", "w", first, "len", "words", "items", (F.col("pos") == 0).alias("row"))), "met")
+        rows, spans = met.where("row").select("id", "h", "n_words"), met
     else:
-        places = _short_keys(_shingled(src), lengths).where("key is not null").select("id", "h", "pos", "key")
-        near_rows = places.join(prefix, F.col("key") == F.col("wkey")).select("id", "h", first, "len", "words", "items").dropDuplicates(["id", "h", "first", "words"])
-        near_rows = near_rows.withColumnsRenamed({"id": "id2", "h": "h2"})
-        own = src.select("id", "h", F.size("w").alias("n_words"), F.lit(None).cast("struct<first:int,len:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"), F.lit(1).cast("long").alias("row"))
-        cand = src.dropDuplicates(["id", "h"]).join(near_rows, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")))
-        met = own.unionByName(hits(cand.select("id", "h", "w", "first", "len", "words", "items", F.lit(0).cast("long").alias("row"))))
-    per = met.groupBy("id", "h", "n_words").agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sum("row").alias("rows"))
+        near_rows = places.where("key is not null").select("id", "h", "pos", "key").join(prefix, F.col("key") == F.col("wkey"))
+        near_rows = stored(near_rows.select(F.col("id").alias("id2"), F.col("h").alias("h2"), first, "len", "words", "items").dropDuplicates(["id2", "h2", "first", "words"]), "near")
+        keys = near_rows.select("id2", "h2").distinct()
+        few = F.broadcast if keys.count() <= most_broadcast else (lambda x: x)
+        same_row = F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))
+        # Texts that may hold a window, each once; all others stay where they are.
+        cand = texts.join(few(keys), same_row, "left_semi").dropDuplicates(["id", "h"]).select("id", "h", words_of(F.col("text")).alias("w"))
+        spans = hits(cand.join(near_rows, same_row).select("id", "h", "w", "first", "len", "words", "items", F.lit(False).alias("row")))
+        rows = src.select("id", "h", F.size("w").alias("n_words"))
+    per = spans.where("span is not null").groupBy(F.col("id").alias("id3"), F.col("h").alias("h3")).agg(F.collect_set("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # Spans by their first word: each adds what reaches beyond the words hit so far.
     add = "greatest(0, s.first + s.len - greatest(s.first, x.next))"
     covered = F.expr(f"aggregate(array_sort(spans), struct(0 as next, 0 as hit), (x, s) -> struct(greatest(x.next, s.first + s.len) as next, x.hit + {add} as hit)).hit")
-    out = per.select("id", "h", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    per = per.select("id3", "h3", covered.cast("long").alias("n_hit"), "items")
+    # Every row has its result, also repeated ones; rows without hits are the most and meet nothing.
+    out = rows.join(per, F.col("id").eqNullSafe(F.col("id3")) & (F.col("h") == F.col("h3")), "left")
+    out = out.select("id", "h", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(
         F.col("id").alias(id_col),
         "n_words",
@@ -124,9 +133,15 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are contaminated; options are those of :func:`contamination`."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """``docs``, all columns, without the rows that are contaminated; options are those of :func:`contamination`.
+
+    Rows are told apart by id and text hash.  Texts stay where they are while the contaminated ones are at most
+    ``most_broadcast`` (counted first).  Null, empty and very long texts, null ids and repeated rows follow the rule of
+    :func:`contamination`; an empty table stays empty, an empty benchmark drops nothing; extra columns go through untouched.
+    """
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = bad.select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct()
+    bad = stored(bad.select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct(), "contaminated")
+    few = F.broadcast if bad.count() <= most_broadcast else (lambda x: x)
     same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)) == bad["_bad_h"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(few(bad), same, "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, stored, to_batch
+from kinspark.llm.common import columns_of, forget, made_of, slices, stored, to_batch
 from kinspark.llm.components import connected_components
 
 #: Bits of the three segments, from the lowest bit on; each is at most the code's length of 23.
@@ -203,14 +203,15 @@ def chains(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = 64) -> Data
     hot = stored(b.groupBy("key").count().where(F.col("count") > dense).select("key"), "hot-keys")
     n = hot.count()
     if n == 0:
-        return _near(a, b, max_bits).distinct()
+        return made_of(_near(a, b, max_bits).distinct(), hot)
     side = F.broadcast(hot) if n <= MOST_BROADCAST else hot
     plain = _near(a.join(side, "key", "left_anti"), b.join(side, "key", "left_anti"), max_bits)
     a, b = stored(a.join(side, "key", "left_semi"), "hot-fuzzy"), stored(b.join(side, "key", "left_semi"), "hot-codes")
     stars = stored(_stars(a.select("fp").unionByName(b.select("fp")).distinct()), "stars")
     if max_bits == 2:
-        return plain.unionByName(stars).distinct()
-    part = connected_components(stars, "a", "b").withColumnsRenamed({"node": "fp", "component": "part"})
+        return made_of(plain.unionByName(stars).distinct(), hot, a, b, stars)
+    kept, part = (hot, a, b, stars), connected_components(stars, "a", "b")
+    kept, part = (*kept, part), part.withColumnsRenamed({"node": "fp", "component": "part"})
     a, b = (x.join(part, "fp", "left").select("key", "fp", F.coalesce("part", "fp").alias("part")) for x in (a, b))
     sizes = a.unionByName(b).groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "most")
@@ -218,7 +219,7 @@ def chains(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = 64) -> Data
     a, b = (x.join(mixed, "key") for x in (a, b))
     inside, apart = F.col("part") == F.col("most"), F.col("part") != F.col("most")
     across = _near(a.where(apart), b, max_bits).unionByName(_near(a.where(inside), b.where(apart), max_bits))
-    return plain.unionByName(across).unionByName(stars).distinct()
+    return made_of(plain.unionByName(across).unionByName(stars).distinct(), *kept, mixed)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
@@ -229,12 +230,15 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     prints = stored(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
-    found = connected_components(chains(prints, max_bits), "a", "b")
+    edges = chains(prints, max_bits)
+    found = connected_components(edges, "a", "b")
     named = prints.join(found, prints.fp == found.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("label"))
     # Only labels of more than one fingerprint need the first row of the whole component.
     whole = found.join(prints.select(F.col("fp").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("all"))
     placed = named.join(whole, named.label == whole.component, "left").select("fp", "n", F.coalesce("all", "first").alias("first"))
-    return marked, stored(placed.select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "placed")
+    placed = stored(placed.select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "placed")
+    forget(edges, found, prints)
+    return marked, placed
 
 
 def _join_placed(marked: DataFrame, placed: DataFrame, hot_share: int) -> DataFrame:
@@ -270,6 +274,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
     keys = _join_placed(marked, placed, hot_share).groupBy("doc_id", "h").agg(F.bool_and(same).alias("stays"), F.count("*").alias("n"))
     keys = stored(keys.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "not-single")
+    forget(marked, placed)
     near = F.broadcast if keys.count() <= most_broadcast else (lambda x: x)
 
     def on(df):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.llm.common import stored
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,16 +30,17 @@ def _prefix(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def expressions(urls: DataFrame, odd_lengths: list[int]) -> DataFrame:
-    """One row per distinct (host, path) and expression of ``urls`` (host, path): host, path, digest, prefix.
+def expressions(urls: DataFrame, odd_lengths: list[int] | None) -> DataFrame:
+    """One row per row and expression of ``urls`` (host, path): host, path, digest, prefix.
 
-    Path prefixes end at each slash; rules whose path ends otherwise add their lengths.
+    Path prefixes end at each slash; rules whose path ends otherwise add their lengths (None: all lengths).
     """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split("path", "/")
     slashes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
-    odd = F.array(F.lit(""), *[F.when(F.length("path") >= n, F.substring("path", 1, n)).otherwise("") for n in odd_lengths])
+    lengths = F.sequence(F.lit(0), F.length("path")) if odd_lengths is None else F.array(F.lit(0), *[F.lit(n) for n in odd_lengths])
+    odd = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     prefixes = F.array_distinct(F.concat(slashes, odd))
     rows = urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("start"))
     rows = rows.select("host", "path", F.sha2(F.concat("suffix", F.lit("\n"), "start"), 256).alias("digest"))
@@ -45,7 +48,7 @@ def expressions(urls: DataFrame, odd_lengths: list[int]) -> DataFrame:
 
 
 def filter_urls(
-    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000
+    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, most_broadcast: int = 1_000_000, most_lengths: int = 64
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
@@ -53,9 +56,10 @@ def filter_urls(
     the rule's.  The longest rule (of its host and path together) wins, then the longest host; of equal rules block
     beats allow.  Without a rule that fits, the verdict is ``default`` and rule is null.  A null URL or one without
     :// has an empty host and path; no rule has an empty host.  Null ids and repeated rows have their rows.
-    Each distinct host and path is judged once, so a hot host is no hot key; Spark may split a hot path's pages
-    when verdicts are joined back.  Rules are counted first: up to ``broadcast_rules`` they are broadcast, more are
-    shuffled by the hash prefix.
+    Rules are counted first: up to ``broadcast_rules`` they are broadcast and expressions are judged where pages lie; more
+    are shuffled by the hash prefix, as are the expressions of each distinct host and path.  Only hosts and paths that a rule
+    fits go on, each once, and their verdicts are broadcast back up to ``most_broadcast`` (counted first).  Pages without
+    a host meet nothing.  Rules whose paths end within a segment in more than ``most_lengths`` lengths try every length.
     """
     known = (
         rules.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), "verdict")
@@ -66,18 +70,18 @@ def filter_urls(
         .withColumn("r_prefix", _prefix(F.col("r_digest")))
         .withColumn("rule", F.concat("r_host", "r_path"))
     )
-    odd = sorted(r[0] for r in known.where("r_path <> '' and r_path not like '%/'").select(F.length("r_path")).distinct().collect())
+    odd = [r[0] for r in known.where("r_path <> '' and r_path not like '%/'").select(F.length("r_path").alias("n")).distinct().orderBy("n").limit(most_lengths + 1).collect()]
+    odd = odd if len(odd) <= most_lengths else None
     small = known.count() <= broadcast_rules
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    some, bare = own.where("host <> ''"), own.where("host = ''")
     best = F.max(F.struct(F.length("rule").alias("a"), F.length("r_host").alias("b"), "rule", "r_verdict")).alias("best")
-
-    def fitting(urls: DataFrame) -> DataFrame:
-        side = F.broadcast(known) if small else known
-        return expressions(urls, odd).join(side, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
-
-    judged = fitting(own.select("host", "path").distinct()).groupBy("host", "path").agg(best)
-    urls = own.join(judged, ["host", "path"], "left")
-    return urls.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    urls = some.select("host", "path") if small else some.select("host", "path").distinct()
+    fitting = expressions(urls, odd).join(F.broadcast(known) if small else known, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
+    judged = stored(fitting.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.r_verdict"), "judged")
+    few = F.broadcast if judged.count() <= most_broadcast else (lambda x: x)
+    out = some.join(few(judged), ["host", "path"], "left").unionByName(bare.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("r_verdict")))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"))
 
 
 def rules_frame(spark, rules: list[tuple[str, str, str]]) -> DataFrame:

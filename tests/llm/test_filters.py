@@ -34,7 +34,7 @@ def judged(url, rules):
 def test_urls_are_brute_force(spark, most):
     rules = [*URL_RULES, ("block", "odd.com", "/ab")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, "http://net/", "h"), (5, "http://NET/", "h")], "page_id long, url string, host string")
-    got = Counter(tuple(r) for r in urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, rules), broadcast_rules=most).collect())
+    got = Counter(tuple(r) for r in urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, rules), broadcast_rules=most, most_broadcast=most, most_lengths=most).collect())
     assert got == Counter((r.page_id, *judged(r.url, rules)) for r in pages.collect())
     none = urlfilter.filter_urls(pages.limit(0), urlfilter.rules_frame(spark, rules))
     assert none.count() == 0
@@ -84,7 +84,10 @@ TEXTS = [
 def test_contamination_is_brute_force(spark, most):
     docs = spark.createDataFrame([(i, t, 1, "p") for i, t in enumerate(TEXTS)] + [(None, LONG, 1, "p"), (5, LONG, 1, "p"), (5, "clean", 1, "p")], "doc_id long, text string, w long, pos string")
     bench = spark.createDataFrame([(i, t, "z") for i, t in BENCH], "item_id long, text string, items string")
-    got = decontaminate.contamination(docs, bench, broadcast_windows=most).drop("text_xxhash64").collect()
+    got = decontaminate.contamination(docs, bench, broadcast_windows=most, most_broadcast=most).drop("text_xxhash64").collect()
+    clean = Counter((r[0], r[1]) for r in got if not r[5])
+    kept = decontaminate.drop_contaminated(docs, bench, most_broadcast=most, broadcast_windows=most).collect()
+    assert Counter((r.doc_id, len(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (r.text or "").translate(LOW)))) for r in kept) == clean
     assert Counter(tuple(r) for r in got) == contaminated([(r.doc_id, r.text) for r in docs.collect()], BENCH)
     assert decontaminate.contamination(docs.limit(0), bench, broadcast_windows=most).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0), broadcast_windows=most).collect()} == {0}
