@@ -31,26 +31,74 @@ Unless required by applicable law or agreed to in writing, software distributed
 _GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 
+_BSD_THIRD = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_ZLIB_BODY = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""
+_BSL_BODY = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+_MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"""
+_EPL_NOTICE = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"""
+_WTFPL_BODY = """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION You just DO WHAT THE FUCK YOU WANT TO."""
+
+
+def _gnu_notice(kind: str, version: str) -> str:
+    """The notice of another license of the GNU family, from that of the GPL."""
+    return _GPL_NOTICE.replace("General Public License", f"{kind} General Public License".strip()).replace("version 3 ", f"version {version} ")
+
+
+def _cc_notice(kind: str) -> str:
+    return f"This work is licensed under a Creative Commons {kind} 4.0 International License."
+
+
+# Identifiers of licenses that a line "SPDX-License-Identifier" may name.
+_IDENTIFIERS = (
+    "MIT", "MIT-0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "Apache-2.0", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+)
+
+
+def _family(identifier: str) -> str:
+    """The license of an identifier, whether or not later versions may be chosen."""
+    return identifier.removesuffix("-only").removesuffix("-or-later")
+
+
 # Wording of public license notices, (license, template).
 TEMPLATES = (
     ("MIT", _MIT_BODY),
     ("MIT", "Released under the MIT License."),
     ("ISC", _ISC_BODY),
-    ("BSD", _BSD_BODY),
+    ("BSD-2-Clause", _BSD_BODY),
+    ("BSD-3-Clause", f"{_BSD_BODY}\n{_BSD_THIRD}"),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", _GPL_NOTICE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("GPL-2.0", _gnu_notice("", "2")),
+    ("LGPL-2.1", _gnu_notice("Lesser", "2.1")),
+    ("LGPL-3.0", _gnu_notice("Lesser", "3")),
+    ("AGPL-3.0", _gnu_notice("Affero", "3")),
+    ("MPL-2.0", _MPL_NOTICE),
+    ("EPL-2.0", _EPL_NOTICE),
+    ("Zlib", _ZLIB_BODY),
+    ("BSL-1.0", _BSL_BODY),
+    ("WTFPL", _WTFPL_BODY),
+    ("CC-BY-4.0", _cc_notice("Attribution")),
+    ("CC-BY-SA-4.0", _cc_notice("Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", _cc_notice("Attribution-NonCommercial")),
+    ("CC-BY-ND-4.0", _cc_notice("Attribution-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", _cc_notice("Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-ND-4.0", _cc_notice("Attribution-NonCommercial-NoDerivatives")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    *((_family(x), f"SPDX-License-Identifier: {x}") for x in _IDENTIFIERS),
 )
 _TELLING = re.compile(
     r"licen[cs]e|copyright|\(c\)|©|rights\W+reserved|permission|warrant|liabilit|liable|redistribut|public\W+domain|creative\W+commons|\bcc[\s-]?(by|0)|conditions|spdx", re.IGNORECASE
 )
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -98,7 +146,7 @@ def _compressors(templates: tuple[tuple[str, str], ...], most_changed: float, le
     """A plain compressor, (license, words, most differing words, with, own size) of each template, and its pieces.
 
     A template of which at most k words differ, cut into k + 1 pieces, has a piece without a difference.  Pieces are
-    kept by their first ``width`` words.
+    kept by how many first words they are known by, three at most, and by these.
     """
     import zstandard as zstd
 
@@ -114,11 +162,11 @@ def _compressors(templates: tuple[tuple[str, str], ...], most_changed: float, le
             raw = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             with_it = zstd.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
             out.append((name, wanted, most, with_it, len(plain.compress(data))))
-    width = min((3, *(len(p) for _, _, p in pieces)))
-    by_start: dict[tuple[str, ...], list] = {}
+    by_start: dict[int, dict[tuple[str, ...], list]] = {}
     for piece in pieces:
-        by_start.setdefault(tuple(piece[2][:width]), []).append(piece)
-    return plain, out, width, by_start
+        width = min(3, len(piece[2]))
+        by_start.setdefault(width, {}).setdefault(tuple(piece[2][:width]), []).append(piece)
+    return plain, out, by_start
 
 
 def _fit(template: list[str], block: list[str]) -> tuple[int, int]:
@@ -146,35 +194,53 @@ def scan(blocks: list[str], templates=TEMPLATES, least_saved: float = 0.4, most_
     Windows of a template's length are taken wherever a piece of it stands unchanged, which no run of words with up
     to ``most_changed`` of the template's words differing can escape, however long its line and whatever stands
     around it.  Each template is compared word by word there, and its dictionary must save at least ``least_saved``
-    of its own size on the words of the best run alone.  One entry a license, the one with the fewest differences.
+    of its own size on the words of the best run alone.  A run of which over half the words belong to runs of
+    other licenses with a smaller share of differing words, or the same and a longer template, is left out.  One entry a license, the one with
+    the fewest differences.
     """
-    plain, known, width, by_start = _compressors(tuple(templates), most_changed)
+    plain, known, by_start = _compressors(tuple(templates), most_changed)
     best: dict[str, tuple] = {}
     for block in blocks:
         words = words_of(block)
         begins: dict[int, set[int]] = {}
-        for i, start in enumerate(zip(*(words[n:] for n in range(width)), strict=False)):
-            for k, at, piece in by_start.get(start, ()):
-                if words[i : i + len(piece)] == piece:
-                    begins.setdefault(k, set()).add(i - at)
+        here = set(words)
+        for width, starts in by_start.items():
+            if any(here.issuperset(start) for start in starts):
+                for i, start in enumerate(zip(*(words[n:] for n in range(width)), strict=False)):
+                    for k, at, piece in starts.get(start, ()):
+                        if words[i : i + len(piece)] == piece:
+                            begins.setdefault(k, set()).add(i - at)
+        runs = []
         for k, found in begins.items():
             name, wanted, most, with_it, own = known[k]
-            windows: list[list[int]] = []
+            near: list[list[int]] = []  # beginnings of one copy lie within 2 * most words
             for begin in sorted(found):
-                end = begin + len(wanted) + most
-                if windows and begin - most <= windows[-1][1]:
-                    windows[-1][1] = end
+                if near and begin - near[-1][0] <= 2 * most:
+                    near[-1][1] = begin
                 else:
-                    windows.append([max(0, begin - most), end])
-            for begin, end in windows:
-                off, last = _fit(wanted, words[begin:end])
-                if off <= most:
-                    run = " ".join(words[max(0, begin + last - len(wanted)) : begin + last]).encode("utf-8", "surrogatepass")
-                    alone = len(plain.compress(run))
-                    share = (alone - len(with_it.compress(run))) / min(own, alone)
-                    if share >= least_saved:
-                        entry = (off / len(wanted), -share, name, off, len(wanted))
-                        best[name] = min(best.get(name, entry), entry)
+                    near.append([begin, begin])
+            fits: dict[tuple[str, ...], tuple[int, int, float]] = {}  # the same words again have the same result
+            for begin, end in near:
+                begin, end = max(0, begin - most), end + len(wanted) + most
+                window = tuple(words[begin:end])
+                if window not in fits:
+                    off, last = _fit(wanted, list(window))
+                    share = 0.0
+                    if off <= most:
+                        run = " ".join(window[max(0, last - len(wanted)) : last]).encode("utf-8", "surrogatepass")
+                        alone = len(plain.compress(run))
+                        share = (alone - len(with_it.compress(run))) / min(own, alone)
+                    fits[window] = off, last, share
+                off, last, share = fits[window]
+                if off <= most and share >= least_saved:
+                    runs.append((off / len(wanted), -len(wanted), -share, name, off, begin + max(0, last - len(wanted)), begin + last))
+        owner: dict[int, str] = {}  # the license that a word belongs to
+        for run in sorted(runs):
+            taken = sum(owner.get(i, run[3]) != run[3] for i in range(run[5], run[6]))
+            if 2 * taken <= run[6] - run[5]:
+                owner.update(dict.fromkeys((i for i in range(run[5], run[6]) if i not in owner), run[3]))
+                entry = (run[0], run[2], run[3], run[4], -run[1])
+                best[run[3]] = min(best.get(run[3], entry), entry)
     return [(name, -b[1], b[3], b[4]) for name, b in sorted(best.items())]
 
 

@@ -19,23 +19,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document: a null text is empty, repeated rows and null ids have their rows."""
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to record files and read back: a null text has the end id alone, null ids come first."""
     return tokenrecords.read_token_records(tokenrecords.write_token_records(_read(spark, sf_dir, "documents"), _tokenizer()))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into windows: a null text has the end id alone, repeated rows are packed one by one."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document: null and empty texts get the score of a text without features."""
     docs = _read(spark, sf_dir, "documents")
     return weakquality.score_quality(docs, weakquality.fit_quality_model(docs))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document: und with score 0 for a null text and one without letters."""
     docs = _read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit_language_model(docs))
 
@@ -45,24 +50,29 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page: a null URL and one without :// have an empty host and path and no rule."""
     return urlfilter.filter_urls(_read(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, log ratio and verdict of every document: a null text has no words and fails."""
     docs = _read(spark, sf_dir, "documents")
     model = qualityrules.fit_ratio(docs, _read(spark, sf_dir, "labels").where("quality = 1"))
     return qualityrules.judge(docs, model).withColumn("log_ratio", F.round("log_ratio", 6))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses and differences of wording of every document: a null or empty text has none."""
     return licenses.scan_licenses(_read(spark, sf_dir, "documents")).drop("found")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: texts without words have fingerprint zero and link like others."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of every document: a null text has no words and no hits."""
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_xxhash64")
 
 

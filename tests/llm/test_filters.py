@@ -1,6 +1,7 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -343,6 +344,23 @@ def test_templates_are_found_and_changes_counted():
     changed = licenses.TEMPLATES[0][1].replace("AUTHORS OR COPYRIGHT HOLDERS", "FOO INC")
     ((name, _, off, _),) = licenses.scan(licenses.blocks_of(changed))
     assert name == "MIT" and off == 4
+    two, three = (body for name, body in licenses.TEMPLATES if name in ("BSD-2-Clause", "BSD-3-Clause") and len(body) > 100)
+    for text, want in ((two, ["BSD-2-Clause"]), (three, ["BSD-3-Clause"]), (three + "\n" + two, ["BSD-2-Clause", "BSD-3-Clause"]), ("\n".join([two, three, two]), ["BSD-2-Clause", "BSD-3-Clause"])):
+        assert [(x[0], x[2]) for x in licenses.scan([text])] == [(n, 0) for n in want]
+    assert [x[0] for x in licenses.scan(["// SPDX-License-Identifier: GPL-2.0-or-later\n# spdx-license-identifier:\tMIT"])] == ["GPL-2.0", "MIT"]
+
+
+def test_one_page_of_a_hundred_thousand_words_is_quick():
+    body = licenses.TEMPLATES[0][1]
+    lines = "\n".join(f"Copyright (c) {y} Person {y}, permission is hereby granted" for y in range(12_000))
+    started = time.time()
+    assert [(x[0], x[2]) for x in licenses.scan([f"{lines}\n{body}\n{lines}"])] == [("MIT", 0)]
+    assert time.time() - started < 20
+
+
+def test_no_template_is_taken_for_another():
+    for name, body in licenses.TEMPLATES:
+        assert [(x[0], x[2]) for x in licenses.scan([f"foo bar {body} qux"])] == [(name, 0)]
     assert licenses.scan(licenses.blocks_of("we need permission to walk this dog")) == []
     assert licenses.wording_differences(["a", "b", "c"], ["x", "a", "c", "y"]) == 1
 
@@ -362,7 +380,8 @@ def test_license_scan_is_plain_search_on_the_table(spark, odd, empty):
 
 
 def long_line(rng, n, notice):
-    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n)]
+    letters, ends = "".join(map(chr, rng.integers(97, 123, 8 * n))), np.cumsum(rng.integers(2, 9, n)).tolist()
+    words = [letters[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     at = int(rng.integers(0, n))
     return " ".join([*words[:at], notice, *words[at:]])
 
@@ -385,7 +404,7 @@ def test_wrapped_notices_are_exact(width):
 
 
 def test_all_notices_of_a_block_are_found():
-    short = {name: body for name, body in licenses.TEMPLATES if len(body) < 150}
+    short = {name: body for name, body in licenses.TEMPLATES if len(body) < 150 and "SPDX" not in body}
     assert len(short) >= 6 and [x[0] for x in licenses.scan(licenses.blocks_of("\n".join(short.values())))] == sorted(short)
     every = "\n".join(body for _, body in licenses.TEMPLATES)
     assert [(x[0], x[2]) for x in licenses.scan([every])] == sorted({(name, 0) for name, _ in licenses.TEMPLATES})
@@ -402,7 +421,8 @@ def least_edits(template, block):
 
 def test_changed_notices_are_brute_force():
     rng = np.random.default_rng(9)
-    for name, body in licenses.TEMPLATES * 6:
+    families = [t for t in licenses.TEMPLATES if t[0] in ("MIT", "ISC", "Apache-2.0", "MPL-2.0", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense", "proprietary")]  # no two share wording
+    for name, body in families * 3:
         words = body.split()
         for _ in range(rng.integers(0, max(1, int(0.2 * len(words))) + 1)):
             at, how = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
@@ -412,6 +432,6 @@ def test_changed_notices_are_brute_force():
         for n, b in licenses.TEMPLATES:
             wanted = licenses.words_of(b)
             off = least_edits(wanted, licenses.words_of(text))
-            if off <= 0.15 * len(wanted):
+            if off <= int(0.15 * len(wanted)):
                 want[n] = min(want.get(n, (9.0, 0)), (off / len(wanted), off))
         assert {x[0]: x[2] for x in licenses.scan([text])} == {n: off for n, (_, off) in want.items()}, (name, text)
