@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where unset a temporary folder, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         inner = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not inner.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = inner.get() if inner.isDefined() else tempfile.mkdtemp(prefix="kinspark-")
         if not inner.isDefined():
             spark.sparkContext.setCheckpointDir(found)
