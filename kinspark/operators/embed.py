@@ -1,11 +1,13 @@
 """Embeddings of groups from their neighbour counts: a full softmax model and a Poisson factor model.
 
-The fitted matrices have one row per group.  Up to ``most_groups`` groups are fitted on the driver from their
-counted edges (a count of groups, never of members); new groups are projected row by row in Spark tasks.
+Counts stay in Spark, grouped by row (and by column for the Poisson model) and stored once.  A round is one job: the driver
+sends the parameters, groups x dimensions; tasks solve their own rows, some at a time, and sum what the columns need.  What
+comes back is groups x dimensions again, never counts or a groups x groups matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.sources.store import forget, stored
+
+#: Cells of a dense block of counts in a task.
+_CELLS = 2_000_000
+
 
 @dataclass
 class EmbeddingModel:
@@ -49,42 +56,131 @@ def add_mask_columns(edges: DataFrame, masked: DataFrame) -> DataFrame:
     )
 
 
-def count_matrix(edges: DataFrame, rows: list[str] | None = None, cols: list[str] | None = None, most_groups: int = 20_000) -> tuple[np.ndarray, list[str], list[str]]:
-    """Dense counts with named rows and columns; ``cols`` given: others are dropped and absent ones are zeros."""
-    check_counts(edges)
-    if rows is None:
-        rows = [r[0] for r in edges.select(F.col("src").cast("string")).distinct().orderBy("src").limit(most_groups + 1).collect()]
-    if cols is None:
-        cols = [r[0] for r in edges.select(F.col("dst").cast("string")).distinct().orderBy("dst").limit(most_groups + 1).collect()]
-    if max(len(rows), len(cols)) > most_groups:
+@dataclass
+class _Counts:
+    """Stored counts: ``frame`` has (i, at, w) for each row: its number, the numbers of its columns and their counts."""
+
+    frame: DataFrame
+    rows: int
+    cols: int
+    row_sums: np.ndarray
+    col_sums: np.ndarray
+
+    def blocks(self, f: Callable, *sent):
+        """Apply ``f`` in tasks to (numbers, dense counts) of some rows at a time and collect what it yields: (key, array).
+
+        Arrays with the same key are added up, those with the key -1 are rows' own and stay apart.
+        """
+        spark, cols = self.frame.sparkSession, self.cols
+        payload = spark.sparkContext.broadcast(sent)
+
+        def run(frames):
+            sums: dict[int, np.ndarray] = {}
+            for frame in frames:
+                step = max(1, _CELLS // max(1, cols))
+                for lo in range(0, len(frame), step):
+                    part = frame.iloc[lo : lo + step]
+                    a = np.zeros((len(part), cols))
+                    for n, (at, w) in enumerate(zip(part["at"], part["w"], strict=True)):
+                        a[n, at] = w
+                    for key, value in f(part["i"].to_numpy(), a, *payload.value):
+                        if key < 0:
+                            yield pd.DataFrame({"key": [-1], "data": [value.tobytes()]})
+                        else:
+                            sums[key] = value if key not in sums else sums[key] + value
+            yield pd.DataFrame({"key": list(sums), "data": [v.tobytes() for v in sums.values()]})
+
+        own, total = [], {}
+        for r in self.frame.select("i", "at", "w").mapInPandas(run, "key int, data binary").collect():
+            value = np.frombuffer(r.data)
+            if r.key < 0:
+                own.append(value)
+            else:
+                total[r.key] = value if r.key not in total else total[r.key] + value
+        payload.destroy()
+        return own, total
+
+    def solve(self, f: Callable, width: int, *sent) -> np.ndarray:
+        """(rows x width): ``f`` gives the values of some rows from (numbers, counts)."""
+
+        def own(i, a, *sent):
+            yield -1, np.column_stack([i.astype(float), f(i, a, *sent)]).ravel()
+
+        out = np.zeros((self.rows, width))
+        for part in self.blocks(own, *sent)[0]:
+            part = part.reshape(-1, width + 1)
+            out[part[:, 0].astype(int)] = part[:, 1:]
+        return out
+
+    def sums(self, f: Callable, *sent) -> dict[int, np.ndarray]:
+        """Sums over all rows of the arrays that ``f`` yields by key."""
+        return self.blocks(f, *sent)[1]
+
+
+def _names(edges: DataFrame, col: str, most_groups: int) -> list[str]:
+    found = [r[0] for r in edges.select(F.col(col).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").limit(most_groups + 1).collect()]
+    if len(found) > most_groups:
         raise ValueError(f"more than {most_groups} groups")
-    i, j = {r: n for n, r in enumerate(rows)}, {c: n for n, c in enumerate(cols)}
-    a = np.zeros((len(rows), len(cols)))
-    for r in edges.where("weight > 0").select(F.col("src").cast("string").alias("s"), F.col("dst").cast("string").alias("d"), "weight").toLocalIterator():
-        if r.s in i and r.d in j:
-            a[i[r.s], j[r.d]] += r.weight
-    return a, rows, cols
+    return found
 
 
-def svd_start(a: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray]:
-    """U and V scaled by the roots of the singular values of log(1 + a)."""
-    u, s, vt = np.linalg.svd(np.log1p(a), full_matrices=False)
-    z = min(z, len(s))
-    sign = np.where(u[np.abs(u).argmax(axis=0)[:z], np.arange(z)] < 0, -1.0, 1.0)
-    return u[:, :z] * np.sqrt(s[:z]) * sign, vt[:z].T * np.sqrt(s[:z]) * sign
+def count_rows(edges: DataFrame, both: bool = False, most_groups: int = 500_000) -> tuple[_Counts, _Counts | None, list[str], list[str]]:
+    """Stored counts by row, by column if ``both``, and the names of rows and columns in order.
 
-
-class _Adam:
-    def __init__(self, parts: list[np.ndarray], rate: float):
-        self.parts, self.rate, self.t = parts, rate, 0
-        self.m, self.s = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-
-    def step(self, grads: list[np.ndarray]) -> None:
-        self.t += 1
-        for p, g, m, s in zip(self.parts, grads, self.m, self.s, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
+    ``most_groups`` bounds what the driver holds and sends: names and parameters of groups.
+    """
+    check_counts(edges)
+    rows, cols = _names(edges, "src", most_groups), _names(edges, "dst", most_groups)
+    spark = edges.sparkSession
+
+    def numbered(names, col):
+        return spark.createDataFrame(pd.DataFrame({col: pd.Series(names, dtype=object), f"_{col}": np.arange(len(names))}), f"{col} string, _{col} int")
+
+    own = edges.where("weight > 0").select(F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("double").alias("w"))
+    at = own.join(F.broadcast(numbered(rows, "src")), "src").join(F.broadcast(numbered(cols, "dst")), "dst").groupBy("_src", "_dst").agg(F.sum("w").alias("w"))
+    at = stored(at, "counts")
+    totals = [np.zeros(len(rows)), np.zeros(len(cols))]
+    for total, col in zip(totals, ("_src", "_dst"), strict=True):
+        for r in at.groupBy(col).agg(F.sum("w").alias("w")).collect():
+            total[r[0]] = r.w
+    out = []
+    for i, j in (("_src", "_dst"), ("_dst", "_src"))[: 1 + both]:
+        n, m = (len(rows), len(cols)) if i == "_src" else (len(cols), len(rows))
+        packed = at.groupBy(F.col(i).alias("i")).agg(F.collect_list(j).alias("at"), F.collect_list("w").alias("w"))
+        # So many partitions that each has some dense blocks of work, and no more.
+        parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-n * m // (4 * _CELLS))))
+        packed = stored(packed.coalesce(parts) if parts == 1 else packed.repartition(parts), "rows")
+        mine, others = (totals[0], totals[1]) if i == "_src" else (totals[1], totals[0])
+        out.append(_Counts(packed, n, m, mine, others))
+    forget(at)
+    return out[0], out[1] if both else None, rows, cols
+
+
+def svd_start(counts: _Counts, z: int, seed: int = 4, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """U and V scaled by the roots of the singular values of log(1 + counts), by subspace iteration over the stored rows."""
+    z = min(z, counts.rows, counts.cols)
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(counts.cols, min(z + 10, counts.rows, counts.cols))))[0]
+
+    def times(i, a, v):
+        return np.log1p(a) @ v
+
+    def turned(i, a, q):
+        yield 0, (np.log1p(a).T @ q[i]).ravel()
+
+    for left in range(rounds, -1, -1):
+        q = np.linalg.qr(counts.solve(times, v.shape[1], v))[0]
+        b = counts.sums(turned, q).get(0, np.zeros(counts.cols * q.shape[1])).reshape(counts.cols, -1)
+        if left:
+            v = np.linalg.qr(b)[0]
+    right, s, left = np.linalg.svd(b, full_matrices=False)
+    u, s, v = (q @ left.T)[:, :z], s[:z], right[:, :z]
+    sign = np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
+    return u * np.sqrt(s) * sign, v * np.sqrt(s) * sign
+
+
+def _wide(x: np.ndarray, z: int) -> np.ndarray:
+    """``x`` with columns of zeros up to z."""
+    return x if x.shape[1] >= z else np.column_stack([x, np.zeros((len(x), z - x.shape[1]))])
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -98,139 +194,202 @@ def _settled(history: list[float], delta: float, patience: int) -> bool:
     return len(last) == patience + 1 and all(abs((b - a) / (abs(a) + 1e-9)) < delta for a, b in zip(last, last[1:], strict=False))
 
 
+def _ascend(u: np.ndarray, like: Callable, direction: Callable, rounds: int) -> np.ndarray:
+    """Newton steps of rows, each halved until the row's likelihood does not fall."""
+    every = np.arange(len(u))
+    for _ in range(rounds):
+        step, now, size = direction(u), like(u, every), np.ones(len(u))
+        worse = every
+        for _ in range(30):
+            worse = worse[like(u[worse] + size[worse, None] * step[worse], worse) < now[worse] - 1e-12]
+            if not len(worse):
+                break
+            size[worse] /= 2
+        else:
+            size[worse] = 0.0
+        u = u + size[:, None] * step
+    return u
+
+
+def _softmax_rows(a: np.ndarray, v: np.ndarray, b: np.ndarray, u: np.ndarray, rounds: int, ridge: float) -> np.ndarray:
+    """Rows of U that make their counts likeliest, V and b given; ``ridge`` a count keeps them finite."""
+    total = a.sum(axis=1)
+    own = ridge * total
+
+    def like(x, rows):
+        logits = x @ v.T + b
+        top = logits.max(axis=1)
+        return (a[rows] * logits).sum(axis=1) - total[rows] * (top + np.log(np.exp(logits - top[:, None]).sum(axis=1))) - own[rows] * (x * x).sum(axis=1) / 2
+
+    def direction(x):
+        p = _softmax(x @ v.T + b)
+        mean = p @ v
+        spread = np.einsum("ij,jk,jl->ikl", p, v, v, optimize=True) - mean[:, :, None] * mean[:, None, :]
+        h = total[:, None, None] * spread + (own[:, None, None] + 1e-9) * np.eye(v.shape[1])
+        return np.linalg.solve(h, ((a - total[:, None] * p) @ v - own[:, None] * x)[:, :, None])[:, :, 0]
+
+    return _ascend(u, like, direction, rounds)
+
+
 def fit_softmax(
-    edges: DataFrame, z_dim: int = 10, max_iter: int = 500, learning_rate: float = 0.05, init: str | np.ndarray = "svd", seed: int = 4, min_delta: float = 1e-4, patience: int = 5
+    edges: DataFrame, z_dim: int = 10, max_iter: int = 500, step: float = 1.0, init: str | np.ndarray = "svd", seed: int = 4, min_delta: float = 1e-4, patience: int = 5, ridge: float = 1e-3, inner: int = 3
 ) -> EmbeddingModel:
-    """P(j | i) = softmax(V u_i + b)_j, fitted to counts by full-batch Adam on the mean negative log-likelihood."""
-    a, rows, cols = count_matrix(edges)
+    """P(j | i) = softmax(V u_i + b)_j, fitted to counts; the loss is the mean negative log-likelihood.
+
+    By turns: every row's u is solved in its task by Newton steps (a row's problem is convex), then V and b take a step
+    along their summed gradient, scaled by each column's count and the second moments of the rows, and halved whenever the
+    penalised loss rose.  A round is one job.  Groups without counts keep their start.
+    """
+    counts, _, rows, cols = count_rows(edges)
     rng = np.random.default_rng(seed)
     if isinstance(init, np.ndarray) and init.shape == (len(rows), z_dim):
-        u, v = init.astype(float).copy(), svd_start(a, z_dim)[1]
+        u, v = init.astype(float).copy(), _wide(svd_start(counts, z_dim)[1], z_dim)
     elif isinstance(init, str) and init == "random":
         u, v = rng.uniform(-1, 1, (len(rows), z_dim)), rng.uniform(-1, 1, (len(cols), z_dim))
     elif isinstance(init, np.ndarray) or init == "svd":  # an array of another shape is no start
-        u, v = svd_start(a, z_dim)
+        u, v = (_wide(x, z_dim) for x in svd_start(counts, z_dim))
     else:
         raise ValueError(f"unknown start {init!r}")
-    u, v, b = u.copy(), v.copy(), np.zeros(len(cols))
-    out, n, total = _Adam([u, v, b], learning_rate), max(1.0, a.sum()), a.sum(axis=1, keepdims=True)
+    n, share = max(1.0, counts.row_sums.sum()), np.maximum(counts.col_sums, 0.5)
+    w = np.column_stack([v, np.log(share / n)])
+    keep = np.append(np.full(z_dim, ridge), 0.0)
+
+    def round_of(i, a, w, u):
+        v, b = w[:, :-1], w[:, -1]
+        x = _softmax_rows(a, v, b, u[i], inner, ridge)
+        yield -1, np.column_stack([i.astype(float), x]).ravel()
+        total, p = a.sum(axis=1), _softmax(x @ v.T + b)
+        one = np.column_stack([x, np.ones(len(x))])
+        yield 0, ((total[:, None] * p - a).T @ one).ravel()
+        yield 1, ((one * total[:, None]).T @ one).ravel()
+        yield 2, np.array([-(a * np.log(np.maximum(p, 1e-300))).sum(), ridge * (total * (x * x).sum(axis=1)).sum() / 2])
+
     history: list[float] = []
+    best = None  # (penalised loss, w, u, gradient, second moments) of the best round
     for _ in range(max_iter):
-        p = _softmax(u @ v.T + b)
-        history.append(float(-(a * np.log(np.maximum(p, 1e-300))).sum() / n))
-        if _settled(history, min_delta, patience):
+        own, sums = counts.blocks(round_of, w, u)
+        if not sums:
             break
-        g = (total * p - a) / n
-        out.step([g @ v, g.T @ u, g.sum(axis=0)])
-    return EmbeddingModel(rows, cols, u, v, b, history=history)
-
-
-def _rows_by_group(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")).groupBy("src").agg(F.collect_list(F.struct("dst", "weight")).alias("counts"))
+        for part in own:
+            part = part.reshape(-1, z_dim + 1)
+            u[part[:, 0].astype(int)] = part[:, 1:]
+        penalised = float(sums[2].sum() / n + (share / n) @ (w * w) @ keep / 2)
+        if best is None or penalised <= best[0] + 1e-12:
+            best = penalised, w, u.copy(), sums[0].reshape(len(cols), -1) / n, sums[1].reshape(z_dim + 1, -1) / n
+            history.append(float(sums[2][0] / n))
+        else:
+            step, u = step / 2, best[2].copy()
+            history.append(history[-1])
+        if _settled(history, min_delta, patience) or step < 1e-3:
+            break
+        grad = best[3] + best[1] * keep * (share / n)[:, None]
+        w = best[1] - step * np.linalg.solve(best[4] + ridge * np.eye(z_dim + 1), grad.T).T / (share / n)[:, None]
+    forget(counts.frame)
+    if best is not None:
+        w, u = best[1], best[2]
+    return EmbeddingModel(rows, cols, u, w[:, :-1], w[:, -1], history=history)
 
 
-def project_softmax(edges: DataFrame, model: EmbeddingModel, max_iter: int = 500, learning_rate: float = 0.05, seed: int = 42, min_delta: float = 1e-4, patience: int = 5) -> DataFrame:
-    """(clone, u) of new groups with V and b frozen.  Columns are matched by name; rows are fitted alone, in tasks."""
+def _projected(edges: DataFrame, model: EmbeddingModel, solve: Callable) -> DataFrame:
+    """(clone, u) of the rows of ``edges``; columns are matched by name, others are ignored.  Some rows at a time in tasks."""
     sent = edges.sparkSession.sparkContext.broadcast((model.cols, model.v, model.bias))
+    src = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    grouped = src.groupBy("src").agg(F.collect_list("dst").alias("at"), F.collect_list("weight").alias("w"))
 
     def run(frames):
         cols, v, b = sent.value
-        at = {c: j for j, c in enumerate(cols)}
+        place = {c: j for j, c in enumerate(cols)}
+        step = max(1, _CELLS // max(1, len(cols)))
         for frame in frames:
-            out = []
-            for name, counts in zip(frame["src"], frame["counts"], strict=True):
-                a = np.zeros((1, len(cols)))
-                for c in counts:
-                    if c["dst"] in at:
-                        a[0, at[c["dst"]]] += c["weight"]
-                u = np.random.default_rng([seed, *name.encode()]).normal(size=(1, v.shape[1])) * 1e-4
-                adam, n, history = _Adam([u], learning_rate), max(1.0, a.sum()), []
-                for _ in range(max_iter):
-                    p = _softmax(u @ v.T + b)
-                    history.append(float(-(a * np.log(np.maximum(p, 1e-300))).sum() / n))
-                    if _settled(history, min_delta, patience):
-                        break
-                    adam.step([((a.sum() * p - a) / n) @ v])
-                out.append((name, u[0].tolist()))
-            yield pd.DataFrame(out, columns=["clone", "u"])
-
-    return _rows_by_group(edges).mapInPandas(run, "clone string, u array<double>")
+            for lo in range(0, len(frame), step):
+                part = frame.iloc[lo : lo + step]
+                a = np.zeros((len(part), len(cols)))
+                for n, (at, w) in enumerate(zip(part["at"], part["w"], strict=True)):
+                    known = [(place[c], x) for c, x in zip(at, w, strict=True) if c in place]
+                    if known:
+                        np.add.at(a[n], [j for j, _ in known], [x for _, x in known])
+                yield pd.DataFrame({"clone": part["src"].to_numpy(), "u": solve(a, v, b).tolist()})
+
+    return grouped.mapInPandas(run, "clone string, u array<double>")
+
+
+def project_softmax(edges: DataFrame, model: EmbeddingModel, rounds: int = 25, ridge: float = 1e-3) -> DataFrame:
+    """(clone, u) of new groups with V and b frozen, as :func:`fit_softmax` solves its rows.
+
+    Columns are matched by name; rows are fitted alone, in tasks.  A group without a known column gets zeros.
+    """
+    return _projected(edges, model, lambda a, v, b: _softmax_rows(a, v, b, np.zeros((len(a), v.shape[1])), rounds, ridge))
 
 
 def _poisson_rows(a: np.ndarray, offset: np.ndarray, v: np.ndarray, u: np.ndarray, rounds: int, ridge: float = 1e-6) -> np.ndarray:
-    """Newton steps of every row's Poisson regression on v with an offset, each halved until the likelihood does not fall."""
+    """Newton steps of every row's Poisson regression on v with an offset."""
 
     def like(x, rows):
         eta = offset[rows] + x @ v.T
         return (a[rows] * eta - np.exp(np.minimum(eta, 50))).sum(axis=1) - ridge * (x * x).sum(axis=1) / 2
 
-    every = np.arange(len(a))
-    for _ in range(rounds):
-        mu = np.exp(np.minimum(offset + u @ v.T, 50))
-        g = (a - mu) @ v - ridge * u
-        h = np.einsum("ij,jk,jl->ikl", mu, v, v) + ridge * np.eye(v.shape[1])
-        step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        now, size = like(u, every), np.ones(len(a))
-        for _ in range(30):
-            worse = np.flatnonzero(like(u + size[:, None] * step, every) < now - 1e-12)
-            if not len(worse):
-                break
-            size[worse] /= 2
-        else:
-            size[worse] = 0.0
-        u = u + size[:, None] * step
-    return u
+    def direction(x):
+        mu = np.exp(np.minimum(offset + x @ v.T, 50))
+        h = np.einsum("ij,jk,jl->ikl", mu, v, v, optimize=True) + ridge * np.eye(v.shape[1])
+        return np.linalg.solve(h, ((a - mu) @ v - ridge * x)[:, :, None])[:, :, 0]
+
+    return _ascend(u, like, direction, rounds)
 
 
 def fit_poisson(edges: DataFrame, z_dim: int = 10, max_iter: int = 100, tol: float = 1e-4, col_size_factor: bool = True, row_intercept: bool = True, inner: int = 3, init: str = "svd", seed: int = 4) -> EmbeddingModel:
-    """A_ij ~ Poisson(exp(r_i + c_j + u_i . v_j)): row and column offsets from totals, u and v by turns."""
-    a, rows, cols = count_matrix(edges)
-    n, m = a.shape
-    total = max(1.0, a.sum())
-    r = np.log(np.maximum(a.sum(axis=1), 0.5)) if row_intercept else np.zeros(n)
-    c = np.log(np.maximum(a.sum(axis=0), 0.5) / total) if col_size_factor else np.zeros(m)
+    """A_ij ~ Poisson(exp(r_i + c_j + u_i . v_j)): row and column offsets from totals, u and v by turns.
+
+    With one side given, the rows of the other are regressions of their own and solved in tasks: a round is one job over the
+    counts by row and one over the counts by column.
+    """
+    by_row, by_col, rows, cols = count_rows(edges, both=True)
+    n, m = len(rows), len(cols)
+    total = max(1.0, by_row.row_sums.sum())
+    r = np.log(np.maximum(by_row.row_sums, 0.5)) if row_intercept else np.zeros(n)
+    c = np.log(np.maximum(by_row.col_sums, 0.5) / total) if col_size_factor else np.zeros(m)
     if not row_intercept and not col_size_factor:
         c = c + np.log(total / (n * m))
-    offset = r[:, None] + c[None, :]
     if init == "svd":
-        u, v = svd_start(a, z_dim)
-        u, v = u - u.mean(axis=0), v - v.mean(axis=0)
-        u, v = 0.1 * u, 0.1 * v
+        u, v = (0.1 * (x - x.mean(axis=0)) for x in svd_start(by_row, z_dim))
     else:
         rng = np.random.default_rng(seed)
         u, v = rng.normal(size=(n, z_dim)) * 0.01, rng.normal(size=(m, z_dim)) * 0.01
+    z = u.shape[1]
+
+    def solved(i, a, mine, other, x, y):
+        return _poisson_rows(a, mine[i][:, None] + other[None, :], y, x[i], inner)
+
+    def solved_with_loss(i, a, mine, other, x, y):
+        new = solved(i, a, mine, other, x, y)
+        eta = mine[i][:, None] + other[None, :] + new @ y.T
+        yield -1, np.column_stack([i.astype(float), new]).ravel()
+        yield 0, np.array([-(a * eta - np.exp(np.minimum(eta, 50))).sum()])
+
     history: list[float] = []
     for _ in range(max_iter):
-        eta = offset + u @ v.T
-        history.append(float(-(a * eta - np.exp(np.minimum(eta, 50))).sum() / total))
+        u = by_row.solve(solved, z, r, c, u, v)
+        own, sums = by_col.blocks(solved_with_loss, c, r, v, u)
+        for part in own:
+            part = part.reshape(-1, z + 1)
+            v[part[:, 0].astype(int)] = part[:, 1:]
+        history.append(float(sums.get(0, np.zeros(1))[0] / total))
         if len(history) > 1 and abs(history[-2] - history[-1]) < tol * (abs(history[-2]) + 1e-9):
             break
-        u = _poisson_rows(a, offset, v, u, inner)
-        v = _poisson_rows(a.T, offset.T, u, v, inner)
+    forget(by_row.frame, by_col.frame)
     # One form of the many with the same product: orthogonal columns, largest first.
-    p, s, qt = np.linalg.svd(u @ v.T, full_matrices=False)
-    z = u.shape[1]
-    sign = np.where(p[np.abs(p).argmax(axis=0)[:z], np.arange(z)] < 0, -1.0, 1.0)
-    return EmbeddingModel(rows, cols, p[:, :z] * np.sqrt(s[:z]) * sign, qt[:z].T * np.sqrt(s[:z]) * sign, c, r, history)
+    (qu, ru), (qv, rv) = np.linalg.qr(u), np.linalg.qr(v)
+    p, s, qt = np.linalg.svd(ru @ rv.T)
+    left, right = qu @ p, qv @ qt.T
+    sign = np.where(left[np.abs(left).argmax(axis=0), np.arange(z)] < 0, -1.0, 1.0)
+    return EmbeddingModel(rows, cols, left * np.sqrt(s) * sign, right * np.sqrt(s) * sign, c, r, history)
 
 
 def project_poisson(edges: DataFrame, model: EmbeddingModel, rounds: int = 25) -> DataFrame:
     """(clone, u) of new groups with v and column offsets frozen; mask columns that the model lacks are ignored."""
-    sent = edges.sparkSession.sparkContext.broadcast((model.cols, model.v, model.bias, model.row_bias is not None and bool(np.any(model.row_bias))))
+    intercept = model.row_bias is not None and bool(np.any(model.row_bias))
 
-    def run(frames):
-        cols, v, c, intercept = sent.value
-        at = {x: j for j, x in enumerate(cols)}
-        for frame in frames:
-            out = []
-            for name, counts in zip(frame["src"], frame["counts"], strict=True):
-                a = np.zeros((1, len(cols)))
-                for x in counts:
-                    if x["dst"] in at:
-                        a[0, at[x["dst"]]] += x["weight"]
-                r = np.log(max(a.sum(), 0.5)) if intercept else 0.0
-                u = _poisson_rows(a, r + c[None, :], v, np.zeros((1, v.shape[1])), rounds)
-                out.append((name, u[0].tolist()))
-            yield pd.DataFrame(out, columns=["clone", "u"])
-
-    return _rows_by_group(edges).mapInPandas(run, "clone string, u array<double>")
+    def solve(a, v, c):
+        r = np.log(np.maximum(a.sum(axis=1), 0.5)) if intercept else np.zeros(len(a))
+        return _poisson_rows(a, r[:, None] + c[None, :], v, np.zeros((len(a), v.shape[1])), rounds)
+
+    return _projected(edges, model, solve)

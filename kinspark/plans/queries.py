@@ -273,13 +273,14 @@ _SELF = f"{CELLS_SQL}, {knn_sql(_K, 'a.clone <> ' + repr('NA'), 'b.clone <> ' +
 
 
 def _graph(spark, sf):
-    c = cells(spark, sf)
-    return knn.group_graph(knn.neighbour_pairs(c, groups.group_sizes(c, min_size=1), _K))[0]
+    """The group graph, computed once for all branches of a plan that read it."""
+    return stored(clonal_nn_self(spark, sf), "graph")
 
 
 @query(f"with {_SELF} select * from g")
 def clonal_nn_self(spark, sf):
-    return _graph(spark, sf)
+    c = cells(spark, sf)
+    return knn.group_graph(knn.neighbour_pairs(c, groups.group_sizes(c, min_size=1), _K))[0]
 
 
 @query(f"""with {CELLS_SQL}, {knn_sql(_K, "a.clone <> 'NA' and a.cell % 5 = 0", "b.cell % 5 <> 0")}
@@ -543,22 +544,22 @@ def tracy_widom_test(spark, sf):
 
 @query()
 def skipgram(spark, sf):
-    return embed.fit_softmax(stored(_graph(spark, sf), "graph"), 5, max_iter=100).embedding(spark)
+    return embed.fit_softmax(_graph(spark, sf)).embedding(spark)
 
 
 @query()
 def poisson_embedding(spark, sf):
-    return embed.fit_poisson(stored(_graph(spark, sf), "graph"), 5, max_iter=20).embedding(spark)
+    return embed.fit_poisson(_graph(spark, sf)).embedding(spark)
 
 
 @query()
 def project_skipgram(spark, sf):
-    return embed.project_softmax(clonal_nn_ref(spark, sf), embed.fit_softmax(stored(_graph(spark, sf), "graph"), 5, max_iter=100), max_iter=200)
+    return embed.project_softmax(clonal_nn_ref(spark, sf), embed.fit_softmax(_graph(spark, sf)))
 
 
 @query()
 def project_poisson(spark, sf):
-    return embed.project_poisson(clonal_nn_ref(spark, sf), embed.fit_poisson(stored(_graph(spark, sf), "graph"), 5, max_iter=20))
+    return embed.project_poisson(clonal_nn_ref(spark, sf), embed.fit_poisson(_graph(spark, sf)))
 
 
 @query()
@@ -719,13 +720,13 @@ def clones_to_cells(spark, sf):
 @query(f"with {_SELF}, c as (select clone, avg(x[1]) as x, avg(x[2]) as y from cells where clone <> 'NA' group by 1) select src, dst, weight, round(a.x, 6) + 0.0 as x0, round(a.y, 6) + 0.0 as y0, round(b.x, 6) + 0.0 as x1, round(b.y, 6) + 0.0 as y1 from g join c a on a.clone = src join c b on b.clone = dst where weight > 0")
 def graph_edges(spark, sf):
     means = cells(spark, sf).where("clone <> 'NA'").groupBy(F.col("clone").alias("node")).agg(F.avg(F.col("x")[0]).alias("x"), F.avg(F.col("x")[1]).alias("y"))
-    out = graph.plot_edges(stored(_graph(spark, sf), "graph"), means)
+    out = graph.plot_edges(_graph(spark, sf), means)
     return out.select("src", "dst", "weight", *[(F.round(c, 6) + 0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query()
 def loss_history(spark, sf):
-    return plotdata.loss_changes(embed.fit_softmax(stored(_graph(spark, sf), "graph"), 5, max_iter=30).losses(spark))
+    return plotdata.loss_changes(embed.fit_softmax(_graph(spark, sf)).losses(spark))
 
 
 @query()

@@ -223,6 +223,44 @@ def test_embeddings_learn_and_project(spark):
     assert embed.fit_softmax(masked, 2, max_iter=3).v.shape == (13, 2)
 
 
+def test_softmax_rows_are_solved_and_projected_alike(spark):
+    a = np.random.default_rng(3).poisson(3.0, (20, 20)) + np.eye(20, dtype=int) * 5
+    e = edges_of(spark, a)
+    m = embed.fit_softmax(e, 3)
+    assert all(y <= x + 1e-9 for x, y in zip(m.history, m.history[1:], strict=False))
+
+    def loss(u):
+        p = np.exp(u @ m.v.T + m.bias)
+        p /= p.sum(axis=1, keepdims=True)
+        return -(a * np.log(p)).sum(axis=1) + 5e-4 * a.sum(axis=1) * (u * u).sum(axis=1)
+
+    got = np.array([r.u for r in embed.project_softmax(e, m).orderBy("clone").collect()])
+    rng = np.random.default_rng(1)
+    for _ in range(20):  # no step away makes any row likelier
+        assert (loss(got + rng.normal(size=got.shape) * 0.05) > loss(got)).all()
+    plain = -(a * np.log(a.sum(axis=0) / a.sum())).sum() / a.sum()
+    assert m.history[-1] < plain
+    start = rng.normal(size=(20, 3))
+    assert embed.fit_softmax(e, 3, init=start, max_iter=2).u.shape == start.shape and embed.fit_softmax(e, 3, init="random", max_iter=2).v.shape == (20, 3)
+
+
+def test_svd_start_is_the_singular_value_decomposition(spark):
+    a = np.random.default_rng(2).poisson(2.0, (15, 15))
+    counts, turned, rows, cols = embed.count_rows(edges_of(spark, a), both=True)
+    assert counts.row_sums.tolist() == a.sum(axis=1).tolist() and turned.row_sums.tolist() == a.sum(axis=0).tolist() and len(rows) == len(cols) == 15
+    u, v = embed.svd_start(counts, 3)
+    p, s, q = np.linalg.svd(np.log1p(a))
+    assert u @ v.T == pytest.approx(p[:, :3] * s[:3] @ q[:3], abs=1e-6)
+
+
+def test_poisson_rows_are_at_their_optimum(spark):
+    a = np.random.default_rng(4).poisson(4.0, (12, 12))
+    m = embed.fit_poisson(edges_of(spark, a), 2, tol=1e-9)
+    eta = m.row_bias[:, None] + m.bias[None, :] + m.u @ m.v.T
+    assert np.abs((a - np.exp(eta)) @ m.v).max() < 0.1 and np.abs((a - np.exp(eta)).T @ m.u).max() < 0.1
+    assert m.u.T @ m.u == pytest.approx(np.diag(np.diag(m.u.T @ m.u)), abs=1e-6)
+
+
 def test_tree_attributions_are_shapley_values():
     t = boost.Tree([1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [0, 1, -1, -1, -1], [0.5, 0.5, 0, 0, 0], [0, 0, 10.0, 2.0, 6.0], [10, 6, 4, 2, 4])
 
