@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
@@ -40,55 +42,41 @@ class Tree:
         walk(node)
         return cls(left, right, feature, threshold, value, cover)
 
-    def shap(self, row: np.ndarray, phi: np.ndarray) -> None:
-        """Add the path-dependent Shapley values of one row to phi.
-
-        A path is a list of (feature, share of cover that goes on without the feature, 1 or 0 whether the row goes on with
-        it, weights by subset size).
+    def leaves(self):
+        """(value, [(feature, low, high, share)]) of each leaf: the features of its path, each once, with the interval that leads
+        there, low < x <= high, and the share of cover that goes on without knowing the feature."""
+        todo = [(0, {})]
+        while todo:
+            at, path = todo.pop()
+            if self.left[at] < 0:
+                yield self.value[at], [(f, *v) for f, v in path.items()]
+                continue
+            f, t = self.feature[at], self.threshold[at]
+            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+            for child, bounds in ((self.left[at], (low, min(high, t))), (self.right[at], (max(low, t), high))):
+                todo.append((child, {**path, f: (*bounds, share * self.cover[child] / self.cover[at])}))
+
+    def shap(self, rows: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values (rows x features).
+
+        A leaf is a game of its own: it pays its value times, for each feature of its path, 1 or 0 if the feature is known and the
+        row goes there or not, and the share if it is not known.  The products over all sets of a size are the coefficients of
+        the polynomial in t of the factors share + t * known, taken for all rows at once.
         """
-        self._walk(0, row, phi, [], 1.0, 1.0, -1)
-
-    def _walk(self, at, row, phi, path, zero, one, feature):
-        path = _extend(path, zero, one, feature)
-        if self.left[at] < 0:
-            for i in range(1, len(path)):
-                w = sum(p[3] for p in _unwind(path, i))
-                phi[path[i][0]] += w * (path[i][2] - path[i][1]) * self.value[at]
-            return
-        f = self.feature[at]
-        hot, cold = (self.left[at], self.right[at]) if row[f] <= self.threshold[at] else (self.right[at], self.left[at])
-        iz = io = 1.0
-        k = next((i for i in range(1, len(path)) if path[i][0] == f), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        self._walk(hot, row, phi, path, iz * self.cover[hot] / self.cover[at], io, f)
-        self._walk(cold, row, phi, path, iz * self.cover[cold] / self.cover[at], 0.0, f)
-
-
-def _extend(path, zero, one, feature):
-    n = len(path)
-    out = [list(p) for p in path] + [[feature, zero, one, 1.0 if n == 0 else 0.0]]
-    for i in range(n - 1, -1, -1):
-        out[i + 1][3] += one * out[i][3] * (i + 1) / (n + 1)
-        out[i][3] = zero * out[i][3] * (n - i) / (n + 1)
-    return out
-
-
-def _unwind(path, k):
-    n = len(path) - 1
-    out, one, zero = [list(p) for p in path], path[k][2], path[k][1]
-    nxt = out[n][3]
-    for j in range(n - 1, -1, -1):
-        if one:
-            old = out[j][3]
-            out[j][3] = nxt * (n + 1) / ((j + 1) * one)
-            nxt = old - out[j][3] * zero * (n - j) / (n + 1)
-        else:
-            out[j][3] = out[j][3] * (n + 1) / (zero * (n - j))
-    for j in range(k, n):
-        out[j][:3] = out[j + 1][:3]
-    return out[:n]
+        out = np.zeros(rows.shape)
+        for value, path in self.leaves():
+            d = len(path)
+            known = [((rows[:, f] > low) & (rows[:, f] <= high)).astype(float) for f, low, high, _ in path]
+            weight = [math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d) for n in range(d)]
+            for j, (f, _, _, share) in enumerate(path):
+                sets = np.zeros((len(rows), d))
+                sets[:, 0] = 1.0
+                for k, (_, _, _, other) in enumerate(path):
+                    if k != j:
+                        sets[:, 1:] = sets[:, 1:] * other + sets[:, :-1] * known[k][:, None]
+                        sets[:, 0] *= other
+                out[:, f] += value * (known[j] - share) * (sets @ weight)
+        return out
 
 
 def fit_boosted(
@@ -172,28 +160,19 @@ def shap_values(rows: DataFrame, trees: list[tuple[float, Tree]], names: list[st
 
     def run(frames):
         for frame in frames:
-            ids, feature, value, out = [], [], [], []
-            for k, x in zip(frame[key], frame["x"], strict=True):
-                row, total = np.asarray(x, dtype=float), np.zeros(len(names))
-                for weight, tree in sent.value:
-                    phi = np.zeros(len(names))
-                    tree.shap(row, phi)
-                    total += weight * phi
-                ids += [k] * len(names)
-                feature += names
-                value += row.tolist()
-                out += total.tolist()
-            yield pd.DataFrame({key: ids, "feature": feature, "value": value, "shap": out})
+            x = np.array([np.asarray(v, dtype=float) for v in frame["x"]]).reshape(len(frame), len(names))
+            total = np.zeros(x.shape)
+            for weight, tree in sent.value:
+                total += weight * tree.shap(x)
+            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(names)), "feature": names * len(frame), "value": x.ravel(), "shap": total.ravel()})
 
     return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, feature string, value double, shap double")
 
 
 def shap_summary(shaps: DataFrame) -> DataFrame:
     """(response, feature, mean_shap, corr): mean absolute attribution, and its correlation with the feature's values."""
-    by = Window.partitionBy("response", "feature")
-    c = shaps.withColumn("a", F.col("value") - F.avg("value").over(by)).withColumn("b", F.col("shap") - F.avg("shap").over(by))
-    sums = c.groupBy("response", "feature").agg(F.avg(F.abs("shap")).alias("mean_shap"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return sums.select("response", "feature", "mean_shap", F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")).alias("corr"))
+    corr = F.try_divide(F.covar_pop("value", "shap"), F.stddev_pop("value") * F.stddev_pop("shap"))
+    return shaps.groupBy("response", "feature").agg(F.avg(F.abs("shap")).alias("mean_shap"), corr.alias("corr"))
 
 
 def shap_norm(shaps: DataFrame, key: str = "clone") -> DataFrame:

@@ -90,11 +90,22 @@ def densify(expr: DataFrame, obs: DataFrame, key: str = "cell") -> DataFrame:
 
 
 def regress_categories(dense: DataFrame, keys: list[str]) -> DataFrame:
-    """Values with the mean of each category taken off, one key after the other; rows must hold zeros too."""
+    """Values with the mean of each category taken off, one key after the other; rows must hold zeros too.
+
+    All means follow from the sums of each combination of categories, which are summed in one pass and are few; rows
+    only meet what is to be taken off.  Null is a category of its own.
+    """
     kinds = dict(dense.dtypes)
-    out = dense
     for key in keys:
         if kinds[key] in ("double", "float"):
             raise ValueError(f"{key} is numeric; categories are wanted")
-        out = out.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(key, "gene")))
-    return out
+    if not keys:
+        return dense
+    sums = dense.groupBy(*keys, "gene").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"), F.lit(0.0).alias("_off"))
+    for key in keys:
+        by = Window.partitionBy(key, "gene")
+        mean = F.try_divide(F.sum(F.col("_s") - F.col("_n") * F.col("_off")).over(by), F.sum("_n").over(by).cast("double"))
+        sums = sums.withColumn("_off", F.col("_off") + F.coalesce(mean, F.lit(0.0)))
+    off = sums.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "gene")], "_off")
+    same = [dense[k].eqNullSafe(off[f"_{k}"]) for k in (*keys, "gene")]
+    return dense.join(off, same).withColumn("value", F.col("value") - F.col("_off")).select(*dense.columns)

@@ -1,8 +1,8 @@
-"""Exact k nearest neighbours by blocks, and the group graph that they make.
+"""Exact and approximate k nearest neighbours, and the group graph that they make.
 
-Both sides are cut into blocks of some hundreds of rows; each pair of blocks is one matrix computation.
-A task keeps the best k rows of a query block over all blocks that it meets, a window the best k of all tasks.  No side has to fit in memory.
-Ties go to the lower id.
+An index of a checked size is sent to every task as one matrix, and queries never move.  A larger one is cut into blocks of some
+thousands of rows, as the queries are; each pair of blocks is one matrix computation, a task keeps the best k rows of a query block
+over all blocks that it meets, and a window the best k of all tasks.  No side has to fit in memory.  Ties go to the lower id.
 """
 
 from __future__ import annotations
@@ -59,26 +59,69 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarr
     return rows[keep], cols[keep], exact[keep]
 
 
-def _blocks(rows: DataFrame, name: str, block_rows: int, keys: list[str]) -> DataFrame:
-    """(keys, block, name: array of (id, x)) of about ``block_rows`` rows each."""
-    n = max(1, math.ceil(rows.count() / block_rows))
-    own = rows.where("x is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    return own.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "x")).alias(name)).withColumnRenamed("block", f"{name}_block")
+#: Bytes of an index that is sent to every task as a whole.
+MOST_SENT = 64 << 20
+#: Cells of a matrix of distances in a task.
+_CELLS = 4_000_000
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 512) -> DataFrame:
-    """(q, n, d, r) : for each row of ``queries`` (id, x) its k nearest rows of ``index``, r from 0.
+def _matrix(xs) -> np.ndarray:
+    return np.array([np.asarray(x, dtype=np.float64) for x in xs])
 
-    With ``by`` only rows with the same non-null value of that column are compared.  Fewer than k rows are all
-    neighbours.  Rows without a vector take no part.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str):
+    """:func:`nearest`, some rows of x at a time."""
+    step = max(1, _CELLS // max(1, len(y)))
+    parts = [nearest(x[at : at + step], y, k, metric) for at in range(0, len(x), step)]
+    return np.concatenate([i + n * step for n, (i, _, _) in enumerate(parts)]), np.concatenate([j for _, j, _ in parts]), np.concatenate([d for _, _, d in parts])
+
+
+def _sent_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None) -> DataFrame:
+    """Neighbours in an index that is sent to every task: queries stay where they are, and each is done at one go."""
+    kinds = dict(index.dtypes)
+    q_kind, n_kind = dict(queries.dtypes)["id"], kinds["id"]
+    own, cols = ([by] if by else []), ["id", "x"] + ([by] if by else [])
+
+    def pack(frames):
+        for f in frames:
+            for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
+                yield pd.DataFrame({"key": [None if key is None else str(key)], "ids": [part["id"].tolist()], "x": [_matrix(part["x"]).tobytes()]})
+
+    parts: dict[str | None, list] = {}
+    for r in index.where("x is not null").select(*cols).mapInPandas(pack, f"key string, ids array<{n_kind}>, x binary").collect():
+        parts.setdefault(r.key, []).append((np.array(r.ids, dtype=object), np.frombuffer(r.x).reshape(len(r.ids), -1)))
+    held = {}
+    for key, some in parts.items():
+        ids, x = np.concatenate([i for i, _ in some]), np.concatenate([x for _, x in some])
+        order = np.argsort(ids, kind="stable")
+        held[key] = ids[order], x[order]
+    sent = queries.sparkSession.sparkContext.broadcast(held)
+
+    def run(frames):
+        for f in frames:
+            for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
+                ids, y = sent.value.get(None if key is None else str(key), (None, None))
+                if ids is not None and len(part):
+                    i, j, d = _nearest(_matrix(part["x"]), y, k, metric)
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    yield pd.DataFrame({"q": part["id"].to_numpy(dtype=object)[i], "n": ids[j], "d": d, "r": rank})
+
+    return queries.where("x is not null").select(*cols).mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, r int")
+
+
+def _blocks(rows: DataFrame, name: str, n: int, keys: list[str]) -> DataFrame:
+    """(keys, block, ids, one flat array of all vectors) of ``n`` blocks."""
+    own = rows.where("x is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    packed = own.groupBy(*keys, "block").agg(F.collect_list("id").alias(f"{name}_id"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
+    return packed.withColumnRenamed("block", f"{name}_block")
+
+
+def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None, block_rows: int) -> DataFrame:
+    """Neighbours by pairs of blocks; every query block goes once to each index block."""
     keys = [by] if by else []
-    if by:
-        queries, index = queries.where(F.col(by).isNotNull()), index.where(F.col(by).isNotNull())
-    a, b = _blocks(queries, "qs", block_rows, keys), _blocks(index, "ns", block_rows, keys)
-    pairs = a.join(b, by) if by else a.crossJoin(b)
+    n_q, n_n = (max(1, math.ceil(x.count() / block_rows)) for x in (queries, index))
+    a, b = _blocks(queries, "q", n_q, keys), _blocks(index, "n", n_n, keys)
+    pairs = a.withColumn("n_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_n - 1).cast("long")))).join(b, [*keys, "n_block"])
     q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
 
     def best_of(parts):
@@ -92,23 +135,87 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
         # Pairs of one query block come one after the other: only their k best rows are sent on.
         block, parts = None, []
         for frame in frames:
-            for key, qs, ns in zip(frame["key"], frame["qs"], frame["ns"], strict=True):
+            for key, q_id, q_x, n_id, n_x in zip(frame["key"], frame["q_id"], frame["q_x"], frame["n_id"], frame["n_x"], strict=True):
                 if key != block:
                     if parts:
                         yield best_of(parts)
                     block, parts = key, []
-                q_id, n_id = [r["id"] for r in qs], np.array([r["id"] for r in ns], dtype=object)
-                order = np.argsort(n_id, kind="stable")
-                n_id = n_id[order]
-                x = np.array([np.asarray(r["x"], dtype=np.float64) for r in qs])
-                y = np.array([np.asarray(r["x"], dtype=np.float64) for r in ns])[order]
-                i, j, d = nearest(x, y, k, metric)
-                parts = [best_of([*parts, pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": n_id[j], "d": d})])]
+                order = np.argsort(np.array(n_id, dtype=object), kind="stable")
+                x, y = np.asarray(q_x, dtype=float).reshape(len(q_id), -1), np.asarray(n_x, dtype=float).reshape(len(n_id), -1)
+                i, j, d = _nearest(x, y[order], k, metric)
+                found = pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": np.array(n_id, dtype=object)[order][j], "d": d})
+                parts = [best_of([*parts, found])]
         if parts:
             yield best_of(parts)
 
-    key = F.concat_ws("|", F.col("qs_block").cast("string"), *([F.col(by).cast("string")] if by else []))
-    found = pairs.select(key.alias("key"), "qs", "ns").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
+    key = F.concat_ws("|", F.col("q_block").cast("string"), *([F.col(by).cast("string")] if by else []))
+    found = pairs.select(key.alias("key"), "q_id", "q_x", "n_id", "n_x").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")))
+    return ranked.where(F.col("r") <= k).withColumn("r", F.col("r") - 1)
+
+
+def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 4096, most_sent: int = MOST_SENT) -> DataFrame:
+    """(q, n, d, r) : for each row of ``queries`` (id, x) its k nearest rows of ``index``, r from 0.
+
+    With ``by`` only rows with the same non-null value of that column are compared.  Fewer than k rows are all
+    neighbours.  Rows without a vector take no part.  An index of up to ``most_sent`` bytes (counted first) is sent to
+    the tasks, a larger one is met block by block; both give the same rows.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    if by:
+        queries, index = queries.where(F.col(by).isNotNull()), index.where(F.col(by).isNotNull())
+    size = index.agg(F.coalesce(F.sum(F.greatest(F.size("x"), F.lit(0)) + 4), F.lit(0))).first()[0] * 8
+    return _sent_knn(queries, index, k, metric, by) if size <= most_sent else _block_knn(queries, index, k, metric, by, block_rows)
+
+
+def approximate_knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", lists: int = 256, probes: int = 32, sample_rows: int = 20_000, list_rows: int = 8192) -> DataFrame:
+    """(q, n, d, r) as :func:`knn`, but each query only meets the rows of the ``probes`` of ``lists`` lists nearest to it.
+
+    Centres of the lists are means of at most ``sample_rows`` rows with the least hashes; every row of the index is in the list of its
+    nearest centre, and a list of more than ``list_rows`` rows is cut into parts, so no list is gathered whole.  Distances
+    are exact; some neighbours may be missed, fewer with more probes.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    index, queries = index.where("x is not null"), queries.where("x is not null")
+    n = index.count()
+    share = int(min(1.0, sample_rows / max(1, n)) * (1 << 31))
+    some = index.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < share).select("id", "x").collect()
+    if not some:
+        return knn(queries, index, k, metric)
+    sample = _matrix(r.x for r in sorted(some, key=lambda r: str(r.id)))
+    centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)].copy()
+    for _ in range(8):
+        at = _nearest(sample, centres, 1, metric)[1]
+        for c in np.unique(at):
+            centres[c] = sample[at == c].mean(axis=0)
+    sent = index.sparkSession.sparkContext.broadcast(centres)
+
+    def listed(count):
+        def run(frames):
+            for f in frames:
+                if len(f):
+                    i, j, _ = _nearest(_matrix(f["x"]), sent.value, count, metric)
+                    yield pd.DataFrame({"id": f["id"].to_numpy()[i], "x": f["x"].to_numpy()[i], "list": j})
+
+        return run
+
+    fields = lambda df: f"id {dict(df.dtypes)['id']}, x array<double>, list int"
+    parts = max(1, math.ceil(n / max(1, len(centres)) / list_rows) * 2)
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    b = index.select("id", "x").mapInPandas(listed(1), fields(index)).groupBy("list", part.alias("part")).agg(F.collect_list("id").alias("n_id"), F.flatten(F.collect_list("x")).alias("n_x"))
+    a = queries.select("id", "x").mapInPandas(listed(probes), fields(queries)).groupBy("list", part.alias("q_part")).agg(F.collect_list("id").alias("q_id"), F.flatten(F.collect_list("x")).alias("q_x"))
+
+    def run(frames):
+        for frame in frames:
+            for q_id, q_x, n_id, n_x in zip(frame["q_id"], frame["q_x"], frame["n_id"], frame["n_x"], strict=True):
+                order = np.argsort(np.array(n_id, dtype=object), kind="stable")
+                y = np.asarray(n_x, dtype=float).reshape(len(n_id), -1)[order]
+                i, j, d = _nearest(np.asarray(q_x, dtype=float).reshape(len(q_id), -1), y, k, metric)
+                yield pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": np.array(n_id, dtype=object)[order][j], "d": d})
+
+    found = a.join(b, "list").select("q_id", "q_x", "n_id", "n_x").mapInPandas(run, f"q {dict(queries.dtypes)['id']}, n {dict(index.dtypes)['id']}, d double")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")))
     return ranked.where(F.col("r") <= k).withColumn("r", F.col("r") - 1)
 

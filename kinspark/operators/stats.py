@@ -35,16 +35,19 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
-def _centred(long: DataFrame, name: str, weights: DataFrame | None, method: str) -> DataFrame:
-    """(obs, name, w, c, ss) with c the centred value and ss the weighted sum of squares of the whole column."""
+def _centred(long: DataFrame, name: str, weights: DataFrame | None, method: str) -> tuple[DataFrame, DataFrame]:
+    """(obs, name, w, c) with c the centred value, and (name, ss) with the weighted sum of squares of each whole column.
+
+    Means are summed map-side and joined back, one row a column, so no column's rows meet in one task.
+    """
     if method == "spearman":
         long = long.withColumn("value", average_rank("value", [name]))
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     rows = long.withColumn("w", F.lit(1.0)) if weights is None else long.join(weights.select("obs", F.col("weight").cast("double").alias("w")), "obs")
-    by = Window.partitionBy(name)
-    rows = rows.withColumn("c", F.col("value") - F.sum(F.col("w") * F.col("value")).over(by) / F.sum("w").over(by))
-    return rows.select("obs", name, "w", "c", F.sum(F.col("w") * F.col("c") * F.col("c")).over(by).alias("ss"))
+    means = rows.groupBy(name).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
+    centred = rows.join(means, name).select("obs", name, "w", (F.col("value") - F.col("m")).alias("c"))
+    return centred, centred.groupBy(name).agg(F.sum(F.col("w") * F.col("c") * F.col("c")).alias("ss"))
 
 
 def _finish(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,28 +59,28 @@ def _finish(sums: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "r", "slope", t_pvalue("r", n_eff - 2).alias("pvalue"))
 
 
+def _products():
+    return F.sum(F.col("w") * F.col("cx") * F.col("cy")).alias("sxy"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")
+
+
 def correlate(x: DataFrame, y: DataFrame, method: str = "pearson", weights: DataFrame | None = None) -> DataFrame:
     """(gene, response, r, slope, pvalue) for all pairs of columns of x (obs, gene, value) and y (obs, response, value).
 
     Both need a row for each observation, zeros too.  ``weights`` (obs, weight) weigh means and sums of squares, the
     p-value has Kish's effective number of observations.  r is null for a constant column.
     """
-    a, b = _centred(x, "gene", weights, method), _centred(y, "response", weights, method)
-    both = a.select("obs", "gene", "w", F.col("c").alias("cx"), F.col("ss").alias("ssx")).join(b.select("obs", "response", F.col("c").alias("cy"), F.col("ss").alias("ssy")), "obs")
-    sums = both.groupBy("gene", "response").agg(
-        F.sum(F.col("w") * F.col("cx") * F.col("cy")).alias("sxy"), F.max("ssx").alias("sx"), F.max("ssy").alias("sy"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")
-    )
-    return _finish(sums, ["gene", "response"])
+    (a, sa), (b, sb) = _centred(x, "gene", weights, method), _centred(y, "response", weights, method)
+    both = a.select("obs", "gene", "w", F.col("c").alias("cx")).join(b.select("obs", "response", F.col("c").alias("cy")), "obs")
+    sums = both.groupBy("gene", "response").agg(*_products())
+    return _finish(sums.join(sa.withColumnRenamed("ss", "sx"), "gene").join(sb.withColumnRenamed("ss", "sy"), "response"), ["gene", "response"])
 
 
 def correlate_columns(x: DataFrame, y: DataFrame, method: str = "pearson", weights: DataFrame | None = None) -> DataFrame:
     """(gene, r, slope, pvalue): each column of x with the column of y of the same name."""
-    a, b = _centred(x, "gene", weights, method), _centred(y, "gene", weights, method)
-    both = a.select("obs", "gene", "w", F.col("c").alias("cx"), F.col("ss").alias("ssx")).join(b.select("obs", "gene", F.col("c").alias("cy"), F.col("ss").alias("ssy")), ["obs", "gene"])
-    sums = both.groupBy("gene").agg(
-        F.sum(F.col("w") * F.col("cx") * F.col("cy")).alias("sxy"), F.max("ssx").alias("sx"), F.max("ssy").alias("sy"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")
-    )
-    return _finish(sums, ["gene"])
+    (a, sa), (b, sb) = _centred(x, "gene", weights, method), _centred(y, "gene", weights, method)
+    both = a.select("obs", "gene", "w", F.col("c").alias("cx")).join(b.select("obs", "gene", F.col("c").alias("cy")), ["obs", "gene"])
+    sums = both.groupBy("gene").agg(*_products())
+    return _finish(sums.join(sa.withColumnRenamed("ss", "sx"), "gene").join(sb.withColumnRenamed("ss", "sy"), "gene"), ["gene"])
 
 
 def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out: str = "p_adj") -> DataFrame:
@@ -183,7 +186,7 @@ def morans_i(edges: DataFrame, x: DataFrame, n_obs: int | None = None, center: b
     edges, x = stored(edges, "edges"), stored(x, "values")
     n = n_obs if n_obs is not None else x.select("node").distinct().count()
     if center:
-        x = x.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("gene")))
+        x = x.join(x.groupBy("gene").agg(F.avg("value").alias("m")), "gene").select("node", "gene", (F.col("value") - F.col("m")).alias("value"))
     w = edges.agg(F.sum("weight").cast("double")).first()[0] or 0.0
     both = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").cast("double").alias("w")))
     s1 = 0.5 * (both.groupBy("src", "dst").agg(F.sum("w").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0)

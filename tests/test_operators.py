@@ -1,3 +1,4 @@
+from collections import Counter
 from itertools import combinations
 from math import factorial
 
@@ -71,10 +72,13 @@ def test_transform_refuses_unknown_names(spark):
         transform(F.lit(1.0), "cube")
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
 @pytest.mark.parametrize("metric", knn.METRICS)
-def test_knn_is_brute_force(spark, metric):
+def test_knn_is_brute_force(spark, metric, most):
     x, p = points(spark)
-    got = {(r.q, r.n) for r in knn.knn(p, p, 4, metric, block_rows=17).collect()}
+    rows = knn.knn(p, p, 4, metric, block_rows=17, most_sent=most).collect()
+    got = {(r.q, r.n) for r in rows}
+    assert Counter(r.r for r in rows) == dict.fromkeys(range(4), len(x))
     want = set()
     for i in range(len(x)):
         d = {"euclidean": ((x - x[i]) ** 2).sum(1), "manhattan": np.abs(x - x[i]).sum(1), "cosine": 1 - x @ x[i] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[i])}[metric]
@@ -92,11 +96,27 @@ def test_nearest_ranks_by_exact_distances_far_from_the_origin():
     assert np.array_equal(j.reshape(40, 7), want) and np.array_equal(i, np.repeat(np.arange(40), 7)) and np.allclose(d, np.take_along_axis(full, want, 1).ravel())
 
 
-def test_knn_ties_few_rows_and_nulls(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_knn_ties_few_rows_and_nulls(spark, most):
     p = frame(spark, [(3, [0.0]), (1, [0.0]), (2, [0.0]), (4, None)], "id long, x array<double>")
-    assert {r.q: r.n for r in knn.knn(p, p, 1).collect()} == {1: 1, 2: 1, 3: 1}
-    assert knn.knn(p, p, 10).count() == 9
-    assert knn.knn(p.where("id = 9"), p, 2).count() == 0
+    assert {r.q: r.n for r in knn.knn(p, p, 1, most_sent=most).collect()} == {1: 1, 2: 1, 3: 1}
+    assert knn.knn(p, p, 10, most_sent=most).count() == 9
+    assert knn.knn(p.where("id = 9"), p, 2, most_sent=most).count() == 0 and knn.knn(p, p.where("id = 9"), 2, most_sent=most).count() == 0
+    g = frame(spark, [(1, [0.0], "a"), (2, [0.1], "b"), (3, [0.2], "a"), (4, [0.3], None)], "id long, x array<double>, g string")
+    assert {(r.q, r.n) for r in knn.knn(g, g, 2, by="g", most_sent=most).collect()} == {(1, 1), (1, 3), (3, 1), (3, 3), (2, 2)}
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 8)) + rng.integers(0, 5, (3000, 1)) * 2
+    p = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    some = p.where("id % 50 = 0")
+    want = {(r.q, r.n) for r in knn.knn(some, p, 10).collect()}
+    rows = knn.approximate_knn(some, p, 10, lists=40, probes=12, list_rows=50).collect()
+    got = {(r.q, r.n) for r in rows}
+    assert len(rows) == len(got) == 600 and len(want & got) >= 0.9 * len(want)
+    assert {(r.q, r.n) for r in knn.approximate_knn(some, p, 10, lists=8, probes=8).collect()} == want
+    assert knn.approximate_knn(some, p.limit(0), 10).count() == 0
 
 
 def test_impute_edges(spark):
@@ -274,7 +294,7 @@ def test_tree_attributions_are_shapley_values():
 
     for row in ([0.2, 0.9, 0.0], [0.9, 0.1, 0.0], [0.1, 0.1, 5.0]):
         phi = np.zeros(3)
-        t.shap(np.array(row), phi)
+        phi += t.shap(np.array([row, row]))[1]
         want = np.zeros(3)
         for f in range(3):
             rest = [g for g in range(3) if g != f]
