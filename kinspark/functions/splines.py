@@ -16,19 +16,37 @@ def knots(x: np.ndarray, df: int, degree: int) -> np.ndarray:
 
 
 def basis(x: np.ndarray, t: np.ndarray, degree: int) -> np.ndarray:
-    """Values of all B-splines on the knots t at x by the Cox-de Boor recursion; the last one includes its right end."""
-    x = np.asarray(x, dtype=float)
-    last = np.flatnonzero(t[:-1] < t[1:])[-1]
-    b = np.array([(t[i] <= x) & ((x < t[i + 1]) | ((i == last) & (x == t[i + 1]))) for i in range(len(t) - 1)], dtype=float)
+    """Values of all B-splines on the knots t at x by the Cox-de Boor recursion; the last one includes its right end.
+
+    ``t`` holds the knots of all x, or has a row of knots for each.
+    """
+    x, t = np.asarray(x, dtype=float), np.atleast_2d(t)
+    wide = t.shape[1] - 1
+    filled = t[:, :-1] < t[:, 1:]
+    last = wide - 1 - filled[:, ::-1].argmax(axis=1)
+    b = [((t[:, i] <= x) & ((x < t[:, i + 1]) | ((last == i) & (x == t[:, i + 1])))).astype(float) for i in range(wide)]
     for p in range(1, degree + 1):
-        nxt = np.zeros((len(t) - 1 - p, len(x)))
-        for i in range(len(nxt)):
-            if t[i + p] > t[i]:
-                nxt[i] += (x - t[i]) / (t[i + p] - t[i]) * b[i]
-            if t[i + p + 1] > t[i + 1]:
-                nxt[i] += (t[i + p + 1] - x) / (t[i + p + 1] - t[i + 1]) * b[i + 1]
+        nxt = []
+        for i in range(wide - p):
+            up, down = t[:, i + p] - t[:, i], t[:, i + p + 1] - t[:, i + 1]
+            rise = np.divide(x - t[:, i], up, out=np.zeros(len(x)), where=np.broadcast_to(up > 0, len(x)))
+            fall = np.divide(t[:, i + p + 1] - x, down, out=np.zeros(len(x)), where=np.broadcast_to(down > 0, len(x)))
+            nxt.append(rise * b[i] + fall * b[i + 1])
         b = nxt
-    return b.T
+    return np.array(b).T
+
+
+def design(x: np.ndarray, t: np.ndarray, degree: int) -> np.ndarray:
+    """A constant and all splines but the first: they sum to one, so one of them makes way for the constant."""
+    return np.column_stack([np.ones(len(x)), basis(x, t, degree)[:, 1:]])
+
+
+def solve(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
+    """Least squares from summed products, and the rank of the design without its constant."""
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    value, vector = np.linalg.eigh(gram / scale / scale[:, None])
+    good = value > 1e-11 * value[-1]
+    return (vector[:, good] / value[good]) @ (vector[:, good].T @ (right / scale)) / scale, int(good.sum()) - 1
 
 
 def _binomial(design: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
@@ -61,11 +79,7 @@ def spline_fit(x: np.ndarray, y: np.ndarray, totals: np.ndarray | None = None, d
         return nan
     t = knots(x, df, degree)
 
-    def design(at):
-        # The splines sum to one, so one of them makes way for the constant.
-        return np.column_stack([np.ones(len(at)), basis(at, t, degree)[:, 1:]])
-
-    d = design(x)
+    d = design(x, t, degree)
     rank = np.linalg.matrix_rank(d) - 1
     try:
         if totals is None:
@@ -89,6 +103,6 @@ def spline_fit(x: np.ndarray, y: np.ndarray, totals: np.ndarray | None = None, d
             link = lambda v: 1 / (1 + np.exp(-np.clip(v, -700, 700)))
     except np.linalg.LinAlgError:
         return nan
-    fit, ends = link(d @ beta), link(design(np.array([x.max(), x.min()])) @ beta)
+    fit, ends = link(d @ beta), link(design(np.array([x.max(), x.min()]), t, degree) @ beta)
     stat = lrt if p_method == "lrt" else wald
     return {"r2": 1 - math.exp(-lrt / size), "amplitude": float(fit.max() - fit.min()), "slope": float(ends[0] - ends[1]), "pvalue": float(chi2_sf(stat, rank))}

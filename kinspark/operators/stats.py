@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from kinspark.functions import tails
-from kinspark.functions.splines import spline_fit
+from kinspark.functions.splines import design, solve
 from kinspark.sources.store import stored
 
 
@@ -117,21 +117,134 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out:
     return df.join(table.select("_p", F.least(F.lit(1.0), F.col("_q")).alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")
 
 
-def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5, degree: int = 3, p_method: str = "lrt") -> DataFrame:
-    """(gene, response, r2, amplitude, slope, pvalue) of a spline of each x column in a model of each y column.
+#: Observations of a pair up to which its knots are exact quantiles; beyond, ranks are right to one part in as many.
+_EXACT = 100_000
+_PAIR = ["gene", "response"]
+
+
+def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFrame:
+    """(gene, response, sums, low, high) of each task's rows (gene, response, x, y, total, t, beta): what one round of least squares needs.
 
-    One pair of columns is one small fit, with the observations of one pair in one task.
+    sums: the weighted products of the design with itself and with the working response, the weighted square of that, and the
+    log-likelihood at ``beta``; low and high: of the fit at ``beta``.  Binomial rows are reweighted at ``beta``, or start from
+    their smoothed share without one.
     """
-    both = x.select("obs", "gene", F.col("value").alias("x")).join(y.select("obs", "response", F.col("value").alias("y")), "obs")
-    both = both.withColumn("total", F.lit(None).cast("double")) if totals is None else both.join(totals.select("obs", F.col("total").cast("double").alias("total")), "obs")
-    binomial = totals is not None
+    k = df + 1
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("obs")
-        got = spline_fit(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["total"].to_numpy() if binomial else None, df, degree, p_method)
-        return pd.DataFrame([{"gene": key[0], "response": key[1], **{k: None if math.isnan(v) else v for k, v in got.items()}}])
+    def run(frames):
+        held: dict[tuple, list] = {}
+        for f in frames:
+            if not len(f):
+                continue
+            code, keys = pd.factorize(pd.MultiIndex.from_arrays([f["gene"], f["response"]]))
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(keys)))
+            x, y = f["x"].to_numpy(dtype=float)[order], f["y"].to_numpy(dtype=float)[order]
+            d = design(x, np.array([np.asarray(t) for t in f["t"]])[order], degree)
+            known = f["beta"].iloc[0] is not None
+            eta = (d * np.array([np.asarray(b) for b in f["beta"]])[order]).sum(axis=1) if known else np.zeros(len(x))
+            w, z, like, fit = np.ones(len(x)), y, np.zeros(len(x)), eta
+            if binomial:
+                total = f["total"].to_numpy(dtype=float)[order]
+                mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700))) if known else (total * y + 0.5) / (total + 1.0)
+                fit = mu = np.clip(mu, 1e-12, 1 - 1e-12)
+                spread = np.maximum(mu * (1 - mu), 1e-12)
+                like = total * (y * np.log(mu) + (1 - y) * np.log(1 - mu))
+                w, z = total * spread, np.log(mu / (1 - mu)) + (y - mu) / spread
+            both = np.column_stack([(d[:, :, None] * d[:, None, :] * w[:, None, None]).reshape(len(x), -1), d * (w * z)[:, None], w * z * z, like])
+            sums = np.add.reduceat(both, starts, axis=0)
+            low, high = np.minimum.reduceat(fit, starts), np.maximum.reduceat(fit, starts)
+            for key, *own in zip(keys, sums, low, high, strict=True):
+                if (old := held.get(key)) is None:
+                    held[key] = own
+                else:
+                    old[0], old[1], old[2] = old[0] + own[0], min(old[1], own[1]), max(old[2], own[2])
+            if len(held) > 50_000:
+                yield pd.DataFrame([(*key, v[0].tolist(), v[1], v[2]) for key, v in held.items()], columns=[*_PAIR, "sums", "low", "high"])
+                held = {}
+        yield pd.DataFrame([(*key, v[0].tolist(), v[1], v[2]) for key, v in held.items()], columns=[*_PAIR, "sums", "low", "high"])
+
+    parts = rows.select(*_PAIR, "x", "y", "total", "t", "beta").mapInPandas(run, "gene string, response string, sums array<double>, low double, high double")
+    wide = k * k + k + 2
+    summed = parts.groupBy(*_PAIR).agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(wide)], F.min("low").alias("low"), F.max("high").alias("high"))
+    return summed.select(*_PAIR, F.array(*[f"s{i}" for i in range(wide)]).alias("sums"), "low", "high")
+
+
+def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5, degree: int = 3, p_method: str = "lrt", max_rounds: int = 25) -> DataFrame:
+    """(gene, response, r2, amplitude, slope, pvalue) of a spline of each x column in a model of each y column.
 
-    return both.groupBy("gene", "response").applyInPandas(run, "gene string, response string, r2 double, amplitude double, slope double, pvalue double")
+    Knots are quantiles of each pair's observations.  A round of least squares is one pass in which tasks sum the products of
+    their rows' splines, some fifty numbers a pair; the small systems are solved on a row a pair.  Gaussian models take one round,
+    binomial ones (``totals``) reweight until the likelihood settles.  No pair's observations meet in one task.
+    """
+    both = x.select("obs", "gene", F.col("value").alias("x")).join(y.select("obs", "response", F.col("value").alias("y")), "obs")
+    both = both.withColumn("total", F.lit(1.0)) if totals is None else both.join(totals.select("obs", F.col("total").cast("double").alias("total")), "obs")
+    binomial, k = totals is not None, df + 1
+    shares = [float(q) for q in np.linspace(0, 1, df - degree + 2)[1:-1]]
+    counts = both.groupBy(*_PAIR).agg(F.count("*").alias("n"))
+    exact = (counts.agg(F.max("n")).first()[0] or 0) <= _EXACT
+    inner = F.percentile("x", F.array(*map(F.lit, shares))) if exact else F.percentile_approx("x", shares, _EXACT)
+    edge = F.sum(F.col("total") * F.col("y")).alias("wy")
+    pairs = both.groupBy(*_PAIR).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), inner.alias("inner"), F.avg("y").alias("mean"), F.sum("total").alias("w"), edge)
+    ends = lambda c: F.array_repeat(c, degree + 1)
+    pairs = stored(pairs.withColumn("t", F.concat(ends("x0"), "inner", ends("x1"))), "pairs")
+    good = pairs.where((F.col("n") >= df + 2) & (F.abs(F.col("x1") - F.col("x0")) > 1e-8 + 1e-5 * F.abs("x0")))
+    small = good.count() <= 500_000
+    near = F.broadcast if small else (lambda d: d)
+    fields = "gene string, response string, beta array<double>, rank int, like double"
+
+    def solved(frames):
+        for f in frames:
+            out = []
+            for gene, response, sums in zip(f["gene"], f["response"], f["sums"], strict=True):
+                sums = np.asarray(sums)
+                beta, rank = solve(sums[: k * k].reshape(k, k), sums[k * k : k * k + k])
+                out.append((gene, response, beta.tolist(), rank, sums[-1]))
+            yield pd.DataFrame(out, columns=["gene", "response", "beta", "rank", "like"])
+
+    def rows(betas):
+        of = good.select(*_PAIR, "t", "mean") if betas is None else good.select(*_PAIR, "t", "mean").join(betas.select(*_PAIR, "beta"), _PAIR)
+        own = both.join(near(of), _PAIR)
+        own = own if betas is not None else own.withColumn("beta", F.lit(None).cast("array<double>"))
+        return own if binomial else own.withColumn("y", F.col("y") - F.col("mean"))  # off the mean, so squares lose nothing
+
+    sums = stored(_pair_sums(rows(None), df, degree, binomial), "sums")
+    betas, last = stored(sums.mapInPandas(solved, fields), "betas"), None
+    for _ in range(max_rounds if binomial else 1):
+        sums = stored(_pair_sums(rows(betas), df, degree, binomial), "sums")
+        if not binomial:
+            break
+        like = sums.agg(F.sum(F.get("sums", F.lit(k * k + k + 1)))).first()[0]
+        if like is None or last is not None and abs(like - last) < 1e-10 * (abs(like) + 1e-10):
+            break
+        last, betas = like, stored(sums.mapInPandas(solved, fields), "betas")
+    first = good.select(*_PAIR, "n", "x0", "x1", "t", "w", "wy")
+    done = first.join(betas, _PAIR).join(sums, _PAIR)
+
+    def finish(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                s, beta = np.asarray(r.sums), np.asarray(r.beta)
+                gram, right = s[: k * k].reshape(k, k), s[k * k : k * k + k]
+                ends = design(np.array([r.x1, r.x0]), np.asarray(r.t), degree) @ beta
+                if binomial:
+                    base = min(max(r.wy / r.w, 1e-12), 1 - 1e-12)
+                    lrt, size = 2 * (s[-1] - r.w * (r.wy / r.w * math.log(base) + (1 - r.wy / r.w) * math.log(1 - base))), r.w
+                    cov = np.linalg.pinv(gram)[1:, 1:]
+                    wald, ends = float(beta[1:] @ np.linalg.pinv(cov) @ beta[1:]), 1 / (1 + np.exp(-np.clip(ends, -700, 700)))
+                else:
+                    tss, rss = s[-2], s[-2] - right @ beta
+                    if tss <= 0 or rss <= 1e-14 * tss:
+                        out.append((r.gene, r.response, None, None, None, None))
+                        continue
+                    lrt, size, wald = r.n * math.log(tss / rss), r.n, (tss - rss) / (rss / (r.n - r.rank - 1))
+                stat = lrt if p_method == "lrt" else wald
+                out.append((r.gene, r.response, 1 - math.exp(-lrt / size), r.high - r.low, float(ends[0] - ends[1]), float(tails.chi2_sf(stat, r.rank))))
+            yield pd.DataFrame(out, columns=[*_PAIR, "r2", "amplitude", "slope", "pvalue"])
+
+    fitted = done.mapInPandas(finish, "gene string, response string, r2 double, amplitude double, slope double, pvalue double")
+    return pairs.select(*_PAIR).join(fitted, _PAIR, "left")
 
 
 def associations(sources: dict[str, DataFrame], response: DataFrame, method: str = "pearson", adjust_by: str | None = "fdr_bh", binomial: bool = False, mask: DataFrame | None = None, concat_layers: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinspark.functions.splines import spline_fit
 from kinspark.functions.transforms import transform
 from kinspark.operators import anchors, boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
 
@@ -185,6 +186,27 @@ def test_constant_columns_have_no_correlation(spark):
     assert 0 < got["c1"].pvalue < 1e-5 and got["c1"].p_adj == got["c1"].pvalue
 
 
+@pytest.mark.parametrize("binomial", [False, True])
+@pytest.mark.parametrize("p_method", ["lrt", "wald"])
+def test_splines_summed_in_tasks_are_the_direct_fit(spark, binomial, p_method):
+    rng = np.random.default_rng(8)
+    n = 90
+    x = {"a": rng.normal(size=n), "b": rng.integers(0, 4, n).astype(float), "c": np.full(n, 2.0), "d": np.where(np.arange(n) < 4, 1.0, 0.0)}
+    total = rng.integers(5, 60, n)
+    share = 1 / (1 + np.exp(-(np.sin(x["a"]) + 0.3 * x["b"])))
+    y = {"p": rng.binomial(total, share) / total, "q": rng.binomial(total, 0.3) / total} if binomial else {"p": 100 + np.sin(2 * x["a"]) + rng.normal(size=n) / 5, "q": rng.normal(size=n)}
+    xs = frame(spark, [(i, g, float(v[i])) for g, v in x.items() for i in range(n)], "obs long, gene string, value double").repartition(5)
+    ys = frame(spark, [(i, r, float(v[i])) for r, v in y.items() for i in range(n)], "obs long, response string, value double")
+    totals = frame(spark, [(i, int(t)) for i, t in enumerate(total)], "obs long, total long") if binomial else None
+    got = {(r.gene, r.response): r for r in stats.gam(xs, ys, totals, p_method=p_method).collect()}
+    assert len(got) == 8
+    for (g, r), row in got.items():
+        want = spline_fit(x[g], y[r], total if binomial else None, p_method=p_method)
+        for name, v in want.items():
+            have = getattr(row, name)
+            assert (have is None) if np.isnan(v) else have == pytest.approx(v, rel=2e-4, abs=1e-6), (g, r, name)
+
+
 def test_layers_stack_or_stand_alone(spark):
     x = long(spark, np.random.default_rng(1).normal(size=(12, 2)), "gene")
     y = long(spark, np.random.default_rng(2).normal(size=(12, 1)), "response")
