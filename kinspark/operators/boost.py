@@ -42,6 +42,10 @@ class Tree:
         walk(node)
         return cls(left, right, feature, threshold, value, cover)
 
+    def mean(self) -> float:
+        """The mean value over what the tree has learnt from."""
+        return sum(v * c for v, c, leaf in zip(self.value, self.cover, self.left, strict=True) if leaf < 0) / self.cover[0]
+
     def leaves(self):
         """(value, [(feature, low, high, share)]) of each leaf: the features of its path, each once, with the interval that leads
         there, low < x <= high, and the share of cover that goes on without knowing the feature."""
@@ -79,6 +83,11 @@ class Tree:
         return out
 
 
+def trees_of(model) -> list[tuple[float, Tree]]:
+    """Weights and trees of a fitted Spark model of regression trees."""
+    return [(float(w), Tree.of(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+
+
 def fit_boosted(
     table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 4, learning_rate: float = 0.1, min_size: int = 3, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, dict]:
@@ -103,7 +112,7 @@ def fit_boosted(
         if validation:
             gbt = gbt.setValidationIndicatorCol("_val")
         model = models[response] = gbt.fit(own)
-        trees = [(float(w), Tree.of(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+        trees = trees_of(model)
         part = model.transform(rows).select(F.col(key), F.lit(response).alias("response"), y.alias("y"), F.col("prediction").alias("predicted"), F.col("_val").alias("validation"))
         predictions = part if predictions is None else predictions.unionByName(part)
         part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), trees, names, key).withColumn("response", F.lit(response))

@@ -334,6 +334,27 @@ def _smooth(steps: int):
 for _steps in (1, 2, 3):
     query(_smooth_sql(_steps))(_smooth(_steps))
 
+_HOPS = "h as (select src, dst from g where weight > 0 union select node, node from o)"
+
+
+@query(f"""with {_SELF}, o as (select clone as node, count(*)::double as n, max(cell % 5 = 0)::int::double as b from cells where clone <> 'NA' group by 1), {_HOPS},
+m as (select src as node, avg(n) as n, avg(b) as b from h join o on dst = node group by 1), z as (select src as node, avg(n) as n, avg(b) as b from h join m on dst = node group by 1)
+select node, 'n_cells' as name, round(n, 6) as value from z union all select node, 'fifth=true', round(b, 6) from z""")
+def smooth_obs(spark, sf):
+    # A number as it is, a category as the share of neighbours that have it.
+    own = cells(spark, sf).where("clone <> 'NA'").groupBy(F.col("clone").alias("node")).agg(F.count("*").cast("double").alias("n_cells"), F.max((F.col("cell") % 5 == 0).cast("double")).alias("fifth=true"))
+    return graph.smooth(_graph(spark, sf), own.unpivot("node", ["n_cells", "fifth=true"], "name", "value"), 2).select("node", "name", *r6("value"))
+
+
+@query(f"""with {_SELF}, o as (select clone as node, i - 1 as i, avg(x[i]) as value from (select clone, x, unnest(range(1, 65)) as i from cells where clone <> 'NA') group by 1, 2), {_HOPS},
+m as (select src as node, i, avg(value) as value from h join o on dst = node group by 1, 2)
+select node, 'x_' || i as name, round(value, 6) + 0.0 as value from m""")
+def smooth_obsm(spark, sf):
+    rows = cells(spark, sf).where("clone <> 'NA'").select(F.col("clone").alias("node"), F.posexplode("x").alias("i", "value"))
+    means = rows.groupBy("node", F.concat(F.lit("x_"), F.col("i").cast("string")).alias("name")).agg(F.avg("value").alias("value"))
+    return graph.smooth(_graph(spark, sf), means, 1).select("node", "name", (F.round("value", 6) + 0.0).alias("value"))
+
+
 _GROUPS = "u as (select distinct clone as node, 'm' || (cast(substr(clone, 2) as bigint) % 4) as grp from cells where clone <> 'NA'), s as (select grp, count(*) as size from u group by 1)"
 
 
@@ -425,6 +446,13 @@ for _kind in ("numeric", "categorical"):
         query(_impute_sql(_kind, _w))(_impute(_kind, _w))
 
 
+@query(f"""with {CELLS_SQL}, {knn_sql(10, 'a.cell % 9 = 0', 'b.cell % 9 <> 0')}, w as (select *, 1.0 / (d + 1e-12) as u from nn), z as (select q, n, u / sum(u) over (partition by q) as w from w)
+select q as cell, cell_type as cls, round(sum(w), 6) as prob from z join cells on cell = n group by 1, 2""")
+def impute_probabilities(spark, sf):
+    c = cells(spark, sf)
+    return knn.impute(c.withColumn("y", F.when(F.col("cell") % 9 == 0, None).otherwise(F.col("cell_type"))), "y", weights="linear")[1].select("cell", "cls", *r6("prob"))
+
+
 # --- statistics ---------------------------------------------------------------------------------------------
 
 
@@ -502,19 +530,33 @@ def morans_i(spark, sf):
     return stats.morans_i(_graph(spark, sf), values).select("gene", *r6("morans_i", "expected", "variance"), F.round("z", 4).alias("z"))
 
 
-@query()
+def _tail(source: str, df: str) -> str:
+    """CTEs p and a: two-sided p-values of the rows r, df of ``source`` by Simpson's rule over the t density, and their BH adjustment."""
+    area = "list_sum([(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(cos(({0}) * i / 2000), {1} - 1) for i in range(0, 2001)]) * ({0})"
+    return f"""w as (select distinct {df} as df from {source}), h as (select df, {area.format("pi() / 2", "df")} as whole from w),
+p as (select s.*, greatest(0.0, 1 - {area.format("asin(least(1.0, abs(s.r)))", "h.df")} / whole) as pvalue from {source} s join h on h.df = s.{df}),
+k as (select *, rank() over (order by pvalue) + count(*) over (partition by pvalue) - 1 as rk, count(*) over () as m from p),
+a as (select *, least(1.0, min(pvalue * m / rk) over (order by pvalue desc)) as p_adj from k)"""
+
+
+@query(f"""with {_XY}, s as (select gene, response, corr(x.v, y.v) as r, regr_slope(y.v, x.v) as slope, count(*) - 2.0 as df from x join y using (obs) group by 1, 2), {_tail("s", "df")}
+select 'all' as layer, gene, response, {_R}, round(pvalue, 6) as pvalue, round(p_adj, 6) as p_adj from a""")
 def association_pvalues(spark, sf):
     x, y = _xy(spark, sf)
-    return stats.associations({"all": x}, y).select("layer", "gene", "response", "r", "slope", "pvalue", "p_adj")
+    return stats.associations({"all": x}, y).select("layer", "gene", "response", *r6("r", "slope", "pvalue", "p_adj"))
 
 
-@query()
+@query(f"""with n as (select user_id, count(*) as n from events group by 1 having count(*) >= 3), f as (select distinct event_type as response from events where user_id in (select user_id from n)),
+c as (select n.user_id, response, n as w, n as x, (select count(*) from events e where e.user_id = n.user_id and e.event_type = response) / n as y from n, f),
+d as (select *, sum(w * x) over o / sum(w) over o as mx, sum(w * y) over o / sum(w) over o as my from c window o as (partition by response)),
+s as (select response, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * pow(x - mx, 2)) * sum(w * pow(y - my, 2))) as r, sum(w * (x - mx) * (y - my)) / sum(w * pow(x - mx, 2)) as slope, pow(sum(w), 2) / sum(w * w) - 2 as df from d group by 1),
+{_tail("s", "df")} select 'all' as layer, 'n_cells' as gene, response, {_R}, round(pvalue, 6) as pvalue, round(p_adj, 6) as p_adj from a""")
 def association_binomial(spark, sf):
     v = event_cells(spark, sf)
     k = groups.group_sizes(v)
     comp = groups.composition(v, k, "fate").select(F.col("clone").alias("obs"), F.col("fate").alias("response"), "n")
     x = k.select(F.col("clone").alias("obs"), F.lit("n_cells").alias("gene"), F.col("n_cells").cast("double").alias("value"))
-    return stats.associations({"all": x}, comp.withColumnRenamed("n", "value"), binomial=True)
+    return stats.associations({"all": x}, comp.withColumnRenamed("n", "value"), binomial=True).select("layer", "gene", "response", *r6("r", "slope", "pvalue", "p_adj"))
 
 
 @query()
@@ -622,6 +664,15 @@ def boosted_predictions(spark, sf):
     return _boosted(spark, sf)[0]
 
 
+@query(f"with {CELLS_SQL} select distinct clone, 'y1' as response, 0.0::double as gap from cells where clone <> 'NA'")
+def boosted_shap_sums(spark, sf):
+    # Attributions and the trees' mean add up to the prediction, row by row.
+    predictions, shaps, models = _boosted(spark, sf)
+    mean = sum(w * t.mean() for w, t in boost.trees_of(models["y1"]))
+    sums = shaps.groupBy("clone", "response").agg(F.sum("shap").alias("s")).join(predictions, ["clone", "response"])
+    return sums.select("clone", "response", (F.round(F.abs(F.col("s") + mean - F.col("predicted")), 6) + 0.0).alias("gap"))
+
+
 @query()
 def boosted_shap(spark, sf):
     return boost.correct_shap(boost.shap_summary(_boosted(spark, sf)[1]), normalize=True)
