@@ -222,13 +222,14 @@ def chains(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = 64) -> Data
     return made_of(plain.unionByName(across).unionByName(stars).distinct(), *kept, mixed)
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, fp) of ``docs``, h the text's hash, and (fp, n, component_id, first_id, first_h) of distinct fingerprints.
+def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int, with_hash: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, fp) of ``docs``, h the text's hash, and (fp, n, first) of distinct fingerprints.
 
-    first_id and first_h are of the first row of the component: the least id, null ids last, then the least h.
+    first is of the component's first row: its least id, or ``with_hash`` a struct (none, doc_id, h) of the least id, null ids
+    last, and the least h of that id.
     """
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h") if with_hash else F.col("doc_id")
     prints = stored(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
     edges = chains(prints, max_bits)
     found = connected_components(edges, "a", "b")
@@ -236,7 +237,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple
     # Only labels of more than one fingerprint need the first row of the whole component.
     whole = found.join(prints.select(F.col("fp").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("all"))
     placed = named.join(whole, named.label == whole.component, "left").select("fp", "n", F.coalesce("all", "first").alias("first"))
-    placed = stored(placed.select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "placed")
+    placed = stored(placed, "placed")
     forget(edges, found, prints)
     return marked, placed
 
@@ -258,8 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     No group is expanded into pairs of documents: the most frequent fingerprints (at most ``hot_share`` can have over one
     row in that many) get their component by a broadcast join, the others by a shuffle.
     """
-    out = _join_placed(*_placed(docs, id_col, text_col, max_bits), hot_share)
-    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = _join_placed(*_placed(docs, id_col, text_col, max_bits, False), hot_share)
+    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, most_broadcast: int = MOST_BROADCAST, hot_share: int = 10_000) -> DataFrame:
@@ -270,8 +271,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     very long texts follow the same rule; an empty table stays empty; extra columns are kept whatever their names.
     Texts don't move while the rows that go are few enough to broadcast (counted first); else they are shuffled once.
     """
-    marked, placed = _placed(docs, id_col, text_col, max_bits)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
+    marked, placed = _placed(docs, id_col, text_col, max_bits, True)
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     keys = _join_placed(marked, placed, hot_share).groupBy("doc_id", "h").agg(F.bool_and(same).alias("stays"), F.count("*").alias("n"))
     keys = stored(keys.where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "not-single")
     forget(marked, placed)
