@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +62,19 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, _BLANKS)), sum(map(text.count, _SYMBOLS)), dup, repeated_words(word_ids(words)[0])
 
 
-@lru_cache(maxsize=200_000)
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big")
+class _Hashes(dict):
+    """The hash of each word met; begins anew after ``most`` words, so memory is bounded."""
+
+    most = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big")
+        return found
+
+
+_HASHES = _Hashes()
 
 
 def ngram_buckets(text: str | None, bits: int) -> np.ndarray:
@@ -77,7 +86,7 @@ def ngram_buckets(text: str | None, bits: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     ids, distinct = word_ids(words)
-    h = np.fromiter(map(_word_hash, distinct), np.uint32, len(distinct))[ids]
+    h = np.fromiter(map(_HASHES.__getitem__, distinct), np.uint32, len(distinct))[ids]
     pair = (h[:-1] * np.uint32(0x85EBCA6B)) ^ (h[1:] + np.uint32(0x27D4EB2F))
     both = np.concatenate([h, pair]) * np.uint32(0x9E3779B1)
     return (both >> np.uint32(32 - bits)).astype(np.int64)
