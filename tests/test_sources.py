@@ -1,7 +1,12 @@
+from dataclasses import dataclass
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinspark.operators import embed
 from kinspark.sources import matrices
+from kinspark.sources.models import load_model, save_model
 from kinspark.streaming.counts import project_stream, windowed_sizes
 
 
@@ -46,3 +51,19 @@ def test_streams(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("count")).first()[0] == events.count()
+
+
+@dataclass
+class Other:
+    absent: int
+
+
+def test_models_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    model = embed.EmbeddingModel(["a", "b"], ["x", "ü"], rng.normal(size=(2, 3)), rng.normal(size=(2, 3)), rng.normal(size=2), None, [3.0, 2.5])
+    save_model(spark, model, f"{tmp_path}/m")
+    got = load_model(spark, embed.EmbeddingModel, f"{tmp_path}/m")
+    assert got.rows == model.rows and got.cols == model.cols and got.history == model.history and got.row_bias is None
+    assert np.array_equal(got.u, model.u) and np.array_equal(got.v, model.v) and np.array_equal(got.bias, model.bias)
+    with pytest.raises(ValueError):
+        load_model(spark, Other, f"{tmp_path}/m")
