@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinspark.llm import decontaminate, langid, licenses, qualityrules, urlfilter, weakquality
 from kinspark.llm.queries import URL_RULES
+from kinspark.sources.models import load_model, save_model
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -193,6 +194,17 @@ def test_regression_is_brute_force_kernel_ridge(small_docs):
         assert bits @ model.weights / np.sqrt(bits.sum()) == pytest.approx(want, abs=2e-3)
 
 
+def test_models_are_kept_as_they_are(spark, small_docs, tmp_path):
+    texts = [r.text for r in small_docs.limit(60).collect()]
+    for name, model, judge in (
+        ("language", langid.fit_language_model(small_docs), lambda m: m.predict(texts)),
+        ("quality", weakquality.fit_quality_model(small_docs), lambda m: m.scores(texts).tolist()),
+        ("ratio", qualityrules.fit_ratio(small_docs, small_docs.where("doc_id % 2 = 0")), lambda m: [m.score(t) for t in texts]),
+    ):
+        save_model(spark, model, f"{tmp_path}/{name}")
+        assert judge(load_model(spark, type(model), f"{tmp_path}/{name}")) == judge(model)
+
+
 def test_too_many_languages_are_an_error(small_docs):
     with pytest.raises(ValueError, match="languages"):
         langid.fit_language_model(small_docs, most_languages=3)
