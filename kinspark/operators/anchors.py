@@ -13,23 +13,13 @@ from pyspark.sql import functions as F
 
 from kinspark.operators.integrate import merge_order
 from kinspark.operators.knn import knn
+from kinspark.operators.products import summed_product
 from kinspark.sources.store import stored
 
 
 def _gram(rows: DataFrame, dim: int) -> np.ndarray:
     """Sum of x x' over rows (x)."""
-
-    def run(frames):
-        g = np.zeros((dim, dim))
-        for f in frames:
-            x = np.array(f["x"].tolist(), dtype=float).reshape(-1, dim)
-            g += x.T @ x
-        yield pd.DataFrame({"i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim), "s": g.ravel()})
-
-    out = np.zeros((dim, dim))
-    for r in rows.select("x").mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
-        out[r.i, r.j] = r.s
-    return out
+    return summed_product(rows, "x", "x", dim, dim)
 
 
 def _centred(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.knn import knn
+from kinspark.operators.products import summed_product
 from kinspark.sources.store import stored
 
 
@@ -118,15 +119,10 @@ def read_order(text: str) -> list[tuple[str, str, str]]:
 def _affine(pairs: DataFrame, dim: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Weighted least squares (x, 1) M = y from the sums of products over all pairs (x, y, weight)."""
     w = F.col("weight") if weighted else F.lit(1.0)
-    rows = pairs.select(F.concat("x", F.array(F.lit(1.0))).alias("a"), "y", w.alias("w"))
-    left = rows.select("w", F.posexplode("a").alias("i", "u"), "a", "y")
-    gram = left.select("i", F.posexplode("a").alias("j", "v"), (F.col("w") * F.col("u")).alias("wu")).groupBy("i", "j").agg(F.sum(F.col("wu") * F.col("v")).alias("s"))
-    cross = left.select("i", F.posexplode("y").alias("j", "v"), (F.col("w") * F.col("u")).alias("wu")).groupBy("i", "j").agg(F.sum(F.col("wu") * F.col("v")).alias("s"))
-    g, c = np.zeros((dim + 1, dim + 1)), np.zeros((dim + 1, dim))
-    for r in gram.collect():
-        g[r.i, r.j] = r.s
-    for r in cross.collect():
-        c[r.i, r.j] = r.s
+    one = F.concat("x", F.array(F.lit(1.0)))
+    rows = pairs.select(F.transform(one, lambda v: v * w.cast("double")).alias("wa"), F.concat(one, "y").alias("ay"))
+    both = summed_product(rows, "wa", "ay", dim + 1, 2 * dim + 1)
+    g, c = both[:, : dim + 1], both[:, dim + 1 :]
     m = np.linalg.lstsq(g, c, rcond=None)[0]
     return m[:-1], m[-1]
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.integrate import leaf_order, linkage
+from kinspark.operators.products import summed_product
 
 
 def top_bottom(df: DataFrame, value: str, n: int, label: str) -> DataFrame:
@@ -112,34 +113,33 @@ def predictors_difference(summary: DataFrame, a: str, b: str, n: int = 10) -> Da
 
 def dotplot(values: DataFrame, groups: DataFrame, cap: float = 5.0) -> DataFrame:
     """(grp, gene, mean_z, share): mean z-score capped above, and share of positive values, by group; dense rows (node, gene, value)."""
-    by = Window.partitionBy("gene")
-    z = F.least(F.lit(cap), F.coalesce(F.try_divide(F.col("value") - F.avg("value").over(by), F.stddev_samp("value").over(by)), F.lit(0.0)))
-    return values.withColumn("z", z).join(groups, "node").groupBy("grp", "gene").agg(F.avg("z").alias("mean_z"), F.avg((F.col("value") > 0).cast("double")).alias("share"))
+    of = values.groupBy("gene").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    z = F.least(F.lit(cap), F.coalesce(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), F.lit(0.0)))
+    return values.join(of, "gene").withColumn("z", z).join(groups, "node").groupBy("grp", "gene").agg(F.avg("z").alias("mean_z"), F.avg((F.col("value") > 0).cast("double")).alias("share"))
 
 
 def heatmap_order(values: DataFrame, most: int = 2000) -> list[str]:
     """Columns (names of (row, name, value)) from left to right by average linkage of their Euclidean distances.
 
-    Distances are summed in Spark; at most ``most`` columns.
+    Products of columns are summed where rows lie, distances follow from them; at most ``most`` columns.  Absent values are zeros.
     """
     names = [r[0] for r in values.select("name").distinct().orderBy("name").limit(most + 1).collect()]
     if len(names) > most:
         raise ValueError(f"more than {most} columns")
-    a, b = values.select("row", F.col("name").alias("p"), F.col("value").alias("u")), values.select("row", F.col("name").alias("q"), F.col("value").alias("v"))
-    d = np.zeros((len(names), len(names)))
-    at = {n: i for i, n in enumerate(names)}
-    for r in a.join(b, "row").where("p < q").groupBy("p", "q").agg(F.sqrt(F.sum((F.col("u") - F.col("v")) * (F.col("u") - F.col("v")))).alias("d")).collect():
-        d[at[r.p], at[r.q]] = d[at[r.q], at[r.p]] = r.d
+    at = values.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, at int")
+    packed = values.join(F.broadcast(at), "name").groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("value").cast("double")).alias("x"))
+    g = summed_product(packed, "x", "x", len(names), len(names), "at", "at")
+    own = np.diag(g)
+    d = np.sqrt(np.maximum(own[:, None] + own[None, :] - 2 * g, 0.0))
+    np.fill_diagonal(d, 0.0)
     return [names[i] for i in leaf_order(linkage(d, "average"), len(names))] if len(names) > 1 else names
 
 
 def performance(predictions: DataFrame, validation: bool | None = None) -> DataFrame:
     """(response, n, r): correlation of real and predicted values, on validation rows, training rows, or all."""
     rows = predictions if validation is None else predictions.where(F.col("validation") == validation)
-    by = Window.partitionBy("response")
-    c = rows.where("y is not null").withColumn("a", F.col("y") - F.avg("y").over(by)).withColumn("b", F.col("predicted") - F.avg("predicted").over(by))
-    sums = c.groupBy("response").agg(F.count("*").alias("n"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return sums.select("response", "n", F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")).alias("r"))
+    r = F.try_divide(F.covar_pop("y", "predicted"), F.stddev_pop("y") * F.stddev_pop("predicted"))
+    return rows.where("y is not null").groupBy("response").agg(F.count("*").alias("n"), r.alias("r"))
 
 
 def selected_share(cells: DataFrame, selected: DataFrame, label: str = "clone") -> DataFrame:

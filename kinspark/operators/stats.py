@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from kinspark.functions import tails
 from kinspark.functions.splines import design, solve
+from kinspark.operators.products import summed_product
 from kinspark.sources.store import stored
 
 
@@ -325,19 +326,22 @@ def graph_components(edges: DataFrame, x: DataFrame, n_pcs: int = 50, most_genes
     if len(genes) > most_genes:
         raise ValueError(f"more than {most_genes} genes")
     # W X first: one row per node and gene, so edges are joined once and not once for each pair of genes.
-    b = x.select(F.col("node").alias("dst"), "gene", "value")
-    wx = edges.join(b, "dst").groupBy(F.col("src").alias("node"), F.col("gene").alias("g2")).agg(F.sum(F.col("weight") * F.col("value")).alias("v"))
-    sums = x.join(wx, "node").groupBy("gene", "g2").agg(F.sum(F.col("value") * F.col("v")).alias("s"))
+    spark = x.sparkSession
     at = {g: i for i, g in enumerate(genes)}
-    s = np.zeros((len(genes), len(genes)))
-    for r in sums.collect():
-        s[at[r.gene], at[r.g2]] = r.s
+    places = spark.createDataFrame(list(at.items()), "gene string, at int")
+    b = x.select(F.col("node").alias("dst"), "gene", "value")
+    wx = edges.join(b, "dst").groupBy(F.col("src").alias("node"), "gene").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+
+    def packed(rows, name):
+        own = rows.join(F.broadcast(places), "gene").groupBy("node")
+        return own.agg(F.collect_list("at").alias(f"{name}_at"), F.collect_list(F.col("value").cast("double")).alias(name))
+
+    s = summed_product(packed(x, "x").join(packed(wx, "wx"), "node"), "x", "wx", len(genes), len(genes), "x_at", "wx_at")
     value, vector = np.linalg.eigh((s + s.T) / 2)
     order = np.argsort(-value)[: min(n_pcs, len(genes))]
     value, vector = value[order], vector[:, order]
     vector = vector * np.where(vector[np.abs(vector).argmax(axis=0), np.arange(vector.shape[1])] < 0, -1.0, 1.0)
     total = x.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
-    spark = x.sparkSession
     loadings = spark.createDataFrame([(g, j, float(vector[i, j])) for g, i in at.items() for j in range(vector.shape[1])], "gene string, pc int, value double")
     scores = x.join(F.broadcast(loadings.withColumnRenamed("value", "l")), "gene").groupBy("node", "pc").agg(F.sum(F.col("value") * F.col("l")).alias("value"))
     table = spark.createDataFrame([(j, float(v), float(v / total)) for j, v in enumerate(value)], "pc int, eigenvalue double, varexpl double")
@@ -382,16 +386,8 @@ def eigenvalue_test(points: DataFrame, flavor: str = "synthetic", n_simulations:
     for r in stats:
         mean[r.i], sd[r.i] = r.m, r.s
 
-    def gram(frames):
-        g = np.zeros((dim, dim))
-        for f in frames:
-            z = (np.array(f["x"].tolist(), dtype=float).reshape(-1, dim) - mean) / sd
-            g += z.T @ z
-        yield pd.DataFrame({"i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim), "s": g.ravel()})
-
-    total = np.zeros((dim, dim))
-    for r in points.select("x").mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
-        total[r.i, r.j] = r.s
+    unit = F.zip_with(F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda v, m: v - m), F.array(*[F.lit(float(v)) for v in sd]), lambda v, d: v / d)
+    total = summed_product(points.select(unit.alias("z")), "z", "z", dim, dim)
     stat = _statistic(np.sqrt(np.maximum(np.linalg.eigvalsh(total)[::-1], 0)), n, dim)
     bound = False
     if flavor == "asymptotic":
