@@ -78,41 +78,41 @@ def _nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str):
 
 def _sent_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None) -> DataFrame:
     """Neighbours in an index that is sent to every task: queries stay where they are, and each is done at one go."""
-    kinds = dict(index.dtypes)
-    q_kind, n_kind = dict(queries.dtypes)["id"], kinds["id"]
-    own, cols = ([by] if by else []), ["id", "x"] + ([by] if by else [])
+    q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
+    own, cols = ([by] if by else []), ["id", "x", "label"] + ([by] if by else [])
 
     def pack(frames):
         for f in frames:
             for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
-                yield pd.DataFrame({"key": [None if key is None else str(key)], "ids": [part["id"].tolist()], "x": [_matrix(part["x"]).tobytes()]})
+                yield pd.DataFrame({"key": [None if key is None else str(key)], "ids": [part["id"].tolist()], "labels": [part["label"].tolist()], "x": [_matrix(part["x"]).tobytes()]})
 
     parts: dict[str | None, list] = {}
-    for r in index.where("x is not null").select(*cols).mapInPandas(pack, f"key string, ids array<{n_kind}>, x binary").collect():
-        parts.setdefault(r.key, []).append((np.array(r.ids, dtype=object), np.frombuffer(r.x).reshape(len(r.ids), -1)))
+    for r in index.where("x is not null").select(*cols).mapInPandas(pack, f"key string, ids array<{n_kind}>, labels array<string>, x binary").collect():
+        parts.setdefault(r.key, []).append((np.array(r.ids, dtype=object), np.array(r.labels, dtype=object), np.frombuffer(r.x).reshape(len(r.ids), -1)))
     held = {}
     for key, some in parts.items():
-        ids, x = np.concatenate([i for i, _ in some]), np.concatenate([x for _, x in some])
+        ids, labels, x = (np.concatenate(v) for v in zip(*some, strict=True))
         order = np.argsort(ids, kind="stable")
-        held[key] = ids[order], x[order]
+        held[key] = ids[order], labels[order], x[order]
     sent = queries.sparkSession.sparkContext.broadcast(held)
 
     def run(frames):
         for f in frames:
             for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
-                ids, y = sent.value.get(None if key is None else str(key), (None, None))
+                ids, labels, y = sent.value.get(None if key is None else str(key), (None, None, None))
                 if ids is not None and len(part):
                     i, j, d = _nearest(_matrix(part["x"]), y, k, metric)
                     rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    yield pd.DataFrame({"q": part["id"].to_numpy(dtype=object)[i], "n": ids[j], "d": d, "r": rank})
+                    yield pd.DataFrame({"q": part["id"].to_numpy(dtype=object)[i], "n": ids[j], "d": d, "r": rank, "q_label": part["label"].to_numpy(dtype=object)[i], "n_label": labels[j]})
 
-    return queries.where("x is not null").select(*cols).mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, r int")
+    return queries.where("x is not null").select(*cols).mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, r int, q_label string, n_label string")
 
 
 def _blocks(rows: DataFrame, name: str, n: int, keys: list[str]) -> DataFrame:
-    """(keys, block, ids, one flat array of all vectors) of ``n`` blocks."""
+    """(keys, block, ids, labels behind an equals sign or empty for null, one flat array of all vectors) of ``n`` blocks."""
     own = rows.where("x is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    packed = own.groupBy(*keys, "block").agg(F.collect_list("id").alias(f"{name}_id"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
+    label = F.collect_list(F.coalesce(F.concat(F.lit("="), "label"), F.lit("")))
+    packed = own.groupBy(*keys, "block").agg(F.collect_list("id").alias(f"{name}_id"), label.alias(f"{name}_label"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
     return packed.withColumnRenamed("block", f"{name}_block")
 
 
@@ -135,7 +135,7 @@ def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: st
         # Pairs of one query block come one after the other: only their k best rows are sent on.
         block, parts = None, []
         for frame in frames:
-            for key, q_id, q_x, n_id, n_x in zip(frame["key"], frame["q_id"], frame["q_x"], frame["n_id"], frame["n_x"], strict=True):
+            for key, q_id, q_label, q_x, n_id, n_label, n_x in zip(*(frame[c] for c in ("key", "q_id", "q_label", "q_x", "n_id", "n_label", "n_x")), strict=True):
                 if key != block:
                     if parts:
                         yield best_of(parts)
@@ -143,20 +143,24 @@ def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: st
                 order = np.argsort(np.array(n_id, dtype=object), kind="stable")
                 x, y = np.asarray(q_x, dtype=float).reshape(len(q_id), -1), np.asarray(n_x, dtype=float).reshape(len(n_id), -1)
                 i, j, d = _nearest(x, y[order], k, metric)
-                found = pd.DataFrame({"q": np.array(q_id, dtype=object)[i], "n": np.array(n_id, dtype=object)[order][j], "d": d})
+                pick = lambda v: np.array(v, dtype=object)
+                found = pd.DataFrame({"q": pick(q_id)[i], "n": pick(n_id)[order][j], "d": d, "q_label": pick(q_label)[i], "n_label": pick(n_label)[order][j]})
                 parts = [best_of([*parts, found])]
         if parts:
             yield best_of(parts)
 
     key = F.concat_ws("|", F.col("q_block").cast("string"), *([F.col(by).cast("string")] if by else []))
-    found = pairs.select(key.alias("key"), "q_id", "q_x", "n_id", "n_x").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n")))
-    return ranked.where(F.col("r") <= k).withColumn("r", F.col("r") - 1)
+    found = pairs.select(key.alias("key"), "q_id", "q_label", "q_x", "n_id", "n_label", "n_x").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, q_label string, n_label string")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))).where(F.col("r") <= k)
+    whole = [F.when(F.col(c) != "", F.expr(f"substr({c}, 2)")).alias(c) for c in ("q_label", "n_label")]
+    return ranked.select("q", "n", "d", (F.col("r") - 1).alias("r"), *whole)
 
 
-def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 4096, most_sent: int = MOST_SENT) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 4096, most_sent: int = MOST_SENT, label: str | None = None) -> DataFrame:
     """(q, n, d, r) : for each row of ``queries`` (id, x) its k nearest rows of ``index``, r from 0.
 
+    With ``label``, a string column of both sides, also (q_label, n_label), so that no join has to find it afterwards.
+
     With ``by`` only rows with the same non-null value of that column are compared.  Fewer than k rows are all
     neighbours.  Rows without a vector take no part.  An index of up to ``most_sent`` bytes (counted first) is sent to
     the tasks, a larger one is met block by block; both give the same rows.
@@ -165,8 +169,10 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
         raise ValueError(f"unknown metric {metric!r}")
     if by:
         queries, index = queries.where(F.col(by).isNotNull()), index.where(F.col(by).isNotNull())
+    queries, index = (df.withColumn("label", F.col(label) if label else F.lit(None).cast("string")) for df in (queries, index))
     size = index.agg(F.coalesce(F.sum(F.greatest(F.size("x"), F.lit(0)) + 4), F.lit(0))).first()[0] * 8
-    return _sent_knn(queries, index, k, metric, by) if size <= most_sent else _block_knn(queries, index, k, metric, by, block_rows)
+    out = _sent_knn(queries, index, k, metric, by) if size <= most_sent else _block_knn(queries, index, k, metric, by, block_rows)
+    return out if label else out.drop("q_label", "n_label")
 
 
 def approximate_knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", lists: int = 256, probes: int = 32, sample_rows: int = 20_000, list_rows: int = 8192) -> DataFrame:
@@ -230,12 +236,14 @@ def neighbour_pairs(cells: DataFrame, clones: DataFrame, k: int = 15, split: str
     if split and ref is not None:
         raise ValueError("split and reference exclude each other")
     own = labelled(cells, "clone", na).join(clones.select("clone"), "clone", "left_semi")
-    cols = [F.col("cell").alias("id"), "x"] + ([F.col(split)] if split else [])
-    other, other_clones = (own, clones) if ref is None else (ref, ref_clones)
-    found = knn(own.select(*cols), other.select(*cols), k, metric, by=split)
-    src = own.select(F.col("cell").alias("src_cell"), F.col("clone").alias("src"))
-    dst = labelled(other, "clone", na).join(other_clones.select("clone"), "clone", "left_semi").select(F.col("cell").alias("dst_cell"), F.col("clone").alias("dst"))
-    return found.select(F.col("q").alias("src_cell"), F.col("n").alias("dst_cell")).join(src, "src_cell").join(dst, "dst_cell").select("src_cell", "src", "dst_cell", "dst")
+    cols = [F.col("cell").alias("id"), "x", "clone"] + ([F.col(split)] if split else [])
+    other = own
+    if ref is not None:  # neighbours are any rows of ref, and only those of its groups have a label
+        known = labelled(ref, "clone", na).select("cell", "x", "clone").join(ref_clones.select("clone", F.lit(True).alias("known")).distinct(), "clone", "left")
+        rest = ref.where(F.col("clone").isNull() | (F.col("clone") == na)).select("cell", "x", F.lit(None).cast("string").alias("clone"))
+        other = known.select("cell", "x", F.when(F.col("known"), F.col("clone")).alias("clone")).unionByName(rest)
+    found = knn(own.select(*cols), other.select(*cols), k, metric, by=split, label="clone")
+    return found.where("n_label is not null").select(F.col("q").alias("src_cell"), F.col("q_label").alias("src"), F.col("n").alias("dst_cell"), F.col("n_label").alias("dst"))
 
 
 def group_graph(pairs: DataFrame, masked: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
