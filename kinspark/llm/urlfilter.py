@@ -48,7 +48,7 @@ def expressions(urls: DataFrame, odd_lengths: list[int] | None) -> DataFrame:
 
 
 def filter_urls(
-    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, most_broadcast: int = 1_000_000, most_lengths: int = 64
+    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, most_broadcast: int = 32 << 20, most_lengths: int = 64
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
@@ -58,7 +58,7 @@ def filter_urls(
     :// has an empty host and path; no rule has an empty host.  Null ids and repeated rows have their rows.
     Rules are counted first: up to ``broadcast_rules`` they are broadcast and expressions are judged where pages lie; more
     are shuffled by the hash prefix, as are the expressions of each distinct host and path.  Only hosts and paths that a rule
-    fits go on, each once, and their verdicts are broadcast back up to ``most_broadcast`` (counted first).  Pages without
+    fits go on, each once, and their verdicts are broadcast back up to ``most_broadcast`` bytes (summed first).  Pages without
     a host meet nothing.  Rules whose paths end within a segment in more than ``most_lengths`` lengths try every length.
     """
     known = (
@@ -79,7 +79,8 @@ def filter_urls(
     urls = some.select("host", "path") if small else some.select("host", "path").distinct()
     fitting = expressions(urls, odd).join(F.broadcast(known) if small else known, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
     judged = stored(fitting.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.r_verdict"), "judged")
-    few = F.broadcast if judged.count() <= most_broadcast else (lambda x: x)
+    size = judged.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + F.octet_length("rule") + 64), F.lit(0))).first()[0]
+    few = F.broadcast if size <= most_broadcast else (lambda x: x)
     out = some.join(few(judged), ["host", "path"], "left").unionByName(bare.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("r_verdict")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("r_verdict", F.lit(default)).alias("verdict"))
 
