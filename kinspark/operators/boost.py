@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -21,8 +21,8 @@ class Tree:
         self.left, self.right, self.feature, self.threshold, self.value, self.cover = left, right, feature, threshold, value, cover
 
     @classmethod
-    def of(cls, node, label: int | None = None) -> Tree:
-        """From a fitted Spark tree node; numeric splits only.  ``label``: values are the share of that class."""
+    def of(cls, node) -> Tree:
+        """From a fitted Spark tree node; numeric splits only."""
         left, right, feature, threshold, value, cover = [], [], [], [], [], []
 
         def walk(x) -> int:
@@ -30,9 +30,8 @@ class Tree:
             for a in (left, right, feature):
                 a.append(-1)
             threshold.append(0.0)
-            stats = x.impurityStats()
-            value.append(float(x.prediction()) if label is None else float(stats.stats()[label]) / (sum(stats.stats()) or 1.0))
-            cover.append(float(stats.count()) if label is None else sum(stats.stats()))
+            value.append(float(x.prediction()))
+            cover.append(float(x.impurityStats().count()))
             if x.subtreeDepth() > 0:
                 feature[at], threshold[at] = x.split().featureIndex(), x.split().threshold()
                 left[at] = walk(x.leftChild())
@@ -141,26 +140,47 @@ def encode_categories(table: DataFrame, features: list[str], most_values: int =
     return out, names
 
 
-def fit_classes(table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, object]:
-    """One model of all responses as classes: each row stands once for each class, weighed by that response's value.
+def fit_classes(
+    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, learning_rate: float = 0.1, seed: int = 42
+) -> tuple[DataFrame, DataFrame, dict]:
+    """Boosted trees of all responses as classes: a row stands for each class, weighed by that response's value (null: 0).
 
-    Returns predictions (key, response, y, predicted, validation), predicted being the class's probability, and
-    attributions (key, response, feature, value, shap) of those probabilities.
+    Each class is boosted against the rest by logistic loss; its probability is its share of all classes' probabilities.
+    Returns predictions (key, response, y, predicted, validation), predicted being that probability, attributions (key,
+    response, feature, value, shap) of the log odds against the rest, and the fitted models.  ``validation``: boolean column;
+    its rows stop a fit early and take no part in it.  A class without weight among training rows has probability 0, no
+    attributions and no model; a table without any weight is an error.
     """
     flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
-    each = F.explode(F.array(*[F.struct(F.lit(float(i)).alias("c"), F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias("w")) for i, r in enumerate(responses)]))
-    train = rows.where(~F.col("_val")).select("_x", each.alias("e")).select("_x", F.col("e.c").alias("_c"), F.col("e.w").alias("_w")).where("_w > 0")
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_c", weightCol="_w", numTrees=n_trees, maxDepth=depth, seed=seed).fit(train)
-    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
-    predictions = shaps = None
+    weight = {r: F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in responses}
+    whole = sum(weight.values(), F.lit(0.0))
+    sums = rows.agg(F.count_if(F.col("_val") & (whole > 0)).alias("_held"), *[F.sum(F.when(~F.col("_val"), w)).alias(r) for r, w in weight.items()]).first()
+    models, scored = {}, rows
     for i, r in enumerate(responses):
-        part = scored.select(F.col(key), F.lit(r).alias("response"), F.col(r).cast("double").alias("y"), F.try_element_at("_p", F.lit(i + 1)).alias("predicted"), F.col("_val").alias("validation"))
-        predictions = part if predictions is None else predictions.unionByName(part)
-        trees = [(1.0 / len(model.trees), Tree.of(t._call_java("rootNode"), i)) for t in model.trees]
-        part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), trees, list(features), key).withColumn("response", F.lit(r))
+        if not (sums[r] or 0) > 0:
+            scored = scored.withColumn(f"_p{i}", F.lit(0.0))
+            continue
+        each = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), weight[r].alias("w")), F.struct(F.lit(0.0).alias("y"), (whole - weight[r]).alias("w"))))
+        own = rows.select("_x", "_val", each.alias("e")).select("_x", "_val", F.col("e.y").alias("_y"), F.col("e.w").alias("_w")).where("_w > 0")
+        gbt = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, seed=seed)
+        if sums["_held"]:
+            gbt = gbt.setValidationIndicatorCol("_val")
+        model = models[r] = gbt.fit(own)
+        model.setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
+        scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_prob")
+    if not models:
+        raise ValueError("no class has a weight above 0")
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("response"), F.col(r).cast("double").alias("y"), F.col(f"_p{i}").alias("p")) for i, r in enumerate(responses)]))
+    total = sum((F.col(f"_p{i}") for i in range(len(responses))), F.lit(0.0))
+    predictions = scored.select(F.col(key), each.alias("e"), total.alias("t"), F.col("_val").alias("validation"))
+    predictions = predictions.select(key, "e.response", "e.y", F.try_divide("e.p", "t").alias("predicted"), "validation")
+    shaps = None
+    for r, model in models.items():
+        # Spark's margin is half the log odds.
+        part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), [(2.0 * w, t) for w, t in trees_of(model)], list(features), key).withColumn("response", F.lit(r))
         shaps = part if shaps is None else shaps.unionByName(part)
-    return predictions, shaps, model
+    return predictions, shaps, models
 
 
 def shap_values(rows: DataFrame, trees: list[tuple[float, Tree]], names: list[str], key: str = "clone") -> DataFrame:

@@ -430,3 +430,25 @@ def test_classes_follow_their_feature(spark):
     assert got[0, "y0"] > 0.8 and got[9, "y0"] < 0.2 and got[0, "y0"] + got[0, "y1"] == pytest.approx(1)
     top = {(r.response, r.feature): r.mean_shap for r in boost.shap_summary(shap).collect()}
     assert top["y0", "a"] > top["y0", "k=v"]
+
+
+def test_boosted_classes_with_validation_add_up_and_skip_empty_ones(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, 2))
+    rows = [(i, float(a), float(b), float(a > 0), float(a <= 0 and b > 0), float(a <= 0 and b <= 0), 0.0, i % 3 == 0) for i, (a, b) in enumerate(x)]
+    rows.append((90, 0.5, 0.5, None, None, None, None, None))
+    table = frame(spark, rows, "clone long, a double, b double, y0 double, y1 double, y2 double, y3 double, val boolean")
+    pred, shap, models = boost.fit_classes(table, ["a", "b"], ["y0", "y1", "y2", "y3"], "val", n_trees=6, depth=2)
+    got = {(r.clone, r.response): r for r in pred.collect()}
+    assert len(got) == 91 * 4 and sorted(models) == ["y0", "y1", "y2"] and all(got[i, "y3"].predicted == 0 for i in range(91))
+    assert all(sum(got[i, f"y{c}"].predicted for c in range(4)) == pytest.approx(1) for i in range(91))
+    best = [max(range(3), key=lambda c: got[i, f"y{c}"].predicted) for i in range(0, 90, 3)]
+    assert np.mean([rows[i][3 + c] for i, c in zip(range(0, 90, 3), best, strict=True)]) > 0.85
+    # Attributions and the trees' mean are the log odds, whose shares are the probabilities.
+    odds = {(r.clone, r.response): r.s for r in shap.groupBy("clone", "response").agg(F.sum("shap").alias("s")).collect()}
+    mean = {c: sum(2 * w * t.mean() for w, t in boost.trees_of(m)) for c, m in models.items()}
+    for i in range(91):
+        p = {c: 1 / (1 + np.exp(-(odds[i, c] + mean[c]))) for c in models}
+        assert all(got[i, c].predicted == pytest.approx(p[c] / sum(p.values()), abs=1e-6) for c in models)
+    with pytest.raises(ValueError):
+        boost.fit_classes(table, ["a", "b"], ["y3"])
