@@ -21,7 +21,7 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 URLS = [
     None, "", "x", "http://", "http://net", "http://NET/", "https://a.b.Example.NET/en/x?y#z", "http://xnet/", "http://example.net/en", "http://a.example.com/de/",
     "http://example.com/DE/", "http://x.odd.com/abc", "http://x.odd.com/a", "http://é.net/ü", "http://a..net//", "http://user@net/", "http://net:80/", "://org/fr/",
-    "a\nb://org/fr/\nx", "http://org?x/fr/", "http://.net/", "http://net./", "http://a.net#/en/", "x://y://net/", "http://net/" + "a/" * 300,
+    "http://bexample.com/de/", "http://.example.com/de/", "a\nb://org/fr/\nx", "http://org?x/fr/", "http://.net/", "http://net./", "http://a.net#/en/", "x://y://net/", "http://net/" + "a/" * 300,
 ]
 
 
@@ -43,6 +43,15 @@ def test_urls_are_brute_force(spark, most):
     assert {r.verdict for r in urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, rules).limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_urls_with_very_many_labels_and_slashes(spark, most):
+    rules, n = [*URL_RULES, ("block", "odd.com", "/ab")], 200_000
+    urls = ["http://" + "a." * n + "net/" + "b/" * n, "http://" + "a." * n + "example.com/de/" + "b/" * n, "http://" + "a" * n + "example.com/de/", "http://odd.com/ab" + "b" * n, "http://" + "net/" * n]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, rules), broadcast_rules=most, most_broadcast=most, most_lengths=most)
+    assert {tuple(r) for r in got.collect()} == {(i, *judged(u, rules)) for i, u in enumerate(urls)}
+
+
 def test_the_stricter_of_equal_rules_wins(spark):
     pages = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     rules = urlfilter.rules_frame(spark, [("allow", "a.b", "/"), ("block", "A.b", "/")])
