@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,31 +90,37 @@ def trees_of(model) -> list[tuple[float, Tree]]:
     return [(float(w), Tree.of(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
 
+def _fitted(spark: SparkSession, fit: Callable, names: list[str], parallelism: int) -> dict:
+    """``fit`` of each name, at most ``parallelism`` at a time as each is a chain of small jobs; names without a model are left out."""
+    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
+        return {n: m for n, m in zip(names, pool.map(inheritable_thread_target(spark)(fit), names), strict=True) if m is not None}
+
+
 def fit_boosted(
-    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 4, learning_rate: float = 0.1, min_size: int = 3, seed: int = 42
+    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 4, learning_rate: float = 0.1, min_size: int = 3, seed: int = 42, parallelism: int = 4
 ) -> tuple[DataFrame, DataFrame, dict]:
     """One boosted regression per response.  Returns predictions (key, response, y, predicted, validation), attributions (key,
     response, feature, value, shap) and the fitted models.
 
     ``validation``: boolean column; its rows stop a fit early and take no part in it.  Responses with fewer than ``min_size``
-    values other than 0 among training rows, or validation rows, are left out.
+    values other than 0 among training rows, or validation rows, are left out.  Up to ``parallelism`` responses are fitted at once.
     """
     flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
-    predictions = shaps = None
-    models = {}
     names = list(features)
-    for response in responses:
-        y = F.col(response).cast("double")
-        own = rows.withColumn("_y", y).where(y.isNotNull())
+
+    def fit(response):
+        own = rows.withColumn("_y", F.col(response).cast("double")).where(F.col("_y").isNotNull())
         sizes = own.agg(F.count_if((F.col("_y") != 0) & ~F.col("_val")).alias("a"), F.count_if((F.col("_y") != 0) & F.col("_val")).alias("b")).first()
         if sizes.a < min_size or (validation and sizes.b < min_size):
-            continue
+            return None
         gbt = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, seed=seed)
-        if validation:
-            gbt = gbt.setValidationIndicatorCol("_val")
-        model = models[response] = gbt.fit(own)
-        trees = trees_of(model)
+        return (gbt.setValidationIndicatorCol("_val") if validation else gbt).fit(own)
+
+    models = _fitted(table.sparkSession, fit, responses, parallelism)
+    predictions = shaps = None
+    for response, model in models.items():
+        y, trees = F.col(response).cast("double"), trees_of(model)
         part = model.transform(rows).select(F.col(key), F.lit(response).alias("response"), y.alias("y"), F.col("prediction").alias("predicted"), F.col("_val").alias("validation"))
         predictions = part if predictions is None else predictions.unionByName(part)
         part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), trees, names, key).withColumn("response", F.lit(response))
@@ -141,7 +150,7 @@ def encode_categories(table: DataFrame, features: list[str], most_values: int =
 
 
 def fit_classes(
-    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, learning_rate: float = 0.1, seed: int = 42
+    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, learning_rate: float = 0.1, seed: int = 42, parallelism: int = 4
 ) -> tuple[DataFrame, DataFrame, dict]:
     """Boosted trees of all responses as classes: a row stands for each class, weighed by that response's value (null: 0).
 
@@ -149,24 +158,28 @@ def fit_classes(
     Returns predictions (key, response, y, predicted, validation), predicted being that probability, attributions (key,
     response, feature, value, shap) of the log odds against the rest, and the fitted models.  ``validation``: boolean column;
     its rows stop a fit early and take no part in it.  A class without weight among training rows has probability 0, no
-    attributions and no model; a table without any weight is an error.
+    attributions and no model; a table without any weight is an error.  Up to ``parallelism`` classes are fitted at once.
     """
     flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
     weight = {r: F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in responses}
     whole = sum(weight.values(), F.lit(0.0))
     sums = rows.agg(F.count_if(F.col("_val") & (whole > 0)).alias("_held"), *[F.sum(F.when(~F.col("_val"), w)).alias(r) for r, w in weight.items()]).first()
-    models, scored = {}, rows
-    for i, r in enumerate(responses):
+
+    def fit(r):
         if not (sums[r] or 0) > 0:
-            scored = scored.withColumn(f"_p{i}", F.lit(0.0))
-            continue
+            return None
         each = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), weight[r].alias("w")), F.struct(F.lit(0.0).alias("y"), (whole - weight[r]).alias("w"))))
         own = rows.select("_x", "_val", each.alias("e")).select("_x", "_val", F.col("e.y").alias("_y"), F.col("e.w").alias("_w")).where("_w > 0")
         gbt = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, seed=seed)
-        if sums["_held"]:
-            gbt = gbt.setValidationIndicatorCol("_val")
-        model = models[r] = gbt.fit(own)
+        return (gbt.setValidationIndicatorCol("_val") if sums["_held"] else gbt).fit(own)
+
+    models, scored = _fitted(table.sparkSession, fit, responses, parallelism), rows
+    for i, r in enumerate(responses):
+        if r not in models:
+            scored = scored.withColumn(f"_p{i}", F.lit(0.0))
+            continue
+        model = models[r]
         model.setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
         scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_prob")
     if not models:

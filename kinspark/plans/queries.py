@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspark.functions.transforms import transform
@@ -611,7 +611,9 @@ def align(spark, sf):
     return integrate.align(points, edges, order)
 
 
-@query()
+@query(f"""{_mnn_all()}, v as (select least(a.batch, b.batch) as p, greatest(a.batch, b.batch) as q, count(*) as s from m join cells a on a.cell = src join cells b on b.cell = dst group by 1, 2),
+f as (select p, q from v order by s desc, p, q limit 1), o as (select unnest(['b0', 'b1', 'b2']) as r)
+select format('[{{0}}] + [{{1}}] = [({{0}}+{{1}})]; [{{2}}] + [({{0}}+{{1}})] = [({{2}}+({{0}}+{{1}}))];', p, q, r) as merges from f, o where r not in (p, q)""")
 def merge_order(spark, sf):
     order = integrate.find_mnn(cells(spark, sf).select(F.col("cell").alias("id"), "batch", "x"))[1]
     return spark.createDataFrame([(integrate.write_order(order),)], "merges string")
@@ -623,18 +625,18 @@ def _gene_points(spark, sf):
 
 @query()
 def anchors_cca(spark, sf):
-    return anchors.find_anchors(_gene_points(spark, sf), n_comps=8)
+    return anchors.find_anchors(_gene_points(spark, sf))
 
 
 @query()
 def anchors_rpca(spark, sf):
-    return anchors.find_anchors(_gene_points(spark, sf), "rpca", n_comps=8)
+    return anchors.find_anchors(_gene_points(spark, sf), "rpca")
 
 
 @query()
 def integrate_data(spark, sf):
     points = _gene_points(spark, sf)
-    return anchors.integrate(points, anchors.find_anchors(points, n_comps=8), k_weight=30, n_comps=8, scale=True)
+    return anchors.integrate(points, anchors.find_anchors(points), scale=True)
 
 
 @query()
@@ -646,17 +648,39 @@ def _boosted(spark, sf):
     wide = _means(spark, sf)[1].groupBy(F.col("grp").alias("clone")).pivot("gene", [f"g{i}" for i in range(64)]).agg(F.first("value"))
     size = groups.group_sizes(cells(spark, sf), min_size=1)
     wide = stored(wide.join(size, "clone").withColumn("y1", 3 * F.col("g0") - F.col("g1")).withColumn("val", F.xxhash64("clone") % 4 == 0), "boost")
-    return boost.fit_boosted(wide, [f"g{i}" for i in range(64)], ["y1"], "val", n_trees=8, depth=3)
+    return boost.fit_boosted(wide, [f"g{i}" for i in range(64)], ["y1"], "val")
 
 
-@query()
-def class_predictions(spark, sf):
+def _classes(spark, sf):
     v = event_cells(spark, sf)
     comp = groups.composition(v, groups.group_sizes(v, min_size=1), "fate").groupBy("clone").pivot("fate").agg(F.first("prop"))
     fates = [c for c in comp.columns if c != "clone"]
     means = v.groupBy("clone").agg(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n"), F.max("split").alias("split"))
     wide, features = boost.encode_categories(stored(comp.join(means, "clone"), "classes"), ["mean", "n", "split"])
-    return boost.fit_classes(wide, features, fates, n_trees=5, depth=3)[0]
+    return boost.fit_classes(wide, features, fates)
+
+
+@query()
+def class_predictions(spark, sf):
+    return _classes(spark, sf)[0]
+
+
+@query("""
+with c as (select cast(user_id as varchar) as clone, event_type as response, count(*) as n from events group by 1, 2),
+k as (select clone, sum(n) as n from c group by 1)
+select k.clone, f.response, round(coalesce(c.n, 0) / k.n, 6) as y, 1.0::double as whole, 0.0::double as gap
+from k cross join (select distinct response from c) f left join c on c.clone = k.clone and c.response = f.response
+""")
+def class_sums(spark, sf):
+    # A row's probabilities add up to 1, and attributions and the trees' mean to the log odds against the rest.
+    predictions, shaps, models = _classes(spark, sf)
+    p = stored(predictions, "class-predictions")
+    mean = spark.createDataFrame([(r, float(sum(2 * w * t.mean() for w, t in boost.trees_of(m)))) for r, m in models.items()], "response string, mean double")
+    odds = shaps.groupBy("clone", "response").agg(F.sum("shap").alias("s")).join(F.broadcast(mean), "response").withColumn("alone", 1 / (1 + F.exp(-(F.col("s") + F.col("mean")))))
+    own = odds.withColumn("share", F.col("alone") / F.sum("alone").over(Window.partitionBy("clone")))
+    whole = p.groupBy("clone").agg(F.round(F.sum("predicted"), 6).alias("whole"))
+    gap = F.round(F.abs(F.col("share") - F.col("predicted")), 6) + 0.0
+    return p.join(own, ["clone", "response"]).join(whole, "clone").select("clone", "response", *r6("y"), "whole", gap.alias("gap"))
 
 
 @query()
@@ -729,13 +753,13 @@ def legend_positions(spark, sf):
 
 @query(f"""{_XYC}, b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from c),
 s as (select grp, count(*) as n, var_samp(x) as vx, var_samp(y) as vy, covar_samp(x, y) as k, pow(count(*), -1.0 / 3) as h from c group by 1 having count(*) >= 5),
-t as (select *, vx * vy - k * k as det from s), g as (select i, j from range(20) a(i), range(20) e(j)),
-p as (select i, j, x0 - 0.05 * (x1 - x0) + i * 1.1 * (x1 - x0) / 19 as gx, y0 - 0.05 * (y1 - y0) + j * 1.1 * (y1 - y0) / 19 as gy from g, b)
+t as (select *, vx * vy - k * k as det from s), g as (select i, j from range(100) a(i), range(100) e(j)),
+p as (select i, j, x0 - 0.05 * (x1 - x0) + i * 1.1 * (x1 - x0) / 99 as gx, y0 - 0.05 * (y1 - y0) + j * 1.1 * (y1 - y0) / 99 as gy from g, b)
 select grp, round(gx, 6) + 0.0 as gx, round(gy, 6) + 0.0 as gy,
        round(sum(exp(-0.5 * (vy * (gx - x) * (gx - x) - 2 * k * (gx - x) * (gy - y) + vx * (gy - y) * (gy - y)) / det / h)) / max(n) / max(2 * pi() * sqrt(det) * h), 4) as density
 from c join t using (grp), p group by grp, i, j, gx, gy""")
 def kde_grid(spark, sf):
-    return plotdata.kde_grid(*_coords(spark, sf), size=20).select("grp", *[(F.round(c, 6) + 0.0).alias(c) for c in ("gx", "gy")], F.round("density", 4).alias("density"))
+    return plotdata.kde_grid(*_coords(spark, sf)).select("grp", *[(F.round(c, 6) + 0.0).alias(c) for c in ("gx", "gy")], F.round("density", 4).alias("density"))
 
 
 @query(f"{_BY_GENE} select gene, round((lfc - min(lfc) over ()) / (max(lfc) over () - min(lfc) over ()), 6) as scaled from t")
