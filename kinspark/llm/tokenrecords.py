@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +97,10 @@ def write_token_records(
 ) -> DataFrame:
     """Write every document's ids, in ascending id order, to record files; return the list of shards.
 
-    Documents are dealt by ranges of (id, hash of text) and sorted within them, so a shard holds consecutive
-    documents and equal ids with different texts may be parted.  Columns of the result: path, first_id,
-    first_hash, part (of the task), n_docs, n_tokens, n_bytes; it is stored, so that no later step writes again.
+    Documents are dealt by ranges of (id, hash of text, input split) and sorted within them, so a shard holds consecutive
+    documents.  The split only parts rows that are equal in both, so one id that fills much of a table, null or not, is
+    spread over tasks; it is the same for a row whenever a task runs again.  Columns of the result: path, first_id, task and
+    part, which order the shards, n_docs, n_tokens, n_bytes; it is stored, so that no later step writes again.
     A lost task writes new files; those of the lost one are in no list.  Defined results: a null text is
     empty and gets ``end_id`` only, null ids come first, repeated rows are written one by one, an empty
     table gives no shard.  ``folder`` is a new folder in the shared checkpoint folder by default and is the
@@ -106,26 +108,26 @@ def write_token_records(
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-records")
-    schema = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("first_hash", pa.int64()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+    schema = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("task", pa.int64()), ("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     end = [] if end_id is None else [end_id]
 
     def run(batches):
         width = 2 if load_tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
         tail = np.array(end, dtype=f"<u{width}").tobytes()
         cache, shard, first, part = piece_cache(tokenizer_path, width, 550_000), None, None, 0
+        task = TaskContext.get().partitionId()
 
         def row():
             shard.close()
-            return to_batch(schema, path=[shard.path], first_id=[first[0]], first_hash=[first[1]], part=[part], n_docs=[shard.docs], n_tokens=[shard.tokens], n_bytes=[shard.bytes])
+            return to_batch(schema, path=[shard.path], first_id=[first], task=[task], part=[part], n_docs=[shard.docs], n_tokens=[shard.tokens], n_bytes=[shard.bytes])
 
         for batch in batches:
             for rows in slices(batch, 1024):
-                keys, hashes = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                for key, h, ids in zip(keys, hashes, cache.totals(rows.column(2)), strict=True):
+                for key, ids in zip(rows.column(0).to_pylist(), cache.totals(rows.column(1)), strict=True):
                     if shard is None:
                         store, root = fs.FileSystem.from_uri(folder)
                         store.create_dir(root, recursive=True)
-                        shard, first = _Shard(folder), (key, h)
+                        shard, first = _Shard(folder), key
                     shard.add(key, ids + tail, width)
                     if shard.bytes >= shard_bytes:
                         yield row()
@@ -133,10 +135,10 @@ def write_token_records(
         if shard is not None:
             yield row()
 
-    src = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), F.col(text_col).alias("text"))
-    out = src.repartitionByRange(F.col("id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("h"))
-    fields = "path string, first_id long, first_hash long, part long, n_docs long, n_tokens long, n_bytes long"
-    return stored(out.mapInArrow(run, fields), "token-shards")
+    src = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), F.spark_partition_id().alias("split"), F.col(text_col).alias("text"))
+    out = src.repartitionByRange(F.col("id").asc_nulls_first(), F.col("h"), F.col("split")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("h"))
+    fields = "path string, first_id long, task long, part long, n_docs long, n_tokens long, n_bytes long"
+    return stored(out.select("id", "text").mapInArrow(run, fields), "token-shards")
 
 
 def read_token_records(shards: DataFrame) -> DataFrame:
@@ -146,8 +148,8 @@ def read_token_records(shards: DataFrame) -> DataFrame:
     read and checked in parallel, one record at a time.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    # Ranges never part equal (id, hash) pairs between tasks, and a task counts its parts.
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # Ranges rise with the tasks' numbers, and a task counts its parts.
+    order = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("start"))
 
     def run(batches):

@@ -70,6 +70,22 @@ def test_records_round_trip(odd, empty, tokenizer, tokenizer_path):
     assert tokenrecords.read_token_records(tokenrecords.write_token_records(empty, tokenizer_path)).count() == 0
 
 
+def test_records_of_one_id_are_spread(spark, tokenizer, tokenizer_path):
+    rows = [(None, None)] * 2000 + [(7, "one text")] * 2000 + [(i, f"text {i}") for i in range(500)]
+    docs = spark.createDataFrame([rows[i * 2003 % len(rows)] for i in range(len(rows))], "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = tokenrecords.write_token_records(docs, tokenizer_path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in shards.collect()) < 2000
+    got = tokenrecords.read_token_records(shards).orderBy("start").collect()
+    want = expected(docs, tokenizer)
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), zlib.crc32(x)) for i, x in want)
+
+
 def test_records_are_read_in_any_order_and_checked(odd, tokenizer_path, tmp_path):
     shard = tokenrecords.write_token_records(odd, tokenizer_path, f"file://{tmp_path}/r").orderBy("n_docs", ascending=False).first()
     straight = list(tokenrecords.read_records(shard.path))
