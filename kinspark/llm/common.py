@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,17 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
         yield batch.slice(at, rows)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, rows: int = 4096, most_bytes: int = 16 << 20):
+    """Consecutive pieces of a record batch of at most ``rows`` rows whose texts have at most ``most_bytes``, or one text that has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of ``schema`` from sequences or arrays by column name."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, scratch_path, slices, stored, to_batch
+from kinspark.llm.common import columns_of, scratch_path, stored, text_slices, to_batch
 from kinspark.llm.pretokens import load_tokenizer, piece_cache
 
 _HEAD, _DATA, _INDEX, _SUM = struct.Struct("<QI"), struct.Struct("<BBq"), struct.Struct("<qQQ"), struct.Struct("<I")
@@ -122,7 +122,7 @@ def write_token_records(
             return to_batch(schema, path=[shard.path], first_id=[first], task=[task], part=[part], n_docs=[shard.docs], n_tokens=[shard.tokens], n_bytes=[shard.bytes])
 
         for batch in batches:
-            for rows in slices(batch, 1024):
+            for rows in text_slices(batch, 1):
                 for key, ids in zip(rows.column(0).to_pylist(), cache.totals(rows.column(1)), strict=True):
                     if shard is None:
                         store, root = fs.FileSystem.from_uri(folder)

@@ -3,9 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinspark.llm import packing, tokencount, tokenrecords
+from kinspark.llm.common import text_slices
 from kinspark.llm.pretokens import PieceCache, piece_of, pieces_of
 
 from .conftest import ODD_TEXTS
@@ -70,6 +72,16 @@ def test_records_round_trip(odd, empty, tokenizer, tokenizer_path):
     assert tokenrecords.read_token_records(tokenrecords.write_token_records(empty, tokenizer_path)).count() == 0
 
 
+def test_slices_are_bounded_by_bytes():
+    texts = ["a" * n for n in (3, 0, 9, 50, 1, 1, 1, 1, 8)] + [None, "é" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    for at in (0, 4):
+        parts = [p.column(1).to_pylist() for p in text_slices(batch.slice(at), 1, rows=3, most_bytes=10)]
+        assert [x for p in parts for x in p] == texts[at:]
+        assert all(len(p) <= 3 and (len(p) == 1 or sum(len((x or "").encode()) for x in p) <= 10) for p in parts)
+    assert list(text_slices(batch.slice(0, 0), 1)) == []
+
+
 def test_records_of_one_id_are_spread(spark, tokenizer, tokenizer_path):
     rows = [(None, None)] * 2000 + [(7, "one text")] * 2000 + [(i, f"text {i}") for i in range(500)]
     docs = spark.createDataFrame([rows[i * 2003 % len(rows)] for i in range(len(rows))], "doc_id long, text string").repartition(8)
