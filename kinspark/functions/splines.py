@@ -49,6 +49,16 @@ def solve(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
     return (vector[:, good] / value[good]) @ (vector[:, good].T @ (right / scale)) / scale, int(good.sum()) - 1
 
 
+def wald_statistic(gram: np.ndarray, beta: np.ndarray) -> float:
+    """Wald statistic of all coefficients but the constant's, from the weighted Gram matrix; column 0 is the constant.
+
+    The inverse of their covariance is the Gram matrix of the centred columns.  That needs no inverse, and where the design
+    has not full rank every least-squares solution has the same statistic.
+    """
+    centred = gram[1:, 1:] - np.outer(gram[1:, 0], gram[0, 1:]) / gram[0, 0]
+    return max(0.0, float(beta[1:] @ centred @ beta[1:]))
+
+
 def _binomial(design: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
     """Iteratively reweighted least squares: coefficients and log-likelihood without its constant part."""
     mu = (w * y + 0.5) / (w + 1.0)
@@ -98,8 +108,7 @@ def spline_fit(x: np.ndarray, y: np.ndarray, totals: np.ndarray | None = None, d
             lrt, size = 2 * (like - null), float(w.sum())
             mu = 1 / (1 + np.exp(-(d @ beta)))
             info = d.T @ (d * (w * mu * (1 - mu))[:, None])
-            cov = np.linalg.pinv(info)[1:, 1:]
-            wald = float(beta[1:] @ np.linalg.pinv(cov) @ beta[1:])
+            wald = wald_statistic(info, beta)
             link = lambda v: 1 / (1 + np.exp(-np.clip(v, -700, 700)))
     except np.linalg.LinAlgError:
         return nan

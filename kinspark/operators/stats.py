@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from kinspark.functions import tails
-from kinspark.functions.splines import design, solve
+from kinspark.functions.splines import design, solve, wald_statistic
 from kinspark.operators.products import summed_product
 from kinspark.sources.store import stored
 
@@ -232,8 +232,7 @@ def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5
                 if binomial:
                     base = min(max(r.wy / r.w, 1e-12), 1 - 1e-12)
                     lrt, size = 2 * (s[-1] - r.w * (r.wy / r.w * math.log(base) + (1 - r.wy / r.w) * math.log(1 - base))), r.w
-                    cov = np.linalg.pinv(gram)[1:, 1:]
-                    wald, ends = float(beta[1:] @ np.linalg.pinv(cov) @ beta[1:]), 1 / (1 + np.exp(-np.clip(ends, -700, 700)))
+                    wald, ends = wald_statistic(gram, beta), 1 / (1 + np.exp(-np.clip(ends, -700, 700)))
                 else:
                     tss, rss = s[-2], s[-2] - right @ beta
                     if tss <= 0 or rss <= 1e-14 * tss:

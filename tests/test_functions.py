@@ -44,3 +44,14 @@ def test_spline_fit_finds_a_curve_and_refuses_a_constant():
     w = rng.integers(5, 50, 200)
     y = rng.binomial(w, 1 / (1 + np.exp(-2 * x))) / w
     assert spline_fit(x, y, w)["pvalue"] < 1e-20 and spline_fit(x, y, w, p_method="wald")["pvalue"] < 1e-10
+
+
+def test_wald_statistic_does_not_depend_on_the_solution():
+    rng = np.random.default_rng(3)
+    d = np.column_stack([np.ones(40), rng.normal(size=(40, 3))])
+    gram, beta = d.T @ d, rng.normal(size=4)
+    want = beta[1:] @ np.linalg.inv(np.linalg.inv(gram)[1:, 1:]) @ beta[1:]
+    assert splines.wald_statistic(gram, beta) == pytest.approx(want, rel=1e-10)
+    d = np.column_stack([np.ones(40), np.arange(40) < 5, np.arange(40) >= 5]).astype(float)  # the last two add up to the first
+    gram = d.T @ d
+    assert splines.wald_statistic(gram, np.array([0.5, 1.0, 3.0])) == pytest.approx(splines.wald_statistic(gram, np.array([3.5, -2.0, 0.0])), rel=1e-10)
