@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.llm import decontaminate, langid, licenses, packing, qualityrules, simhash, tokencount, tokenrecords, urlfilter, weakquality
+from kinspark.llm import decontaminate, langid, licenses, packing, phrases, qualityrules, resample, simhash, tokencount, tokenrecords, urlfilter, weakquality
 
 
 def _tokenizer() -> str:
@@ -76,6 +76,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_xxhash64")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document towards the benchmark's words: a null text has no features and weight 0."""
+    docs, target = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return resample.resample(docs, resample.bucket_gains(docs, target))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language of all documents: a null text has no words, a null language is und."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +100,8 @@ QUERIES = {
         op8_license_scan,
         op9_simhash,
         op10_decontamination,
+        op12_resample,
+        op13_collocations,
     )
 }
 
@@ -165,5 +178,64 @@ items as (
 select d.doc_id, cast(n as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
+""",
+    "op12_resample": r"""
+with t(b, c) as (select range, list_reduce(list_prepend(range, range(8)), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) from range(256)),
+tab as (select list(c order by b) as t from t),
+d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+),
+i as (
+  select list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark
+),
+r as (select row_number() over () as i, doc_id, w from d),
+e as (select i, unnest(w) as v from r),
+ew as (select unnest(w) as v from i),
+dv as (select distinct v from e union select distinct v from ew),
+hx as (select v, hex(encode(v)) as x from dv),
+bs as (select v, list_transform(range(1, length(x), 2), lambda p: (strpos('0123456789ABCDEF', x[p]) - 1) * 16 + strpos('0123456789ABCDEF', x[p + 1]) - 1) as y from hx),
+k as (
+  select v, xor(list_reduce(list_prepend(4294967295, y), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 as bucket
+  from bs, tab
+),
+s as (select bucket, count(*) as s from e join k using (v) group by bucket),
+t2 as (select bucket, count(*) as t from ew join k using (v) group by bucket),
+g as (
+  select b.range as bucket, cast(floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select count(*) from e) + 10000)::double) / ((coalesce(s, 0) + 1)::double * ((select count(*) from ew) + 10000)::double))) as bigint) as gain
+  from range(10000) as b left join s on b.range = s.bucket left join t2 on b.range = t2.bucket
+),
+wt as (select i, cast(sum(gain) as bigint) as weight from e join k using (v) join g using (bucket) group by i),
+z as (
+  select i, doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('2024:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) + 0.5::double) / 4294967296.0::double))) as bigint) as score
+  from r left join wt using (i)
+),
+o as (select i, row_number() over (order by score desc, doc_id) as rank from z where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (10 * (select count(*) from o)) // 100 then rank end as rank from z left join o using (i)
+""",
+    "op13_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents
+),
+w as (select row_number() over () as i, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+e as (select lang, i, w, unnest(range(1, len(w) + 1)) as pos from w where len(w) > 0),
+g as (select lang, array_to_string(w[pos : pos + k - 1], ' ') as s, k from e, (values (1), (2), (3), (4)) as v(k) where pos + k - 1 <= len(w)),
+f as (select lang, s, k, count(*) as f from g group by lang, s, k),
+n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, s, k, f as a, string_split(s, ' ') as w from f where k > 1 and f >= 30),
+cut as (select lang, s, a, unnest(range(1, k)) as j, w, k from c),
+part as (select lang, s, a, j, array_to_string(w[1:j], ' ') as x, array_to_string(w[j + 1 : k], ' ') as y from cut),
+sc as (
+  select part.lang, part.s, a, j, l.f as l, r.f as r, cast((2000000::hugeint * a) // (l.f + r.f) as bigint) as score
+  from part join f as l on l.lang = part.lang and l.s = x join f as r on r.lang = part.lang and r.s = y
+),
+best as (select * from (select *, row_number() over (partition by lang, s order by score, j) as o from sc) where o = 1),
+inner1 as (select lang, a, w, k, unnest(range(2, k)) as m from c where k > 2),
+inner2 as (select lang, a, w, m, unnest(range(1, k - m + 2)) as pos from inner1),
+longer as (select lang, array_to_string(w[pos : pos + m - 1], ' ') as s, max(a) as longer from inner2 group by all),
+kept as (select best.*, row_number() over (partition by best.lang order by score desc, a desc, best.s) as rank from best left join longer using (lang, s) where longer is null or 100::hugeint * longer < 80::hugeint * a)
+select lang, rank, s as phrase, a, l, r, n, score from kept join n using (lang) where rank <= 2000
 """,
 }
