@@ -13,59 +13,52 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, forget, made_of, stored, text_slices, to_batch
+from kinspark.llm.hashcount import Bitmap, bitmap_bits, chunk_bits, frequent_slots, mixed, slots_of
 
 _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: parts words, 2: parts pieces
 _KIND[list(_BLANKS)], _KIND[list(_BREAKS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[list(_BLANKS + _BREAKS)] = 32
 _random = np.random.default_rng(13)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a hash that the sketch tells apart.
-_SLOT_BITS = 44
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+#: Bytes of the texts that are worked on at once; arrays of eight bytes a byte are made of them.
+_SLICE = 4 << 20
 
 
 class Words:
     """The words of a column of texts: hashes that depend on the text's language too, rows, pieces, and a buffer of them parted by single blanks."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
+        # Texts in one, a break after each.
         texts = pc.fill_null(texts, "")
-        ends = np.cumsum(np.r_[0, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)])
-        first = int(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset]) if len(texts) else 0
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[first : first + ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.string())), "\n")[0].as_buffer()
+        data = np.r_[np.frombuffer(joined, np.uint8), np.uint8(10)]
         kind = _KIND[data]
         inner = kind == 0
-        begins = np.zeros(len(data) + 1, bool)
-        begins[ends] = True  # the first byte of a text follows no word
-        start = np.flatnonzero(inner & ~(np.r_[False, inner[:-1]] & ~begins[:-1])) if len(data) else np.zeros(0, np.int64)
-        stops = np.flatnonzero(inner & ~(np.r_[inner[1:], False] & ~begins[1:])) + 1 if len(data) else start
-        self.length = stops - start
-        self.row = np.searchsorted(ends, start, side="right") - 1
-        self.piece = np.cumsum(kind == 2)[start] + self.row if len(start) else start
-        own = _LOWER[data[inner]]
-        before = np.cumsum(self.length) - self.length
-        place = np.arange(len(own)) - np.repeat(before, self.length)
-        value = _BYTE[own] * _PLACE[place & 1023]
-        h = np.add.reduceat(value, before) if len(start) else np.zeros(0, np.uint64)
+        border = np.flatnonzero(np.diff(np.r_[False, inner]))
+        start, stop = border[0::2], border[1::2]
+        self.length = stop - start
+        self.row = np.searchsorted(ends, start, side="right")
+        self.piece = np.cumsum(kind == 2, dtype=np.int64)[start]
+        # Each word after one blank, and a blank at the end.
+        inner[stop] = True
+        self.buffer = np.r_[np.uint8(32), _LOWER[data[inner]]]
+        self.at = np.cumsum(self.length + 1) - self.length
+        own = self.buffer[1:]
+        place = np.arange(len(own), dtype=np.uint16) - np.repeat(self.at.astype(np.uint16), self.length + 1)
+        h = np.add.reduceat(_BYTE[own] * _PLACE[place & np.uint16(1023)], self.at - 1) if len(start) else np.zeros(0, np.uint64)
         names = langs.dictionary_encode()
         seeds = np.array([hash_of(n) for n in names.dictionary.to_pylist()], np.uint64)
         self.langs, self.lang = names.dictionary, names.indices.to_numpy(zero_copy_only=False)[self.row] if len(start) else start
-        self.hash = _mixed(h + seeds[self.lang] + np.uint64(1)) if len(start) else h
-        # Each word after one blank, and a blank at the end.
-        self.at = before + np.arange(len(start)) + 1
-        self.buffer = np.full(len(own) + len(start) + 1, 32, np.uint8)
-        self.buffer[np.arange(len(own)) + np.repeat(np.arange(1, len(start) + 1), self.length)] = own
+        self.hash = mixed(h + seeds[self.lang] + np.uint64(1)) if len(start) else h
 
     def strings(self, first: np.ndarray, last: np.ndarray, blanks: int) -> pa.Array:
         """The words from first to last of each pair, parted by blanks, with a blank before and after if ``blanks`` is 1."""
@@ -78,39 +71,21 @@ class Words:
 def hash_of(text: str) -> int:
     """A 64-bit hash of a string, the same in every process."""
     b = np.frombuffer(text.encode(), np.uint8)
-    return int(_mixed(np.array([(_BYTE[b] * _PLACE[np.arange(len(b)) & 1023]).sum(dtype=np.uint64)], np.uint64))[0])
-
-
-class Frequent:
-    """A bitmap of slots; one that is not in it has not reached the least count."""
-
-    def __init__(self, bits: int):
-        self.bits, self.map = bits, np.zeros(1 << (bits - 6), np.int64)
-
-    def place(self, slots: np.ndarray) -> np.ndarray:
-        return (slots * _ODD) >> np.uint64(64 - self.bits)
-
-    def has(self, slots: np.ndarray) -> np.ndarray:
-        at = self.place(slots)
-        return (self.map[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - _SLOT_BITS)
+    return int(mixed(np.array([(_BYTE[b] * _PLACE[np.arange(len(b)) & 1023]).sum(dtype=np.uint64)], np.uint64))[0])
 
 
 def _longer(words: Words, hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of runs of k words from those of k - 1 words."""
-    return _mixed(hashes[: len(words.hash) - k + 1] * np.uint64(0xD6E8FEB86659FD93) + words.hash[k - 1 :] + np.uint64(k))
+    return mixed(hashes[: len(words.hash) - k + 1] * np.uint64(0xD6E8FEB86659FD93) + words.hash[k - 1 :] + np.uint64(k))
 
 
-def runs_of(words: Words, known: Frequent, longest: int, tested: int):
+def runs_of(words: Words, known: Bitmap, longest: int, tested: int):
     """(k, first words, hashes) of the runs of 2 to ``longest`` words within a piece whose every part of up to ``tested`` words is in ``known``.
 
     Runs of at most ``tested`` words are themselves tested.
     """
     n, h = len(words.hash), words.hash
-    fits = known.has(_slots(h))
+    fits = known.has(slots_of(h))
     for k in range(2, longest + 1):
         m = n - k + 1
         if m <= 0:
@@ -119,7 +94,7 @@ def runs_of(words: Words, known: Frequent, longest: int, tested: int):
         fits = fits[:m] & fits[1 : m + 1] & (words.piece[:m] == words.piece[k - 1 :])
         if k <= tested:
             at = np.flatnonzero(fits)
-            fits[at] = known.has(_slots(h[at]))
+            fits[at] = known.has(slots_of(h[at]))
         at = np.flatnonzero(fits)
         yield k, at, h[at]
 
@@ -140,85 +115,48 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
                 every = np.arange(len(w.hash))
-                got = _counted(lang=pa.array(w.lang), phrase=w.strings(every, every, 0))
-                for b in got.to_batches():
+                _, at, own, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                strings, langs = w.strings(every, every, 0), w.lang[at]
+                phrase = strings.take(pa.array(at))
+                if pc.all(pc.equal(phrase.take(pa.array(own)), strings)).as_py() is not False and (langs[own] == w.lang).all():
+                    yield to_batch(schema, lang=w.langs.take(pa.array(langs)), phrase=phrase.cast(pa.string()), n=n)
+                    continue
+                for b in _counted(lang=pa.array(w.lang), phrase=strings).to_batches():  # two words with one hash
                     yield to_batch(schema, lang=w.langs.take(b.column(0)), phrase=b.column(1).cast(pa.string()), n=b.column(2))
 
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
 
-def _sketched(texts: DataFrame, known: Frequent, shortest: int, longest: int, chunk_bits: int, least: int) -> DataFrame:
-    """(slot): those of runs of ``shortest`` to ``longest`` words that occur ``least`` times or more, all lengths together.
-
-    Each slice of texts sends one packed row a chunk: slots as 32 bits, counts up to 255 as 8 bits.
-    """
+def _sketched(texts: DataFrame, known: Bitmap, shortest: int, longest: int, n_chunks: int, least: int) -> DataFrame:
+    """(slot): those of runs of ``shortest`` to ``longest`` words that occur ``least`` times or more, all lengths together."""
     sent = texts.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("chunk", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
-    low = _SLOT_BITS - chunk_bits
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, 0):
-                found = [_slots(h) for k, _, h in runs_of(Words(part.column(0), part.column(1)), sent.value, longest, shortest - 1) if k >= shortest]
-                if not found or not sum(map(len, found)):
-                    continue
-                slots, n = np.unique(np.concatenate(found), return_counts=True)
-                chunk = (slots >> np.uint64(low)).astype(np.int64)
-                at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-                ends = np.r_[at, len(slots)].astype(np.int64)
-                packed = [(slots & np.uint64((1 << low) - 1)).astype("<u8"), np.minimum(n, 255).astype(np.uint8)]
-                columns = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary()) for x in packed]
-                yield to_batch(schema, chunk=chunk[at], slots=columns[0], counts=columns[1])
-
-    def summed(table: pa.Table) -> pa.Table:
-        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u8")
-        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
-        order = np.argsort(slots)
-        slots = slots[order]
-        at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-        many = np.add.reduceat(n[order], at) >= least
-        base = int(table.column("chunk")[0].as_py()) << low
-        return pa.table({"slot": pa.array(slots[at[many]].astype(np.int64) + base)})
-
-    return texts.mapInArrow(run, "chunk long, slots binary, counts binary").groupBy("chunk").applyInArrow(summed, "slot long")
-
-
-def _with_bits(known: Frequent, slots: DataFrame) -> Frequent:
-    """``known`` with the bits of further slots; what comes to the driver is bounded by the bitmap's size."""
-    out, schema = Frequent(known.bits), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
-    def run(batches):
-        for batch in batches:
-            place = out.place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
-            yield to_batch(schema, at=(place >> np.uint64(6)).astype(np.int64), bits=(np.uint64(1) << (place & np.uint64(63))).view(np.int64))
+    def hashes(part):
+        return [h for k, _, h in runs_of(Words(part.column(0), part.column(1)), sent.value, longest, shortest - 1) if k >= shortest]
 
-    got = slots.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out.map[:] = known.map
-    at = got.column("at").to_numpy()
-    out.map[at] |= got.column("bits").to_numpy()
-    return out
+    return frequent_slots(texts, hashes, n_chunks, least, _SLICE).select("slot")
 
 
 def _word_slots(words: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             w = Words(batch.column(1), batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_slots(w.hash).astype(np.int64))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots_of(w.hash).astype(np.int64))], ["slot"])
 
     return words.where(F.col("a") >= least).select("lang", "phrase").mapInArrow(run, "slot long")
 
 
-def _stretches(texts: DataFrame, known: Frequent, longest: int, n_blocks: int) -> DataFrame:
+def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
     """(block, lang, stretch, n): stretches of words that the candidates of a block cover, equal ones of a slice once."""
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
                 found = [(at, at + k - 1, h % np.uint64(n_blocks)) for k, at, h in runs_of(w, sent.value, longest, longest)]
                 if not found or not sum(len(x[0]) for x in found):
@@ -236,14 +174,14 @@ def _stretches(texts: DataFrame, known: Frequent, longest: int, n_blocks: int) -
     return texts.mapInArrow(run, "block int, lang string, stretch string, n long")
 
 
-def _candidates(stretches: DataFrame, known: Frequent, longest: int, n_blocks: int) -> DataFrame:
+def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
     """(block, phrase): the distinct runs that pass the bitmap in any language."""
     sent = stretches.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("phrase", pa.string())])
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, most_bytes=_SLICE):
                 w = Words(part.column(1), part.column(2))
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 for k, at, h in runs_of(w, sent.value, longest, longest):
@@ -290,16 +228,15 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark, texts = docs.sparkSession, _texts(docs, text_col, lang_col)
     words = stored(word_counts(texts), "words")
     total, frequent = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") >= least)).first()
-    chunk_bits = min(20, max(3, (int(total) >> 20).bit_length()))
-    known = Frequent(min(most_bits, max(20, (64 * frequent).bit_length())))
-    known = _with_bits(known, _word_slots(words, least))
+    n_chunks = chunk_bits(int(total))
+    known = Bitmap(bitmap_bits(frequent, most_bits)).with_slots(_word_slots(words, least))
     n_slots = 0
     # Pairs first; longer runs only where every pair is frequent.
     for shortest, upto in ((2, 2), (3, longest)):
         if upto >= shortest:
-            slots = stored(_sketched(texts, known, shortest, upto, chunk_bits, least), "slots")
+            slots = stored(_sketched(texts, known, shortest, upto, n_chunks, least), "slots")
             n_slots += slots.count()
-            known = _with_bits(known, slots)
+            known = known.with_slots(slots)
             forget(slots)
     n_blocks = max(1, -(-n_slots // block_phrases))
     stretches = stored(_stretches(texts, known, longest, n_blocks), "stretches")
