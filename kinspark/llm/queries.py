@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.llm import decontaminate, langid, licenses, packing, phrases, qualityrules, resample, simhash, tokencount, tokenrecords, urlfilter, weakquality
+from kinspark.llm import decontaminate, langid, licenses, packing, phrases, qualityrules, repeats, resample, simhash, tokencount, tokenrecords, urlfilter, weakquality
 
 
 def _tokenizer() -> str:
@@ -76,6 +76,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_xxhash64")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier: a null text has no bytes."""
+    return repeats.without_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document towards the benchmark's words: a null text has no features and weight 0."""
     docs, target = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
@@ -100,6 +105,7 @@ QUERIES = {
         op8_license_scan,
         op9_simhash,
         op10_decontamination,
+        op11_repeats,
         op12_resample,
         op13_collocations,
     )
