@@ -1,214 +1,191 @@
-"""Boosted trees per response, with exact tree attributions (SHAP)."""
+"""Boosted trees of all responses at once, categories by ordered statistics, and exact tree attributions (SHAP)."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.operators import booster
+from kinspark.operators.booster import CLASSES, SQUARES, Boosted, Tree
+from kinspark.operators.ranged import sums_before
+from kinspark.sources.store import stored
 
-class Tree:
-    """Arrays of one regression tree: left, right (-1 at leaves), feature, threshold, value, cover."""
-
-    def __init__(self, left, right, feature, threshold, value, cover):
-        self.left, self.right, self.feature, self.threshold, self.value, self.cover = left, right, feature, threshold, value, cover
-
-    @classmethod
-    def of(cls, node) -> Tree:
-        """From a fitted Spark tree node; numeric splits only."""
-        left, right, feature, threshold, value, cover = [], [], [], [], [], []
-
-        def walk(x) -> int:
-            at = len(left)
-            for a in (left, right, feature):
-                a.append(-1)
-            threshold.append(0.0)
-            value.append(float(x.prediction()))
-            cover.append(float(x.impurityStats().count()))
-            if x.subtreeDepth() > 0:
-                feature[at], threshold[at] = x.split().featureIndex(), x.split().threshold()
-                left[at] = walk(x.leftChild())
-                right[at] = walk(x.rightChild())
-            return at
-
-        walk(node)
-        return cls(left, right, feature, threshold, value, cover)
-
-    def mean(self) -> float:
-        """The mean value over what the tree has learnt from."""
-        return sum(v * c for v, c, leaf in zip(self.value, self.cover, self.left, strict=True) if leaf < 0) / self.cover[0]
-
-    def leaves(self):
-        """(value, [(feature, low, high, share)]) of each leaf: the features of its path, each once, with the interval that leads
-        there, low < x <= high, and the share of cover that goes on without knowing the feature."""
-        todo = [(0, {})]
-        while todo:
-            at, path = todo.pop()
-            if self.left[at] < 0:
-                yield self.value[at], [(f, *v) for f, v in path.items()]
-                continue
-            f, t = self.feature[at], self.threshold[at]
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((self.left[at], (low, min(high, t))), (self.right[at], (max(low, t), high))):
-                todo.append((child, {**path, f: (*bounds, share * self.cover[child] / self.cover[at])}))
-
-    def shap(self, rows: np.ndarray) -> np.ndarray:
-        """Path-dependent Shapley values (rows x features).
-
-        A leaf is a game of its own: it pays its value times, for each feature of its path, 1 or 0 if the feature is known and the
-        row goes there or not, and the share if it is not known.  The products over all sets of a size are the coefficients of
-        the polynomial in t of the factors share + t * known, taken for all rows at once.
-        """
-        out = np.zeros(rows.shape)
-        for value, path in self.leaves():
-            d = len(path)
-            known = [((rows[:, f] > low) & (rows[:, f] <= high)).astype(float) for f, low, high, _ in path]
-            weight = [math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d) for n in range(d)]
-            for j, (f, _, _, share) in enumerate(path):
-                sets = np.zeros((len(rows), d))
-                sets[:, 0] = 1.0
-                for k, (_, _, _, other) in enumerate(path):
-                    if k != j:
-                        sets[:, 1:] = sets[:, 1:] * other + sets[:, :-1] * known[k][:, None]
-                        sets[:, 0] *= other
-                out[:, f] += value * (known[j] - share) * (sets @ weight)
-        return out
-
-
-def trees_of(model) -> list[tuple[float, Tree]]:
-    """Weights and trees of a fitted Spark model of regression trees."""
-    return [(float(w), Tree.of(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-
-
-def _fitted(spark: SparkSession, fit: Callable, names: list[str], parallelism: int) -> dict:
-    """``fit`` of each name, at most ``parallelism`` at a time as each is a chain of small jobs; names without a model are left out."""
-    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
-        return {n: m for n, m in zip(names, pool.map(inheritable_thread_target(spark)(fit), names), strict=True) if m is not None}
+__all__ = ["Boosted", "Categories", "Fit", "Tree", "correct_shap", "encode_categories", "estimated_counts", "fit_boosted", "fit_classes", "shap_norm", "shap_summary", "shap_values"]
 
 
-def fit_boosted(
-    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 4, learning_rate: float = 0.1, min_size: int = 3, seed: int = 42, parallelism: int = 4
-) -> tuple[DataFrame, DataFrame, dict]:
-    """One boosted regression per response.  Returns predictions (key, response, y, predicted, validation), attributions (key,
-    response, feature, value, shap) and the fitted models.
+@dataclass
+class Categories:
+    """Statistics of a string feature: (category, s array, n array), sums and weights of each response over its training rows."""
 
-    ``validation``: boolean column; its rows stop a fit early and take no part in it.  Responses with fewer than ``min_size``
-    values other than 0 among training rows, or validation rows, are left out.  Up to ``parallelism`` responses are fitted at once.
-    """
-    flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
-    names = list(features)
-
-    def fit(response):
-        own = rows.withColumn("_y", F.col(response).cast("double")).where(F.col("_y").isNotNull())
-        sizes = own.agg(F.count_if((F.col("_y") != 0) & ~F.col("_val")).alias("a"), F.count_if((F.col("_y") != 0) & F.col("_val")).alias("b")).first()
-        if sizes.a < min_size or (validation and sizes.b < min_size):
-            return None
-        gbt = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, seed=seed)
-        return (gbt.setValidationIndicatorCol("_val") if validation else gbt).fit(own)
-
-    models = _fitted(table.sparkSession, fit, responses, parallelism)
-    predictions = shaps = None
-    for response, model in models.items():
-        y, trees = F.col(response).cast("double"), trees_of(model)
-        part = model.transform(rows).select(F.col(key), F.lit(response).alias("response"), y.alias("y"), F.col("prediction").alias("predicted"), F.col("_val").alias("validation"))
-        predictions = part if predictions is None else predictions.unionByName(part)
-        part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), trees, names, key).withColumn("response", F.lit(response))
-        shaps = part if shaps is None else shaps.unionByName(part)
-    if predictions is None:
-        raise ValueError(f"no response has {min_size} values other than 0")
-    return predictions, shaps, models
+    feature: str
+    table: DataFrame
+    prior: np.ndarray  # mean of each response
+    weight: float
+
+    def shares(self, s: Column, n: Column) -> list[Column]:
+        """A response's smoothed mean each: the sum plus ``weight`` priors over the weight plus ``weight``."""
+        return [(F.coalesce(F.get(s, F.lit(r)), F.lit(0.0)) + self.weight * float(p)) / (F.coalesce(F.get(n, F.lit(r)), F.lit(0.0)) + self.weight) for r, p in enumerate(self.prior)]
 
 
-def encode_categories(table: DataFrame, features: list[str], most_values: int = 1000) -> tuple[DataFrame, list[str]]:
-    """String features as 0/1 columns, one for each value but the first; other features stay.
+def _category(name: str) -> Column:
+    """A feature's category; null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{name}`")), F.lit("null"))
 
-    More than ``most_values`` values of a feature are an error: none is left out.
+
+def encode_categories(rows: DataFrame, features: list[str], kinds: dict[str, str], responses: list[str], prior: np.ndarray, weight: float = 1.0, seed: int = 42, most_broadcast: int = 200_000) -> tuple[DataFrame, list[str], list[Categories]]:
+    """``rows`` (_row, features, _y array, _w array, _held) with ``_x`` and ``_seen``, the names of their values, and the statistics.
+
+    A string feature becomes one value for each response: the smoothed mean of the response over the category's training rows.
+    In ``_x`` these are all of them, for predictions; in ``_seen``, which the fit learns from, a training row has only those before it in an order of
+    hashes with ``seed``, so no row's own response is among its features.  Other features stay as they are.  The sums before a row are
+    taken by ranges of (category, hash), so a category that fills the table is many tasks' work, and no number of
+    categories is too large; statistics of up to ``most_broadcast`` categories are broadcast.
     """
-    out, names = table, []
+    names, full, seen, found = [], [], [], []
     for f in features:
-        if dict(table.dtypes)[f] != "string":
+        if kinds[f] != "string":
             names.append(f)
+            value = F.col(f"`{f}`").cast("double")
+            full.append(value)
+            seen.append(value)
             continue
-        values = sorted(r[0] for r in table.where(F.col(f).isNotNull()).select(f).distinct().limit(most_values + 1).collect())
-        if len(values) > most_values:
-            raise ValueError(f"{f} has more than {most_values} values")
-        for value in values[1:]:
-            out = out.withColumn(f"{f}={value}", F.coalesce((F.col(f) == value).cast("double"), F.lit(0.0)))
-            names.append(f"{f}={value}")
-    return out, names
+        sums = [f"_s{r}" for r in range(len(responses))]
+        weights = [f"_n{r}" for r in range(len(responses))]
+        one = rows.where("not _held").select("_row", _category(f).alias("_cat"), F.xxhash64(F.lit(seed), "_row").alias("_h"), *[F.coalesce(F.get("_y", F.lit(r)), F.lit(0.0)).alias(s) for r, s in enumerate(sums)], *[F.get("_w", F.lit(r)).alias(n) for r, n in enumerate(weights)])
+        totals = stored(one.groupBy("_cat").agg(F.array(*[F.sum(s) for s in sums]).alias("s"), F.array(*[F.sum(n) for n in weights]).alias("n")), "categories")
+        held = Categories(f, totals.withColumnRenamed("_cat", "category"), prior, weight)
+        found.append(held)
+        before = sums_before(one, ["_cat"], ["_h", "_row"], [*sums, *weights])
+        before = before.select("_row", F.array(*[f"{s}_before" for s in sums]).alias(f"_sb{len(found)}"), F.array(*[f"{n}_before" for n in weights]).alias(f"_nb{len(found)}"))
+        near = F.broadcast if totals.count() <= most_broadcast else (lambda x: x)
+        rows = rows.withColumn("_cat", _category(f)).join(near(totals.withColumnsRenamed({"s": f"_s{len(found)}", "n": f"_n{len(found)}"})), "_cat", "left").drop("_cat")
+        rows = rows.join(before, "_row", "left")
+        own = held.shares(F.col(f"_s{len(found)}"), F.col(f"_n{len(found)}"))
+        past = held.shares(F.col(f"_sb{len(found)}"), F.col(f"_nb{len(found)}"))
+        names += [f"{f}~{r}" for r in responses]
+        full += own
+        seen += [F.when(F.col("_held"), a).otherwise(b) for a, b in zip(own, past, strict=True)]
+    return rows.withColumns({"_x": F.array(*full), "_seen": F.array(*seen)}), names, found
+
+
+@dataclass
+class Fit:
+    """A fitted model, the statistics of its string features, and responses without a model of their own."""
+
+    model: Boosted
+    categories: list[Categories]
+    left_out: list[str]
+
+
+def _fitted(rows: DataFrame, kind: str, kinds: dict[str, str], features: list[str], responses: list[str], mean: np.ndarray, base: np.ndarray, seed: int, options: dict) -> tuple[DataFrame, Fit]:
+    rows, names, categories = encode_categories(rows, features, kinds, responses, mean, seed=seed)
+    rows = stored(rows.select("_row", "_key", "_y", "_held", "_x", "_seen"), "boosted")
+    model = booster.fit(rows.select(F.col("_seen").alias("x"), F.col("_y").alias("y"), F.col("_held").alias("held")), kind, names, responses, base, **options)
+    return rows, Fit(model, categories, [])
+
+
+def _judged(rows: DataFrame, model: Boosted, key: str, key_type: str) -> DataFrame:
+    """(key, response, y, predicted, validation) of rows (_key, _x, _y, _held)."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames):
+        model = sent.value
+        for f in frames:
+            scores = model.scores(booster.filled(f["_x"], len(model.features)))
+            out = scores if model.kind == SQUARES else booster.softmax(scores)
+            n, r = out.shape
+            yield pd.DataFrame({key: np.repeat(f["_key"].to_numpy(), r), "response": model.responses * n, "y": np.array([np.asarray(v, dtype=float) for v in f["_y"]]).ravel(), "predicted": out.ravel(), "validation": np.repeat(f["_held"].to_numpy(), r)})
+
+    out = rows.select("_key", "_x", "_y", "_held").mapInPandas(run, f"`{key}` {key_type}, response string, y double, predicted double, validation boolean")
+    return out.withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+
+
+def _rows(table: DataFrame, features: list[str], key: str, flag: Column, y: Column, w: Column) -> DataFrame:
+    """(_row, features, _key, _y, _w, _held), stored, so that row numbers stay."""
+    own = [F.col(f"`{f}`").alias(f) for f in features]
+    return stored(table.select(F.monotonically_increasing_id().alias("_row"), *own, F.col(f"`{key}`").alias("_key"), y.alias("_y"), w.alias("_w"), flag.alias("_held")), "table")
+
+
+def fit_boosted(
+    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 4, learning_rate: float = 0.1, min_size: int = 3, seed: int = 42, **options
+) -> tuple[DataFrame, DataFrame, Fit]:
+    """Boosted regression of all responses by one sequence of trees with a value for each.  Returns predictions (key, response, y,
+    predicted, validation), attributions (key, response, feature, value, shap) and the fit.
+
+    ``validation``: boolean column; its rows stop the fit by the loss over all responses and take no part in it.  Responses with fewer than ``min_size``
+    values other than 0 among training rows, or validation rows, are left out; a null response of a row is no part of the loss.
+    String features are encoded by :func:`encode_categories`; null numbers are less than any other; ``options`` are those of :func:`booster.fit`.
+    """
+    flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    value = {r: F.col(f"`{r}`").cast("double") for r in responses}
+    sizes = table.agg(
+        *[F.count_if((y != 0) & ~flag).alias(f"a{i}") for i, y in enumerate(value.values())],
+        *[F.count_if((y != 0) & flag).alias(f"b{i}") for i, y in enumerate(value.values())],
+        *[F.avg(F.when(~flag, y)).alias(f"m{i}") for i, y in enumerate(value.values())],
+    ).first()
+    kept = [i for i in range(len(responses)) if sizes[f"a{i}"] >= min_size and (not validation or sizes[f"b{i}"] >= min_size)]
+    if not kept:
+        raise ValueError(f"no response has {min_size} values other than 0")
+    names, mean = [responses[i] for i in kept], np.array([sizes[f"m{i}"] for i in kept])
+    y, w = F.array(*[value[r] for r in names]), F.array(*[F.when(value[r].isNotNull(), 1.0).otherwise(0.0) for r in names])
+    kinds = dict(table.dtypes)
+    rows, fit = _fitted(_rows(table, features, key, flag, y, w), SQUARES, kinds, features, names, mean, mean, seed, {"n_trees": n_trees, "depth": depth, "learning_rate": learning_rate, **options})
+    fit.left_out = [r for r in responses if r not in names]
+    return _judged(rows, fit.model, key, kinds[key]), shap_values(rows, fit.model, key, kinds[key]), fit
 
 
 def fit_classes(
-    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, learning_rate: float = 0.1, seed: int = 42, parallelism: int = 4
-) -> tuple[DataFrame, DataFrame, dict]:
-    """Boosted trees of all responses as classes: a row stands for each class, weighed by that response's value (null: 0).
-
-    Each class is boosted against the rest by logistic loss; its probability is its share of all classes' probabilities.
-    Returns predictions (key, response, y, predicted, validation), predicted being that probability, attributions (key,
-    response, feature, value, shap) of the log odds against the rest, and the fitted models.  ``validation``: boolean column;
-    its rows stop a fit early and take no part in it.  A class without weight among training rows has probability 0, no
-    attributions and no model; a table without any weight is an error.  Up to ``parallelism`` classes are fitted at once.
+    table: DataFrame, features: list[str], responses: list[str], validation: str | None = None, key: str = "clone", n_trees: int = 50, depth: int = 5, learning_rate: float = 0.1, seed: int = 42, **options
+) -> tuple[DataFrame, DataFrame, Fit]:
+    """Boosted trees of all responses as classes of one softmax: a row weighs for each class as that response says (null: 0).
+
+    Returns predictions (key, response, y, predicted, validation), predicted being a class's probability, attributions (key,
+    response, feature, value, shap) of the scores whose softmax these are, and the fit.  ``validation``: boolean column;
+    its rows stop the fit early and take no part in it.  A class without weight among training rows has probability 0, no
+    attributions and no part of the model; a table without any weight is an error.  Features and ``options`` as in :func:`fit_boosted`.
     """
     flag = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(table.withColumn("_val", flag))
-    weight = {r: F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in responses}
-    whole = sum(weight.values(), F.lit(0.0))
-    sums = rows.agg(F.count_if(F.col("_val") & (whole > 0)).alias("_held"), *[F.sum(F.when(~F.col("_val"), w)).alias(r) for r, w in weight.items()]).first()
-
-    def fit(r):
-        if not (sums[r] or 0) > 0:
-            return None
-        each = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), weight[r].alias("w")), F.struct(F.lit(0.0).alias("y"), (whole - weight[r]).alias("w"))))
-        own = rows.select("_x", "_val", each.alias("e")).select("_x", "_val", F.col("e.y").alias("_y"), F.col("e.w").alias("_w")).where("_w > 0")
-        gbt = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=n_trees, maxDepth=depth, stepSize=learning_rate, seed=seed)
-        return (gbt.setValidationIndicatorCol("_val") if sums["_held"] else gbt).fit(own)
-
-    models, scored = _fitted(table.sparkSession, fit, responses, parallelism), rows
-    for i, r in enumerate(responses):
-        if r not in models:
-            scored = scored.withColumn(f"_p{i}", F.lit(0.0))
-            continue
-        model = models[r]
-        model.setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
-        scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array("_prob")[1]).drop("_prob")
-    if not models:
+    value = {r: F.coalesce(F.col(f"`{r}`").cast("double"), F.lit(0.0)) for r in responses}
+    sums = table.agg(*[F.sum(F.when(~flag, v)).alias(f"s{i}") for i, v in enumerate(value.values())]).first()
+    names = [r for i, r in enumerate(responses) if (sums[i] or 0) > 0]
+    if not names:
         raise ValueError("no class has a weight above 0")
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("response"), F.col(r).cast("double").alias("y"), F.col(f"_p{i}").alias("p")) for i, r in enumerate(responses)]))
-    total = sum((F.col(f"_p{i}") for i in range(len(responses))), F.lit(0.0))
-    predictions = scored.select(F.col(key), each.alias("e"), total.alias("t"), F.col("_val").alias("validation"))
-    predictions = predictions.select(key, "e.response", "e.y", F.try_divide("e.p", "t").alias("predicted"), "validation")
-    shaps = None
-    for r, model in models.items():
-        # Spark's margin is half the log odds.
-        part = shap_values(rows.select(key, vector_to_array("_x").alias("x")), [(2.0 * w, t) for w, t in trees_of(model)], list(features), key).withColumn("response", F.lit(r))
-        shaps = part if shaps is None else shaps.unionByName(part)
-    return predictions, shaps, models
-
-
-def shap_values(rows: DataFrame, trees: list[tuple[float, Tree]], names: list[str], key: str = "clone") -> DataFrame:
-    """(key, feature, value, shap) of rows (key, x); rows are independent, so nothing is shuffled."""
-    sent = rows.sparkSession.sparkContext.broadcast(trees)
+    share = np.array([sums[i] for i, r in enumerate(responses) if r in names], dtype=float)
+    share /= share.sum()
+    y, whole = F.array(*[value[r] for r in names]), sum((value[r] for r in names), F.lit(0.0))
+    kinds = dict(table.dtypes)
+    rows = _rows(table, features, key, flag, y, F.array_repeat(whole, len(names)))
+    rows, fit = _fitted(rows, CLASSES, kinds, features, names, share, np.log(share), seed, {"n_trees": n_trees, "depth": depth, "learning_rate": learning_rate, **options})
+    fit.left_out = [r for r in responses if r not in names]
+    predictions = _judged(rows, fit.model, key, kinds[key])
+    own = table.select(F.col(f"`{key}`").alias(key), F.explode(F.array(*[F.struct(F.lit(r).alias("response"), F.col(f"`{r}`").cast("double").alias("y")) for r in responses])).alias("e"), flag.alias("validation"))
+    if fit.left_out:
+        empty = own.where(F.col("e.response").isin(fit.left_out)).select(key, "e.response", "e.y", F.lit(0.0).alias("predicted"), "validation")
+        predictions = predictions.unionByName(empty)
+    return predictions, shap_values(rows, fit.model, key, kinds[key]), fit
+
+
+def shap_values(rows: DataFrame, model: Boosted, key: str = "clone", key_type: str = "long") -> DataFrame:
+    """(key, response, feature, value, shap) of rows (_key, _x); rows are independent, so nothing is shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
-        for frame in frames:
-            x = np.array([np.asarray(v, dtype=float) for v in frame["x"]]).reshape(len(frame), len(names))
-            total = np.zeros(x.shape)
-            for weight, tree in sent.value:
-                total += weight * tree.shap(x)
-            yield pd.DataFrame({key: np.repeat(frame[key].to_numpy(), len(names)), "feature": names * len(frame), "value": x.ravel(), "shap": total.ravel()})
-
-    return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, feature string, value double, shap double")
+        model = sent.value
+        trees, n, r = model.trees(), len(model.features), len(model.responses)
+        for f in frames:
+            for lo in range(0, len(f), 1024):
+                part = f.iloc[lo : lo + 1024]
+                x = booster.filled(part["_x"], n)
+                total = sum((t.shap(x) for t in trees), np.zeros((len(part), n, r)))
+                value = np.where(x == booster.MISSING, np.nan, x)
+                yield pd.DataFrame({key: np.repeat(part["_key"].to_numpy(), n * r), "response": model.responses * (len(part) * n), "feature": np.tile(np.repeat(np.array(model.features, dtype=object), r), len(part)), "value": np.repeat(value.ravel(), r), "shap": total.ravel()})
+
+    out = rows.select("_key", "_x").mapInPandas(run, f"`{key}` {key_type}, response string, feature string, value double, shap double")
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def shap_summary(shaps: DataFrame) -> DataFrame:

@@ -647,8 +647,9 @@ def geometric_sketch(spark, sf):
 def _boosted(spark, sf):
     wide = _means(spark, sf)[1].groupBy(F.col("grp").alias("clone")).pivot("gene", [f"g{i}" for i in range(64)]).agg(F.first("value"))
     size = groups.group_sizes(cells(spark, sf), min_size=1)
-    wide = stored(wide.join(size, "clone").withColumn("y1", 3 * F.col("g0") - F.col("g1")).withColumn("val", F.xxhash64("clone") % 4 == 0), "boost")
-    return boost.fit_boosted(wide, [f"g{i}" for i in range(64)], ["y1"], "val")
+    responses = {"y1": 3 * F.col("g0") - F.col("g1"), "y2": F.col("g2") * F.col("g3") + F.col("g4"), "y3": F.col("n_cells").cast("double")}
+    wide = stored(wide.join(size, "clone").withColumns(responses).withColumn("val", F.xxhash64("clone") % 4 == 0), "boost")
+    return boost.fit_boosted(wide, [f"g{i}" for i in range(64)], list(responses), "val")
 
 
 def _classes(spark, sf):
@@ -656,8 +657,13 @@ def _classes(spark, sf):
     comp = groups.composition(v, groups.group_sizes(v, min_size=1), "fate").groupBy("clone").pivot("fate").agg(F.first("prop"))
     fates = [c for c in comp.columns if c != "clone"]
     means = v.groupBy("clone").agg(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n"), F.max("split").alias("split"))
-    wide, features = boost.encode_categories(stored(comp.join(means, "clone"), "classes"), ["mean", "n", "split"])
-    return boost.fit_classes(wide, features, fates)
+    return boost.fit_classes(stored(comp.join(means, "clone"), "classes"), ["mean", "n", "split"], fates)
+
+
+def _attributed(spark, shaps, model):
+    """(clone, response, s): what the model starts from and all attributions of a row."""
+    mean = spark.createDataFrame([(r, float(m)) for r, m in zip(model.responses, model.mean(), strict=True)], "response string, mean double")
+    return shaps.groupBy("clone", "response").agg(F.sum("shap").alias("s")).join(F.broadcast(mean), "response").select("clone", "response", (F.col("s") + F.col("mean")).alias("s"))
 
 
 @query()
@@ -672,12 +678,11 @@ select k.clone, f.response, round(coalesce(c.n, 0) / k.n, 6) as y, 1.0::double a
 from k cross join (select distinct response from c) f left join c on c.clone = k.clone and c.response = f.response
 """)
 def class_sums(spark, sf):
-    # A row's probabilities add up to 1, and attributions and the trees' mean to the log odds against the rest.
-    predictions, shaps, models = _classes(spark, sf)
+    # A row's probabilities add up to 1, and are the softmax of what attributions add up to.
+    predictions, shaps, fit = _classes(spark, sf)
     p = stored(predictions, "class-predictions")
-    mean = spark.createDataFrame([(r, float(sum(2 * w * t.mean() for w, t in boost.trees_of(m)))) for r, m in models.items()], "response string, mean double")
-    odds = shaps.groupBy("clone", "response").agg(F.sum("shap").alias("s")).join(F.broadcast(mean), "response").withColumn("alone", 1 / (1 + F.exp(-(F.col("s") + F.col("mean")))))
-    own = odds.withColumn("share", F.col("alone") / F.sum("alone").over(Window.partitionBy("clone")))
+    odds = _attributed(spark, shaps, fit.model).withColumn("e", F.exp("s"))
+    own = odds.withColumn("share", F.col("e") / F.sum("e").over(Window.partitionBy("clone"))).drop("s", "e")
     whole = p.groupBy("clone").agg(F.round(F.sum("predicted"), 6).alias("whole"))
     gap = F.round(F.abs(F.col("share") - F.col("predicted")), 6) + 0.0
     return p.join(own, ["clone", "response"]).join(whole, "clone").select("clone", "response", *r6("y"), "whole", gap.alias("gap"))
@@ -688,13 +693,12 @@ def boosted_predictions(spark, sf):
     return _boosted(spark, sf)[0]
 
 
-@query(f"with {CELLS_SQL} select distinct clone, 'y1' as response, 0.0::double as gap from cells where clone <> 'NA'")
+@query(f"with {CELLS_SQL} select distinct clone, response, 0.0::double as gap from cells cross join (select unnest(['y1', 'y2', 'y3']) as response) where clone <> 'NA'")
 def boosted_shap_sums(spark, sf):
-    # Attributions and the trees' mean add up to the prediction, row by row.
-    predictions, shaps, models = _boosted(spark, sf)
-    mean = sum(w * t.mean() for w, t in boost.trees_of(models["y1"]))
-    sums = shaps.groupBy("clone", "response").agg(F.sum("shap").alias("s")).join(predictions, ["clone", "response"])
-    return sums.select("clone", "response", (F.round(F.abs(F.col("s") + mean - F.col("predicted")), 6) + 0.0).alias("gap"))
+    # Attributions and what the model starts from add up to the prediction, row by row and response by response.
+    predictions, shaps, fit = _boosted(spark, sf)
+    sums = _attributed(spark, shaps, fit.model).join(predictions, ["clone", "response"])
+    return sums.select("clone", "response", (F.round(F.abs(F.col("s") - F.col("predicted")), 6) + 0.0).alias("gap"))
 
 
 @query()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from kinspark.functions.splines import spline_fit
 from kinspark.functions.transforms import transform
-from kinspark.operators import anchors, boost, embed, expression, graph, groups, integrate, knn, plotdata, sketch, stats
+from kinspark.operators import anchors, boost, booster, embed, expression, graph, groups, integrate, knn, plotdata, ranged, sketch, stats
+from kinspark.sources.models import load_model, save_model
 
 CELLS = "cell long, clone string, fate string, x array<double>"
 
@@ -326,21 +327,173 @@ def test_tree_attributions_are_shapley_values():
         assert phi == pytest.approx(want)
 
 
-def test_boosting_attributions_add_up(spark):
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=(80, 2))
-    rows = [(i, float(a), float(b), float(3 * a - b), i % 4 == 0) for i, (a, b) in enumerate(x)]
-    table = frame(spark, rows, "clone long, a double, b double, y double, val boolean")
-    pred, shap, models = boost.fit_boosted(table, ["a", "b"], ["y"], "val", n_trees=5, depth=2)
-    sums = {r.clone: r.s for r in shap.groupBy("clone").agg(F.sum("shap").alias("s")).collect()}
-    got = pred.collect()
-    base = got[0].predicted - sums[got[0].clone]
-    assert all(r.predicted - sums[r.clone] == pytest.approx(base, abs=1e-6) for r in got)
+def plain_boosting(kind, x, y, held, base, n_trees, depth, rate, l2):
+    """The same trees by trying every value of every feature in every node, without codes or histograms."""
+    score, trees = np.tile(base, (len(x), 1)), []
+    for _ in range(n_trees):
+        g, h, _, weight = booster.derivatives(kind, y, score)
+        use = ~held & (weight > 0)
+        worth = lambda rows: (g[rows].sum(axis=0) ** 2 / (h[rows].sum(axis=0) + l2)).sum()
+
+        def node(rows, left):
+            value = rate * g[rows & use].sum(axis=0) / (h[rows & use].sum(axis=0) + l2)
+            best = None
+            for f in range(x.shape[1] if left else 0):
+                for t in np.unique(x[~held, f])[:-1]:
+                    low, high = rows & use & (x[:, f] <= t), rows & use & (x[:, f] > t)
+                    if low.any() and high.any():
+                        gain = worth(low) + worth(high) - worth(rows & use)
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                            best = gain, f, t
+            if best is None:
+                return np.where(rows[:, None], value, 0.0)
+            low = x[:, best[1]] <= best[2]
+            return node(rows & low, left - 1) + node(rows & ~low, left - 1)
+
+        trees.append(node(np.ones(len(x), bool), depth))
+        score = score + trees[-1]
+    return score
+
+
+def many_responses(n=120, seed=8):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, 3)), 1)
+    return [(i, float(a), float(b), None if i % 17 == 0 else float(c), float(3 * a - b), float(b * b), None if i % 9 == 0 else float(a * c), float(a > 0), float(a <= 0 < b), float(a <= 0 and b <= 0), 0.0, i % 4 == 0) for i, (a, b, c) in enumerate(x)]
+
+
+MANY = "clone long, a double, b double, c double, y0 double, y1 double, y2 double, c0 double, c1 double, c2 double, c3 double, val boolean"
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_boosting_of_many_responses_is_plain_boosting(spark, one_task):
+    rows = many_responses()
+    table = frame(spark, rows, MANY).repartition(3)
+    x = np.array([[booster.MISSING if v is None else v for v in r[1:4]] for r in rows])
+    held = np.array([r[11] for r in rows])
+    for kind, names, at in ((booster.SQUARES, ["y0", "y1", "y2"], 4), (booster.CLASSES, ["c0", "c1", "c2"], 7)):
+        y = np.array([[np.nan if v is None else v for v in r[at : at + 3]] for r in rows])
+        mean = np.nanmean(y[~held], axis=0)
+        base = mean if kind == booster.SQUARES else np.log(mean / mean.sum())
+        fit = boost.fit_boosted if kind == booster.SQUARES else boost.fit_classes
+        pred, shap, found = fit(table, ["a", "b", "c"], names, "val", n_trees=4, depth=3, patience=99, most_codes=256, one_task=one_task)
+        want = plain_boosting(kind, x, y, held, base, 4, 3, 0.1, 1.0)
+        got = {(r.clone, r.response): r.predicted for r in pred.collect()}
+        out = want if kind == booster.SQUARES else booster.softmax(want)
+        assert all(got[i, r] == pytest.approx(out[i, j], abs=1e-9) for i in range(len(rows)) for j, r in enumerate(names))
+        # Attributions add up to the scores, row by row.
+        sums = {(r.clone, r.response): r.s for r in shap.groupBy("clone", "response").agg(F.sum("shap").alias("s")).collect()}
+        start = dict(zip(names, found.model.mean(), strict=True))
+        assert all(sums[i, r] + start[r] == pytest.approx(want[i, j], abs=1e-9) for i in range(len(rows)) for j, r in enumerate(names))
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_boosting_stops_at_the_least_joint_loss(spark, one_task):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(a + 3 * e), float(f), i % 2 == 0) for i, (a, e, f) in enumerate(rng.normal(size=(60, 3)))]
+    table = frame(spark, rows, "clone long, a double, y0 double, y1 double, val boolean")
+    _, _, fit = boost.fit_boosted(table, ["a"], ["y0", "y1"], "val", n_trees=60, learning_rate=0.5, patience=3, one_task=one_task)
+    held = fit.model.losses[:, 1]
+    assert len(fit.model.first) == held.argmin() and len(held) <= held.argmin() + 4 and len(held) < 61
+    none = boost.fit_boosted(table, ["a"], ["y0", "y1"], n_trees=13, one_task=one_task)[2]
+    assert len(none.model.first) == 13 and np.isnan(none.model.losses[:, 1]).all() and (np.diff(none.model.losses[:, 0]) < 0).all()
+
+
+def test_a_level_is_one_job_however_many_responses(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 2))
+    jobs = []
+    for n in (1, 6):
+        rows = [(i, *map(float, v), *map(float, [v[0] * j - v[1] for j in range(1, n + 1)])) for i, v in enumerate(x)]
+        table = frame(spark, rows, "clone long, a double, b double, " + ", ".join(f"y{j} double" for j in range(n)))
+        spark.sparkContext.setJobGroup(f"responses {n}", "")
+        boost.fit_boosted(table, ["a", "b"], [f"y{j}" for j in range(n)], n_trees=3, depth=2, one_task=0)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"responses {n}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_models_of_trees_are_kept(spark, tmp_path):
+    fit = boost.fit_boosted(frame(spark, many_responses(60), MANY), ["a", "b", "c"], ["y0", "y1"], n_trees=3)[2]
+    save_model(spark, fit.model, f"{tmp_path}/m")
+    back, x = load_model(spark, boost.Boosted, f"{tmp_path}/m"), np.random.default_rng(1).normal(size=(20, 3))
+    assert (back.scores(x) == fit.model.scores(x)).all() and back.responses == ["y0", "y1"]
+
+
+def test_boosting_of_odd_tables(spark):
+    table = frame(spark, many_responses(60), MANY)
+    pred, shap, fit = boost.fit_boosted(table, ["a", "b"], ["y0", "c3"], "val", n_trees=5, depth=2)
+    assert fit.left_out == ["c3"] and pred.count() == 60 and shap.count() == 120
     top = boost.correct_shap(boost.shap_summary(shap), normalize=True).orderBy("feature").collect()
     assert top[0].corrected == pytest.approx(1.0) and top[1].corrected < 0
-    assert boost.shap_norm(shap).count() == 160 and plotdata.performance(pred, True).first().r > 0.8
+    assert boost.shap_norm(shap).count() == 120 and plotdata.performance(pred, True).first().r > 0.8
+    with pytest.raises(ValueError):
+        boost.fit_boosted(table, ["a"], ["y0"], min_size=1000)
     with pytest.raises(ValueError):
-        boost.fit_boosted(table, ["a"], ["y"], min_size=1000)
+        boost.fit_classes(table, ["a", "b"], ["c3"])
+    pred, _, fit = boost.fit_classes(table, ["a", "b"], ["c0", "c1", "c2", "c3"], n_trees=20, depth=2)
+    got = {(r.clone, r.response): r.predicted for r in pred.collect()}
+    assert len(got) == 240 and fit.left_out == ["c3"] and all(got[i, "c3"] == 0 for i in range(60))
+    assert all(sum(got[i, f"c{c}"] for c in range(4)) == pytest.approx(1) for i in range(60))
+    constant = boost.fit_boosted(table.withColumn("a", F.lit(1.0)), ["a"], ["y0"])[2]
+    assert len(constant.model.first) == 0
+
+
+def test_sums_before_within_keys_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if rng.random() < 0.5 else None if rng.random() < 0.1 else f"k{rng.integers(0, 40)}", int(rng.integers(0, 5)), i, float(i % 7)) for i in range(3000)]
+    table = frame(spark, rows, "k string, o int, i long, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.i: r.v_before for r in ranged.sums_before(table, ["k"], ["o", "i"], ["v"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sums, want = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = sums.get(k, 0.0)
+        sums[k] = want[i] + v
+    assert got == want
+
+
+def encoded(spark, table, **options):
+    rows = boost._rows(table, ["k"], "clone", F.col("val"), F.array("y0", "y1"), F.array(F.lit(1.0), F.lit(1.0)))
+    return boost.encode_categories(rows, ["k"], {"k": "string"}, ["y0", "y1"], np.array([0.5, 2.0]), **options)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_categories_get_ordered_statistics(spark, most):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 2 else f"k{i % 5}", float(i % 3), float(i % 7), i % 4 == 0) for i in range(200)] + [(200, "new", 1.0, 1.0, True)]
+    out, names, found = encoded(spark, frame(spark, rows, "clone long, k string, y0 double, y1 double, val boolean"), most_broadcast=most)
+    assert names == ["k~y0", "k~y1"] and found[0].feature == "k"
+    got = out.select("_key", "_row", "_x", "_seen", F.xxhash64(F.lit(42), "_row").alias("h")).collect()
+    assert len(got) == len(rows)
+    order = {r._key: (r.h, r._row) for r in got}
+    for r in got:
+        i, k, *_ = rows[r._key]
+        same = [x for x in rows if x[1] == k and not x[4]]
+        before = [x for x in same if order[x[0]] < order[i]]
+        for c, prior in ((2, 0.5), (3, 2.0)):
+            mean = lambda of: (sum(x[c] for x in of) + prior) / (len(of) + 1.0)  # noqa: B023, E731
+            assert r._x[c - 2] == pytest.approx(mean(same)) and r._seen[c - 2] == pytest.approx(mean(same if rows[i][4] else before))
+
+
+def test_very_many_categories_and_a_hot_one(spark):
+    rows = spark.range(300_000).selectExpr("id as clone", "if(id % 3 = 0, 'hot', concat('v', id div 2)) as k", "cast(id % 3 = 0 as double) as y0", "1d as y1", "false as val")
+    out, _, found = encoded(spark, rows, most_broadcast=1000)
+    assert found[0].table.count() > 100_000
+    one = out.where("k = 'hot'").agg(F.count("*"), F.min(F.get("_x", F.lit(0))), F.min(F.get("_seen", F.lit(0))), F.max(F.get("_seen", F.lit(0)))).first()
+    assert one[0] == 100_000 and one[1] == pytest.approx((100_000 + 0.5) / 100_001) and one[2] == 0.5 and one[3] == pytest.approx((99_999 + 0.5) / 100_000)
+
+
+def test_classes_follow_their_feature(spark):
+    rows = [(i, float(i % 10), "u" if i % 2 else "v", 1.0 if i % 10 < 5 else 0.0, 0.0 if i % 10 < 5 else 1.0) for i in range(60)]
+    table = frame(spark, rows, "clone long, a double, k string, y0 double, y1 double")
+    pred, shap, _ = boost.fit_classes(table, ["a", "k"], ["y0", "y1"], n_trees=30, depth=2)
+    got = {(r.clone, r.response): r.predicted for r in pred.collect()}
+    assert got[0, "y0"] > 0.8 and got[9, "y0"] < 0.2 and got[0, "y0"] + got[0, "y1"] == pytest.approx(1)
+    top = {(r.response, r.feature): r.mean_shap for r in boost.shap_summary(shap).collect()}
+    assert top["y0", "a"] > max(top["y0", "k~y0"], top["y0", "k~y1"])
 
 
 def test_sketch_takes_the_number_asked_for(spark):
@@ -371,14 +524,6 @@ def test_null_gram_has_the_law_of_standardised_samples():
     assert np.diag(stats.null_gram(10**9, 5, rng)) == pytest.approx([1e9] * 5)  # a table of this size is not drawn
 
 
-def test_no_value_of_a_feature_is_left_out(spark):
-    table = spark.range(1200).selectExpr("id as clone", "concat('v', id) as product")
-    with pytest.raises(ValueError):
-        boost.encode_categories(table, ["product"])
-    wide, names = boost.encode_categories(table.where("clone < 50"), ["product"], most_values=50)
-    assert len(names) == 49 and set(names) < set(wide.columns)
-
-
 def test_figure_tables(spark):
     h = frame(spark, [(0, 3.0), (1, 2.0)], "epoch int, loss double")
     assert [r.change for r in plotdata.loss_changes(h).orderBy("epoch").collect()] == [None, -1.0]
@@ -418,37 +563,3 @@ def test_anchors_bring_shifted_batches_together(spark, method):
     assert gap(out) < 0.2 * gap({i: x[i] + shift[i] for i in range(90)})
     with pytest.raises(ValueError):
         anchors.find_anchors(p, "other")
-
-
-def test_classes_follow_their_feature(spark):
-    rows = [(i, float(i % 10), "u" if i % 2 else "v", 1.0 if i % 10 < 5 else 0.0, 0.0 if i % 10 < 5 else 1.0) for i in range(60)]
-    table = frame(spark, rows, "clone long, a double, k string, y0 double, y1 double")
-    wide, names = boost.encode_categories(table, ["a", "k"])
-    assert names == ["a", "k=v"]
-    pred, shap, _ = boost.fit_classes(wide, names, ["y0", "y1"], n_trees=5, depth=2)
-    got = {(r.clone, r.response): r.predicted for r in pred.collect()}
-    assert got[0, "y0"] > 0.8 and got[9, "y0"] < 0.2 and got[0, "y0"] + got[0, "y1"] == pytest.approx(1)
-    top = {(r.response, r.feature): r.mean_shap for r in boost.shap_summary(shap).collect()}
-    assert top["y0", "a"] > top["y0", "k=v"]
-
-
-def test_boosted_classes_with_validation_add_up_and_skip_empty_ones(spark):
-    rng = np.random.default_rng(11)
-    x = rng.normal(size=(90, 2))
-    rows = [(i, float(a), float(b), float(a > 0), float(a <= 0 and b > 0), float(a <= 0 and b <= 0), 0.0, i % 3 == 0) for i, (a, b) in enumerate(x)]
-    rows.append((90, 0.5, 0.5, None, None, None, None, None))
-    table = frame(spark, rows, "clone long, a double, b double, y0 double, y1 double, y2 double, y3 double, val boolean")
-    pred, shap, models = boost.fit_classes(table, ["a", "b"], ["y0", "y1", "y2", "y3"], "val", n_trees=6, depth=2)
-    got = {(r.clone, r.response): r for r in pred.collect()}
-    assert len(got) == 91 * 4 and sorted(models) == ["y0", "y1", "y2"] and all(got[i, "y3"].predicted == 0 for i in range(91))
-    assert all(sum(got[i, f"y{c}"].predicted for c in range(4)) == pytest.approx(1) for i in range(91))
-    best = [max(range(3), key=lambda c: got[i, f"y{c}"].predicted) for i in range(0, 90, 3)]
-    assert np.mean([rows[i][3 + c] for i, c in zip(range(0, 90, 3), best, strict=True)]) > 0.85
-    # Attributions and the trees' mean are the log odds, whose shares are the probabilities.
-    odds = {(r.clone, r.response): r.s for r in shap.groupBy("clone", "response").agg(F.sum("shap").alias("s")).collect()}
-    mean = {c: sum(2 * w * t.mean() for w, t in boost.trees_of(m)) for c, m in models.items()}
-    for i in range(91):
-        p = {c: 1 / (1 + np.exp(-(odds[i, c] + mean[c]))) for c in models}
-        assert all(got[i, c].predicted == pytest.approx(p[c] / sum(p.values()), abs=1e-6) for c in models)
-    with pytest.raises(ValueError):
-        boost.fit_classes(table, ["a", "b"], ["y3"])
