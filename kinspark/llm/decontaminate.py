@@ -18,6 +18,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle.
 _SHINGLE = 3
+#: Parts of a shingle's places in a join by shuffle.
+_SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -27,16 +29,26 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, _BREAKS), ""), F.array().cast("array<string>"))
 
 
-def _shingled(docs: DataFrame) -> DataFrame:
-    """Rows (id, h, w, pos, a, key): one with pos 0 and no key for each row of docs, one for each word from pos 1 on.
+def _shingled(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows (id, h, w, pos, key): one with pos 0 and no key for each row of docs, and one for each key of each word from pos 1 on.
 
-    key is the hash of the shingle that begins at pos; near the end of a text it is of fewer words.
+    A key is the hash of the shingle that begins at pos; near the end of a text it is of fewer words.  Where windows of one or
+    two words exist (``lengths``), a place also has the keys of its sequences that short.  All keys of a place come from one array,
+    so a join behind it filters them before a row with the words ``w`` is made of any.
     """
-    n = F.size("w")
     zipped = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("a"), F.col("w").alias("b"), F.expr("slice(w, 2, size(w))").alias("c"))
-    rows = docs.where(n >= 0).select("id", "h", "w", F.posexplode(zipped).alias("pos", "s"))
-    key = F.when(F.col("s.a").isNotNull(), F.xxhash64("s.a", "s.b", "s.c"))
-    return rows.select("id", "h", "w", "pos", "s.a", "s.b", key.alias("key"))
+    rows = docs.where(F.size("w") >= 0).select("id", "h", "w", F.posexplode(zipped).alias("pos", "s"))
+    there = F.col("s.a").isNotNull()
+    keys = [F.when(there, F.xxhash64("s.a", "s.b", "s.c"))]
+    if 2 in lengths:  # before the last word; there the longest key is of two words already
+        keys.append(F.when(there & F.col("s.b").isNotNull() & F.col("s.c").isNotNull(), F.xxhash64("s.a", "s.b")))
+    if 1 in lengths:
+        keys.append(F.when(there & F.col("s.b").isNotNull(), F.xxhash64("s.a")))
+    if len(keys) == 1:
+        return rows.select("id", "h", "w", "pos", keys[0].alias("key"))
+    # A row of pos 0 is there once.  No function with a lambda here: it would leave the code stage that the join is in.
+    every = F.when(there, F.array(*keys)).otherwise(F.array(F.lit(None).cast("long")))
+    return rows.select("id", "h", "w", "pos", F.explode(every).alias("key"))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -52,16 +64,6 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, width: int) -
     return windows.select("*", F.xxhash64(*part).alias("key"))
 
 
-def _short_keys(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``rows`` with the keys of one- and two-word sequences added, where windows that short exist."""
-    out = rows
-    if 2 in lengths:
-        out = out.unionByName(rows.where("a is not null and b is not null").withColumn("key", F.xxhash64("a", "b")))
-    if 1 in lengths:
-        out = out.unionByName(rows.where("a is not null").withColumn("key", F.xxhash64("a")))
-    return out
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, broadcast_windows: int = 200_000, most_broadcast: int = 1_000_000
 ) -> DataFrame:
@@ -84,7 +86,7 @@ def contamination(
     small = windows.count() <= broadcast_windows * width
     near = F.broadcast if small else (lambda x: x)
 
-    seen = _short_keys(_shingled(src), lengths).where("key is not null").select("key")
+    seen = _shingled(src, lengths).where("key is not null").select("key")
     counts = stored(seen.join(near(windows.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")), "counts")
     rarest = Window.partitionBy("words").orderBy("n", "key", "offset")
     # A window with a shingle that no document holds is in no document; the inner join leaves it out if it
@@ -99,13 +101,16 @@ def contamination(
         return at.select("id", "h", F.size("w").alias("n_words"), F.when(same, F.struct("first", "len")).alias("span"), F.when(same, F.col("items")).alias("items"), F.col("row").alias("row"))
 
     first = (F.col("pos") - F.col("offset")).alias("first")
-    places = _short_keys(_shingled(src), lengths)
+    places = _shingled(src, lengths)
     if small:
         found = places.join(F.broadcast(prefix), F.col("key") == F.col("wkey"), "left").where("words is not null or pos = 0")
         met = stored(hits(found.select("id", "h", "w", first, "len", "words", "items", (F.col("pos") == 0).alias("row"))), "met")
         rows, spans = met.where("row").select("id", "h", "n_words"), met
     else:
-        near_rows = places.where("key is not null").select("id", "h", "pos", "key").join(prefix, F.col("key") == F.col("wkey"))
+        # A window of one frequent word is met by most of the corpus: its places are dealt to several tasks.
+        salted = prefix.withColumn("wsalt", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
+        salt = F.pmod(F.xxhash64("id", "pos"), F.lit(_SALTS)).cast("int").alias("salt")
+        near_rows = places.where("key is not null").select("id", "h", "pos", "key", salt).join(salted, (F.col("key") == F.col("wkey")) & (F.col("salt") == F.col("wsalt")))
         near_rows = stored(near_rows.select(F.col("id").alias("id2"), F.col("h").alias("h2"), first, "len", "words", "items").dropDuplicates(["id2", "h2", "first", "words"]), "near")
         keys = near_rows.select("id2", "h2").distinct()
         few = F.broadcast if keys.count() <= most_broadcast else (lambda x: x)
