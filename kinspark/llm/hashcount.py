@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from kinspark.llm.common import text_slices, to_batch
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a hash that are told apart.
-SLOT_BITS = 44
+#: Bits of a hash that are told apart within a chunk.
+_LOW = 32
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -22,27 +22,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def slots_of(hashes: np.ndarray) -> np.ndarray:
-    """The upper 44 bits of 64-bit hashes."""
-    return hashes >> np.uint64(64 - SLOT_BITS)
-
-
 class Bitmap:
-    """Bits of slots; a slot whose bit is not set was never added."""
+    """Bits of slots, the upper bits of hashes; a hash whose slot's bit is not set was never added."""
+
+    def __init__(self, bits: int, chunks: int):
+        self.bits, self.chunks, self.map = bits, chunks, np.zeros(1 << (bits - 6), np.int64)
 
-    def __init__(self, bits: int):
-        self.bits, self.map = bits, np.zeros(1 << (bits - 6), np.int64)
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - _LOW - self.chunks)
 
     def place(self, slots: np.ndarray) -> np.ndarray:
         return (slots * _ODD) >> np.uint64(64 - self.bits)
 
-    def has(self, slots: np.ndarray) -> np.ndarray:
-        at = self.place(slots)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.place(self.slots(hashes))
         return (self.map[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
     def with_slots(self, slots: DataFrame) -> Bitmap:
         """This bitmap with further slots (one long column); what comes to the driver is bounded by the bitmap's size."""
-        out, schema = Bitmap(self.bits), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+        out, schema = Bitmap(self.bits, self.chunks), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
         def run(batches):
             for batch in batches:
@@ -55,47 +53,47 @@ class Bitmap:
         return out
 
 
-def bitmap_bits(n: int, most: int = 28) -> int:
-    """Bits of a bitmap for n slots: 64 or more places each, 2 to the ``most`` places at most (28: 32 MB)."""
-    return min(most, max(20, (64 * n).bit_length()))
+def bitmap_bits(n: int, most: int = 28, places: int = 64) -> int:
+    """Bits of a bitmap for n slots: so many places each, or more, and 2 to the ``most`` places at most (28: 32 MB)."""
+    return min(most, max(20, (places * n).bit_length()))
 
 
 def chunk_bits(n: int) -> int:
-    """So many chunks that each has about a million of n entries."""
-    return min(30, max(3, (n >> 20).bit_length()))
+    """So many chunks, as a power of two, that each has about a million of n entries, of 2 to the 32 that it can tell apart."""
+    return min(31, max(3, (n >> 20).bit_length()))
 
 
 def frequent_slots(texts: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], chunks: int, least: int, slice_bytes: int = 4 << 20) -> DataFrame:
     """(slot, n): how often slots occur, of those that occur ``least`` times or more; n is exact up to 65,535 a slice of texts.
 
     ``hashes`` gives the 64-bit hashes of a slice of ``texts``, whose first column is the text.  A slice sends one packed row a
-    chunk, the equal hashes in it summed, so a hash that is everywhere costs ten bytes a slice.
+    chunk, the equal hashes in it summed, so a hash that is everywhere costs six bytes a slice.
     """
     schema = pa.schema([("chunk", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
-    low = SLOT_BITS - chunks
+    known = Bitmap(20, chunks)
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, 0, most_bytes=slice_bytes):
-                found = [slots_of(h) for h in hashes(part)]
+                found = [known.slots(h) for h in hashes(part)]
                 if not sum(map(len, found)):
                     continue
                 slots, n = np.unique(np.concatenate(found), return_counts=True)
-                chunk = (slots >> np.uint64(low)).astype(np.int64)
+                chunk = (slots >> np.uint64(_LOW)).astype(np.int64)
                 at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
                 ends = np.r_[at, len(slots)].astype(np.int64)
-                packed = [(slots & np.uint64((1 << low) - 1)).astype("<u8"), np.minimum(n, 65535).astype("<u2")]
+                packed = [slots.astype("<u4"), np.minimum(n, 65535).astype("<u2")]
                 columns = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary()) for x in packed]
                 yield to_batch(schema, chunk=chunk[at], slots=columns[0], counts=columns[1])
 
     def summed(table: pa.Table) -> pa.Table:
-        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u8")
+        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u4").astype(np.int64)
         n = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").astype(np.int64)
         order = np.argsort(slots)
         slots = slots[order]
         at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
         n = np.add.reduceat(n[order], at)
-        many, base = n >= least, int(table.column("chunk")[0].as_py()) << low
-        return pa.table({"slot": pa.array(slots[at[many]].astype(np.int64) + base), "n": pa.array(n[many])})
+        many, base = n >= least, int(table.column("chunk")[0].as_py()) << _LOW
+        return pa.table({"slot": pa.array(slots[at[many]] + base), "n": pa.array(n[many])})
 
     return texts.mapInArrow(run, "chunk long, slots binary, counts binary").groupBy("chunk").applyInArrow(summed, "slot long, n long")

@@ -4,8 +4,8 @@ A string of 100 bytes is sent where the least hash of its 32-byte parts says, so
 lie; neighbouring strings with the same least hash travel as one segment.  Hashes that occur once in the corpus are left
 out, as nothing that holds them can repeat.  A bucket of segments is cut into shards.  Each shard has its Burrows-Wheeler
 transform, and the transforms are merged by refining an interleave: at first shard after shard, then each round puts
-four more preceding symbols in front, so that the order is right for four more symbols.  Where neighbours first differ gives
-the length of their common prefix; what is still together after 100 symbols is an interval of one repeated string, and only
+twenty more preceding symbols in front, so that the order is right for twenty more symbols.  The round in which neighbours are parted gives
+their common prefix; what is still together after 100 symbols is an interval of one repeated string, of which only
 its earliest occurrence stays.  No suffix is compared with one of another shard.
 """
 
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, forget, made_of, stored, text_slices, to_batch
-from kinspark.llm.hashcount import Bitmap, bitmap_bits, chunk_bits, frequent_slots, mixed, slots_of
+from kinspark.llm.hashcount import Bitmap, bitmap_bits, chunk_bits, frequent_slots, mixed
 
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 #: Bytes of a part whose hash may be the least of its string; a power of two.
 _PART = 32
 #: Symbols that a round of refinement puts in front.
-_STEP = 4
+_STEP = 20
+#: Bytes of the texts that are worked on at once; several arrays of eight bytes a byte are made of them.
+_SLICE = 3 << 20
 #: Windows of one segment at most.
 _MOST_WINDOWS = 256
 _LAST = (1 << 63) - 1
@@ -81,28 +83,36 @@ class Anchors:
         self.least = sliding(self.hashes, width - _PART + 1, np.minimum)
         self.begins = self.begins[: len(self.least)]
 
-    def chosen(self) -> np.ndarray:
-        """The hashes of all places that are the least of a string, once a place: two equal strings have two places."""
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose hash is the least of a string, and these hashes: two equal strings have two places."""
         if not len(self.least):
-            return self.least
+            return np.zeros(0, np.int64), self.least
         span = self.width - _PART
         seen = np.zeros(len(self.hashes) + span, np.uint64)
         seen[span : span + len(self.least)] = np.where(self.begins, self.least, 0)
         most = sliding(seen, span + 1, np.maximum)
-        return self.hashes[(most == self.hashes) & (most > 0)]
-
-    def runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First place, number of strings, and row of each run of neighbouring strings of a text with one least hash, where ``wanted``."""
-        at = np.flatnonzero(wanted)
-        if not len(at):
-            return at, at, at
-        row = np.searchsorted(self.ends, at, side="right") - 1
-        new = np.r_[True, (np.diff(at) > 1) | (self.least[at[1:]] != self.least[at[:-1]]) | (np.diff(row) > 0)]
+        at = np.flatnonzero((most == self.hashes) & (most > 0))
+        return at, self.hashes[at]
+
+    def doubled(self) -> np.ndarray:
+        """Hashes, in order, of places of :meth:`chosen` that have the same hash again so near that one run may hold both."""
+        at, h = self.chosen()
+        order = np.lexsort((at, h))
+        at, h = at[order], h[order]
+        near = (h[1:] == h[:-1]) & (np.diff(at) <= _MOST_WINDOWS + self.width)
+        return np.unique(h[1:][near])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place, number of strings, and row of each run of neighbouring strings of a text with one least hash."""
+        # Between the strings of two texts there are places where none begins.
+        same = np.r_[False, self.begins[1:] & self.begins[:-1] & (self.least[1:] == self.least[:-1])] if len(self.least) else self.begins
+        first = np.flatnonzero(self.begins & ~same)
+        n = np.diff(np.r_[np.flatnonzero(~same), len(same)])[np.isin(np.flatnonzero(~same), first, assume_unique=True)]
         # Runs of periodic texts are cut, so no segment is long.
-        begin = np.flatnonzero(new)
-        place = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-        begin = np.flatnonzero(place % _MOST_WINDOWS == 0)
-        return at[begin], np.diff(np.r_[begin, len(at)]), row[begin]
+        parts = -(-n // _MOST_WINDOWS)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, n = np.repeat(first, parts) + nth * _MOST_WINDOWS, np.minimum(np.repeat(n, parts) - nth * _MOST_WINDOWS, _MOST_WINDOWS)
+        return first, n, np.searchsorted(self.ends, first, side="right") - 1
 
 
 class Shard:
@@ -123,15 +133,18 @@ class Shard:
         while bits < 64:
             key = (key << np.uint64(bits)) | key[ahead]
             ahead, bits = ahead[ahead], 2 * bits
-        while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.r_[True, ordered[1:] != ordered[:-1]]
-            if new.all():
-                break
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(new)
-            key, ahead = (rank << np.uint64(32)) | rank[ahead], ahead[ahead]
+        order = np.argsort(key)
+        ordered = key[order]
+        new, rank = np.r_[True, ordered[1:] != ordered[:-1]], np.empty(n, np.uint64)
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        while len(open_ := np.flatnonzero(~(new & np.r_[new[1:], True]))):  # places in the order of rotations that are still alike
+            own = order[open_]
+            key = (rank[own] << np.uint64(32)) | rank[ahead[own]]
+            by = np.argsort(key)
+            own, key = own[by], key[by]
+            parted = np.r_[True, key[1:] != key[:-1]]
+            order[open_], new[open_], ahead = own, parted, ahead[ahead]
+            rank[own] = open_[parted][np.cumsum(parted) - 1]
         before = np.empty(n, np.int64)
         before[follow] = np.arange(n)
         self.bwt = text[before[order]]
@@ -148,18 +161,21 @@ class Shard:
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all shards, numbered one shard after the other, in the order of their first ``depth`` symbols, and their common prefixes.
 
-    The second array has for each row but the first the length of its prefix in common with the row before, in whole steps of
-    four symbols, and ``depth`` where they are alike so far.
+    ``depth`` is a number of whole rounds.  The second array has for each row the length of its prefix in common with the row before in
+    whole rounds, and ``depth`` where they are alike so far.
     """
     bwt = np.concatenate([s.bwt for s in shards]).astype(np.uint64)
     sizes = np.array([len(s.bwt) for s in shards])
     front = np.concatenate([s.last_to_first() + at for s, at in zip(shards, np.cumsum(sizes) - sizes, strict=True)])
-    # Four symbols in front at once: the symbols, and the row that results.
+    # Five symbols in front at once, then ten, then twenty, numbered in their order; and the row that results.
     symbols, row, n = bwt, front, len(bwt)
-    for k in range(1, _STEP):
+    for k in range(1, 5):
         symbols = symbols | (bwt[row] << np.uint64(8 * k))
         row = front[row]
-    symbols <<= np.uint64(32)
+    for _ in range(2):
+        ranks = np.unique(symbols, return_inverse=True)[1].astype(np.uint64)
+        symbols, row = (ranks[row] << np.uint64(32)) | ranks, row[row]
+    symbols = np.unique(symbols, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
     order, block, place = np.arange(n), np.zeros(n, np.int32), np.arange(n, dtype=np.uint64)
     common, blocks = np.full(n, depth, np.int32), 1
     for reached in range(0, depth, _STEP):
@@ -221,13 +237,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _segments(texts: DataFrame, known: Bitmap, hot: np.ndarray, n_buckets: int, width: int, most_kept: int) -> DataFrame:
-    """(bucket, id, h, start, length, body): segments to be compared; those with a null body are known to be repeats.
+    """(bucket, hash, twice, id, h, start, length, body): segments to be compared; those with a null body are known to be repeats.
 
-    Equal segments that a task meets again are told apart from the earliest at once.  Strings with a hash of ``hot`` travel one by one, each by
-    its own hash, so a hash that fills a third of the table fills no bucket.
+    Equal segments that a task meets again are told apart from the earliest at once; ``twice``: the segment may repeat itself.  Strings with a
+    hash of ``hot`` travel one by one, each by its own hash, so a hash that fills a third of the table fills no bucket.
     """
     sent = texts.sparkSession.sparkContext.broadcast((known, hot))
-    schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("hash", pa.int64()), ("twice", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("body", pa.binary())])
 
     def run(batches):
         known, hot = sent.value
@@ -235,59 +251,64 @@ def _segments(texts: DataFrame, known: Bitmap, hot: np.ndarray, n_buckets: int,
         rows: list[tuple] = []
 
         def flush(all_: bool):
-            out = rows + [(b, *key, len(body), body) for body, (key, b) in first.items()] if all_ else rows[:]
+            out = rows + [(*own, *key, len(body), body) for body, (key, own) in first.items()] if all_ else rows[:]
             rows.clear()
             if all_:
                 first.clear()
-            if out:
-                yield to_batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+            for lo in range(0, len(out), 10_000):
+                yield to_batch(schema, **dict(zip(schema.names, zip(*out[lo : lo + 10_000], strict=True), strict=True)))
 
         for batch in batches:
-            for part in text_slices(batch, 0, most_bytes=4 << 20):
+            for part in text_slices(batch, 0, most_bytes=_SLICE):
                 a = Anchors(part.column(0), width)
-                slots = slots_of(a.least)
-                wanted = a.begins & known.has(slots)
-                if not wanted.any():
+                at, n, row = a.runs()
+                own = a.least[at]
+                wanted = known.has(own)
+                at, n, row, own = at[wanted], n[wanted], row[wanted], own[wanted]
+                if not len(at):
                     continue
-                many = wanted & np.isin(slots, hot) if len(hot) else np.zeros(len(wanted), bool)
-                at, n, row = a.runs(wanted & ~many)
-                bucket = (mixed(slots[at]) % np.uint64(n_buckets)).astype(np.int64)
+                twice = np.isin(own, a.doubled())
+                many = np.isin(known.slots(own), hot) if len(hot) else np.zeros(len(own), bool)
                 if many.any():
-                    single = np.flatnonzero(many)
-                    own = part_hashes(a.data, width)[single]
-                    at, n = np.r_[at, single], np.r_[n, np.ones(len(single), np.int64)]
-                    row = np.r_[row, np.searchsorted(a.ends, single, side="right") - 1]
-                    bucket = np.r_[bucket, (own % np.uint64(n_buckets)).astype(np.int64)]
+                    single = np.repeat(at[many], n[many]) + np.arange(n[many].sum()) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+                    row = np.r_[row[~many], np.repeat(row[many], n[many])]
+                    own = np.r_[own[~many], part_hashes(a.data, width)[single]]
+                    at, n, twice = np.r_[at[~many], single], np.r_[n[~many], np.ones(len(single), np.int64)], np.r_[twice[~many], np.zeros(len(single), bool)]
+                bucket = mixed(own) % np.uint64(n_buckets)
                 data, ids, hs = a.data.tobytes(), part.column(1).to_pylist(), part.column(2).to_pylist()
-                for p, k, r, b, s in zip(at.tolist(), (n + width - 1).tolist(), row.tolist(), bucket.tolist(), (at - a.ends[row]).tolist(), strict=True):
+                columns = (at, n + width - 1, row, at - a.ends[row], bucket.astype(np.int64), own.view(np.int64), twice)
+                for p, k, r, s, *to in zip(*(c.tolist() for c in columns), strict=True):
                     body, key = data[p : p + k], (ids[r], hs[r], s)
-                    before = first.setdefault(body, (key, b))[0]
+                    before = first.setdefault(body, (key, to))[0]
                     if before < key:
-                        rows.append((b, *key, k, None))
+                        rows.append((*to, *key, k, None))
                     elif key < before:
-                        rows.append((b, *before, k, None))
-                        first[body] = (key, b)
+                        rows.append((*to, *before, k, None))
+                        first[body] = (key, to)
                     if len(first) >= most_kept:
                         yield from flush(True)
                 if len(rows) >= 10_000:
                     yield from flush(False)
         yield from flush(True)
 
-    return texts.mapInArrow(run, "bucket long, id long, h long, start long, length int, body binary")
+    return texts.mapInArrow(run, "bucket long, hash long, twice boolean, id long, h long, start long, length int, body binary")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, shard_bytes: int = 1 << 18, bucket_bytes: int = 1 << 20, hot: int = 8192, most_hot: int = 1_000_000, most_kept: int = 30_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, shard_bytes: int = 1 << 18, bucket_bytes: int = 1 << 20, hot: int = 8192, most_hot: int = 1_000_000, most_kept: int = 60_000) -> DataFrame:
     """(id, h, start, stop): the bytes of each document that lie in a string of ``width`` bytes that also starts earlier, as maximal runs.
 
     Null ids are the largest number; h is the hash of the text.  Hashes that occur more than ``hot`` times are hot; the line is
     doubled while more than ``most_hot`` would be, as they are broadcast.
     """
-    texts, spark = _keyed(docs, id_col, text_col).where(F.octet_length("text") >= width), docs.sparkSession
+    if width % _STEP or width <= _PART:
+        raise ValueError(f"width must be a multiple of {_STEP} above {_PART}")
+    texts = _keyed(docs, id_col, text_col).where(F.octet_length("text") >= width)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = chunk_bits(int(size) // 32)
     # Two strings share a place of the corpus or have two: what occurs once is no repeat.
-    again = stored(frequent_slots(texts, lambda part: [Anchors(part.column(0), width).chosen()], chunk_bits(int(size) // 32), 2), "anchors")
+    again = stored(frequent_slots(texts, lambda part: [Anchors(part.column(0), width).chosen()[1]], chunks, 2, _SLICE), "anchors")
     n, places = again.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    known = Bitmap(bitmap_bits(n)).with_slots(again.select("slot"))
+    known = Bitmap(bitmap_bits(n), chunks).with_slots(again.select("slot"))
     while again.where(F.col("n") > hot).count() > most_hot:
         hot *= 2
     often = np.array([r[0] for r in again.where(F.col("n") > hot).select("slot").collect()], np.uint64)
@@ -296,24 +317,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def judged(table: pa.Table) -> pa.Table:
-        ids, h, start, length = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "h", "start", "length"))
-        body = table.column("body").to_pylist()
+        """Repeats of a bucket: of equal segments all but the earliest, and what the transforms of the rest have in common.
+
+        Segments of one hash only are compared; one that is alone with its hash shares nothing.
+        """
+        known = pc.is_null(table.column("body"))
+        done, table = table.filter(known), table.filter(pc.invert(known))
+        ids, h, start, hashes = (table.column(c).to_numpy() for c in ("id", "h", "start", "hash"))
         order = np.lexsort((start, h, ids))
-        doc = np.zeros(len(ids), np.int64)
-        doc[order] = np.cumsum(np.r_[False, (np.diff(ids[order]) != 0) | (np.diff(h[order]) != 0)])
+        ids, h, start, hashes, twice = ids[order], h[order], start[order], hashes[order], table.column("twice").to_numpy()[order]
+        body = table.column("body").take(pa.array(order)).to_pylist()
+        doc = np.cumsum(np.r_[False, (np.diff(ids) != 0) | (np.diff(h) != 0)]) if len(ids) else ids
         first: dict[bytes, int] = {}
-        out = []
-        for i in order.tolist():
-            if body[i] is None:
-                out.append((ids[i], h[i], start[i], start[i] + length[i]))
-            elif (j := first.setdefault(body[i], i)) != i and (doc[i], start[i]) != (doc[j], start[j]):
-                out.append((ids[i], h[i], start[i], start[i] + length[i]))
-        if first:
-            own = np.array(list(first.values()), np.int64)
-            for s, low, high in repeated(list(first), doc[own], start[own], width, shard_bytes):
-                i = own[s]
-                out.append((ids[i], h[i], start[i] + low, start[i] + high + width))
-        return pa.table(dict(zip(schema.names, [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, strict=True)))
+        own = np.array([first.setdefault(b, i) for i, b in enumerate(body)], np.int64)
+        again = np.flatnonzero((doc != doc[own]) | (start != start[own]))
+        length = np.array([len(b) for b in body], np.int64)
+        out = [done.select(["id", "h", "start"]).append_column("stop", pc.add(done.column("start"), pc.cast(done.column("length"), pa.int64())))]
+        out.append(pa.table([ids[again], h[again], start[again], start[again] + length[again]], schema=schema))
+        distinct = np.fromiter(first.values(), np.int64, len(first))
+        _, of, n = np.unique(hashes[distinct], return_inverse=True, return_counts=True)
+        some = distinct[(n[of] > 1) | twice[distinct]]
+        if len(some):
+            found = np.array(repeated([body[i] for i in some], doc[some], start[some], width, shard_bytes), np.int64).reshape(-1, 3)
+            i = some[found[:, 0]]
+            out.append(pa.table([ids[i], h[i], start[i] + found[:, 1], start[i] + found[:, 2] + width], schema=schema))
+        return pa.concat_tables(t.cast(schema) for t in out)
 
     marks = _segments(texts, known, often, n_buckets, width, most_kept).groupBy("bucket").applyInArrow(judged, "id long, h long, start long, stop long")
     # Overlapping and touching marks of a document as one run.
