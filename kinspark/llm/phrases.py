@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.llm.common import columns_of, forget, made_of, stored, text_slices, to_batch
-from kinspark.llm.hashcount import Bitmap, bitmap_bits, chunk_bits, frequent_slots, mixed, slots_of
+from kinspark.llm.hashcount import Bitmap, bitmap_bits, chunk_bits, frequent_slots, mixed
 
 _BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: parts words, 2: parts pieces
@@ -85,7 +85,7 @@ def runs_of(words: Words, known: Bitmap, longest: int, tested: int):
     Runs of at most ``tested`` words are themselves tested.
     """
     n, h = len(words.hash), words.hash
-    fits = known.has(slots_of(h))
+    fits = known.has(h)
     for k in range(2, longest + 1):
         m = n - k + 1
         if m <= 0:
@@ -94,15 +94,41 @@ def runs_of(words: Words, known: Bitmap, longest: int, tested: int):
         fits = fits[:m] & fits[1 : m + 1] & (words.piece[:m] == words.piece[k - 1 :])
         if k <= tested:
             at = np.flatnonzero(fits)
-            fits[at] = known.has(slots_of(h[at]))
+            fits[at] = known.has(h[at])
         at = np.flatnonzero(fits)
         yield k, at, h[at]
 
 
-def _counted(**columns) -> pa.Table:
-    """Distinct rows of the columns and how often each is there."""
-    names = list(columns)
-    return pa.table(columns).group_by(names).aggregate([([], "count_all")])
+class _Summing:
+    """Rows whose last column is a number: equal ones are added up before they are sent, at most ``most`` distinct ones at a time."""
+
+    most = 500_000
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.parts, self.rows, self.done = schema, [], 0, 0
+
+    def add(self, **columns):
+        """Take rows; yields what is full."""
+        self.parts.append(pa.table([columns[n].cast(t) for n, t in zip(self.schema.names, self.schema.types, strict=True)], schema=self.schema))
+        self.rows += len(self.parts[-1])
+        if self.rows - self.done >= self.most:
+            self.sum()
+            if self.done >= self.most:
+                yield from self.send()
+
+    def sum(self) -> None:
+        *names, n = self.schema.names
+        whole = pa.concat_tables(self.parts).group_by(names).aggregate([(n, "sum")])
+        self.parts = [whole.rename_columns([*names, n]).cast(self.schema)]
+        self.rows = self.done = len(whole)
+
+    def send(self):
+        """All rows that are held."""
+        if self.rows > self.done:
+            self.sum()
+        for table in self.parts:
+            yield from table.to_batches(max_chunksize=50_000)
+        self.parts, self.rows, self.done = [], 0, 0
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -114,6 +140,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches):
+        sums = _Summing(schema)
         for batch in batches:
             for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
@@ -121,11 +148,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 _, at, own, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
                 strings, langs = w.strings(every, every, 0), w.lang[at]
                 phrase = strings.take(pa.array(at))
-                if pc.all(pc.equal(phrase.take(pa.array(own)), strings)).as_py() is not False and (langs[own] == w.lang).all():
-                    yield to_batch(schema, lang=w.langs.take(pa.array(langs)), phrase=phrase.cast(pa.string()), n=n)
-                    continue
-                for b in _counted(lang=pa.array(w.lang), phrase=strings).to_batches():  # two words with one hash
-                    yield to_batch(schema, lang=w.langs.take(b.column(0)), phrase=b.column(1).cast(pa.string()), n=b.column(2))
+                if pc.all(pc.equal(phrase.take(pa.array(own)), strings)).as_py() is False or (langs[own] != w.lang).any():
+                    phrase, langs, n = strings, w.lang, np.ones(len(every), np.int64)  # two words with one hash: all are sent singly
+                yield from sums.add(lang=w.langs.take(pa.array(langs)), phrase=phrase, n=pa.array(n))
+        yield from sums.send()
 
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
@@ -140,21 +166,22 @@ def _sketched(texts: DataFrame, known: Bitmap, shortest: int, longest: int, n_ch
     return frequent_slots(texts, hashes, n_chunks, least, _SLICE).select("slot")
 
 
-def _word_slots(words: DataFrame, least: int) -> DataFrame:
+def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             w = Words(batch.column(1), batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(slots_of(w.hash).astype(np.int64))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(known.slots(w.hash).astype(np.int64))], ["slot"])
 
     return words.where(F.col("a") >= least).select("lang", "phrase").mapInArrow(run, "slot long")
 
 
 def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """(block, lang, stretch, n): stretches of words that the candidates of a block cover, equal ones of a slice once."""
+    """(block, lang, stretch, n): stretches of words that the candidates of a block cover, equal ones of a task summed."""
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
 
     def run(batches):
+        sums = _Summing(schema)
         for batch in batches:
             for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
@@ -168,28 +195,36 @@ def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) ->
                 new = np.r_[True, ((block << 32) + first)[1:] > reach[:-1]]  # shares no word with what came before
                 at, ends = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
                 text = w.strings(first[at], reach[ends] & 0xFFFFFFFF, 1)
-                for b in _counted(block=pa.array(block[at].astype(np.int32)), lang=pa.array(w.lang[first[at]]), stretch=text).to_batches():
-                    yield to_batch(schema, block=b.column(0), lang=w.langs.take(b.column(1)), stretch=b.column(2).cast(pa.string()), n=b.column(3))
+                yield from sums.add(block=pa.array(block[at]), lang=w.langs.take(pa.array(w.lang[first[at]])), stretch=text, n=pa.array(np.ones(len(at), np.int64)))
+        yield from sums.send()
 
     return texts.mapInArrow(run, "block int, lang string, stretch string, n long")
 
 
 def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """(block, phrase): the distinct runs that pass the bitmap in any language."""
+    """(block, phrase): the distinct runs that pass the bitmap in any language, a blank before and after."""
     sent = stretches.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("block", pa.int32()), ("phrase", pa.string())])
+    schema = pa.schema([("block", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches):
+        sums = _Summing(schema)
         for batch in batches:
-            for part in text_slices(batch, 1, most_bytes=_SLICE):
+            for part in text_slices(batch, 1, rows=100_000, most_bytes=_SLICE):
                 w = Words(part.column(1), part.column(2))
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 for k, at, h in runs_of(w, sent.value, longest, longest):
-                    at = at[(h % np.uint64(n_blocks)).astype(np.int64) == own[w.row[at]]]
-                    for b in _counted(block=pa.array(own[w.row[at]]), phrase=w.strings(at, at + k - 1, 1)).to_batches():
-                        yield to_batch(schema, block=b.column(0), phrase=b.column(1).cast(pa.string()))
+                    mine = (h % np.uint64(n_blocks)).astype(np.int64) == own[w.row[at]]
+                    # Of runs with one hash the first; two that share it by chance differ in words or language, so they are compared.
+                    _, one, of = np.unique(h[mine], return_index=True, return_inverse=True)
+                    at = at[mine]
+                    text = w.strings(at, at + k - 1, 1)
+                    few = text.take(pa.array(one))
+                    if pc.all(pc.equal(few.take(pa.array(of)), text)).as_py() is not False:
+                        at, text = at[one], few
+                    yield from sums.add(block=pa.array(own[w.row[at]]), phrase=text, n=pa.array(np.ones(len(at), np.int64)))
+        yield from sums.send()
 
-    return stretches.select("block", "stretch", "lang").mapInArrow(run, "block int, phrase string").distinct()
+    return stretches.select("block", "stretch", "lang").mapInArrow(run, "block int, phrase string, n long").select("block", "phrase").distinct()
 
 
 def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
@@ -207,9 +242,16 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
         at, names = 0, pc.value_counts(shard.column("lang").combine_chunks())
         for lang, rows in sorted(zip(names.field(0).to_pylist(), names.field(1).to_pylist(), strict=True)):
             n, part, at = [0] * len(phrases), shard.slice(at, rows), at + rows
-            for text, times in zip(part.column("stretch").to_pylist(), part.column("n").to_pylist(), strict=True):
-                for _, i in automaton.iter(text):
-                    n[i] += times
+            texts, times = part.column("stretch").to_pylist(), part.column("n").to_pylist()
+            # Stretches that are there once are scanned as one text; the break between two is in no pattern.
+            single = [t for t, k in zip(texts, times, strict=True) if k == 1]
+            for lo in range(0, len(single), 10_000):
+                for _, i in automaton.iter("\n".join(single[lo : lo + 10_000])):
+                    n[i] += 1
+            for text, k in zip(texts, times, strict=True):
+                if k > 1:
+                    for _, i in automaton.iter(text):
+                        n[i] += k
             met = [i for i, x in enumerate(n) if x]
             out["lang"] += [lang] * len(met)
             out["phrase"] += [phrases[i][1:-1] for i in met]
@@ -217,10 +259,10 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, block_phrases: int = 100_000, shard_bytes: int = 8 << 20, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, block_phrases: int = 50_000, shard_bytes: int = 8 << 20, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of all words, and of the phrases of 2 to ``longest`` words that occur ``least`` times or more: stored tables.
 
-    The bitmap has 64 bits for each frequent word at least, at most 2 to the ``most_bits``: beyond that more runs than
+    The bitmap has a thousand bits for each frequent word, at most 2 to the ``most_bits``: beyond that more runs than
     necessary become candidates, and the counts are the same.  Candidates are dealt by hash into blocks of some
     ``block_phrases``, stretches of a block into shards of some ``shard_bytes``, so an automaton's and a task's size don't
     grow with the table.
@@ -229,7 +271,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = stored(word_counts(texts), "words")
     total, frequent = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") >= least)).first()
     n_chunks = chunk_bits(int(total))
-    known = Bitmap(bitmap_bits(frequent, most_bits)).with_slots(_word_slots(words, least))
+    known = Bitmap(bitmap_bits(frequent, most_bits, 1024), n_chunks)
+    known = known.with_slots(_word_slots(words, known, least))
     n_slots = 0
     # Pairs first; longer runs only where every pair is frequent.
     for shortest, upto in ((2, 2), (3, longest)):
