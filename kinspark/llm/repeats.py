@@ -280,11 +280,11 @@ def _segments(texts: DataFrame, known: Bitmap, hot: np.ndarray, n_buckets: int,
                 for p, k, r, s, *to in zip(*(c.tolist() for c in columns), strict=True):
                     body, key = data[p : p + k], (ids[r], hs[r], s)
                     before = first.setdefault(body, (key, to))[0]
-                    if before < key:
-                        rows.append((*to, *key, k, None))
-                    elif key < before:
-                        rows.append((*to, *before, k, None))
-                        first[body] = (key, to)
+                    if before != key:
+                        later = max(before, key)
+                        rows.append(((later[0] + later[2]) % n_buckets, *to[1:], *later, k, None))  # done, so any bucket will do
+                        if key < before:
+                            first[body] = (key, to)
                     if len(first) >= most_kept:
                         yield from flush(True)
                 if len(rows) >= 10_000:
