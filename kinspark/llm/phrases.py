@@ -29,7 +29,7 @@ _random = np.random.default_rng(13)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 #: Bytes of the texts that are worked on at once; arrays of eight bytes a byte are made of them.
-_SLICE = 4 << 20
+_SLICE = 3 << 19
 
 
 class Words:
@@ -102,7 +102,7 @@ def runs_of(words: Words, known: Bitmap, longest: int, tested: int):
 class _Summing:
     """Rows whose last column is a number: equal ones are added up before they are sent, at most ``most`` distinct ones at a time."""
 
-    most = 500_000
+    most = 200_000
 
     def __init__(self, schema: pa.Schema):
         self.schema, self.parts, self.rows, self.done = schema, [], 0, 0
@@ -121,6 +121,7 @@ class _Summing:
         whole = pa.concat_tables(self.parts).group_by(names).aggregate([(n, "sum")])
         self.parts = [whole.rename_columns([*names, n]).cast(self.schema)]
         self.rows = self.done = len(whole)
+        pa.default_memory_pool().release_unused()
 
     def send(self):
         """All rows that are held."""
