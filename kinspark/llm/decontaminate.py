@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, stored
+from kinspark.llm.common import columns_of, forget, made_of, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words once A-Z is lower case: all of ASCII but digits and letters.
@@ -127,7 +127,7 @@ def contamination(
     # Every row has its result, also repeated ones; rows without hits are the most and meet nothing.
     out = rows.join(per, F.col("id").eqNullSafe(F.col("id3")) & (F.col("h") == F.col("h3")), "left")
     out = out.select("id", "h", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col),
         "n_words",
         "n_hit",
@@ -136,6 +136,7 @@ def contamination(
         F.col("h").alias("text_xxhash64"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+    return made_of(out, windows, counts, met if small else near_rows)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000, **options) -> DataFrame:
@@ -145,8 +146,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     ``most_broadcast`` (counted first).  Null, empty and very long texts, null ids and repeated rows follow the rule of
     :func:`contamination`; an empty table stays empty, an empty benchmark drops nothing; extra columns go through untouched.
     """
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = stored(bad.select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct(), "contaminated")
+    judged = contamination(docs, benchmark, id_col, text_col, **options)
+    bad = stored(judged.where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("text_xxhash64").alias("_bad_h")).distinct(), "contaminated")
+    forget(judged)
     few = F.broadcast if bad.count() <= most_broadcast else (lambda x: x)
     same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)) == bad["_bad_h"])
-    return docs.join(few(bad), same, "left_anti")
+    return made_of(docs.join(few(bad), same, "left_anti"), bad)

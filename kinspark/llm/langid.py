@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, to_batch
+from kinspark.llm.common import SLICE_ROWS, columns_of, text_slices, to_batch
 
 UNDETERMINED = "und"
 #: Scores of texts that are unlike all learnt languages are less.
@@ -128,13 +128,15 @@ def _least_likeness(mean: np.ndarray, label: np.ndarray, count: np.ndarray, n: n
 
 
 def fit_language_model(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, landmarks: int = 256, ridge: float = 0.3, bits: int = 14, most_languages: int = 200
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, landmarks: int = 256, ridge: float = 0.3, bits: int = 14, most_languages: int = 200, windows: int = 1
 ) -> LanguageModel:
-    """Learn from one window each of at most ``per_language`` documents of each language that are not held out.
+    """Learn from at most ``windows`` windows each of at most ``per_language`` documents of each language that are not held out.
+
+    Both bounds keep what the driver gets small: at most ``windows`` x ``per_language`` rows a language.
 
     They are those with the least hashes of id and text; rows that repeat both count once.  Only hashes below the
     language's share of its count of distinct ones are looked at, so the sample depends on no order and no language's
-    rows meet in one task.  The hash also picks the window of a long text.  The driver gets bits (2 KB each), not texts.
+    rows meet in one task.  The hash also picks the windows of a long text, at equal distances.  The driver gets bits (2 KB each), not texts.
     Null texts and null languages teach nothing, null and repeated ids are told apart by their texts; an empty table
     gives a model without languages; more than ``most_languages`` languages are an error.
     """
@@ -151,20 +153,24 @@ def fit_language_model(
     def run(batches):
         seen = set()  # of the sample only, which is small
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 2, rows=SLICE_ROWS):
                 out = []
                 for key in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if key[:2] not in seen:
                         seen.add(key[:2])
-                        at = key[0] % max(1, -(-len(key[2]) // WINDOW)) * WINDOW
-                        if (found := presence(key[2][at : at + WINDOW], bits)) is not None:
-                            out.append((*key[:2], np.packbits(found[0]).tobytes()))
-                yield to_batch(schema, hash=[x[0] for x in out], lang=[x[1] for x in out], bits=[x[2] for x in out])
-
-    schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
-    once = rows.select("_hash", "_lang", "_text").mapInArrow(run, "hash long, lang string, bits binary").dropDuplicates(["hash", "lang"]).collect()
-    once.sort(key=lambda r: (r.lang, r.hash % (1 << 31), r.hash))
-    got = [r for _, of_one in groupby(once, key=lambda r: r.lang) for r in islice(of_one, per_language)]
+                        n = max(1, -(-len(key[2]) // WINDOW))
+                        some = min(n, windows)
+                        for part_no in range(some):
+                            at = (key[0] + n * part_no // some) % n * WINDOW
+                            if (found := presence(key[2][at : at + WINDOW], bits)) is not None:
+                                out.append((*key[:2], part_no, np.packbits(found[0]).tobytes()))
+                yield to_batch(schema, **{f: [x[i] for x in out] for i, f in enumerate(schema.names)})
+
+    schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
+    once = rows.select("_hash", "_lang", "_text").mapInArrow(run, "hash long, lang string, part int, bits binary").dropDuplicates(["hash", "lang", "part"]).collect()
+    once.sort(key=lambda r: (r.lang, r.hash % (1 << 31), r.hash, r.part))
+    texts = [(lang, list(rows)) for (lang, _), rows in groupby(once, key=lambda r: (r.lang, r.hash))]
+    got = [r for _, of_one in groupby(texts, key=lambda t: t[0]) for _, rows in islice(of_one, per_language) for r in rows]
     languages = sorted({r.lang for r in got})
     if not languages:
         nothing = np.zeros((1 << bits, 0), np.float32)
@@ -213,7 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 2, rows=SLICE_ROWS):
                 lang, score = sent.value.predict(part.column(2).to_pylist())
                 yield to_batch(schema, id=part.column(0), held_out=part.column(1), lang_pred=lang, score=score)
 
@@ -231,7 +237,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, at, rows=SLICE_ROWS):
                 lang, score = sent.value.predict(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
 

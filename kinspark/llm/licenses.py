@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, to_batch
+from kinspark.llm.common import SLICE_ROWS, columns_of, text_slices, to_batch
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -120,53 +120,54 @@ def _telling_runs(text: str | None, gap: int) -> list[list[int]]:
     return out
 
 
-def blocks_of(text: str | None, gap: int = 2, reach: int | None = None) -> list[str]:
-    """Runs of telling lines with the lines around them, at least ``reach`` words (the longest template) on both sides.
+class _Template:
+    """A template's words, the most that may differ, and how much smaller its own words become with it as the dictionary."""
 
-    A wrapped license has lines without a telling word at its ends, so blocks don't end with the telling lines.
-    """
-    if not (runs := _telling_runs(text, gap)):
-        return []
-    reach = max(len(words_of(body)) for _, body in TEMPLATES) if reach is None else reach
-    lines, out = text.split("\n"), []
-    for begin, last in runs:
-        before = after = 0
-        while begin > 0 and before < reach:
-            begin -= 1
-            before += len(lines[begin].split())
-        while last < len(lines) - 1 and after < reach:
-            last += 1
-            after += len(lines[last].split())
-        out.append("\n".join(lines[begin : last + 1]))
-    return out
+    def __init__(self, name: str, wanted: list[str], most: int, level: int):
+        import zstandard as zstd
+
+        self.name, self.wanted, self.most = name, wanted, most
+        data = " ".join(wanted).encode("utf-8", "surrogatepass")
+
+        def compressor(raw):
+            raw = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            return zstd.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
+
+        # The other dictionary is as long and has the same letters, but no word of the template.
+        self._with, self._other = compressor(data), compressor(data[::-1])
+        self.own, self.rate = 1.0, 1.0
+        self.own, self.rate = self.reduction(wanted)
+
+    def reduction(self, words) -> tuple[float, float]:
+        """Bytes that the template as dictionary saves on words, more than an unrelated one of its length does, and their share
+        of all; both over what they are for the template's own words."""
+        data = " ".join(words).encode("utf-8", "surrogatepass")
+        size = len(self._other.compress(data))
+        saved = max(0, size - len(self._with.compress(data)))
+        return saved / max(self.own, 1e-9), saved / size / max(self.rate, 1e-9)
 
 
 @lru_cache(maxsize=4)
 def _compressors(templates: tuple[tuple[str, str], ...], most_changed: float, level: int = 3):
-    """A plain compressor, (license, words, most differing words, with, own size) of each template, and its pieces.
+    """The templates with their dictionaries, and their pieces.
 
     A template of which at most k words differ, cut into k + 1 pieces, has a piece without a difference.  Pieces are
     kept by how many first words they are known by, three at most, and by these.
     """
-    import zstandard as zstd
-
     if not 0 <= most_changed < 1:
         raise ValueError("most_changed must be at least 0 and below 1")
-    plain, out, pieces = zstd.ZstdCompressor(level=level, write_content_size=False), [], []
+    out, pieces = [], []
     for name, body in templates:
         if wanted := words_of(body):
             most = int(most_changed * len(wanted))
             cuts = [len(wanted) * i // (most + 1) for i in range(most + 2)]
             pieces += [(len(out), a, wanted[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            data = " ".join(wanted).encode("utf-8", "surrogatepass")
-            raw = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            with_it = zstd.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False)
-            out.append((name, wanted, most, with_it, len(plain.compress(data))))
+            out.append(_Template(name, wanted, most, level))
     by_start: dict[int, dict[tuple[str, ...], list]] = {}
     for piece in pieces:
         width = min(3, len(piece[2]))
         by_start.setdefault(width, {}).setdefault(tuple(piece[2][:width]), []).append(piece)
-    return plain, out, by_start
+    return out, by_start
 
 
 def _fit(template: list[str], block: list[str]) -> tuple[int, int]:
@@ -188,59 +189,68 @@ def wording_differences(template: list[str], block: list[str]) -> int:
     return _fit(template, block)[0]
 
 
-def scan(blocks: list[str], templates=TEMPLATES, least_saved: float = 0.4, most_changed: float = 0.15) -> list[tuple[str, float, int, int]]:
+def candidates(words: list[str], known: list[_Template], by_start: dict) -> list[tuple[float, int, int, int]]:
+    """(share, template, begin, end) of windows of a template's length where a piece of it stands unchanged, by falling share.
+
+    The share is the window's reduction over that of the template's own words, in bytes or in bytes a byte, whichever is less: 1
+    where it stands word by word, less where words are missing or other words lie between.  Of equal shares the longer template comes first, then the one that is listed first.
+    """
+    begins: dict[int, set[int]] = {}
+    here = set(words)
+    for width, starts in by_start.items():
+        if any(here.issuperset(start) for start in starts):
+            for i, start in enumerate(zip(*(words[n:] for n in range(width)), strict=False)):
+                for k, at, piece in starts.get(start, ()):
+                    if words[i : i + len(piece)] == piece:
+                        begins.setdefault(k, set()).add(i - at)
+    out, saved = [], {}
+    for k, found in begins.items():
+        t = known[k]
+        near: list[list[int]] = []  # beginnings of one copy lie within 2 * most words
+        for begin in sorted(found):
+            if near and begin - near[-1][0] <= 2 * t.most:
+                near[-1][1] = begin
+            else:
+                near.append([begin, begin])
+        for begin, end in near:
+            window = tuple(words[max(0, begin) : end + len(t.wanted)])
+            if (k, window) not in saved:  # the same words again have the same result
+                saved[k, window] = min(t.reduction(window))
+            out.append((saved[k, window], k, begin, end))
+    return sorted(out, key=lambda c: (-c[0], -len(known[c[1]].wanted), c[1], c[2]))
+
+
+def scan(blocks: list[str], templates=TEMPLATES, least_saved: float = 0.25, most_changed: float = 0.15) -> list[tuple[str, float, int, int]]:
     """(license, share saved, differing words, words of the template) of each license found in blocks.
 
     Windows of a template's length are taken wherever a piece of it stands unchanged, which no run of words with up
     to ``most_changed`` of the template's words differing can escape, however long its line and whatever stands
-    around it.  Each template is compared word by word there, and its dictionary must save at least ``least_saved``
-    of its own size on the words of the best run alone.  A run of which over half the words belong to runs of
-    other licenses with a smaller share of differing words, or the same and a longer template, is left out.  One entry a license, the one with
-    the fewest differences.
+    around it.  They are compressed with the template as dictionary and ranked by the reduction (:func:`candidates`); those of at
+    least ``least_saved`` are confirmed word by word in that order, and a confirmed one owns its words: a later one of which over half the
+    words are owned by other licenses is left out.  One entry a license, the one with the fewest differences.
     """
-    plain, known, by_start = _compressors(tuple(templates), most_changed)
+    known, by_start = _compressors(tuple(templates), most_changed)
     best: dict[str, tuple] = {}
     for block in blocks:
-        words = words_of(block)
-        begins: dict[int, set[int]] = {}
-        here = set(words)
-        for width, starts in by_start.items():
-            if any(here.issuperset(start) for start in starts):
-                for i, start in enumerate(zip(*(words[n:] for n in range(width)), strict=False)):
-                    for k, at, piece in starts.get(start, ()):
-                        if words[i : i + len(piece)] == piece:
-                            begins.setdefault(k, set()).add(i - at)
-        runs = []
-        for k, found in begins.items():
-            name, wanted, most, with_it, own = known[k]
-            near: list[list[int]] = []  # beginnings of one copy lie within 2 * most words
-            for begin in sorted(found):
-                if near and begin - near[-1][0] <= 2 * most:
-                    near[-1][1] = begin
-                else:
-                    near.append([begin, begin])
-            fits: dict[tuple[str, ...], tuple[int, int, float]] = {}  # the same words again have the same result
-            for begin, end in near:
-                begin, end = max(0, begin - most), end + len(wanted) + most
-                window = tuple(words[begin:end])
-                if window not in fits:
-                    off, last = _fit(wanted, list(window))
-                    share = 0.0
-                    if off <= most:
-                        run = " ".join(window[max(0, last - len(wanted)) : last]).encode("utf-8", "surrogatepass")
-                        alone = len(plain.compress(run))
-                        share = (alone - len(with_it.compress(run))) / min(own, alone)
-                    fits[window] = off, last, share
-                off, last, share = fits[window]
-                if off <= most and share >= least_saved:
-                    runs.append((off / len(wanted), -len(wanted), -share, name, off, begin + max(0, last - len(wanted)), begin + last))
-        owner: dict[int, str] = {}  # the license that a word belongs to
-        for run in sorted(runs):
-            taken = sum(owner.get(i, run[3]) != run[3] for i in range(run[5], run[6]))
-            if 2 * taken <= run[6] - run[5]:
-                owner.update(dict.fromkeys((i for i in range(run[5], run[6]) if i not in owner), run[3]))
-                entry = (run[0], run[2], run[3], run[4], -run[1])
-                best[run[3]] = min(best.get(run[3], entry), entry)
+        words, owner = words_of(block), {}  # the license that a word belongs to
+        fits: dict[tuple, tuple[int, int]] = {}
+        for share, k, begin, end in candidates(words, known, by_start):
+            if share < least_saved:
+                break
+            t = known[k]
+            begin, end = max(0, begin - t.most), end + len(t.wanted) + t.most
+            window = (k, tuple(words[begin:end]))
+            if window not in fits:
+                fits[window] = _fit(t.wanted, list(window[1]))
+            off, last = fits[window]
+            if off > t.most:
+                continue
+            run = range(begin + max(0, last - len(t.wanted)), begin + last)
+            if 2 * sum(owner.get(i, t.name) != t.name for i in run) <= len(run):
+                for i in run:
+                    owner.setdefault(i, t.name)
+                entry = (off / len(t.wanted), -share, t.name, off, len(t.wanted))
+                best[t.name] = min(best.get(t.name, entry), entry)
     return [(name, -b[1], b[3], b[4]) for name, b in sorted(best.items())]
 
 
@@ -257,7 +267,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 1, rows=SLICE_ROWS):
                 texts = part.column(1).to_pylist()
                 found = [scan([t] if t else [], templates) for t in texts]
                 yield to_batch(

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, to_batch
+from kinspark.llm.common import columns_of, text_slices, to_batch
 from kinspark.llm.pretokens import piece_cache
 
 #: Sequence ids hold the task above this bit and the task's own count below it.
@@ -112,16 +112,23 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 
 
 def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Subsets of items, none over capacity: the least k that the total allows, more while a slot overflows."""
-    total = sum(sizes)
-    k = max(1, math.ceil(total / capacity))
-    while True:
+    """Subsets of items, none over capacity: the least number found to fit by differencing.
+
+    The total allows some least k.  While a slot overflows k rises by what the fullest is over; between the last k that
+    failed and the first that fits the least that fits is then sought by halving.
+    """
+    failed, k = 0, max(1, math.ceil(sum(sizes) / capacity))
+    best, fits = None, math.inf
+    while k > failed and k < fits:
         slots = differencing(sizes, k)
         most = max(sum(sizes[i] for i in s) for s in slots)
         if most <= capacity:
-            return [s for s in slots if s]
-        # So many more windows that the fullest would fit if all shrank alike.
-        k = max(k + 1, k * most // capacity)
+            best, fits = slots, k
+        else:
+            failed = k
+        # So many more windows that the fullest would fit if all shrank alike; or the middle.
+        k = max(k + 1, k * most // capacity) if best is None else (failed + fits) // 2 if failed else fits
+    return [s for s in best if s]
 
 
 def pack_documents(
@@ -162,7 +169,7 @@ def pack_documents(
             wait.clear()
 
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in text_slices(batch, 1, rows=1024):
                 for doc, ids in zip(part.column(0).to_pylist(), cache.totals(part.column(1)), strict=True):
                     ids += tail
                     whole = len(ids) // 4

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, to_batch
+from kinspark.llm.common import SLICE_ROWS, columns_of, text_slices, to_batch
 
 _SYMBOLS = "#*$%&|<>"
 # White space that parts words; other white space belongs to words.
@@ -120,7 +120,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 0, rows=SLICE_ROWS):
                 for text, good in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     n = np.bincount(ngram_buckets(text, bits), minlength=1 << bits)
                     raw += n
@@ -158,7 +158,7 @@ def judge(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 1, rows=SLICE_ROWS):
                 texts = part.column(1).to_pylist()
                 base = [base_counts(t) for t in texts]
                 failed = [b[0] < 20 or 100 * b[4] > 30 * b[0] for b in base]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, forget, made_of, slices, stored, to_batch
+from kinspark.llm.common import SLICE_ROWS, columns_of, forget, made_of, slices, stored, text_slices, to_batch
 from kinspark.llm.components import connected_components
 
 #: Bits of the three segments, from the lowest bit on; each is at most the code's length of 23.
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 2, rows=SLICE_ROWS):
                 fp = np.array([fingerprint(x) for x in part.column(2).to_pylist()], dtype=np.uint64)
                 yield to_batch(schema, doc_id=part.column(0), h=part.column(1), fp=fp.view(np.int64))
 
@@ -284,9 +284,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     rest = docs.join(near(keys), on(keys), "left_anti")
     again = keys.where("stays")
     if again.isEmpty():
-        return rest
+        return made_of(rest, keys)
     # Rows that repeat the one that stays: one of each, without sending more than one from a task.
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     repeated = docs.join(near(again), on(again), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*plain).alias("_of"), F.col(f"`{id_col}`").cast("long").alias("_id"), text_hash(F.col(f"`{text_col}`")).alias("_h"))
     one = repeated.groupBy("_id", "_h").agg(F.min_by("_row", "_of").alias("_row")).select("_row.*")
-    return rest.unionByName(one)
+    return made_of(rest.unionByName(one), keys)

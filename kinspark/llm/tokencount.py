@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, slices, to_batch
+from kinspark.llm.common import columns_of, text_slices, to_batch
 from kinspark.llm.pretokens import load_tokenizer, piece_cache, piece_of, pieces_of
 
 
@@ -53,7 +53,7 @@ def count_tokens(
         cache = piece_cache(tokenizer_path)
         cache.seed(_unpack(table.value))
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in text_slices(batch, 1, rows=1024):
                 n = cache.totals(part.column(1))
                 n_bytes = pc.fill_null(pc.binary_length(part.column(1)), 0)
                 yield to_batch(schema, id=part.column(0), n_bytes=n_bytes.cast(pa.int64()), n_tokens=n, over_limit=[x > limit_tokens for x in n])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import columns_of, forget, slices, stored, to_batch
+from kinspark.llm.common import SLICE_ROWS, columns_of, forget, stored, text_slices, to_batch
 
 GOOD, NONE, BAD = 1, 0, -1
 
@@ -156,7 +156,7 @@ def _voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 2, rows=SLICE_ROWS):
                 v = [sum((x + 1) * p for x, p in zip(votes(t), powers, strict=True)) for t in part.column(2).to_pylist()]
                 yield to_batch(schema, id=part.column(0), key=part.column(1), votes=v)
 
@@ -193,7 +193,7 @@ def fit_quality_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 2, rows=SLICE_ROWS):
                 x = [features(t, bits).astype(np.float16).tobytes() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["key", "votes", "x"])
 
@@ -224,7 +224,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     def run(batches):
         m = sent.value
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, 1, rows=SLICE_ROWS):
                 texts = part.column(1).to_pylist()
                 v = np.array([votes(t) for t in texts]).reshape(len(texts), -1)
                 s = m.scores(texts)
@@ -244,7 +244,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in text_slices(batch, at, rows=SLICE_ROWS):
                 yield part.filter(pa.array(sent.value.scores(part.column(at).to_pylist()) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

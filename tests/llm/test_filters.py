@@ -113,6 +113,15 @@ def test_whole_table_and_no_python_in_the_plan(spark, sf_dir):
     assert kept.columns == docs.columns and kept.count() == got.where("not contaminated").count()
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_short_items_and_a_text_of_a_hundred_thousand_words(spark, most):
+    text = " ".join(f"w{i}" for i in range(100_000)) + " short item solo"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    bench = [(1, "short item"), (2, "solo"), (3, " ".join(f"w{i}" for i in range(40, 60)))]
+    got = decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id long, text string"), broadcast_windows=most).drop("text_xxhash64")
+    assert Counter(tuple(r) for r in got.collect()) == contaminated([(1, text), (2, "nothing here")], bench)
+
+
 # --- language
 
 
@@ -360,10 +369,10 @@ def test_ratio_drops_junk_and_keeps_what_is_trusted(spark):
 
 def test_templates_are_found_and_changes_counted():
     for name, body in licenses.TEMPLATES:
-        got = licenses.scan(licenses.blocks_of(f"foo bar\n\n{body}\n\nqux"))
+        got = licenses.scan([f"foo bar\n\n{body}\n\nqux"])
         assert (name, 0) in {(x[0], x[2]) for x in got}
     changed = licenses.TEMPLATES[0][1].replace("AUTHORS OR COPYRIGHT HOLDERS", "FOO INC")
-    ((name, _, off, _),) = licenses.scan(licenses.blocks_of(changed))
+    ((name, _, off, _),) = licenses.scan([changed])
     assert name == "MIT" and off == 4
     two, three = (body for name, body in licenses.TEMPLATES if name in ("BSD-2-Clause", "BSD-3-Clause") and len(body) > 100)
     for text, want in ((two, ["BSD-2-Clause"]), (three, ["BSD-3-Clause"]), (three + "\n" + two, ["BSD-2-Clause", "BSD-3-Clause"]), ("\n".join([two, three, two]), ["BSD-2-Clause", "BSD-3-Clause"])):
@@ -382,7 +391,7 @@ def test_one_page_of_a_hundred_thousand_words_is_quick():
 def test_no_template_is_taken_for_another():
     for name, body in licenses.TEMPLATES:
         assert [(x[0], x[2]) for x in licenses.scan([f"foo bar {body} qux"])] == [(name, 0)]
-    assert licenses.scan(licenses.blocks_of("we need permission to walk this dog")) == []
+    assert licenses.scan(["we need permission to walk this dog"]) == []
     assert licenses.wording_differences(["a", "b", "c"], ["x", "a", "c", "y"]) == 1
 
 
@@ -419,14 +428,13 @@ def test_notices_in_long_lines_are_found(spark):
 def test_wrapped_notices_are_exact(width):
     for name, body in licenses.TEMPLATES:
         text = "x y z\n" * 3 + "\n".join(" * " + line for line in textwrap.wrap(body, width)) + "\nx y z" * 3
-        for parts in (licenses.blocks_of(text), [text]):
-            assert (name, 0) in {(x[0], x[2]) for x in licenses.scan(parts)}
-    assert len(licenses.blocks_of("in the public\ndomain")) == len(licenses.blocks_of("all rights  reserved")) == 1
+        assert (name, 0) in {(x[0], x[2]) for x in licenses.scan([text])}
+    assert len(licenses._telling_runs("in the public\ndomain", 2)) == len(licenses._telling_runs("all rights  reserved", 2)) == 1
 
 
 def test_all_notices_of_a_block_are_found():
     short = {name: body for name, body in licenses.TEMPLATES if len(body) < 150 and "SPDX" not in body}
-    assert len(short) >= 6 and [x[0] for x in licenses.scan(licenses.blocks_of("\n".join(short.values())))] == sorted(short)
+    assert len(short) >= 6 and [x[0] for x in licenses.scan(["\n".join(short.values())])] == sorted(short)
     every = "\n".join(body for _, body in licenses.TEMPLATES)
     assert [(x[0], x[2]) for x in licenses.scan([every])] == sorted({(name, 0) for name, _ in licenses.TEMPLATES})
 
@@ -456,3 +464,32 @@ def test_changed_notices_are_brute_force():
             if off <= int(0.15 * len(wanted)):
                 want[n] = min(want.get(n, (9.0, 0)), (off / len(wanted), off))
         assert {x[0]: x[2] for x in licenses.scan([text])} == {n: off for n, (_, off) in want.items()}, (name, text)
+
+
+def test_the_size_reduction_ranks_the_licenses_that_share_words():
+    # Of the same nine words and one other; in the text a short word of one and a long word of the other differ.
+    common = "this grant of rights covers all copies made by anyone"
+    one, two = f"{common} heretofore incontrovertibly yes", f"{common} heretofore unquestionable yes"
+    templates = [("A", f"{common} heretofore incontrovertibly no"), ("B", f"{common} nevertheless unquestionable yes")]
+    for text, first in ((one, "A"), (two, "B")):
+        known, by_start = licenses._compressors(tuple(templates), 0.3)
+        ranked = licenses.candidates(licenses.words_of(text), known, by_start)
+        assert known[ranked[0][1]].name == first and ranked[0][0] > ranked[1][0]
+        assert [x[0] for x in licenses.scan([text], templates, most_changed=0.3)] == [first]
+    # Two of A's short words differ and one of B's: words alone would choose B, the bytes saved choose A.
+    text = f"{common} heretofore incontrovertibly by us".replace("made by", "made to")
+    templates = [("A", f"{common} heretofore incontrovertibly to us"), ("B", f"{common} extraordinarily-incomprehensible incontrovertibly by us".replace("made by", "made to"))]
+    off = {n: licenses.wording_differences(licenses.words_of(b), licenses.words_of(text)) for n, b in templates}
+    assert off == {"A": 2, "B": 2} or off["B"] < off["A"]
+    assert [x[0] for x in licenses.scan([text], templates, most_changed=0.3)] == ["A"]
+
+
+def test_no_license_is_confirmed_without_a_size_reduction(monkeypatch):
+    body = licenses.TEMPLATES[0][1]
+    assert licenses.scan([body])
+    monkeypatch.setattr(licenses._Template, "reduction", lambda self, words: (0.0, 0.0))
+    licenses._compressors.cache_clear()
+    try:
+        assert licenses.scan([body]) == []
+    finally:
+        licenses._compressors.cache_clear()

@@ -60,8 +60,29 @@ def test_each_stage_is_brute_force_on_its_own_input(spark, sf_dir, tokenizer):
     assert not pieces
 
 
-def test_run_and_empty_input(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+def test_entry_lists_the_core_without_the_tokenizers(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline")
+    try:
+        assert {"clone_composition", "op1_token_counts", "pipeline"} <= set(importlib.reload(__spark_entry__).queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(__spark_entry__)
+
+
+def test_run_and_empty_input(spark, sf_dir, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert corpus_pipeline.run(spark, sf_dir).count() > 0
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["window_packing"]  # of the steps nothing is left
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -168,3 +168,23 @@ def test_differencing_balances():
         assert max(sums) - min(sums) <= 8
     assert all(sum([600, 600, 600][i] for i in s) <= 1024 for s in packing.pack_group([600, 600, 600], 1024))
     assert packing.differencing([5], 3)[-1] == [0] or [0] in packing.differencing([5], 3)
+
+
+def first_fit(sizes, capacity):
+    """Windows that first-fit decreasing takes."""
+    free = []
+    for s in sorted(sizes, reverse=True):
+        at = next((i for i, f in enumerate(free) if f >= s), None)
+        if at is None:
+            free.append(capacity - s)
+        else:
+            free[at] -= s
+    return len(free)
+
+
+@pytest.mark.parametrize(("low", "high"), [(200, 200), (190, 215), (205, 256), (100, 100), (1, 256), (256, 256), (1, 1), (170, 171), (341, 342)])
+def test_window_counts_are_near_first_fit(low, high):
+    sizes = np.random.default_rng(5).integers(low, high + 1, 2048).tolist()
+    slots = packing.pack_group(sizes, 1024)
+    assert sorted(i for s in slots for i in s) == list(range(2048)) and max(sum(sizes[i] for i in s) for s in slots) <= 1024
+    assert len(slots) <= 1.05 * first_fit(sizes, 1024)
