@@ -7,11 +7,10 @@ empty table stays empty.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kinspark.llm import decontaminate, langid, packing, simhash, weakquality
-from kinspark.llm.common import stored
+from kinspark.llm.common import forget, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed into windows; a null text has the end id alone."""
+    import public_tokenizers
+
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
@@ -54,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = stored(made, name)
+        forget(made, before)  # the result reads nothing of the stages before
     return docs
