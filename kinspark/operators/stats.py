@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from kinspark.functions import tails
 from kinspark.functions.splines import design, solve, wald_statistic
 from kinspark.operators.products import summed_product
+from kinspark.operators.ranged import quantiles, with_average_ranks
 from kinspark.sources.store import stored
 
 
@@ -31,24 +32,19 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return pd.Series(tails.normal_sf(z.to_numpy(dtype=float))).where(z.notna().to_numpy())
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1, equal values sharing the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
-def _centred(long: DataFrame, name: str, weights: DataFrame | None, method: str) -> tuple[DataFrame, DataFrame]:
-    """(obs, name, w, c) with c the centred value, and (name, ss) with the weighted sum of squares of each whole column.
+def _centred(long: DataFrame, name: str, weights: DataFrame | None, method: str) -> DataFrame:
+    """(obs, name, w, c) with c the centred value, or the centred rank.
 
     Means are summed map-side and joined back, one row a column, so no column's rows meet in one task.
     """
     if method == "spearman":
-        long = long.withColumn("value", average_rank("value", [name]))
+        long = long.select("obs", name, "value")
+        long = stored(with_average_ranks(long, [name], "value", "rank").select("obs", name, F.col("rank").alias("value")), "ranked")
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     rows = long.withColumn("w", F.lit(1.0)) if weights is None else long.join(weights.select("obs", F.col("weight").cast("double").alias("w")), "obs")
     means = rows.groupBy(name).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
-    centred = rows.join(means, name).select("obs", name, "w", (F.col("value") - F.col("m")).alias("c"))
-    return centred, centred.groupBy(name).agg(F.sum(F.col("w") * F.col("c") * F.col("c")).alias("ss"))
+    return rows.join(means, name).select("obs", name, "w", (F.col("value") - F.col("m")).alias("c"))
 
 
 def _finish(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +57,8 @@ def _finish(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _products():
-    return F.sum(F.col("w") * F.col("cx") * F.col("cy")).alias("sxy"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")
+    of = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
+    return of("cx", "cy").alias("sxy"), of("cx", "cx").alias("sx"), of("cy", "cy").alias("sy"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")
 
 
 def correlate(x: DataFrame, y: DataFrame, method: str = "pearson", weights: DataFrame | None = None) -> DataFrame:
@@ -70,18 +67,16 @@ def correlate(x: DataFrame, y: DataFrame, method: str = "pearson", weights: Data
     Both need a row for each observation, zeros too.  ``weights`` (obs, weight) weigh means and sums of squares, the
     p-value has Kish's effective number of observations.  r is null for a constant column.
     """
-    (a, sa), (b, sb) = _centred(x, "gene", weights, method), _centred(y, "response", weights, method)
+    a, b = _centred(x, "gene", weights, method), _centred(y, "response", weights, method)
     both = a.select("obs", "gene", "w", F.col("c").alias("cx")).join(b.select("obs", "response", F.col("c").alias("cy")), "obs")
-    sums = both.groupBy("gene", "response").agg(*_products())
-    return _finish(sums.join(sa.withColumnRenamed("ss", "sx"), "gene").join(sb.withColumnRenamed("ss", "sy"), "response"), ["gene", "response"])
+    return _finish(both.groupBy("gene", "response").agg(*_products()), ["gene", "response"])
 
 
 def correlate_columns(x: DataFrame, y: DataFrame, method: str = "pearson", weights: DataFrame | None = None) -> DataFrame:
     """(gene, r, slope, pvalue): each column of x with the column of y of the same name."""
-    (a, sa), (b, sb) = _centred(x, "gene", weights, method), _centred(y, "gene", weights, method)
+    a, b = _centred(x, "gene", weights, method), _centred(y, "gene", weights, method)
     both = a.select("obs", "gene", "w", F.col("c").alias("cx")).join(b.select("obs", "gene", F.col("c").alias("cy")), ["obs", "gene"])
-    sums = both.groupBy("gene").agg(*_products())
-    return _finish(sums.join(sa.withColumnRenamed("ss", "sx"), "gene").join(sb.withColumnRenamed("ss", "sy"), "gene"), ["gene"])
+    return _finish(both.groupBy("gene").agg(*_products()), ["gene"])
 
 
 def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out: str = "p_adj") -> DataFrame:
@@ -118,8 +113,6 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out:
     return df.join(table.select("_p", F.least(F.lit(1.0), F.col("_q")).alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")
 
 
-#: Observations of a pair up to which its knots are exact quantiles; beyond, ranks are right to one part in as many.
-_EXACT = 100_000
 _PAIR = ["gene", "response"]
 
 
@@ -171,10 +164,25 @@ def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFra
     return summed.select(*_PAIR, F.array(*[f"s{i}" for i in range(wide)]).alias("sums"), "low", "high")
 
 
+def pair_quantiles(x: DataFrame, y: DataFrame, shares: list[float]) -> DataFrame:
+    """(gene, response, inner): exact quantiles of each x column (obs, gene, value) over the observations of each y column (obs, response, value).
+
+    Responses of the same observations share their quantiles: these are told by count, sum and exclusive or of hashes of their observations, and x
+    is ranked once for each such set of observations.
+    """
+    mark = F.xxhash64("obs")
+    sets = y.groupBy("response").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("s"), F.bit_xor(mark).alias("o"))
+    sets = stored(sets.withColumn("first", F.min("response").over(Window.partitionBy("n", "s", "o"))).select("response", "first"), "sets")
+    obs = y.join(F.broadcast(sets.where("response = first").select("response", "first")), "response").select("obs", "first")
+    own = x.select("obs", "gene", F.col("value").alias("x")).join(obs, "obs")
+    inner = quantiles(own.where("x is not null"), ["gene", "first"], "x", shares, "inner")
+    return inner.join(F.broadcast(sets), "first").select("gene", "response", "inner")
+
+
 def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5, degree: int = 3, p_method: str = "lrt", max_rounds: int = 25) -> DataFrame:
     """(gene, response, r2, amplitude, slope, pvalue) of a spline of each x column in a model of each y column.
 
-    Knots are quantiles of each pair's observations.  A round of least squares is one pass in which tasks sum the products of
+    Knots are exact quantiles of each pair's observations, however many they are.  A round of least squares is one pass in which tasks sum the products of
     their rows' splines, some fifty numbers a pair; the small systems are solved on a row a pair.  Gaussian models take one round,
     binomial ones (``totals``) reweight until the likelihood settles.  No pair's observations meet in one task.
     """
@@ -182,12 +190,10 @@ def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5
     both = both.withColumn("total", F.lit(1.0)) if totals is None else both.join(totals.select("obs", F.col("total").cast("double").alias("total")), "obs")
     binomial, k = totals is not None, df + 1
     shares = [float(q) for q in np.linspace(0, 1, df - degree + 2)[1:-1]]
-    counts = both.groupBy(*_PAIR).agg(F.count("*").alias("n"))
-    exact = (counts.agg(F.max("n")).first()[0] or 0) <= _EXACT
-    inner = F.percentile("x", F.array(*map(F.lit, shares))) if exact else F.percentile_approx("x", shares, _EXACT)
     edge = F.sum(F.col("total") * F.col("y")).alias("wy")
-    pairs = both.groupBy(*_PAIR).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), inner.alias("inner"), F.avg("y").alias("mean"), F.sum("total").alias("w"), edge)
+    pairs = both.groupBy(*_PAIR).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.avg("y").alias("mean"), F.sum("total").alias("w"), edge)
     ends = lambda c: F.array_repeat(c, degree + 1)
+    pairs = pairs.join(pair_quantiles(x, y, shares), _PAIR)
     pairs = stored(pairs.withColumn("t", F.concat(ends("x0"), "inner", ends("x1"))), "pairs")
     good = pairs.where((F.col("n") >= df + 2) & (F.abs(F.col("x1") - F.col("x0")) > 1e-8 + 1e-5 * F.abs("x0")))
     small = good.count() <= 500_000

@@ -562,7 +562,16 @@ def association_binomial(spark, sf):
 @query()
 def gam(spark, sf):
     x, y = _xy(spark, sf)
-    return stats.associations({"all": x}, y.where("response <> 'label'"), method="gam")
+    return stats.associations({"all": x}, y, method="gam")
+
+
+@query(f"""with {_XY} select gene, response, round(quantile_cont(x.v, 1.0 / 3), 6) as q1, round(quantile_cont(x.v, 2.0 / 3), 6) as q2
+from x join y using (obs) where response <> 'g17' or y.v > 0 group by 1, 2""")
+def gam_knots(spark, sf):
+    # One response has fewer observations, so its knots are its own.
+    x, y = _xy(spark, sf)
+    knots = stats.pair_quantiles(x, y.where("response <> 'g17' or value > 0"), [1 / 3, 2 / 3])
+    return knots.select("gene", "response", F.round(F.col("inner")[0], 6).alias("q1"), F.round(F.col("inner")[1], 6).alias("q2"))
 
 
 @query()

@@ -456,6 +456,35 @@ def test_sums_before_within_keys_of_any_size(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_ranks_and_quantiles_of_keys_of_any_size(spark, one_task):
+    rng = np.random.default_rng(7)
+    values = {"a": np.round(rng.normal(size=3000), 2), "b": np.zeros(500), "c": rng.normal(size=1), "d": rng.integers(0, 3, 700).astype(float), "e": rng.normal(size=2)}
+    rows = [(k, i, float(v)) for k, own in values.items() for i, v in enumerate(own)]
+    table = frame(spark, rows, "k string, i long, v double").repartition(4)
+    ranks = {(r.k, r.i): r.rank for r in ranged.with_average_ranks(table, ["k"], "v", "rank", one_task=one_task, hot=100).collect()}
+    assert len(ranks) == len(rows)
+    for k, own in values.items():
+        at = np.sort(own)
+        want = (np.searchsorted(at, own, "left") + np.searchsorted(at, own, "right") + 1) / 2
+        assert [ranks[k, i] for i in range(len(own))] == want.tolist()
+    shares = [0.0, 0.1, 1 / 3, 0.5, 2 / 3, 0.999, 1.0]
+    got = {r.k: r.quantiles for r in ranged.quantiles(table, ["k"], "v", shares, one_task=one_task).collect()}
+    assert set(got) == set(values) and all(got[k] == pytest.approx(np.quantile(own, shares), abs=1e-14) for k, own in values.items())
+
+
+def test_knots_are_exact_however_many_observations(spark):
+    n = 120_000
+    x = spark.range(n).selectExpr("id as obs", "array('g', 'h') as g").select("obs", F.explode("g").alias("gene")).selectExpr("obs", "gene", "if(gene = 'g', cast(hash(obs) as double) / 1e6, cast(obs % 7 as double)) as value")
+    y = spark.range(n).selectExpr("id as obs", "'all' as response", "cast(id as double) as value").unionByName(spark.range(50).selectExpr("id as obs", "'few' as response", "1d as value"))
+    shares = [1 / 3, 2 / 3]
+    got = {(r.gene, r.response): r.inner for r in stats.pair_quantiles(x, y, shares).collect()}
+    held = x.toPandas()
+    for gene, own in held.groupby("gene"):
+        assert got[gene, "all"] == pytest.approx(np.quantile(own["value"], shares), rel=1e-14)
+        assert got[gene, "few"] == pytest.approx(np.quantile(own[own["obs"] < 50]["value"], shares), rel=1e-14)
+
+
 def encoded(spark, table, **options):
     rows = boost._rows(table, ["k"], "clone", F.col("val"), F.array("y0", "y1"), F.array(F.lit(1.0), F.lit(1.0)))
     return boost.encode_categories(rows, ["k"], {"k": "string"}, ["y0", "y1"], np.array([0.5, 2.0]), **options)
