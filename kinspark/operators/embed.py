@@ -19,6 +19,8 @@ from kinspark.sources.store import forget, stored
 
 #: Cells of a dense block of counts in a task.
 _CELLS = 2_000_000
+#: Numbers of a sum that are added up and sent to the driver together.
+_SENT = 1 << 17
 
 
 @dataclass
@@ -65,11 +67,13 @@ class _Counts:
     cols: int
     row_sums: np.ndarray
     col_sums: np.ndarray
+    parts: int = 1
 
     def blocks(self, f: Callable, *sent):
         """Apply ``f`` in tasks to (numbers, dense counts) of some rows at a time and collect what it yields: (key, array).
 
-        Arrays with the same key are added up, those with the key -1 are rows' own and stay apart.
+        Arrays with the same key are added up, those with the key -1 are rows' own and stay apart.  Tasks add up what they have, and
+        Spark the tasks' sums, a block of numbers at a time, so what the driver gets doesn't grow with the number of tasks.
         """
         spark, cols = self.frame.sparkSession, self.cols
         payload = spark.sparkContext.broadcast(sent)
@@ -85,20 +89,27 @@ class _Counts:
                         a[n, at] = w
                     for key, value in f(part["i"].to_numpy(), a, *payload.value):
                         if key < 0:
-                            yield pd.DataFrame({"key": [-1], "data": [value.tobytes()]})
+                            yield pd.DataFrame({"key": [-1], "at": [int(part["i"].iloc[0])], "data": [value.tobytes()]})
                         else:
                             sums[key] = value if key not in sums else sums[key] + value
-            yield pd.DataFrame({"key": list(sums), "data": [v.tobytes() for v in sums.values()]})
+            rows = [(key, at, v[at : at + _SENT].tobytes()) for key, v in sums.items() for at in range(0, len(v), _SENT)]
+            yield pd.DataFrame(rows, columns=["key", "at", "data"])
 
+        def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"key": [key[0]], "at": [key[1]], "data": [sum(np.frombuffer(x) for x in frame["data"]).tobytes()]})
+
+        got = self.frame.select("i", "at", "w").mapInPandas(run, "key int, at int, data binary")
+        if self.parts > 1:  # rows' own values have their first row's number, so each is a group of its own
+            got = got.groupBy("key", "at").applyInPandas(add, "key int, at int, data binary")
         own, total = [], {}
-        for r in self.frame.select("i", "at", "w").mapInPandas(run, "key int, data binary").collect():
+        for r in sorted(got.collect(), key=lambda r: (r.key, r["at"])):
             value = np.frombuffer(r.data)
             if r.key < 0:
                 own.append(value)
             else:
-                total[r.key] = value if r.key not in total else total[r.key] + value
+                total.setdefault(r.key, []).append(value)
         payload.destroy()
-        return own, total
+        return own, {key: np.concatenate(parts) for key, parts in total.items()}
 
     def solve(self, f: Callable, width: int, *sent) -> np.ndarray:
         """(rows x width): ``f`` gives the values of some rows from (numbers, counts)."""
@@ -151,7 +162,7 @@ def count_rows(edges: DataFrame, both: bool = False, most_groups: int = 500_000)
         parts = max(1, min(spark.sparkContext.defaultParallelism * 4, -(-n * m // (4 * _CELLS))))
         packed = stored(packed.coalesce(parts) if parts == 1 else packed.repartition(parts), "rows")
         mine, others = (totals[0], totals[1]) if i == "_src" else (totals[1], totals[0])
-        out.append(_Counts(packed, n, m, mine, others))
+        out.append(_Counts(packed, n, m, mine, others, parts))
     forget(at)
     return out[0], out[1] if both else None, rows, cols
 

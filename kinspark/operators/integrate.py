@@ -62,27 +62,48 @@ def batch_similarity(edges: DataFrame, points: DataFrame, counts: bool = False)
 
 
 def linkage(distance: np.ndarray, method: str = "ward") -> list[tuple[int, int, float, int]]:
-    """Agglomerative merges (i, j, height, size); cluster n + t is that of merge t.  Ties go to the lower numbers."""
+    """Agglomerative merges (i, j, height, size); cluster n + t is that of merge t.  Ties go to the lower numbers.
+
+    Each cluster knows its nearest one of higher number.  A merge updates one row of distances and looks anew only for clusters
+    whose nearest one went, so the work grows with the square of n in practice, and memory is one matrix.
+    """
+    if method not in ("ward", "average"):
+        raise ValueError(f"unknown linkage {method!r}")
     n = len(distance)
-    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
-    size, alive, out = dict.fromkeys(range(n), 1), set(range(n)), []
+    d, number, size, alive = np.array(distance, dtype=float), np.arange(n), np.ones(n, np.int64), np.ones(n, bool)
+    near, least, out = np.full(n, -1), np.full(n, np.inf), []
+
+    def seek(s: int) -> None:
+        others = np.flatnonzero(alive & (number > number[s]))
+        near[s], least[s] = -1, np.inf
+        if len(others):
+            least[s] = d[s, others].min()
+            ties = others[d[s, others] == least[s]]
+            near[s] = ties[number[ties].argmin()]
+
+    for s in range(n):
+        seek(s)
     for new in range(n, 2 * n - 1):
-        (i, j), height = min(((p, v) for p, v in d.items()), key=lambda x: (x[1], x[0]))
-        alive -= {i, j}
-        for m in alive:
-            a, b = d[min(i, m), max(i, m)], d[min(j, m), max(j, m)]
-            si, sj, sm = size[i], size[j], size[m]
-            if method == "ward":
-                v = np.sqrt(max(0.0, ((si + sm) * a * a + (sj + sm) * b * b - sm * height * height) / (si + sj + sm)))
-            elif method == "average":
-                v = (si * a + sj * b) / (si + sj)
-            else:
-                raise ValueError(f"unknown linkage {method!r}")
-            d[m, new] = float(v)
-        d = {p: v for p, v in d.items() if i not in p and j not in p}
-        size[new] = size[i] + size[j]
-        alive.add(new)
-        out.append((i, j, height, size[new]))
+        rows = np.flatnonzero(alive)
+        height = float(least[rows].min())
+        ties = rows[least[rows] == height]
+        i = ties[number[ties].argmin()]
+        j = near[i]
+        out.append((int(number[i]), int(number[j]), height, int(size[i] + size[j])))
+        rest = rows[(rows != i) & (rows != j)]
+        a, b, si, sj, sm = d[i, rest], d[j, rest], size[i], size[j], size[rest]
+        if method == "ward":
+            v = np.sqrt(np.maximum(0.0, ((si + sm) * a * a + (sj + sm) * b * b - sm * height * height) / (si + sj + sm)))
+        else:
+            v = (si * a + sj * b) / (si + sj)
+        # The union takes j's row; its number is the highest, so it is nobody's nearest by a tie.
+        alive[i], number[j], size[j], near[j], least[j] = False, new, si + sj, -1, np.inf
+        d[j, rest] = d[rest, j] = v
+        lost = (near[rest] == i) | (near[rest] == j)
+        closer = rest[~lost & (v < least[rest])]
+        near[closer], least[closer] = j, d[closer, j]
+        for s in rest[lost]:
+            seek(s)
     return out
 
 

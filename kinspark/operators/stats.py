@@ -133,10 +133,11 @@ def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFra
             code, keys = pd.factorize(pd.MultiIndex.from_arrays([f["gene"], f["response"]]))
             order = np.argsort(code, kind="stable")
             starts = np.searchsorted(code[order], np.arange(len(keys)))
-            x, y = f["x"].to_numpy(dtype=float)[order], f["y"].to_numpy(dtype=float)[order]
-            d = design(x, np.array([np.asarray(t) for t in f["t"]])[order], degree)
+            x, y, of = f["x"].to_numpy(dtype=float)[order], f["y"].to_numpy(dtype=float)[order], code[order]
+            once = order[starts]  # knots and coefficients are the pair's: one row of each is read
+            d = design(x, np.array([np.asarray(t) for t in f["t"].iloc[once]])[of], degree)
             known = f["beta"].iloc[0] is not None
-            eta = (d * np.array([np.asarray(b) for b in f["beta"]])[order]).sum(axis=1) if known else np.zeros(len(x))
+            eta = (d * np.array([np.asarray(b) for b in f["beta"].iloc[once]])[of]).sum(axis=1) if known else np.zeros(len(x))
             w, z, like, fit = np.ones(len(x)), y, np.zeros(len(x)), eta
             if binomial:
                 total = f["total"].to_numpy(dtype=float)[order]

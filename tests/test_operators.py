@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 from itertools import combinations
 from math import factorial
@@ -304,6 +305,54 @@ def test_poisson_rows_are_at_their_optimum(spark):
     assert m.u.T @ m.u == pytest.approx(np.diag(np.diag(m.u.T @ m.u)), abs=1e-6)
 
 
+def plain_linkage(distance, method):
+    """Merges by looking through all pairs each time."""
+    n = len(distance)
+    d = {(i, j): float(distance[i, j]) for i in range(n) for j in range(i + 1, n)}
+    size, out = dict.fromkeys(range(n), 1), []
+    for new in range(n, 2 * n - 1):
+        height, (i, j) = min((v, p) for p, v in d.items())
+        size[new] = size[i] + size[j]
+        for m in {k for p in d for k in p} - {i, j}:
+            a, b, si, sj, sm = d[min(i, m), max(i, m)], d[min(j, m), max(j, m)], size[i], size[j], size[m]
+            ward = np.sqrt(max(0.0, ((si + sm) * a * a + (sj + sm) * b * b - sm * height * height) / (si + sj + sm)))
+            d[m, new] = float(ward if method == "ward" else (si * a + sj * b) / (si + sj))
+        d = {p: v for p, v in d.items() if not {i, j} & set(p)}
+        out.append((i, j, height, size[new]))
+    return out
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_linkage_is_that_of_all_pairs(method):
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 3, 17, 40):
+        for x in (rng.normal(size=(n, 2)), rng.integers(0, 4, (n, 2)).astype(float), np.zeros((n, 2))):  # ties, too
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+            assert integrate.linkage(d, method) == plain_linkage(d, method)
+    x = rng.normal(size=(2000, 5))
+    begun = time.time()
+    assert integrate.linkage(np.sqrt(np.maximum(((x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * x @ x.T), 0)), method)[-1][3] == 2000
+    assert time.time() - begun < 10
+    with pytest.raises(ValueError):
+        integrate.linkage(np.zeros((2, 2)), "single")
+
+
+def test_sums_of_many_tasks_are_added_up_before_the_driver(spark, monkeypatch):
+    a = np.random.default_rng(4).poisson(3.0, (60, 60))
+    want = embed.fit_softmax(edges_of(spark, a), 3, max_iter=6)
+    monkeypatch.setattr(embed, "_CELLS", 100)
+    monkeypatch.setattr(embed, "_SENT", 7)
+    counts = embed.count_rows(edges_of(spark, a))[0]
+    assert counts.parts > 4
+    sent = []
+    collect = type(counts.frame).collect
+    monkeypatch.setattr(type(counts.frame), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    sums = counts.sums(lambda i, x: [(0, x.sum(axis=0)), (1, np.ones(3))])
+    assert sums[0].tolist() == a.sum(axis=0).tolist() and len(sent[-1]) == -(-60 // 7) + 1
+    got = embed.fit_softmax(edges_of(spark, a), 3, max_iter=6)
+    assert got.history == pytest.approx(want.history, rel=1e-9) and got.u == pytest.approx(want.u, abs=1e-6)
+
+
 def test_tree_attributions_are_shapley_values():
     t = boost.Tree([1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [0, 1, -1, -1, -1], [0.5, 0.5, 0, 0, 0], [0, 0, 10.0, 2.0, 6.0], [10, 6, 4, 2, 4])
 
