@@ -2,61 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.sources.store import stored
+from kinspark.operators.ranged import sums_before
+from kinspark.sources.store import forget, stored
 
+#: Sides that are tried in one pass: halves of the widest range first, then steps between two of these.
+_HALVES, _STEPS = 16, 8
 
-def _boxes(points: DataFrame, low: list[float], side: float) -> DataFrame:
-    box = F.transform("x", lambda v, i: F.floor((v - F.element_at(F.array(*[F.lit(float(b)) for b in low]), i + 1)) / F.lit(side)))
-    return points.withColumn("box", F.xxhash64(box))
 
+def _box(side: Column) -> Column:
+    """The box of a row (x, low): its hash."""
+    return F.xxhash64(F.transform("x", lambda v, i: F.floor((v - F.get("low", i)) / side)))
 
-def _first(rows: DataFrame, wanted: int, bits: int = 16) -> DataFrame:
-    """The first ``wanted`` rows by (r, t, cell), by counts: only one hash range of one rank is ever sorted."""
-    below, last = 0, rows.agg(F.max("r")).first()[0]
-    while last - below > 1:  # the least rank that reaches the number
-        middle = (below + last) // 2
-        below, last = (below, middle) if rows.where(F.col("r") <= middle).count() >= wanted else (middle, last)
-    need = wanted - rows.where(F.col("r") < last).count()
-    part = F.shiftright("t", 64 - bits)
-    own, done, cut = rows.where(F.col("r") == last), 0, None
-    for k, count in sorted(map(tuple, own.groupBy(part.alias("k")).count().collect())):
-        if done + count >= need:
-            cut = k
-            break
-        done += count
-    whole = rows.where((F.col("r") < last) | ((F.col("r") == last) & (part < cut)))
-    return whole.unionByName(own.where(part == cut).orderBy("t", "cell").limit(need - done))
 
+def _side(rows: DataFrame, sides: list[Column], wanted: str) -> DataFrame:
+    """(_g, place): the first of the falling ``sides`` at which about as many boxes hold rows as are wanted, or the last one."""
+    counts = rows.groupBy("_g").agg(F.first(wanted).alias("_w"), *[F.approx_count_distinct(_box(s), 0.02).alias(f"_n{i}") for i, s in enumerate(sides)])
+    first = F.coalesce(*[F.when(F.col(f"_n{i}") >= F.col("_w"), F.lit(i)) for i in range(len(sides))], F.lit(len(sides) - 1))
+    return counts.select("_g", first.alias("place"))
 
-def sketch(points: DataFrame, n: float = 0.2, by: str | None = None, seed: int = 42, rounds: int = 30) -> DataFrame:
-    """(cell, gs) with gs ``sketch`` or ``full``; n in (0, 1] is a share of the rows, above 1 a number; per ``by`` value.
 
-    The side of the boxes is bisected until about as many boxes hold points as rows are wanted; one row of each box,
-    the one with the least seeded hash, is taken, then boxes with the least hashes make up the number exactly.
+def sketch(points: DataFrame, n: float = 0.2, by: str | None = None, seed: int = 42, most_broadcast: int = 200_000) -> DataFrame:
+    """(cell, gs) with gs ``sketch`` or ``full``; n in (0, 1] is a share of the rows, above 1 a number; per ``by`` value, null among them.
+
+    The boxes' side is the largest of the tried ones at which as many boxes hold points as rows are wanted, by distinct counts right to some
+    two per cent.  Of each box the row with the least seeded hash comes first, then all other rows by their hashes; the first rows in that
+    order are taken, so the number is exact.  All ``by`` values share each pass: ranges, two passes of counts over sixteen and eight
+    sides, first rows, and places in the order, which are summed by ranges.
     """
-    groups = [r[0] for r in points.select(by).distinct().orderBy(by).collect()] if by else [None]
-    out = None
-    for g in groups:
-        own = points if by is None else points.where(F.col(by).eqNullSafe(F.lit(g)))
-        count = own.count()
-        wanted = max(1, min(count, round(n * count) if n <= 1 else int(n)))
-        ranges = own.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i").collect()
-        low, high = [r.a for r in ranges], [r.b for r in ranges]
-        lo, hi = 0.0, max(b - a for a, b in zip(low, high, strict=True)) + 1e-9
-        side = hi
-        for _ in range(rounds):
-            side = (lo + hi) / 2
-            boxes = _boxes(own, low, side).agg(F.count_distinct("box")).first()[0]
-            if wanted <= boxes <= 1.02 * wanted + 1:
-                break
-            lo, hi = (side, hi) if boxes > wanted else (lo, side)
-        tag = F.xxhash64("cell", F.lit(seed))
-        one = _boxes(own, low, side).select("cell", "box", tag.alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("box").orderBy("t", "cell")))
-        # Fewer boxes than rows wanted: second rows of boxes follow the first ones.
-        picked = _first(stored(one.drop("box"), "sketch"), wanted).select("cell", F.lit("sketch").alias("gs"))
-        part = own.select("cell").join(picked, "cell", "left").select("cell", F.coalesce("gs", F.lit("full")).alias("gs"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = F.coalesce(F.concat(F.lit("="), F.col(f"`{by}`").cast("string")), F.lit("null")) if by else F.lit("all")
+    rows = points.select("cell", own.alias("_g"), F.col("x").cast("array<double>").alias("x"), F.xxhash64("cell", F.lit(seed)).alias("t"))
+    spans = rows.select("_g", F.posexplode("x").alias("i", "v")).groupBy("_g", "i").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    spans = spans.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("low"), F.max(F.col("b") - F.col("a")).alias("width"))
+    count = rows.groupBy("_g").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1), F.least(F.col("n"), F.round(F.col("n") * float(n)) if n <= 1 else F.lit(int(n)))).cast("long")
+    info = stored(count.join(spans, "_g", "left").select("_g", share.alias("wanted"), F.col("low.a").alias("low"), (F.coalesce("width", F.lit(0.0)) + 1e-9).alias("width")), "spans")
+    near = F.broadcast if info.count() <= most_broadcast else (lambda x: x)
+    known = rows.join(near(info), "_g")
+    half = _side(known, [F.col("width") * 2.0**-i for i in range(_HALVES)], "wanted")
+    info2 = info.join(half, "_g").withColumn("side", F.col("width") * F.pow(F.lit(2.0), 1.0 - F.col("place"))).drop("place")
+    info2 = stored(info2, "halves")
+    known = rows.join(near(info2), "_g")
+    step = _side(known, [F.col("side") * 2.0 ** (-(i + 1) / _STEPS) for i in range(_STEPS)], "wanted")
+    info3 = stored(info2.join(step, "_g").withColumn("side", F.col("side") * F.pow(F.lit(2.0), -(F.col("place") + 1.0) / _STEPS)).drop("place"), "sides")
+    boxed = stored(rows.join(near(info3), "_g").select("cell", "_g", "t", _box(F.col("side")).alias("box"), "wanted"), "boxes")
+    first = boxed.groupBy("_g", "box").agg(F.min(F.struct("t", "cell")).alias("f")).select("_g", F.col("f.t").alias("t"), F.col("f.cell").alias("cell"), F.lit(0).alias("r"))
+    placed = boxed.select("cell", "_g", "t", "wanted", F.lit(1).cast("long").alias("one")).join(first, ["_g", "t", "cell"], "left").withColumn("r", F.coalesce("r", F.lit(1)))
+    out = sums_before(placed, ["_g"], ["r", "t", "cell"], ["one"])
+    forget(info, info2)
+    return out.select("cell", F.when(F.col("one_before") < F.col("wanted"), "sketch").otherwise("full").alias("gs"))

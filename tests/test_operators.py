@@ -580,12 +580,25 @@ def test_sketch_takes_the_number_asked_for(spark):
     assert count(0.2) == 12 and count(7) == 7 and count(0.5, by="batch") == 30 and count(1.0) == 60
 
 
-@pytest.mark.parametrize("wanted", [1, 7, 100, 101, 180, 299, 300])
-def test_sketch_takes_first_rows_without_sorting_all(spark, wanted):
-    rows = spark.range(300).selectExpr("id as cell", "xxhash64(id) as t", "1 + id % 3 * (id % 2) as r")
-    picked = sketch._first(rows, wanted, bits=3)
-    want = rows.orderBy("r", "t", "cell").limit(wanted)
-    assert sorted(picked.collect()) == sorted(want.collect())
+def test_sketch_covers_the_space_in_a_constant_number_of_jobs(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 2)) * 0.05, rng.uniform(-10, 10, (60, 2))])  # a dense spot and a wide rest
+    jobs = []
+    for batches in (1, 5):
+        rows = [(i, None if i % batches == 4 else f"b{i % batches}", v.tolist()) for i, v in enumerate(x)]
+        p = frame(spark, rows, "cell long, batch string, x array<double>")
+        spark.sparkContext.setJobGroup(f"sketch {batches}", "")
+        got = sketch.sketch(p, 0.25, by="batch").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sketch {batches}")))
+        taken = [r.cell for r in got if r.gs == "sketch"]
+        size = Counter(b for _, b, _ in rows)
+        assert len(got) == 460 and Counter(rows[i][1] for i in taken) == {b: round(0.25 * n) for b, n in size.items()}
+        wide = sum(i >= 400 for i in taken)
+        assert wide > 0.4 * len(taken)  # 13 % of the rows
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 2
+    same = frame(spark, [(i, [1.0, 1.0]) for i in range(30)], "cell long, x array<double>")
+    assert sketch.sketch(same, 7).where("gs = 'sketch'").count() == 7 and sketch.sketch(same.limit(0)).count() == 0
 
 
 def test_null_gram_has_the_law_of_standardised_samples():
