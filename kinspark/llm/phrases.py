@@ -242,17 +242,17 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("lang")
         at, names = 0, pc.value_counts(shard.column("lang").combine_chunks())
         for lang, rows in sorted(zip(names.field(0).to_pylist(), names.field(1).to_pylist(), strict=True)):
-            n, part, at = [0] * len(phrases), shard.slice(at, rows), at + rows
-            texts, times = part.column("stretch").to_pylist(), part.column("n").to_pylist()
-            # Stretches that are there once are scanned as one text; the break between two is in no pattern.
-            single = [t for t, k in zip(texts, times, strict=True) if k == 1]
-            for lo in range(0, len(single), 10_000):
-                for _, i in automaton.iter("\n".join(single[lo : lo + 10_000])):
+            n, own, at = [0] * len(phrases), shard.slice(at, rows), at + rows
+            for lo in range(0, rows, 10_000):
+                part = own.slice(lo, 10_000)
+                texts, times = part.column("stretch").to_pylist(), part.column("n").to_pylist()
+                # Stretches that are there once are scanned as one text; the break between two is in no pattern.
+                for _, i in automaton.iter("\n".join(t for t, k in zip(texts, times, strict=True) if k == 1)):
                     n[i] += 1
-            for text, k in zip(texts, times, strict=True):
-                if k > 1:
-                    for _, i in automaton.iter(text):
-                        n[i] += k
+                for text, k in zip(texts, times, strict=True):
+                    if k > 1:
+                        for _, i in automaton.iter(text):
+                            n[i] += k
             met = [i for i, x in enumerate(n) if x]
             out["lang"] += [lang] * len(met)
             out["phrase"] += [phrases[i][1:-1] for i in met]
@@ -260,13 +260,14 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, block_phrases: int = 50_000, shard_bytes: int = 8 << 20, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 4, least: int = 30, block_phrases: int = 50_000, block_words: int = 2_000_000, shard_bytes: int = 32 << 20, most_bits: int = 28) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of all words, and of the phrases of 2 to ``longest`` words that occur ``least`` times or more: stored tables.
 
     The bitmap has a thousand bits for each frequent word, at most 2 to the ``most_bits``: beyond that more runs than
-    necessary become candidates, and the counts are the same.  Candidates are dealt by hash into blocks of some
-    ``block_phrases``, stretches of a block into shards of some ``shard_bytes``, so an automaton's and a task's size don't
-    grow with the table.
+    necessary become candidates, and the counts are the same.  Candidates are dealt by hash into blocks of at most some
+    ``block_phrases``, and for at most some ``block_words`` words of the table each; where a block's stretches have more than ``shard_bytes``, as
+    with one that is very frequent, they are dealt into shards that each get the block's candidates.  So neither an automaton's nor a
+    task's size grows with the table, and few candidates are sent twice.
     """
     spark, texts = docs.sparkSession, _texts(docs, text_col, lang_col)
     words = stored(word_counts(texts), "words")
@@ -282,7 +283,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             n_slots += slots.count()
             known = known.with_slots(slots)
             forget(slots)
-    n_blocks = max(1, -(-n_slots // block_phrases))
+    n_blocks = max(1, -(-n_slots // block_phrases), -(-int(total) // block_words))
     stretches = stored(_stretches(texts, known, longest, n_blocks), "stretches")
     candidates = stored(_candidates(stretches, known, longest, n_blocks), "candidates")
     sizes = stretches.groupBy("block").agg(F.sum(F.octet_length("stretch") + 48).alias("bytes"))
