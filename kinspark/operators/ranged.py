@@ -33,17 +33,17 @@ def sums_before(rows: DataFrame, key: list[str], order: list[str], values: list[
     return out.select(*rows.columns, *before)
 
 
-def values_before(rows: DataFrame, key: list[str], value: str, one_task: int = 500_000) -> DataFrame:
-    """(key, value, n, n_before), stored: each distinct value of a key, its rows, and the key's rows with a smaller value.
+def values_before(rows: DataFrame, key: list[str], value: str, one_task: int = 500_000) -> tuple[DataFrame, bool]:
+    """(key, value, n, n_before): each distinct value of a key, its rows, and the key's rows with a smaller value; and whether they are few.
 
     Equal values are counted before anything is sent, so ties that fill a key are one row.  Up to ``one_task`` distinct values of all
     keys (counted first) are summed by key; beyond it by ranges, so a key's values are many tasks' work.
     """
     counts = stored(rows.groupBy(*key, value).agg(F.count("*").alias("n")), "values")
     if counts.count() > one_task:
-        return stored(sums_before(counts, key, [value], ["n"]), "ranks")
+        return stored(sums_before(counts, key, [value], ["n"]), "ranks"), False
     before = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return stored(counts.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
+    return counts.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))), True
 
 
 def with_average_ranks(rows: DataFrame, key: list[str], value: str, out: str, one_task: int = 500_000, hot: int = 100_000) -> DataFrame:
@@ -52,10 +52,10 @@ def with_average_ranks(rows: DataFrame, key: list[str], value: str, out: str, on
     Values that ``hot`` rows or more of a key share are few and get their rank by a broadcast; others by a broadcast too up to
     ``one_task`` distinct values, else by a shuffle in which no value has many rows.
     """
-    table = values_before(rows, key, value, one_task)
+    table, few = values_before(rows, key, value, one_task)
     ranks = table.select(*key, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out), "n")
     keys = [*key, value]
-    if table.count() <= one_task:
+    if few:
         return rows.join(F.broadcast(ranks.drop("n")), keys).select(*rows.columns, out)
     often = F.broadcast(ranks.where(F.col("n") >= hot).drop("n"))
     seldom = rows.join(often, keys, "left_anti").join(ranks.where(F.col("n") < hot).drop("n"), keys)
@@ -64,9 +64,9 @@ def with_average_ranks(rows: DataFrame, key: list[str], value: str, out: str, on
 
 def quantiles(rows: DataFrame, key: list[str], value: str, shares: list[float], out: str = "quantiles", one_task: int = 500_000) -> DataFrame:
     """(key, out array): exact quantiles of a key's values with linear interpolation, in the order of ``shares``; no key's rows meet in one task."""
-    table = values_before(rows, key, value, one_task)
+    table, few = values_before(rows, key, value, one_task)
     size = table.groupBy(*key).agg(F.sum("n").alias("_n"))
-    near = F.broadcast if size.count() <= one_task else (lambda x: x)
+    near = F.broadcast if few or size.count() <= one_task else (lambda x: x)
     place = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
 
     def at(rank: Column) -> Column:
