@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from kinspark.llm import langid, simhash, weakquality
+from kinspark.llm import common, langid, simhash, weakquality
 from kinspark.llm.common import stored
 
 from .test_filters import contaminated
@@ -75,14 +75,10 @@ def test_entry_lists_the_core_without_the_tokenizers(monkeypatch):
         importlib.reload(__spark_entry__)
 
 
-def test_run_and_empty_input(spark, sf_dir, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert corpus_pipeline.run(spark, sf_dir).count() > 0
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["window_packing"]  # of the steps nothing is left
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_run_and_empty_input(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["window_packing"]  # of the steps nothing is left
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
