@@ -284,7 +284,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             known = known.with_slots(slots)
             forget(slots)
     n_blocks = max(1, -(-n_slots // block_phrases), -(-int(total) // block_words))
-    stretches = stored(_stretches(texts, known, longest, n_blocks), "stretches")
+    # A block's stretches together, so that each of its candidates is found in about one task and not in all.
+    stretches = stored(_stretches(texts, known, longest, n_blocks).repartition("block"), "stretches")
     candidates = stored(_candidates(stretches, known, longest, n_blocks), "candidates")
     sizes = stretches.groupBy("block").agg(F.sum(F.octet_length("stretch") + 48).alias("bytes"))
     sizes = sizes.select("block", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards")).collect()  # one row a block
