@@ -203,9 +203,9 @@ def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) ->
 
 
 def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """(block, phrase): the distinct runs that pass the bitmap in any language, a blank before and after."""
+    """(block, lang, phrase): the distinct runs of a language that pass the bitmap and belong to the block, a blank before and after."""
     sent = stretches.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("block", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         sums = _Summing(schema)
@@ -220,19 +220,23 @@ def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int
                     at = at[mine]
                     text = w.strings(at, at + k - 1, 1)
                     few = text.take(pa.array(one))
-                    if pc.all(pc.equal(few.take(pa.array(of)), text)).as_py() is not False:
+                    if pc.all(pc.equal(few.take(pa.array(of)), text)).as_py() is not False and (w.lang[at[one]][of] == w.lang[at]).all():
                         at, text = at[one], few
-                    yield from sums.add(block=pa.array(own[w.row[at]]), phrase=text, n=pa.array(np.ones(len(at), np.int64)))
+                    yield from sums.add(block=pa.array(own[w.row[at]]), lang=w.langs.take(pa.array(w.lang[at])), phrase=text, n=pa.array(np.ones(len(at), np.int64)))
         yield from sums.send()
 
-    return stretches.select("block", "stretch", "lang").mapInArrow(run, "block int, phrase string, n long").select("block", "phrase").distinct()
+    return stretches.select("block", "stretch", "lang").mapInArrow(run, "block int, lang string, phrase string, n long").select("block", "lang", "phrase").distinct()
 
 
 def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
-    """(lang, phrase, n): overlapping occurrences of a block's candidates in a shard of stretches."""
+    """(lang, phrase, n): overlapping occurrences of a block's candidates in a shard of stretches, each in its own language only.
+
+    The same words are in another block for another language, and stretches there hold all of its occurrences.
+    """
     import ahocorasick
 
-    phrases = candidates.column("phrase").to_pylist()
+    asked = set(zip(candidates.column("lang").to_pylist(), candidates.column("phrase").to_pylist(), strict=True))
+    phrases = sorted({p for _, p in asked})
     automaton = ahocorasick.Automaton()
     for i, phrase in enumerate(phrases):
         automaton.add_word(phrase, i)
@@ -253,7 +257,7 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
                     if k > 1:
                         for _, i in automaton.iter(text):
                             n[i] += k
-            met = [i for i, x in enumerate(n) if x]
+            met = [i for i, x in enumerate(n) if x and (lang, phrases[i]) in asked]
             out["lang"] += [lang] * len(met)
             out["phrase"] += [phrases[i][1:-1] for i in met]
             out["n"] += [n[i] for i in met]
@@ -290,7 +294,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     sizes = stretches.groupBy("block").agg(F.sum(F.octet_length("stretch") + 48).alias("bytes"))
     sizes = sizes.select("block", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards")).collect()  # one row a block
     sizes = F.broadcast(spark.createDataFrame(sizes, "block int, shards int"))
-    left = candidates.join(sizes, "block").select("block", "phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    left = candidates.join(sizes, "block").select("block", "lang", "phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     right = stretches.join(sizes, "block").select("block", "lang", "stretch", "n", F.expr("cast(pmod(xxhash64(lang, stretch), shards) as int)").alias("shard"))
     met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_scan, "lang string, phrase string, n long")
     phrases = stored(met.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")

@@ -196,6 +196,16 @@ def test_collocations_are_brute_force(spark, options):
     assert phrases.collocations(docs.limit(0), **options).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 5, 40])
+def test_collocations_shared_by_languages_count_once(spark, blocks):
+    # Each phrase has another block in each language; stretches of a block hold whole longer runs.
+    words = ["a", "b", "c", "d"]
+    rows = [(" ".join(words[(i + j * (1 + i % 3)) % 4] for j in range(9)), lang) for i in range(60) for lang in ("en", "de", "fr", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = phrases.collocations(docs, least=5, block_words=max(1, 9 * len(rows) // blocks))
+    assert Counter(tuple(r) for r in got.collect()) == collocations(rows, 4, 5, 2000)
+
+
 def test_collocation_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     big = 5 * 10**15
     words = spark.createDataFrame([("en", "a", big + 1), ("en", "b", big)], "lang string, phrase string, a long")
