@@ -1,8 +1,8 @@
 """Exact and approximate k nearest neighbours, and the group graph that they make.
 
 An index of a checked size is sent to every task as one matrix, and queries never move.  A larger one is cut into blocks of some
-thousands of rows, as the queries are; each pair of blocks is one matrix computation, a task keeps the best k rows of a query block
-over all blocks that it meets, and a window the best k of all tasks.  No side has to fit in memory.  Ties go to the lower id.
+thousands of rows that pass by all parts of the queries: a task holds one part with its best k rows so far, and meets one block
+at a time.  No side has to fit in memory.  Ties go to the lower id.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.groups import NA, labelled
+from kinspark.sources.store import stored
 
 METRICS = ("euclidean", "cosine", "manhattan")
 
@@ -59,8 +62,8 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarr
     return rows[keep], cols[keep], exact[keep]
 
 
-#: Bytes of an index that is sent to every task as a whole.
-MOST_SENT = 64 << 20
+#: Bytes of an index that is sent to every task as a whole; it passes through the driver, and some queries send a score of them.
+MOST_SENT = 8 << 20
 #: Cells of a matrix of distances in a task.
 _CELLS = 4_000_000
 
@@ -79,11 +82,11 @@ def _nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str):
 def _sent_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None) -> DataFrame:
     """Neighbours in an index that is sent to every task: queries stay where they are, and each is done at one go."""
     q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-    own, cols = ([by] if by else []), ["id", "x", "label"] + ([by] if by else [])
+    keys, cols = ([by] if by else []), ["id", "x", "label"] + ([by] if by else [])
 
     def pack(frames):
         for f in frames:
-            for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
+            for key, part in f.groupby(keys[0], sort=False) if keys else [(None, f)]:
                 yield pd.DataFrame({"key": [None if key is None else str(key)], "ids": [part["id"].tolist()], "labels": [part["label"].tolist()], "x": [_matrix(part["x"]).tobytes()]})
 
     parts: dict[str | None, list] = {}
@@ -98,62 +101,160 @@ def _sent_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str
 
     def run(frames):
         for f in frames:
-            for key, part in f.groupby(own[0], sort=False) if own else [(None, f)]:
+            for key, part in f.groupby(keys[0], sort=False) if keys else [(None, f)]:
                 ids, labels, y = sent.value.get(None if key is None else str(key), (None, None, None))
-                if ids is not None and len(part):
-                    i, j, d = _nearest(_matrix(part["x"]), y, k, metric)
+                step = max(1, 100_000 // k)
+                for lo in range(0, len(part) if ids is not None else 0, step):
+                    own = part.iloc[lo : lo + step]
+                    i, j, d = _nearest(_matrix(own["x"]), y, k, metric)
                     rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    yield pd.DataFrame({"q": part["id"].to_numpy(dtype=object)[i], "n": ids[j], "d": d, "r": rank, "q_label": part["label"].to_numpy(dtype=object)[i], "n_label": labels[j]})
+                    yield pd.DataFrame({"q": own["id"].to_numpy(dtype=object)[i], "n": ids[j], "d": d, "r": rank, "q_label": own["label"].to_numpy(dtype=object)[i], "n_label": labels[j]})
 
     return queries.where("x is not null").select(*cols).mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, r int, q_label string, n_label string")
 
 
-def _blocks(rows: DataFrame, name: str, n: int, keys: list[str]) -> DataFrame:
-    """(keys, block, ids, labels behind an equals sign or empty for null, one flat array of all vectors) of ``n`` blocks."""
-    own = rows.where("x is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-    label = F.collect_list(F.coalesce(F.concat(F.lit("="), "label"), F.lit("")))
-    packed = own.groupBy(*keys, "block").agg(F.collect_list("id").alias(f"{name}_id"), label.alias(f"{name}_label"), F.flatten(F.collect_list("x")).alias(f"{name}_x"))
-    return packed.withColumnRenamed("block", f"{name}_block")
+class _Best:
+    """The k nearest rows of each row of x among blocks of rows that come one after the other: (d, id, label code), ties to the lower id.
 
+    A matrix product says which rows of a block can be among the k best so far: for Euclidean distances in single precision, with
+    room for its rounding.  Only these are computed from differences and ranked.
+    """
 
-def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None, block_rows: int) -> DataFrame:
-    """Neighbours by pairs of blocks; every query block goes once to each index block."""
-    keys = [by] if by else []
-    n_q, n_n = (max(1, math.ceil(x.count() / block_rows)) for x in (queries, index))
-    a, b = _blocks(queries, "q", n_q, keys), _blocks(index, "n", n_n, keys)
-    pairs = a.withColumn("n_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_n - 1).cast("long")))).join(b, [*keys, "n_block"])
-    q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
-
-    def best_of(parts):
-        """The k best rows of each q among frames that each hold some."""
-        if len(parts) == 1:
-            return parts[0]
-        rows = pd.concat(parts).sort_values(["q", "d", "n"], kind="stable")
-        return rows[rows.groupby("q", sort=False).cumcount() < k]
+    def __init__(self, x: np.ndarray, k: int, metric: str, kind):
+        self.x, self.k, self.metric = x, k, metric
+        self.d, self.label, self.id = np.full((len(x), k), np.inf), np.zeros((len(x), k), np.int32), np.zeros((len(x), k), kind)
+        self.filled = np.zeros(len(x), np.int64)
+        # Seen from their middle, rows far from the origin are told apart in single precision too.
+        self.middle = x.mean(axis=0)
+        self.off = x - self.middle
+        self.norm = (self.off * self.off).sum(axis=1)
+
+    def _squares(self, at: slice, y: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of some rows to all of y (off the middle), and by how much each row's may be off."""
+        x, nx = self.off[at], self.norm[at]
+        most = max(float(nx.max()), float(ny.max()))
+        kind = np.float32 if most < 1e30 else np.float64
+        a, b = np.column_stack([x, nx, np.ones(len(x))]).astype(kind), np.column_stack([-2.0 * y, np.ones(len(y)), ny]).astype(kind)
+        moved = 4 * np.finfo(np.float64).eps * (np.linalg.norm(self.middle) + math.sqrt(most))
+        return a @ b.T, 4 * float(np.finfo(kind).eps) * (y.shape[1] + 4) * (nx + ny.max()) + 4 * moved * (math.sqrt(most) + moved) + 1e-36
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, y: np.ndarray) -> None:
+        if not len(y):
+            return
+        off_y = y - self.middle
+        ny, some = (off_y * off_y).sum(axis=1), min(self.k, len(y))
+        step = max(1, _CELLS // len(y))
+        for lo in range(0, len(self.x), step):
+            at = slice(lo, min(lo + step, len(self.x)))
+            if self.metric == "euclidean":
+                near, off = self._squares(at, off_y, ny)
+                worst = self.d[at, -1] ** 2 * (1 + 1e-12) + off
+            else:
+                near, off = _distances(self.x[at], y, self.metric), 0.0
+                worst = self.d[at, -1].copy()
+            part = np.flatnonzero(self.filled[at] < self.k)
+            if len(part):  # until k are known, the k best of the block
+                worst[part] = np.minimum(worst[part], np.partition(near[part], some - 1, axis=1)[:, some - 1].astype(np.float64) + 2 * (off[part] if self.metric == "euclidean" else 0.0))
+            worst = worst.astype(near.dtype) if near.dtype == np.float64 else np.nextafter(worst.astype(np.float32), np.float32(np.inf))
+            cells = np.flatnonzero((near <= worst[:, None]).ravel())
+            rows, cols = cells // len(y), cells % len(y)
+            if self.metric == "euclidean":
+                exact = np.empty(len(rows))
+                for i in range(0, len(rows), 50_000):
+                    diff = self.x[lo + rows[i : i + 50_000]] - y[cols[i : i + 50_000]]
+                    exact[i : i + 50_000] = np.sqrt((diff * diff).sum(axis=1))
+            else:
+                exact = near.ravel()[cells]
+            good = exact <= self.d[lo + rows, -1]
+            self._merge(lo + rows[good], exact[good], ids[cols[good]], labels[cols[good]])
+
+    def _merge(self, rows: np.ndarray, d: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        if not len(rows):
+            return
+        met = np.unique(rows)
+        held = np.arange(self.k) < self.filled[met, None]
+        rows = np.r_[np.repeat(met, self.k)[held.ravel()], rows]
+        d, ids, labels = np.r_[self.d[met][held], d], np.r_[self.id[met][held], ids], np.r_[self.label[met][held], labels]
+        rank = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+        order = np.lexsort((rank, d, rows))
+        place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+        order, place = order[place < self.k], place[place < self.k]
+        at = rows[order], place
+        self.d[at], self.id[at], self.label[at] = d[order], ids[order], labels[order]
+        self.filled[met] = np.minimum(self.k, np.bincount(np.searchsorted(met, rows), minlength=len(met)))
+
+
+def _packed(rows: DataFrame, kind: int, by: str | None, parts: int) -> DataFrame:
+    """(kind, key, part, ids, labels, x): rows of one key together, all vectors of them as bytes; queries are dealt into parts, an index goes to each.
+
+    Rows are packed where they lie, so what is shuffled are few long rows.
+    """
+    own = rows.where("x is not null").select(F.lit("").alias("key") if by is None else F.col(by).cast("string").alias("key"), "id", "label", F.col("x").cast("array<double>").alias("x"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int") if kind == 0 else F.lit(0))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([batch]).sort_by([("key", "ascending"), ("part", "ascending")]).combine_chunks().to_batches()[0]
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            key, part = pc.rank(batch.column("key"), tiebreaker="min").to_numpy(), batch.column("part").to_numpy()
+            new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+            new[np.arange(len(new)) % 2048 == 0] = True
+            at = np.r_[np.flatnonzero(new), batch.num_rows].astype(np.int32)
+            columns = [pa.ListArray.from_arrays(pa.array(at), batch.column(c)) for c in ("id", "label")]
+            first = pa.array(at[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(first), batch.column("part").take(first), *columns, pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["key", "part", "ids", "labels", "x"])
+
+    out = own.mapInArrow(run, f"key string, part int, ids array<{dict(rows.dtypes)['id']}>, labels array<string>, x binary")
+    if kind == 1:
+        out = out.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return out.select(F.lit(kind).alias("kind"), "key", "part", "ids", "labels", "x")
 
-    def run(frames):
-        # Pairs of one query block come one after the other: only their k best rows are sent on.
-        block, parts = None, []
-        for frame in frames:
-            for key, q_id, q_label, q_x, n_id, n_label, n_x in zip(*(frame[c] for c in ("key", "q_id", "q_label", "q_x", "n_id", "n_label", "n_x")), strict=True):
-                if key != block:
-                    if parts:
-                        yield best_of(parts)
-                    block, parts = key, []
-                order = np.argsort(np.array(n_id, dtype=object), kind="stable")
-                x, y = np.asarray(q_x, dtype=float).reshape(len(q_id), -1), np.asarray(n_x, dtype=float).reshape(len(n_id), -1)
-                i, j, d = _nearest(x, y[order], k, metric)
-                pick = lambda v: np.array(v, dtype=object)
-                found = pd.DataFrame({"q": pick(q_id)[i], "n": pick(n_id)[order][j], "d": d, "q_label": pick(q_label)[i], "n_label": pick(n_label)[order][j]})
-                parts = [best_of([*parts, found])]
-        if parts:
-            yield best_of(parts)
 
-    key = F.concat_ws("|", F.col("q_block").cast("string"), *([F.col(by).cast("string")] if by else []))
-    found = pairs.select(key.alias("key"), "q_id", "q_label", "q_x", "n_id", "n_label", "n_x").mapInPandas(run, f"q {q_kind}, n {n_kind}, d double, q_label string, n_label string")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "n"))).where(F.col("r") <= k)
-    whole = [F.when(F.col(c) != "", F.expr(f"substr({c}, 2)")).alias(c) for c in ("q_label", "n_label")]
-    return ranked.select("q", "n", "d", (F.col("r") - 1).alias("r"), *whole)
+def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: str | None, block_rows: int) -> DataFrame:
+    """Neighbours of parts of the queries: a task holds a part and its k best rows, and the index passes by in blocks."""
+    n = queries.count()
+    # Parts of four blocks, or of one where there would be fewer than keep all cores busy.
+    parts = max(1, math.ceil(n / (4 * block_rows)), min(math.ceil(n / block_rows), 3 * queries.sparkSession.sparkContext.defaultParallelism))
+    q_kind, n_kind = dict(queries.dtypes)["id"], dict(index.dtypes)["id"]
+    both = _packed(queries, 0, by, parts).withColumnRenamed("ids", "q_ids").withColumn("n_ids", F.lit(None).cast(f"array<{n_kind}>"))
+    both = both.unionByName(_packed(index, 1, by, parts).withColumnRenamed("ids", "n_ids").withColumn("q_ids", F.lit(None).cast(f"array<{q_kind}>")))
+    both = both.repartition(4 * parts, "key", "part").sortWithinPartitions("key", "part", "kind")
+
+    def run(batches):
+        of, own, best, names = None, [], None, {}
+
+        def done():
+            if best is None:
+                return
+            ids, labels = (pa.concat_arrays([o[i] for o in own]) for i in (0, 1))
+            known = pa.array(list(names), pa.string())
+            for lo in range(0, len(ids), step := max(1, 50_000 // k)):
+                rows, place = np.nonzero(np.arange(k) < best.filled[lo : lo + step, None])
+                at, rows = (lo + rows, place), pa.array(lo + rows)
+                columns = {"q": ids.take(rows), "n": pa.array(best.id[at], from_pandas=False).cast(n_type), "d": pa.array(best.d[at]), "r": pa.array(place.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | {"q_label": labels.take(rows), "n_label": known.take(pa.array(best.label[at]))})
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind, key, part = (batch.column(c)[i].as_py() for c in ("kind", "key", "part"))
+                if (key, part) != of:
+                    yield from done()
+                    of, own, best, names = (key, part), [], None, {}
+                ids, labels = batch.column("n_ids" if kind else "q_ids")[i].values, batch.column("labels")[i].values
+                x = np.frombuffer(batch.column("x")[i].as_buffer()).reshape(len(ids), -1)
+                if kind == 0:
+                    own.append((ids, labels, x))
+                elif own:
+                    n_type, whole = ids.type, pa.types.is_integer(ids.type)
+                    best = best or _Best(np.concatenate([o[2] for o in own]), k, metric, np.int64 if whole else object)
+                    kinds = labels.dictionary_encode()
+                    codes = np.array([names.setdefault(v, len(names)) for v in [*kinds.dictionary.to_pylist(), None]], np.int32)
+                    best.add(ids.to_numpy(zero_copy_only=False).astype(np.int64) if whole else np.array(ids.to_pylist(), dtype=object), codes[pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)], x)
+        yield from done()
+
+    return both.mapInArrow(run, f"q {q_kind}, n {n_kind}, d double, r int, q_label string, n_label string")
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", by: str | None = None, block_rows: int = 4096, most_sent: int = MOST_SENT, label: str | None = None) -> DataFrame:
@@ -251,6 +352,7 @@ def group_graph(pairs: DataFrame, masked: DataFrame | None = None) -> tuple[Data
     left out and counted apart as (src, mask, n)."""
     apart = None
     if masked is not None:
+        pairs = stored(pairs, "pairs")  # both results read them; neighbours are sought once
         m = masked.select(F.col("cell").alias("src_cell"), "mask")
         apart = pairs.join(m, "src_cell").groupBy("src", "mask").agg(F.count("*").alias("n"))
         pairs = pairs.join(m.select("src_cell").distinct(), "src_cell", "left_anti")
@@ -278,6 +380,8 @@ def impute(cells: DataFrame, column: str, missing: str = NA, weights: str | None
     if donor.isEmpty():
         raise ValueError("no cells to impute from")
     near = knn(target.select(F.col("cell").alias("id"), "x"), donor.select(F.col("cell").alias("id"), "x"), k)
+    if weights == "gaussian" and sigma is None:
+        near = stored(near, "near")  # the median reads them first
     if weights is None:
         w = F.lit(1.0)
     elif weights == "linear":

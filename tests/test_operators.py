@@ -109,6 +109,41 @@ def test_knn_ties_few_rows_and_nulls(spark, most):
     assert {(r.q, r.n) for r in knn.knn(g, g, 2, by="g", most_sent=most).collect()} == {(1, 1), (1, 3), (3, 1), (3, 3), (2, 2)}
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6])
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_best_of_passing_blocks_is_brute_force(metric, far):
+    rng = np.random.default_rng(5)
+    x, y = far + rng.normal(size=(70, 6)), far + rng.normal(size=(300, 6))
+    y[250:] = y[:50]  # equal distances: the lower id counts
+    ids, best = rng.permutation(300), knn._Best(x, 9, metric, np.int64)
+    for lo in range(0, 300, 4):
+        best.add(ids[lo : lo + 4], np.zeros(4, np.int32), y[lo : lo + 4])
+    order = np.argsort(ids)
+    _, j, d = knn.nearest(x, y[order], 9, metric)
+    assert np.array_equal(best.d.ravel(), d) if metric != "cosine" else np.allclose(best.d.ravel(), d)
+    assert metric == "cosine" or np.array_equal(best.id.ravel(), j)
+
+
+def test_masked_graph_seeks_neighbours_once(spark, monkeypatch):
+    # Both results read stored pairs: rows that each reading would make anew are made once.
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    pairs = spark.createDataFrame([(1, "a", 2, "b"), (2, "b", 1, "a"), (3, "a", 1, "a")], "src_cell long, src string, dst_cell long, dst string")
+    edges, apart = knn.group_graph(pairs.mapInPandas(run, pairs.schema), spark.createDataFrame([(1, "m")], "cell long, mask string"))
+    assert {tuple(r) for r in edges.collect()} == {("b", "a", 1), ("a", "a", 1)} and [tuple(r) for r in apart.collect()] == [("a", "m", 1)]
+    assert seen.value == 3
+
+
+def test_larger_indexes_pass_no_driver(spark):
+    # What is sent is bounded by a few MB an index, however many a query makes.
+    assert knn.MOST_SENT <= 8 << 20
+
+
 def test_approximate_neighbours_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 8)) + rng.integers(0, 5, (3000, 1)) * 2
