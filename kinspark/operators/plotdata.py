@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.integrate import leaf_order, linkage
 from kinspark.operators.products import summed_product
 
+#: Numbers of a block of points and grid cells in a task, and of all grids of sums that a task holds.
+_CELLS, _HELD = 500_000, 4_000_000
+
 
 def top_bottom(df: DataFrame, value: str, n: int, label: str) -> DataFrame:
     """The n rows of highest and the n of lowest value, with ``side``; ties by label."""
@@ -37,23 +41,53 @@ def group_scatter(coords: DataFrame, groups: DataFrame, most: int = 40) -> DataF
 def kde_grid(coords: DataFrame, groups: DataFrame, size: int = 100, least: int = 5, margin: float = 0.05) -> DataFrame:
     """(grp, gx, gy, density): Gaussian kernel density of each group of at least ``least`` nodes on one size x size grid.
 
-    The bandwidth is n ** (-1/6) times the group's covariance (Scott's rule).  Points meet grid cells within a group
-    only, and are summed before the shuffle.
+    The bandwidth is n ** (-1/6) times the group's covariance (Scott's rule).  A task holds one grid of sums a group, to which it
+    adds some points at a time, and sends each grid once, a row a column of cells; so no pair of a point and a cell is a row.
     """
     rows = coords.join(groups.where("grp is not null"), "node").select("grp", "x", "y")
-    box = coords.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    box = [0.0 if v is None else float(v) for v in coords.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()]  # no point, no rows
     dx, dy = (box[1] - box[0]) * margin, (box[3] - box[2]) * margin
     stats = rows.groupBy("grp").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy")).where(F.col("n") >= least)
     h = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
     det = F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")
     stats = stats.where(det > 0).select("grp", "n", (F.col("vy") / det / h).alias("pxx"), (F.col("vx") / det / h).alias("pyy"), (-F.col("cxy") / det / h).alias("pxy"), (2 * np.pi * F.sqrt(det) * h).alias("norm"))
-    step = lambda a, b, i: F.lit(a) + F.col(i) * F.lit((b - a) / (size - 1))
-    grid = rows.sparkSession.range(size).select(F.col("id").alias("i")).crossJoin(rows.sparkSession.range(size).select(F.col("id").alias("j")))
-    grid = grid.select(step(box[0] - dx, box[1] + dx, "i").alias("gx"), step(box[2] - dy, box[3] + dy, "j").alias("gy"), "i", "j")
-    both = rows.join(F.broadcast(stats), "grp").crossJoin(F.broadcast(grid))
-    u, v = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
-    term = F.exp(-0.5 * (F.col("pxx") * u * u + 2 * F.col("pxy") * u * v + F.col("pyy") * v * v)) / F.col("norm")
-    return both.groupBy("grp", "i", "j").agg(F.max("gx").alias("gx"), F.max("gy").alias("gy"), (F.sum(term) / F.max("n")).alias("density")).drop("i", "j")
+    x0, y0 = box[0] - dx, box[2] - dy
+    wide, high = (box[1] + dx - x0) / (size - 1), (box[3] + dy - y0) / (size - 1)
+    gx, gy = x0 + np.arange(size) * wide, y0 + np.arange(size) * high
+    kind = dict(rows.dtypes)["grp"]
+    own = rows.where("x is not null and y is not null").join(F.broadcast(stats), "grp").select("grp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "pxx", "pxy", "pyy")
+
+    def run(frames):
+        held: dict = {}
+
+        def send():
+            for grp, total in held.items():
+                yield pd.DataFrame({"grp": [grp] * size, "i": range(size), "sums": list(total)})
+
+        for f in frames:
+            for grp, part in f.groupby("grp", sort=False):
+                total = held.setdefault(grp, np.zeros((size, size)))
+                pxx, pxy, pyy = (float(part[c].iloc[0]) for c in ("pxx", "pxy", "pyy"))
+                at = max(1, _CELLS // size**2)
+                for lo in range(0, len(part), at):
+                    u = gx - part["x"].to_numpy()[lo : lo + at, None]
+                    v = gy - part["y"].to_numpy()[lo : lo + at, None]
+                    power = (-pxy * u)[:, :, None] * v[:, None, :]
+                    power += (-0.5 * pxx * u * u)[:, :, None]
+                    power += (-0.5 * pyy * v * v)[:, None, :]
+                    total += np.exp(power, out=power).sum(axis=0)
+            if len(held) * size**2 > _HELD:
+                yield from send()
+                held = {}
+        yield from send()
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": key[0], "i": key[1], "j": range(size), "total": np.sum(frame["sums"].tolist(), axis=0)})
+
+    sums = own.mapInPandas(run, f"grp {kind}, i int, sums array<double>").groupBy("grp", "i").applyInPandas(add, f"grp {kind}, i int, j int, total double")
+    place = lambda start, step, i: F.lit(float(start)) + F.col(i) * F.lit(float(step))
+    density = F.col("total") / F.col("norm") / F.col("n")
+    return sums.join(F.broadcast(stats.select("grp", "n", "norm")), "grp").select("grp", place(x0, wide, "i").alias("gx"), place(y0, high, "j").alias("gy"), density.alias("density"))
 
 
 def loss_changes(history: DataFrame) -> DataFrame:

@@ -650,6 +650,23 @@ def test_null_gram_has_the_law_of_standardised_samples():
     assert np.diag(stats.null_gram(10**9, 5, rng)) == pytest.approx([1e9] * 5)  # a table of this size is not drawn
 
 
+def test_densities_make_no_row_a_point_and_cell(spark, monkeypatch):
+    monkeypatch.setattr(plotdata, "_HELD", 100)  # grids are sent in parts
+    rng = np.random.default_rng(2)
+    xy, of = rng.normal(size=(90, 2)) @ [[1.0, 0.9], [0.0, 0.3]], rng.integers(0, 3, 90)
+    coords = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(90, None, 1.0)], "node long, x double, y double").repartition(3)
+    got = plotdata.kde_grid(coords, frame(spark, [(i, f"g{g}") for i, g in enumerate(of)], "node long, grp string"), size=12)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    rows, lo, hi = got.collect(), xy.min(axis=0), np.maximum(xy.max(axis=0), [-np.inf, 1.0])
+    assert len(rows) == 3 * 144 and min(r.gx for r in rows) == pytest.approx(lo[0] - 0.05 * (hi[0] - lo[0])) and max(r.gy for r in rows) == pytest.approx(hi[1] + 0.05 * (hi[1] - lo[1]))
+    for r in rows:
+        own = xy[of == int(r.grp[1])]
+        cov = np.cov(own.T) * len(own) ** (-1 / 3)
+        d = np.array([r.gx, r.gy]) - own
+        want = np.exp(-0.5 * (d @ np.linalg.inv(cov) * d).sum(axis=1)).mean() / (2 * np.pi * np.sqrt(np.linalg.det(cov)))
+        assert r.density == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
 def test_figure_tables(spark):
     h = frame(spark, [(0, 3.0), (1, 2.0)], "epoch int, loss double")
     assert [r.change for r in plotdata.loss_changes(h).orderBy("epoch").collect()] == [None, -1.0]
