@@ -5,11 +5,16 @@ A long table leaves zeros out, so every mean divides by a number of members and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.groups import NA, labelled
 
+#: Rows of a layer that a task sorts.
+_ROWS = 250_000
+
 
 def choose_source(x: DataFrame, raw: DataFrame | None = None, layers: dict[str, DataFrame] | None = None, layer: str | None = None, use_raw: bool | None = None) -> DataFrame:
     """A layer before raw before x; raw is used by default if there is one and no layer is named."""
@@ -70,15 +75,20 @@ def missing_rows(values: DataFrame, obs: DataFrame) -> DataFrame:
 def stack_layers(layers: dict[str, DataFrame], obs: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """(obs, layer, source_obs, gene, value) of all layers, ``layer:obs``, without observations with missing values.
 
-    ``mask`` (obs, layer, has_cells) leaves out what is false or absent in it.
+    ``mask`` (obs, layer, has_cells) leaves out what is false or absent in it.  Only observations with missing values are
+    gathered, so nothing is counted for the others.
     """
-    out = None
+    out, n_obs = None, obs.count()
     for name in sorted(layers):
-        rows = layers[name]
-        good = missing_rows(rows, obs).where("not missing").select("obs")
+        # So many partitions that none has much more than some rows, however large the tables are.
+        parts = max(obs.sparkSession.sparkContext.defaultParallelism, math.ceil(max(layers[name].count(), n_obs) / _ROWS))
+        rows = layers[name].repartition(parts, "obs")
+        bad = layers[name].where(F.col("value").isNull() | F.isnan("value")).select("obs").repartition(parts, "obs")
+        # Keys in order pack into so few bytes that a table of millions is taken for a small one and sent whole; sorted sides need no such table.
+        good = obs.select("obs").repartition(parts, "obs").join(bad.hint("merge"), "obs", "left_anti")
         if mask is not None:
-            good = good.join(mask.where((F.col("layer") == name) & F.col("has_cells")).select("obs"), "obs", "left_semi")
-        part = rows.join(good, "obs", "left_semi").select(F.concat(F.lit(f"{name}:"), F.col("obs").cast("string")).alias("obs"), F.lit(name).alias("layer"), F.col("obs").alias("source_obs"), "gene", "value")
+            good = good.join(mask.where((F.col("layer") == name) & F.col("has_cells")).select("obs").hint("merge"), "obs", "left_semi")
+        part = rows.join(good.hint("merge"), "obs", "left_semi").select(F.concat(F.lit(f"{name}:"), F.col("obs").cast("string")).alias("obs"), F.lit(name).alias("layer"), F.col("obs").alias("source_obs"), "gene", "value")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -650,6 +650,15 @@ def test_null_gram_has_the_law_of_standardised_samples():
     assert np.diag(stats.null_gram(10**9, 5, rng)) == pytest.approx([1e9] * 5)  # a table of this size is not drawn
 
 
+def test_stacked_layers_send_no_table_of_observations(spark):
+    v = frame(spark, [(i, "g", None if i % 4 == 0 else float("nan") if i % 4 == 1 else 1.0) for i in range(40)] + [(2, "h", None)], "obs long, gene string, value double")
+    obs = frame(spark, [(i,) for i in [*range(30), 5, 6, 77]], "obs long")
+    mask = frame(spark, [(i, "l", i != 3) for i in range(40)], "obs long, layer string, has_cells boolean")
+    got = expression.stack_layers({"l": v}, obs, mask)
+    assert sorted(r.source_obs for r in got.collect()) == [i for i in range(30) if i % 4 in (2, 3) and i not in (2, 3)]
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_densities_make_no_row_a_point_and_cell(spark, monkeypatch):
     monkeypatch.setattr(plotdata, "_HELD", 100)  # grids are sent in parts
     rng = np.random.default_rng(2)
