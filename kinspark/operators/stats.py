@@ -116,9 +116,21 @@ def adjust(df: DataFrame, p: str = "pvalue", method: str | None = "fdr_bh", out:
 _PAIR = ["gene", "response"]
 
 
-def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFrame:
+#: Pairs whose knots and coefficients are sent to the tasks as one table, and not with every row.
+_FEW_PAIRS = 20_000
+
+
+def _pair_table(pairs: DataFrame):
+    """A broadcast table (gene, response) -> (knots, coefficients or None)."""
+    held = {(r.gene, r.response): (np.asarray(r.t), None if r.beta is None else np.asarray(r.beta)) for r in pairs.select(*_PAIR, "t", "beta").collect()}
+    return pairs.sparkSession.sparkContext.broadcast(held)
+
+
+def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool, sent=None) -> DataFrame:
     """(gene, response, sums, low, high) of each task's rows (gene, response, x, y, total, t, beta): what one round of least squares needs.
 
+    With ``sent``, a table of :func:`_pair_table`, rows need no t and beta.
+
     sums: the weighted products of the design with itself and with the working response, the weighted square of that, and the
     log-likelihood at ``beta``; low and high: of the fit at ``beta``.  Binomial rows are reweighted at ``beta``, or start from
     their smoothed share without one.
@@ -135,9 +147,10 @@ def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFra
             starts = np.searchsorted(code[order], np.arange(len(keys)))
             x, y, of = f["x"].to_numpy(dtype=float)[order], f["y"].to_numpy(dtype=float)[order], code[order]
             once = order[starts]  # knots and coefficients are the pair's: one row of each is read
-            d = design(x, np.array([np.asarray(t) for t in f["t"].iloc[once]])[of], degree)
-            known = f["beta"].iloc[0] is not None
-            eta = (d * np.array([np.asarray(b) for b in f["beta"].iloc[once]])[of]).sum(axis=1) if known else np.zeros(len(x))
+            knots, betas = zip(*(sent.value[key] for key in keys), strict=True) if sent is not None else (f["t"].iloc[once], f["beta"].iloc[once])
+            d = design(x, np.array([np.asarray(t) for t in knots])[of], degree)
+            known = next(iter(betas)) is not None
+            eta = (d * np.array([np.asarray(b) for b in betas])[of]).sum(axis=1) if known else np.zeros(len(x))
             w, z, like, fit = np.ones(len(x)), y, np.zeros(len(x)), eta
             if binomial:
                 total = f["total"].to_numpy(dtype=float)[order]
@@ -159,7 +172,7 @@ def _pair_sums(rows: DataFrame, df: int, degree: int, binomial: bool) -> DataFra
                 held = {}
         yield pd.DataFrame([(*key, v[0].tolist(), v[1], v[2]) for key, v in held.items()], columns=[*_PAIR, "sums", "low", "high"])
 
-    parts = rows.select(*_PAIR, "x", "y", "total", "t", "beta").mapInPandas(run, "gene string, response string, sums array<double>, low double, high double")
+    parts = rows.select(*_PAIR, "x", "y", *(["total"] if binomial else []), *(["t", "beta"] if sent is None else [])).mapInPandas(run, "gene string, response string, sums array<double>, low double, high double")
     wide = k * k + k + 2
     summed = parts.groupBy(*_PAIR).agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(wide)], F.min("low").alias("low"), F.max("high").alias("high"))
     return summed.select(*_PAIR, F.array(*[f"s{i}" for i in range(wide)]).alias("sums"), "low", "high")
@@ -197,8 +210,8 @@ def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5
     pairs = pairs.join(pair_quantiles(x, y, shares), _PAIR)
     pairs = stored(pairs.withColumn("t", F.concat(ends("x0"), "inner", ends("x1"))), "pairs")
     good = pairs.where((F.col("n") >= df + 2) & (F.abs(F.col("x1") - F.col("x0")) > 1e-8 + 1e-5 * F.abs("x0")))
-    small = good.count() <= 500_000
-    near = F.broadcast if small else (lambda d: d)
+    n_good = good.count()
+    near = F.broadcast if n_good <= 500_000 else (lambda d: d)
     fields = "gene string, response string, beta array<double>, rank int, like double"
 
     def solved(frames):
@@ -210,16 +223,18 @@ def gam(x: DataFrame, y: DataFrame, totals: DataFrame | None = None, df: int = 5
                 out.append((gene, response, beta.tolist(), rank, sums[-1]))
             yield pd.DataFrame(out, columns=["gene", "response", "beta", "rank", "like"])
 
-    def rows(betas):
-        of = good.select(*_PAIR, "t", "mean") if betas is None else good.select(*_PAIR, "t", "mean").join(betas.select(*_PAIR, "beta"), _PAIR)
-        own = both.join(near(of), _PAIR)
-        own = own if betas is not None else own.withColumn("beta", F.lit(None).cast("array<double>"))
-        return own if binomial else own.withColumn("y", F.col("y") - F.col("mean"))  # off the mean, so squares lose nothing
+    def summed(betas):
+        of = good.select(*_PAIR, "t", "mean")
+        of = of.withColumn("beta", F.lit(None).cast("array<double>")) if betas is None else of.join(betas.select(*_PAIR, "beta"), _PAIR)
+        sent = _pair_table(of) if n_good <= _FEW_PAIRS else None
+        own = both.join(near(of if sent is None else of.select(*_PAIR, "mean")), _PAIR)
+        own = own if binomial else own.withColumn("y", F.col("y") - F.col("mean"))  # off the mean, so squares lose nothing
+        return stored(_pair_sums(own, df, degree, binomial, sent), "sums")
 
-    sums = stored(_pair_sums(rows(None), df, degree, binomial), "sums")
+    sums = summed(None)
     betas, last = stored(sums.mapInPandas(solved, fields), "betas"), None
     for _ in range(max_rounds if binomial else 1):
-        sums = stored(_pair_sums(rows(betas), df, degree, binomial), "sums")
+        sums = summed(betas)
         if not binomial:
             break
         like = sums.agg(F.sum(F.get("sums", F.lit(k * k + k + 1)))).first()[0]

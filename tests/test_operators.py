@@ -659,6 +659,24 @@ def test_stacked_layers_send_no_table_of_observations(spark):
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("binomial", [False, True])
+def test_spline_rows_carry_no_knots(spark, monkeypatch, binomial):
+    rng = np.random.default_rng(4)
+    x = frame(spark, [(i, g, float(rng.normal())) for i in range(60) for g in ("g1", "g2")], "obs long, gene string, value double")
+    y = frame(spark, [(i, "r", float(rng.integers(0, 5)) / 4) for i in range(60)], "obs long, response string, value double")
+    totals = frame(spark, [(i, 4) for i in range(60)], "obs long, total long") if binomial else None
+    seen, plain, got = [], stats._pair_sums, {}
+    monkeypatch.setattr(stats, "_pair_sums", lambda rows, *a: seen.append(set(rows.columns)) or plain(rows, *a))
+    for few in (20_000, 0):
+        monkeypatch.setattr(stats, "_FEW_PAIRS", few)
+        got[few] = sorted(tuple(r) for r in stats.gam(x, y, totals).collect())
+        assert seen and all(({"t", "beta"} <= c) == (few == 0) for c in seen)
+        seen.clear()
+    assert len(got[0]) == 2
+    for a, b in zip(got[0], got[20_000], strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 def test_densities_make_no_row_a_point_and_cell(spark, monkeypatch):
     monkeypatch.setattr(plotdata, "_HELD", 100)  # grids are sent in parts
     rng = np.random.default_rng(2)
