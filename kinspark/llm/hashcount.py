@@ -23,13 +23,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """Bits of slots, the upper bits of hashes; a hash whose slot's bit is not set was never added."""
+    """Bits of slots, the upper bits of hashes; a hash whose slot's bit is not set was never added.
 
-    def __init__(self, bits: int, chunks: int):
-        self.bits, self.chunks, self.map = bits, chunks, np.zeros(1 << (bits - 6), np.int64)
+    A slot has the bits of its chunk and ``low`` more, 32 at most.
+    """
+
+    def __init__(self, bits: int, chunks: int, low: int = _LOW):
+        self.bits, self.chunks, self.low, self.map = bits, chunks, low, np.zeros(1 << (bits - 6), np.int64)
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> np.uint64(64 - _LOW - self.chunks)
+        return hashes >> np.uint64(64 - self.low - self.chunks)
 
     def place(self, slots: np.ndarray) -> np.ndarray:
         return (slots * _ODD) >> np.uint64(64 - self.bits)
@@ -40,7 +43,7 @@ class Bitmap:
 
     def with_slots(self, slots: DataFrame) -> Bitmap:
         """This bitmap with further slots (one long column); what comes to the driver is bounded by the bitmap's size."""
-        out, schema = Bitmap(self.bits, self.chunks), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+        out, schema = Bitmap(self.bits, self.chunks, self.low), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
 
         def run(batches):
             for batch in batches:
@@ -63,37 +66,64 @@ def chunk_bits(n: int) -> int:
     return min(31, max(3, (n >> 20).bit_length()))
 
 
-def frequent_slots(texts: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], chunks: int, least: int, slice_bytes: int = 4 << 20) -> DataFrame:
-    """(slot, n): how often slots occur, of those that occur ``least`` times or more; n is exact up to 65,535 a slice of texts.
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all of them, compressed: upper bytes of small numbers take no room."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`packed`."""
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
 
-    ``hashes`` gives the 64-bit hashes of a slice of ``texts``, whose first column is the text.  A slice sends one packed row a
-    chunk, the equal hashes in it summed, so a hash that is everywhere costs six bytes a slice.
+
+def frequent_slots(texts: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], chunks: int, least: int, slice_bytes: int = 4 << 20, low: int = _LOW, most_held: int = 1 << 20) -> DataFrame:
+    """(slot, n): how often slots occur, of those that occur ``least`` times or more; n is exact up to 2 to the 32 a task.
+
+    ``hashes`` gives the 64-bit hashes of a slice of ``texts``, whose first column is the text.  A task holds some ``most_held`` slots of
+    its slices, the equal ones summed, and sends them as one packed row a chunk: differences of slots in their order, and numbers.
     """
-    schema = pa.schema([("chunk", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
-    known = Bitmap(20, chunks)
+    schema = pa.schema([("chunk", pa.int64()), ("size", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+    known = Bitmap(20, chunks, low)
+
+    def summed_slots(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        slots, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(slots)
+        slots = slots[order]
+        at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        return slots[at], np.minimum(np.add.reduceat(n[order].astype(np.int64), at), 0xFFFFFFFF).astype(np.uint32)
+
+    def sent(slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        chunk = (slots >> np.uint64(low)).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        ends = np.r_[at[1:], len(slots)]
+        steps = np.diff(slots, prepend=slots[:1])
+        steps[at] = slots[at] & np.uint64((1 << low) - 1)
+        rows = list(zip(at.tolist(), ends.tolist(), strict=True))
+        return to_batch(schema, chunk=chunk[at], size=(ends - at).astype(np.int32), slots=[packed(steps[i:j]) for i, j in rows], counts=[packed(n[i:j]) for i, j in rows])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             for part in text_slices(batch, 0, most_bytes=slice_bytes):
                 found = [known.slots(h) for h in hashes(part)]
                 if not sum(map(len, found)):
                     continue
                 slots, n = np.unique(np.concatenate(found), return_counts=True)
-                chunk = (slots >> np.uint64(_LOW)).astype(np.int64)
-                at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-                ends = np.r_[at, len(slots)].astype(np.int64)
-                packed = [slots.astype("<u4"), np.minimum(n, 65535).astype("<u2")]
-                columns = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary()) for x in packed]
-                yield to_batch(schema, chunk=chunk[at], slots=columns[0], counts=columns[1])
+                parts.append((slots, n.astype(np.uint32)))
+                held += len(slots)
+                if held >= most_held:
+                    parts = [summed_slots(parts)]
+                    held = len(parts[0][0])
+                    if held >= most_held // 2:  # few were equal
+                        yield sent(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield sent(*summed_slots(parts))
 
     def summed(table: pa.Table) -> pa.Table:
-        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u4").astype(np.int64)
-        n = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u2").astype(np.int64)
-        order = np.argsort(slots)
-        slots = slots[order]
-        at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-        n = np.add.reduceat(n[order], at)
-        many, base = n >= least, int(table.column("chunk")[0].as_py()) << _LOW
-        return pa.table({"slot": pa.array(slots[at[many]] + base), "n": pa.array(n[many])})
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("size", "slots", "counts")), strict=True))
+        slots, n = summed_slots([(np.cumsum(unpacked(s, k), dtype=np.int64), unpacked(c, k)) for k, s, c in rows])
+        many, base = n >= least, int(table.column("chunk")[0].as_py()) << low
+        return pa.table({"slot": pa.array(slots[many] + base), "n": pa.array(n[many].astype(np.int64))})
 
-    return texts.mapInArrow(run, "chunk long, slots binary, counts binary").groupBy("chunk").applyInArrow(summed, "slot long, n long")
+    return texts.mapInArrow(run, "chunk long, size int, slots binary, counts binary").groupBy("chunk").applyInArrow(summed, "slot long, n long")

@@ -1,8 +1,8 @@
 """Phrases that occur together more than their parts do, by language.
 
-Words are counted exactly.  Longer runs of words are counted in a sketch: 44-bit hashes whose sums, upper bounds of the true
-counts, are formed by chunks of the hash space.  Hashes that reach the least count go into a bitmap, and
-stretches of text whose runs are all in the bitmap are kept, equal ones once with their number.  The runs in them are the
+Words are counted exactly.  Longer runs of words are counted in a sketch: short hashes, some sixteen for each word of the table, whose
+sums, upper bounds of the true counts, are formed by chunks of the hash space.  Hashes that reach the least count go into a bitmap, and
+stretches of text whose runs are all in the bitmap are kept, equal ones once with their number, packed by block and language.  The runs in them are the
 candidates.  Blocks of candidates are compiled into Aho-Corasick automata, whose patterns begin and end with the blank that
 parts words; these scan shards of the stretches and count overlapping matches.  Sums over shards are the true counts, to
 which thresholds and scores apply: a hash that two runs share costs time and changes no result.
@@ -30,6 +30,8 @@ _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
 #: Bytes of the texts that are worked on at once; arrays of eight bytes a byte are made of them.
 _SLICE = 3 << 19
+#: Bits of a slot besides its chunk's: a chunk has some million words.
+_LOW_BITS = 24
 
 
 class Words:
@@ -104,8 +106,8 @@ class _Summing:
 
     most = 200_000
 
-    def __init__(self, schema: pa.Schema):
-        self.schema, self.parts, self.rows, self.done = schema, [], 0, 0
+    def __init__(self, schema: pa.Schema, sent: int = 50_000):
+        self.schema, self.sent, self.parts, self.rows, self.done = schema, sent, [], 0, 0
 
     def add(self, **columns):
         """Take rows; yields what is full."""
@@ -128,7 +130,7 @@ class _Summing:
         if self.rows > self.done:
             self.sum()
         for table in self.parts:
-            yield from table.to_batches(max_chunksize=50_000)
+            yield from table.combine_chunks().to_batches(max_chunksize=self.sent)
         self.parts, self.rows, self.done = [], 0, 0
 
 
@@ -164,7 +166,7 @@ def _sketched(texts: DataFrame, known: Bitmap, shortest: int, longest: int, n_ch
     def hashes(part):
         return [h for k, _, h in runs_of(Words(part.column(0), part.column(1)), sent.value, longest, shortest - 1) if k >= shortest]
 
-    return frequent_slots(texts, hashes, n_chunks, least, _SLICE).select("slot")
+    return frequent_slots(texts, hashes, n_chunks, least, _SLICE, _LOW_BITS).select("slot")
 
 
 def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
@@ -177,12 +179,12 @@ def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """(block, lang, stretch, n): stretches of words that the candidates of a block cover, equal ones of a task summed."""
+    """Stretches of words that the candidates of a block cover, equal ones of a task summed: rows of :func:`_packed_stretches`."""
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        sums = _Summing(schema)
+        sums = _Summing(schema, 1 << 30)
         for batch in batches:
             for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
@@ -196,10 +198,40 @@ def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) ->
                 new = np.r_[True, ((block << 32) + first)[1:] > reach[:-1]]  # shares no word with what came before
                 at, ends = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
                 text = w.strings(first[at], reach[ends] & 0xFFFFFFFF, 1)
-                yield from sums.add(block=pa.array(block[at]), lang=w.langs.take(pa.array(w.lang[first[at]])), stretch=text, n=pa.array(np.ones(len(at), np.int64)))
-        yield from sums.send()
+                for full in sums.add(block=pa.array(block[at]), lang=w.langs.take(pa.array(w.lang[first[at]])), stretch=text, n=pa.array(np.ones(len(at), np.int64))):
+                    yield _packed_stretches(full)
+        for full in sums.send():
+            yield _packed_stretches(full)
+
+    return texts.mapInArrow(run, ", ".join(f"{f.name} {_SPARK[f.type]}" for f in _PACKED))
+
+
+_SPARK = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+#: once, more: stretches that are there once or more often, in their order, a line each, compressed; times: how often the latter.
+_PACKED = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("bytes", pa.int64()), ("once", pa.binary()), ("once_bytes", pa.int64()), ("more", pa.binary()), ("more_bytes", pa.int64()), ("times", pa.binary())])
+
+
+def _packed_stretches(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each block, language and some megabyte of (block, lang, stretch, n); bytes are those of the stretches."""
+    rows = pa.Table.from_batches([rows]).append_column("many", pc.greater(rows.column("n"), 1)).sort_by([(c, "ascending") for c in ("block", "lang", "many", "stretch")]).combine_chunks()
+    ranks = [pc.rank(rows.column(c), tiebreaker="min").to_numpy() for c in ("block", "lang")]
+    block, lang, stretch = (rows.column(c).combine_chunks() for c in ("block", "lang", "stretch"))
+    many, n = rows.column("many").to_numpy(), rows.column("n").to_numpy()
+    ranks.append(np.cumsum(pc.binary_length(stretch).to_numpy().astype(np.int64)) >> 20)
+    at = np.flatnonzero(np.r_[True, np.any([r[1:] != r[:-1] for r in ranks], axis=0)])
+    out: dict[str, list] = {c: [] for c in ("bytes", "once", "once_bytes", "more", "more_bytes", "times")}
+    lines = lambda i, j: "\n".join(stretch[i:j].to_pylist()).encode()
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(n)], strict=True):
+        middle = i + int(np.searchsorted(many[i:j], True))
+        once, more = lines(i, middle), lines(middle, j)
+        for c, v in zip(out, (len(once) + len(more), pa.compress(once, codec="zstd", asbytes=True), len(once), pa.compress(more, codec="zstd", asbytes=True), len(more), n[middle:j].astype("<i8").tobytes()), strict=True):
+            out[c].append(v)
+    return to_batch(_PACKED, block=block.take(pa.array(at)), lang=lang.take(pa.array(at)), **out)
+
 
-    return texts.mapInArrow(run, "block int, lang string, stretch string, n long")
+def _lines(rows: pa.Table | pa.RecordBatch, column: str) -> list[str]:
+    """The lines of each row of :data:`_PACKED` as one text."""
+    return [pa.decompress(d, n, codec="zstd", asbytes=True).decode() if n else "" for d, n in zip(rows.column(column).to_pylist(), rows.column(f"{column}_bytes").to_pylist(), strict=True)]
 
 
 def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
@@ -210,9 +242,10 @@ def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int
     def run(batches):
         sums = _Summing(schema)
         for batch in batches:
-            for part in text_slices(batch, 1, rows=100_000, most_bytes=_SLICE):
-                w = Words(part.column(1), part.column(2))
-                own = part.column(0).to_numpy(zero_copy_only=False)
+            for part in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                # Lines are pieces of their own.
+                w = Words(pa.array([*_lines(part, "once"), *_lines(part, "more")]), pa.array(part.column("lang").to_pylist() * 2, pa.string()))
+                own = np.repeat(part.column("block").to_numpy(zero_copy_only=False), 2)
                 for k, at, h in runs_of(w, sent.value, longest, longest):
                     mine = (h % np.uint64(n_blocks)).astype(np.int64) == own[w.row[at]]
                     # Of runs with one hash the first; two that share it by chance differ in words or language, so they are compared.
@@ -225,11 +258,11 @@ def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int
                     yield from sums.add(block=pa.array(own[w.row[at]]), lang=w.langs.take(pa.array(w.lang[at])), phrase=text, n=pa.array(np.ones(len(at), np.int64)))
         yield from sums.send()
 
-    return stretches.select("block", "stretch", "lang").mapInArrow(run, "block int, lang string, phrase string, n long").select("block", "lang", "phrase").distinct()
+    return stretches.drop("bytes", "times").mapInArrow(run, "block int, lang string, phrase string, n long").select("block", "lang", "phrase").distinct()
 
 
 def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
-    """(lang, phrase, n): overlapping occurrences of a block's candidates in a shard of stretches, each in its own language only.
+    """(lang, phrase, n): overlapping occurrences of a block's candidates in a shard of packed stretches, each in its own language only.
 
     The same words are in another block for another language, and stretches there hold all of its occurrences.
     """
@@ -243,20 +276,18 @@ def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
     out: dict[str, list] = {"lang": [], "phrase": [], "n": []}
     if phrases:
         automaton.make_automaton()
-        shard = shard.sort_by("lang")
-        at, names = 0, pc.value_counts(shard.column("lang").combine_chunks())
-        for lang, rows in sorted(zip(names.field(0).to_pylist(), names.field(1).to_pylist(), strict=True)):
-            n, own, at = [0] * len(phrases), shard.slice(at, rows), at + rows
-            for lo in range(0, rows, 10_000):
-                part = own.slice(lo, 10_000)
-                texts, times = part.column("stretch").to_pylist(), part.column("n").to_pylist()
+        of = shard.column("lang").to_pylist()
+        for lang in sorted(set(of)):
+            n = [0] * len(phrases)
+            for k in (i for i, x in enumerate(of) if x == lang):
+                row = shard.slice(k, 1)
                 # Stretches that are there once are scanned as one text; the break between two is in no pattern.
-                for _, i in automaton.iter("\n".join(t for t, k in zip(texts, times, strict=True) if k == 1)):
+                for _, i in automaton.iter(_lines(row, "once")[0]):
                     n[i] += 1
-                for text, k in zip(texts, times, strict=True):
-                    if k > 1:
-                        for _, i in automaton.iter(text):
-                            n[i] += k
+                times = np.frombuffer(row.column("times")[0].as_py(), "<i8").tolist()
+                for text, m in zip(_lines(row, "more")[0].split("\n") if times else (), times, strict=True):
+                    for _, i in automaton.iter(text):
+                        n[i] += m
             met = [i for i, x in enumerate(n) if x and (lang, phrases[i]) in asked]
             out["lang"] += [lang] * len(met)
             out["phrase"] += [phrases[i][1:-1] for i in met]
@@ -277,7 +308,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = stored(word_counts(texts), "words")
     total, frequent = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") >= least)).first()
     n_chunks = chunk_bits(int(total))
-    known = Bitmap(bitmap_bits(frequent, most_bits, 1024), n_chunks)
+    known = Bitmap(bitmap_bits(frequent, most_bits, 1024), n_chunks, _LOW_BITS)
     known = known.with_slots(_word_slots(words, known, least))
     n_slots = 0
     # Pairs first; longer runs only where every pair is frequent.
@@ -291,11 +322,11 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     # A block's stretches together, so that each of its candidates is found in about one task and not in all.
     stretches = stored(_stretches(texts, known, longest, n_blocks).repartition("block"), "stretches")
     candidates = stored(_candidates(stretches, known, longest, n_blocks), "candidates")
-    sizes = stretches.groupBy("block").agg(F.sum(F.octet_length("stretch") + 48).alias("bytes"))
-    sizes = sizes.select("block", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards")).collect()  # one row a block
+    sizes = stretches.groupBy("block").agg(F.sum("bytes").alias("bytes"))
+    sizes = sizes.select("block", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes).cast("int")).alias("shards")).collect()  # one row a block
     sizes = F.broadcast(spark.createDataFrame(sizes, "block int, shards int"))
     left = candidates.join(sizes, "block").select("block", "lang", "phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    right = stretches.join(sizes, "block").select("block", "lang", "stretch", "n", F.expr("cast(pmod(xxhash64(lang, stretch), shards) as int)").alias("shard"))
+    right = stretches.join(sizes, "block").select(*stretches.columns, F.expr("cast(pmod(xxhash64(lang, once, more), shards) as int)").alias("shard"))
     met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_scan, "lang string, phrase string, n long")
     phrases = stored(met.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrases")
     forget(stretches, candidates)

@@ -206,6 +206,31 @@ def test_collocations_shared_by_languages_count_once(spark, blocks):
     assert Counter(tuple(r) for r in got.collect()) == collocations(rows, 4, 5, 2000)
 
 
+def test_stretches_travel_packed_by_block_and_language(spark):
+    # A row for each distinct stretch grew with the square of the table; now a task sends one for a block and language.
+    rows = [(f"w{i % 90} w{i % 70} w{i % 50} w{i}", lang) for i in range(400) for lang in ("en", "de")]
+    texts = phrases._texts(spark.createDataFrame(rows, "text string, lang string").coalesce(1), "text", "lang")
+    every = hashcount.Bitmap(20, 3, phrases._LOW_BITS)
+    every.map[:] = -1
+    got = phrases._stretches(texts, every, 2, 3).toArrow()
+    assert len(got) == 6 and set(got.column("lang").to_pylist()) == {"en", "de"}
+    met = Counter()
+    for k in range(len(got)):
+        row = got.slice(k, 1)
+        n = np.frombuffer(row.column("times")[0].as_py(), "<i8").tolist()
+        more = phrases._lines(row, "more")[0].split("\n") if n else []
+        for line, times in [*((x, 1) for x in phrases._lines(row, "once")[0].split("\n") if x), *zip(more, n, strict=True)]:
+            met.update({(row.column("lang")[0].as_py(), w): times for w in set(line.split())})
+    assert all(met[lang, w] >= 1 for text, lang in rows for w in text.split())
+    assert met["en", "w0"] >= sum("w0" in text.split() for text, lang in rows if lang == "en")
+
+
+def test_slots_are_packed_as_differences():
+    n = np.array([0, 1, 7, 255, 256, 1 << 31, (1 << 32) - 1], np.uint64)
+    assert hashcount.unpacked(hashcount.packed(n), len(n)).tolist() == n.tolist()
+    assert len(hashcount.packed(np.full(100_000, 3))) < 1000
+
+
 def test_collocation_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     big = 5 * 10**15
     words = spark.createDataFrame([("en", "a", big + 1), ("en", "b", big)], "lang string, phrase string, a long")
