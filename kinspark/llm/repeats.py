@@ -28,7 +28,7 @@ _PART = 32
 #: Symbols that a round of refinement puts in front.
 _STEP = 20
 #: Bytes of the texts that are worked on at once; several arrays of eight bytes a byte are made of them.
-_SLICE = 3 << 20
+_SLICE = 1 << 19
 #: Windows of one segment at most.
 _MOST_WINDOWS = 256
 _LAST = (1 << 63) - 1
@@ -58,6 +58,17 @@ def sliding(h: np.ndarray, width: int, choose) -> np.ndarray:
     return choose(out[:n], out[width - k : width - k + n])
 
 
+def joined(marks: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(id, h, start, stop) with those of a document that overlap or touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for doc, h, start, stop in sorted(marks):
+        if out and out[-1][:2] == (doc, h) and start <= out[-1][3]:
+            out[-1] = doc, h, out[-1][2], max(stop, out[-1][3])
+        else:
+            out.append((doc, h, start, stop))
+    return out
+
+
 class Anchors:
     """Least hashes of all strings of ``width`` bytes within the texts of a column."""
 
@@ -239,20 +250,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _segments(texts: DataFrame, known: Bitmap, hot: np.ndarray, n_buckets: int, width: int, most_kept: int) -> DataFrame:
     """(bucket, hash, twice, id, h, start, length, body): segments to be compared; those with a null body are known to be repeats.
 
-    Equal segments that a task meets again are told apart from the earliest at once; ``twice``: the segment may repeat itself.  Strings with a
+    Equal segments that a task meets again are told apart from the earliest at once, and neighbours of them are joined, so a whole copy is one
+    row; ``twice``: the segment may repeat itself.  ``hash`` has 32 bits: two that share it in a bucket are compared in vain.  Strings with a
     hash of ``hot`` travel one by one, each by its own hash, so a hash that fills a third of the table fills no bucket.
     """
     sent = texts.sparkSession.sparkContext.broadcast((known, hot))
-    schema = pa.schema([("bucket", pa.int64()), ("hash", pa.int64()), ("twice", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("hash", pa.int32()), ("twice", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("body", pa.binary())])
 
     def run(batches):
         known, hot = sent.value
         first: dict[bytes, tuple] = {}
-        rows: list[tuple] = []
+        gone: list[tuple] = []
 
         def flush(all_: bool):
-            out = rows + [(*own, *key, len(body), body) for body, (key, own) in first.items()] if all_ else rows[:]
-            rows.clear()
+            # What is known to go is done, so any bucket will do.
+            out = [((doc + start) % n_buckets, 0, False, doc, h, start, stop - start, None) for doc, h, start, stop in joined(gone)]
+            out += [(*own, *key, len(body), body) for body, (key, own) in first.items()] if all_ else []
+            gone.clear()
             if all_:
                 first.clear()
             for lo in range(0, len(out), 10_000):
@@ -276,22 +290,22 @@ def _segments(texts: DataFrame, known: Bitmap, hot: np.ndarray, n_buckets: int,
                     at, n, twice = np.r_[at[~many], single], np.r_[n[~many], np.ones(len(single), np.int64)], np.r_[twice[~many], np.zeros(len(single), bool)]
                 bucket = mixed(own) % np.uint64(n_buckets)
                 data, ids, hs = a.data.tobytes(), part.column(1).to_pylist(), part.column(2).to_pylist()
-                columns = (at, n + width - 1, row, at - a.ends[row], bucket.astype(np.int64), own.view(np.int64), twice)
+                columns = (at, n + width - 1, row, at - a.ends[row], bucket.astype(np.int32), own.astype(np.uint32).view(np.int32), twice)
                 for p, k, r, s, *to in zip(*(c.tolist() for c in columns), strict=True):
                     body, key = data[p : p + k], (ids[r], hs[r], s)
                     before = first.setdefault(body, (key, to))[0]
                     if before != key:
                         later = max(before, key)
-                        rows.append(((later[0] + later[2]) % n_buckets, *to[1:], *later, k, None))  # done, so any bucket will do
+                        gone.append((*later, later[2] + k))
                         if key < before:
                             first[body] = (key, to)
                     if len(first) >= most_kept:
                         yield from flush(True)
-                if len(rows) >= 10_000:
+                if len(gone) >= 100_000:
                     yield from flush(False)
         yield from flush(True)
 
-    return texts.mapInArrow(run, "bucket long, hash long, twice boolean, id long, h long, start long, length int, body binary")
+    return texts.mapInArrow(run, "bucket int, hash int, twice boolean, id long, h long, start long, length int, body binary")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, shard_bytes: int = 1 << 18, bucket_bytes: int = 1 << 20, hot: int = 8192, most_hot: int = 1_000_000, most_kept: int = 60_000) -> DataFrame:

@@ -100,6 +100,32 @@ def test_sums_of_hashes_by_chunks(spark):
     assert bits.has(h[[int(x) >> 29 in got for x in h]]).all() and bits.has(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)).mean() < 0.05
 
 
+def test_a_copy_in_a_task_is_one_known_row(spark):
+    # Copies that a task meets again sent a row for each of their segments, although neighbours touch.
+    rng = np.random.default_rng(5)
+    text = "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 3000))
+    texts = repeats._keyed(spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").coalesce(1), "doc_id", "text")
+    every = hashcount.Bitmap(20, 3)
+    every.map[:] = -1
+    got = repeats._segments(texts, every, np.zeros(0, np.uint64), 7, 100, 60_000).collect()
+    known = [r for r in got if r.body is None]
+    assert sorted((r.id, r.start, r.length) for r in known) == [(i, 0, 3000) for i in range(1, 20)]
+    assert {r.id for r in got if r.body is not None} == {0}
+    assert repeats.joined([(1, 2, 5, 9), (1, 2, 0, 5), (1, 3, 9, 10), (1, 2, 10, 11)]) == [(1, 2, 0, 9), (1, 2, 10, 11), (1, 3, 9, 10)]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from kinspark.llm import common
+
+    key = common._CLEANUP
+    before = spark.conf.get(key, None)
+    out = common.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    stale = tracker.shuffleStatuses().size()
+    common.stored(spark.range(1000).repartition(3, "id"), "kept")
+    assert tracker.shuffleStatuses().size() <= stale and out.count() == 7 and spark.conf.get(key, None) == before
+
+
 # --- resampling
 
 
