@@ -244,14 +244,17 @@ def _block_knn(queries: DataFrame, index: DataFrame, k: int, metric: str, by: st
                     of, own, best, names = (key, part), [], None, {}
                 ids, labels = batch.column("n_ids" if kind else "q_ids")[i].values, batch.column("labels")[i].values
                 x = np.frombuffer(batch.column("x")[i].as_buffer()).reshape(len(ids), -1)
-                if kind == 0:
-                    own.append((ids, labels, x))
+                if kind == 0:  # copies, as a view would keep its whole batch
+                    every = pa.array(np.arange(len(ids)))
+                    own.append((ids.take(every), labels.take(every), x.copy()))
                 elif own:
                     n_type, whole = ids.type, pa.types.is_integer(ids.type)
-                    best = best or _Best(np.concatenate([o[2] for o in own]), k, metric, np.int64 if whole else object)
+                    if best is None:
+                        best, own = _Best(np.concatenate([o[2] for o in own]), k, metric, np.int64 if whole else object), [o[:2] for o in own]
                     kinds = labels.dictionary_encode()
                     codes = np.array([names.setdefault(v, len(names)) for v in [*kinds.dictionary.to_pylist(), None]], np.int32)
                     best.add(ids.to_numpy(zero_copy_only=False).astype(np.int64) if whole else np.array(ids.to_pylist(), dtype=object), codes[pc.fill_null(kinds.indices, -1).to_numpy(zero_copy_only=False)], x)
+            batch = ids = labels = x = kinds = None  # else the next batch is read beside this one
         yield from done()
 
     return both.mapInArrow(run, f"q {q_kind}, n {n_kind}, d double, r int, q_label string, n_label string")
