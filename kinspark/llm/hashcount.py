@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _placed(slots: np.ndarray, bits: int) -> np.ndarray:
+    return (slots * _ODD) >> np.uint64(64 - bits)
+
+
 class Bitmap:
     """Bits of slots, the upper bits of hashes; a hash whose slot's bit is not set was never added.
 
@@ -31,11 +36,19 @@ class Bitmap:
     def __init__(self, bits: int, chunks: int, low: int = _LOW):
         self.bits, self.chunks, self.low, self.map = bits, chunks, low, np.zeros(1 << (bits - 6), np.int64)
 
+    def __getstate__(self) -> tuple:
+        """Few bits are set, so what every machine gets and keeps as a file is compressed."""
+        return self.bits, self.chunks, self.low, pa.compress(self.map.tobytes(), codec="zstd", asbytes=True)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.chunks, self.low, data = state
+        self.map = np.frombuffer(pa.decompress(data, 1 << (self.bits - 3), codec="zstd", asbytes=True), np.int64)
+
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.low - self.chunks)
 
     def place(self, slots: np.ndarray) -> np.ndarray:
-        return (slots * _ODD) >> np.uint64(64 - self.bits)
+        return _placed(slots, self.bits)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = self.place(self.slots(hashes))
@@ -44,10 +57,11 @@ class Bitmap:
     def with_slots(self, slots: DataFrame) -> Bitmap:
         """This bitmap with further slots (one long column); what comes to the driver is bounded by the bitmap's size."""
         out, schema = Bitmap(self.bits, self.chunks, self.low), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
+        placed = partial(_placed, bits=self.bits)  # tasks need no map
 
         def run(batches):
             for batch in batches:
-                place = out.place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
+                place = placed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
                 yield to_batch(schema, at=(place >> np.uint64(6)).astype(np.int64), bits=(np.uint64(1) << (place & np.uint64(63))).view(np.int64))
 
         got = slots.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()

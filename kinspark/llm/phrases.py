@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,19 @@ class _Summing:
         self.parts, self.rows, self.done = [], 0, 0
 
 
+def _sending(df: DataFrame, sent: Broadcast) -> DataFrame:
+    """``df``, with a note of the broadcast that its tasks read, for :func:`_kept`."""
+    df.sent = sent
+    return df
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored`, after which no machine keeps its copies of what was broadcast for ``df``."""
+    out = stored(df, name)
+    df.sent.destroy()
+    return out
+
+
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return columns_of(docs, text_col, lang_col).select(F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
 
@@ -166,7 +180,7 @@ def _sketched(texts: DataFrame, known: Bitmap, shortest: int, longest: int, n_ch
     def hashes(part):
         return [h for k, _, h in runs_of(Words(part.column(0), part.column(1)), sent.value, longest, shortest - 1) if k >= shortest]
 
-    return frequent_slots(texts, hashes, n_chunks, least, _SLICE, _LOW_BITS).select("slot")
+    return _sending(frequent_slots(texts, hashes, n_chunks, least, _SLICE, _LOW_BITS).select("slot"), sent)
 
 
 def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
@@ -179,7 +193,10 @@ def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """Stretches of words that the candidates of a block cover, equal ones of a task summed: rows of :func:`_packed_stretches`."""
+    """Stretches of words that the candidates of a block cover, equal ones of a task summed: rows of :func:`_packed_stretches`.
+
+    A block's stretches are together, so that each of its candidates is found in about one task and not in all.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
 
@@ -203,7 +220,7 @@ def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) ->
         for full in sums.send():
             yield _packed_stretches(full)
 
-    return texts.mapInArrow(run, ", ".join(f"{f.name} {_SPARK[f.type]}" for f in _PACKED))
+    return _sending(texts.mapInArrow(run, ", ".join(f"{f.name} {_SPARK[f.type]}" for f in _PACKED)).repartition("block"), sent)
 
 
 _SPARK = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
@@ -258,7 +275,7 @@ def _candidates(stretches: DataFrame, known: Bitmap, longest: int, n_blocks: int
                     yield from sums.add(block=pa.array(own[w.row[at]]), lang=w.langs.take(pa.array(w.lang[at])), phrase=text, n=pa.array(np.ones(len(at), np.int64)))
         yield from sums.send()
 
-    return stretches.drop("bytes", "times").mapInArrow(run, "block int, lang string, phrase string, n long").select("block", "lang", "phrase").distinct()
+    return _sending(stretches.drop("bytes", "times").mapInArrow(run, "block int, lang string, phrase string, n long").select("block", "lang", "phrase").distinct(), sent)
 
 
 def _scan(candidates: pa.Table, shard: pa.Table) -> pa.Table:
@@ -314,14 +331,13 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     # Pairs first; longer runs only where every pair is frequent.
     for shortest, upto in ((2, 2), (3, longest)):
         if upto >= shortest:
-            slots = stored(_sketched(texts, known, shortest, upto, n_chunks, least), "slots")
+            slots = _kept(_sketched(texts, known, shortest, upto, n_chunks, least), "slots")
             n_slots += slots.count()
             known = known.with_slots(slots)
             forget(slots)
     n_blocks = max(1, -(-n_slots // block_phrases), -(-int(total) // block_words))
-    # A block's stretches together, so that each of its candidates is found in about one task and not in all.
-    stretches = stored(_stretches(texts, known, longest, n_blocks).repartition("block"), "stretches")
-    candidates = stored(_candidates(stretches, known, longest, n_blocks), "candidates")
+    stretches = _kept(_stretches(texts, known, longest, n_blocks), "stretches")
+    candidates = _kept(_candidates(stretches, known, longest, n_blocks), "candidates")
     sizes = stretches.groupBy("block").agg(F.sum("bytes").alias("bytes"))
     sizes = sizes.select("block", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes).cast("int")).alias("shards")).collect()  # one row a block
     sizes = F.broadcast(spark.createDataFrame(sizes, "block int, shards int"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import os
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -232,6 +234,20 @@ def test_collocations_shared_by_languages_count_once(spark, blocks):
     assert Counter(tuple(r) for r in got.collect()) == collocations(rows, 4, 5, 2000)
 
 
+def test_bitmaps_are_sent_small_and_their_files_go(spark, monkeypatch):
+    # Before, each of seven steps left a file of the whole bitmap on the driver and on every executor.
+    bits = hashcount.Bitmap(28, 3, phrases._LOW_BITS)
+    bits.map[::50_000] = 7
+    sent = pickle.dumps(bits)
+    assert len(sent) < 1 << 20 and (pickle.loads(sent).map == bits.map).all()
+    made, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: made.append(broadcast(value)) or made[-1])
+    docs = spark.createDataFrame([(t, g) for t, g in PHRASES for _ in range(5)], "text string, lang string")
+    assert phrases.collocations(docs, least=5).count()
+    # Two sketches, stretches and candidates; a larger command of a task would be one more.
+    assert len([b for b in made if not os.path.exists(b._path)]) == len(made) == 4
+
+
 def test_stretches_travel_packed_by_block_and_language(spark):
     # A row for each distinct stretch grew with the square of the table; now a task sends one for a block and language.
     rows = [(f"w{i % 90} w{i % 70} w{i % 50} w{i}", lang) for i in range(400) for lang in ("en", "de")]
