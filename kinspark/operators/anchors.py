@@ -1,7 +1,8 @@
 """Integration anchors between batches in a shared space (canonical correlation or reciprocal PCA), and correction by them.
 
 Both spaces come from genes x genes products that Spark sums over cells; cells get their coordinates row by row
-from a broadcast matrix.  So the number of genes is bounded by the driver, the number of cells by nothing.
+from a broadcast matrix.  So the number of genes is bounded by the driver, the number of cells by nothing: joins of
+cells, neighbours and anchors are merges of shuffled rows, as their tables, packed on disk, look small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def find_anchors(points: DataFrame, method: str = "cca", n_comps: int = 30, k_an
             near = {k: stored(knn(x, y, k_score), "near") for k, (x, y) in spaces.items()}
             ab = near["ab"].where(F.col("r") < k_anchor).select(F.col("q").alias("a"), F.col("n").alias("b"))
             ba = near["ba"].where(F.col("r") < k_anchor).select(F.col("n").alias("a"), F.col("q").alias("b"))
-            pairs = ab.join(ba, ["a", "b"])
+            pairs = ab.join(ba.hint("merge"), ["a", "b"])
             if k_filter is not None:
                 load = np.abs(left).max(axis=1) + np.abs(right).max(axis=1)
                 top = np.argsort(-load, kind="stable")[:max_features]
@@ -101,8 +102,8 @@ def find_anchors(points: DataFrame, method: str = "cca", n_comps: int = 30, k_an
             pairs = stored(pairs, "pairs")
             hood_a = near["ab"].unionByName(near["aa"]).select(F.col("q").alias("a"), "n")
             hood_b = near["ba"].unionByName(near["bb"]).select(F.col("q").alias("b"), "n")
-            shared = pairs.join(hood_a, "a").join(hood_b, ["b", "n"]).groupBy("a", "b").agg(F.count("*").alias("s"))
-            scored = pairs.join(shared, ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+            shared = pairs.join(hood_a.hint("merge"), "a").join(hood_b.hint("merge"), ["b", "n"]).groupBy("a", "b").agg(F.count("*").alias("s"))
+            scored = pairs.join(shared.hint("merge"), ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
             ends = scored.agg(F.percentile("s", 0.01).alias("lo"), F.percentile("s", 0.9).alias("hi"))
             share = F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0))
             part = scored.crossJoin(F.broadcast(ends)).select("a", "b", F.lit(p).alias("batch_a"), F.lit(q).alias("batch_b"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("weight"))
@@ -136,17 +137,17 @@ def integrate(points: DataFrame, anchors: DataFrame, k_weight: int = 100, n_comp
         members[new] = left + right
         small, large = (left, right) if sum(map(sizes.get, left)) < sum(map(sizes.get, right)) else (right, left)
         query, ref = points.where(F.col("batch").isin(small)), points.where(F.col("batch").isin(large))
-        found = edges.join(query.select(F.col("id").alias("src"), F.col("x").alias("xq")), "src").join(ref.select(F.col("id").alias("dst"), F.col("x").alias("xr")), "dst")
+        found = edges.join(query.select(F.col("id").alias("src"), F.col("x").alias("xq")).hint("merge"), "src").join(ref.select(F.col("id").alias("dst"), F.col("x").alias("xr")).hint("merge"), "dst")
         found = stored(found.select(F.monotonically_increasing_id().alias("anchor"), "src", "weight", F.zip_with("xr", "xq", lambda u, v: u - v).alias("shift")), "shifts")
         space = _project(query, _components(_gram(_centred(query.withColumn("batch", F.lit("all"))), dim), n_comps), False)
-        at = space.join(found.select(F.col("src").alias("id"), "anchor"), "id").select(F.col("anchor").alias("id"), "x")
+        at = space.join(found.select(F.col("src").alias("id"), "anchor").hint("merge"), "id").select(F.col("anchor").alias("id"), "x")
         near = knn(space, at, k_weight).join(found.select(F.col("anchor").alias("n"), "weight", "shift"), "n")
         far = F.max("d").over(Window.partitionBy("q"))
         near = near.withColumn("w", 1.0 - F.exp(-(1.0 - F.coalesce(F.try_divide("d", far), F.lit(0.0))) * F.col("weight") / 4.0))
         near = near.withColumn("w", F.coalesce(F.try_divide("w", F.sum("w").over(Window.partitionBy("q"))), F.lit(0.0)))
         move = near.select("q", "w", F.posexplode("shift").alias("i", "v")).groupBy("q", "i").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
         move = move.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("m")).select(F.col("q").alias("id"), F.transform("m", lambda e: e["v"]).alias("m"))
-        points = stored(points.join(move, "id", "left").select("id", "batch", F.when(F.col("m").isNotNull(), F.zip_with("x", "m", lambda u, v: u + v)).otherwise(F.col("x")).alias("x")), "integrated")
+        points = stored(points.join(move.hint("merge"), "id", "left").select("id", "batch", F.when(F.col("m").isNotNull(), F.zip_with("x", "m", lambda u, v: u + v)).otherwise(F.col("x")).alias("x")), "integrated")
     if scale:
         long = points.select("id", "batch", F.posexplode("x").alias("i", "v"))
         by = Window.partitionBy("i")

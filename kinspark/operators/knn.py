@@ -63,7 +63,7 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarr
 
 
 #: Bytes of an index that is sent to every task as a whole; it passes through the driver, and some queries send a score of them.
-MOST_SENT = 8 << 20
+MOST_SENT = 2 << 20
 #: Cells of a matrix of distances in a task.
 _CELLS = 4_000_000
 
@@ -268,6 +268,8 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
     With ``by`` only rows with the same non-null value of that column are compared.  Fewer than k rows are all
     neighbours.  Rows without a vector take no part.  An index of up to ``most_sent`` bytes (counted first) is sent to
     the tasks, a larger one is met block by block; both give the same rows.
+
+    The result has k rows a query where Spark expects one, so it asks to be joined by a shuffle: else it would pass the driver.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -276,7 +278,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclid
     queries, index = (df.withColumn("label", F.col(label) if label else F.lit(None).cast("string")) for df in (queries, index))
     size = index.agg(F.coalesce(F.sum(F.greatest(F.size("x"), F.lit(0)) + 4), F.lit(0))).first()[0] * 8
     out = _sent_knn(queries, index, k, metric, by) if size <= most_sent else _block_knn(queries, index, k, metric, by, block_rows)
-    return out if label else out.drop("q_label", "n_label")
+    return (out if label else out.drop("q_label", "n_label")).hint("merge")
 
 
 def approximate_knn(queries: DataFrame, index: DataFrame, k: int = 15, metric: str = "euclidean", lists: int = 256, probes: int = 32, sample_rows: int = 20_000, list_rows: int = 8192) -> DataFrame:

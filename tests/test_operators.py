@@ -718,6 +718,20 @@ def test_canonical_directions_are_singular_vectors():
     assert np.allclose(np.abs((b @ right).T @ vt[:3].T), np.eye(3), atol=1e-8)
 
 
+def test_neighbours_and_anchors_are_not_broadcast_by_joins(spark, monkeypatch):
+    # Their tables look small to Spark, so joins sent all neighbours through the driver: 738 MB in memory over 10,256 cells.
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng(14)
+    p = frame(spark, [(i, "ab"[i % 2], rng.normal(size=4).tolist()) for i in range(80)], "id long, batch string, x array<double>")
+    near = knn.knn(p, p, 3)
+    assert "BroadcastHashJoin" not in plan(near.join(p.select(F.col("id").alias("n")), "n"))
+    plans, stored = {}, anchors.stored
+    monkeypatch.setattr(anchors, "stored", lambda df, name: plans.setdefault(name, plan(df)) and stored(df, name))
+    anchors.integrate(p, anchors.find_anchors(p, n_comps=3, k_score=10, k_filter=30), k_weight=10, n_comps=3)
+    for name in ("pairs", "anchors", "shifts", "integrated"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name
+
+
 @pytest.mark.parametrize("method", ["cca", "rpca"])
 def test_anchors_bring_shifted_batches_together(spark, method):
     rng = np.random.default_rng(10)
