@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,12 @@ def test_repeats_are_brute_force(spark, options):
     assert repeats.without_repeats(docs.limit(0), **options).count() == 0
 
 
+def test_least_hashes_are_dealt_evenly():
+    text = np.random.default_rng(5).integers(97, 123, 300_000).astype(np.uint8).tobytes().decode()
+    _, h = repeats.Anchors(pa.array([text]), 100).chosen()
+    assert len(h) > 5000 and np.bincount(h >> np.uint64(59), minlength=32).max() < 2 * len(h) / 32  # of 32 chunks
+
+
 def test_repeats_of_the_whole_table_are_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = repeats.without_repeats(docs, with_kept=True).collect()
