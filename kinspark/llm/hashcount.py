@@ -54,17 +54,20 @@ class Bitmap:
         at = self.place(self.slots(hashes))
         return (self.map[at >> np.uint64(6)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    def with_slots(self, slots: DataFrame) -> Bitmap:
-        """This bitmap with further slots (one long column); what comes to the driver is bounded by the bitmap's size."""
+    def with_slots(self, rows: DataFrame, slots_of: Callable[[pa.RecordBatch], np.ndarray] = lambda batch: batch.column(0).to_numpy(zero_copy_only=False)) -> Bitmap:
+        """This bitmap with the slots of ``rows`` (one long column, or what ``slots_of`` makes of a batch); what comes to the driver is bounded by the bitmap's size.
+
+        ``rows`` should need no Python: two such steps in a row are two workers for each core, and later steps go round all of them.
+        """
         out, schema = Bitmap(self.bits, self.chunks, self.low), pa.schema([("at", pa.int64()), ("bits", pa.int64())])
         placed = partial(_placed, bits=self.bits)  # tasks need no map
 
         def run(batches):
             for batch in batches:
-                place = placed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
+                place = placed(slots_of(batch).astype(np.uint64))
                 yield to_batch(schema, at=(place >> np.uint64(6)).astype(np.int64), bits=(np.uint64(1) << (place & np.uint64(63))).view(np.int64))
 
-        got = slots.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        got = rows.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
         out.map[:] = self.map
         out.map[got.column("at").to_numpy()] |= got.column("bits").to_numpy()
         return out

@@ -183,13 +183,14 @@ def _sketched(texts: DataFrame, known: Bitmap, shortest: int, longest: int, n_ch
     return _sending(frequent_slots(texts, hashes, n_chunks, least, _SLICE, _LOW_BITS).select("slot"), sent)
 
 
-def _word_slots(words: DataFrame, known: Bitmap, least: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            w = Words(batch.column(1), batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(known.slots(w.hash).astype(np.int64))], ["slot"])
+def _with_words(known: Bitmap, words: DataFrame, least: int) -> Bitmap:
+    """``known`` with the words that occur ``least`` times or more."""
+    few = Bitmap(20, known.chunks, known.low)  # tasks need no map
+
+    def slots_of(batch):
+        return few.slots(Words(batch.column(1), batch.column(0)).hash)
 
-    return words.where(F.col("a") >= least).select("lang", "phrase").mapInArrow(run, "slot long")
+    return known.with_slots(words.where(F.col("a") >= least).select("lang", "phrase"), slots_of)
 
 
 def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
@@ -326,7 +327,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     total, frequent = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") >= least)).first()
     n_chunks = chunk_bits(int(total))
     known = Bitmap(bitmap_bits(frequent, most_bits, 1024), n_chunks, _LOW_BITS)
-    known = known.with_slots(_word_slots(words, known, least))
+    known = _with_words(known, words, least)
     n_slots = 0
     # Pairs first; longer runs only where every pair is frequent.
     for shortest, upto in ((2, 2), (3, longest)):

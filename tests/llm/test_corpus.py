@@ -255,6 +255,15 @@ def test_bitmaps_are_sent_small_and_their_files_go(spark, monkeypatch):
     assert len([b for b in made if not os.path.exists(b._path)]) == len(made) == 4
 
 
+def test_one_step_of_python_fills_the_bitmap(spark, monkeypatch):
+    # Before, words' slots were made by one and placed by another: four workers on two cores, all of which the later steps filled.
+    plans, fill = [], hashcount.Bitmap.with_slots
+    monkeypatch.setattr(hashcount.Bitmap, "with_slots", lambda self, rows, *more: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or fill(self, rows, *more))
+    docs = spark.createDataFrame([(t, g) for t, g in PHRASES for _ in range(5)], "text string, lang string")
+    assert phrases.collocations(docs, least=5).count()
+    assert len(plans) == 3 and not any("InArrow" in p for p in plans)
+
+
 def test_stretches_travel_packed_by_block_and_language(spark):
     # A row for each distinct stretch grew with the square of the table; now a task sends one for a block and language.
     rows = [(f"w{i % 90} w{i % 70} w{i % 50} w{i}", lang) for i in range(400) for lang in ("en", "de")]
