@@ -2,7 +2,7 @@
 
 Words are counted exactly.  Longer runs of words are counted in a sketch: short hashes, some sixteen for each word of the table, whose
 sums, upper bounds of the true counts, are formed by chunks of the hash space.  Hashes that reach the least count go into a bitmap, and
-stretches of text whose runs are all in the bitmap are kept, equal ones once with their number, packed by block and language.  The runs in them are the
+stretches of text whose runs are all in the bitmap are kept, equal ones of all tasks once with their number, packed by block and language.  The runs in them are the
 candidates.  Blocks of candidates are compiled into Aho-Corasick automata, whose patterns begin and end with the blank that
 parts words; these scan shards of the stretches and count overlapping matches.  Sums over shards are the true counts, to
 which thresholds and scores apply: a hash that two runs share costs time and changes no result.
@@ -28,7 +28,8 @@ _LOWER[65:91] += 32
 _LOWER[list(_BLANKS + _BREAKS)] = 32
 _random = np.random.default_rng(13)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
+#: A byte at place i of a word counts times the i-th power of this odd number, which has an inverse among 64-bit numbers.
+_BASE = 0x2545F4914F6CDD1D
 #: Bytes of the texts that are worked on at once; arrays of eight bytes a byte are made of them.
 _SLICE = 3 << 19
 #: Bits of a slot besides its chunk's: a chunk has some million words.
@@ -43,21 +44,25 @@ class Words:
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts.cast(pa.string())), "\n")[0].as_buffer()
-        data = np.r_[np.frombuffer(joined, np.uint8), np.uint8(10)]
-        kind = _KIND[data]
+        data = joined.to_pybytes() + b"\n"
+        kind, data = np.frombuffer(data.translate(_KIND.tobytes()), np.uint8), np.frombuffer(data, np.uint8)
         inner = kind == 0
         border = np.flatnonzero(np.diff(np.r_[False, inner]))
         start, stop = border[0::2], border[1::2]
         self.length = stop - start
-        self.row = np.searchsorted(ends, start, side="right")
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[start]
+        self.row = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0))
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
         # Each word after one blank, and a blank at the end.
         inner[stop] = True
-        self.buffer = np.r_[np.uint8(32), _LOWER[data[inner]]]
+        self.buffer = np.frombuffer(b" " + data[inner].tobytes().translate(_LOWER.tobytes()), np.uint8)
         self.at = np.cumsum(self.length + 1) - self.length
-        own = self.buffer[1:]
-        place = np.arange(len(own), dtype=np.uint16) - np.repeat(self.at.astype(np.uint16), self.length + 1)
-        h = np.add.reduceat(_BYTE[own] * _PLACE[place & np.uint16(1023)], self.at - 1) if len(start) else np.zeros(0, np.uint64)
+        h = np.zeros(0, np.uint64)
+        if len(start):
+            # Sums over a word's bytes from those over the whole buffer; the inverse makes its first byte's power the lowest.
+            sums = _BYTE[self.buffer]
+            sums *= _powers(_BASE, len(sums))
+            np.cumsum(sums, out=sums)
+            h = (sums[self.at + self.length - 1] - sums[self.at - 1]) * _powers(pow(_BASE, -1, 1 << 64), len(sums), self.at)
         names = langs.dictionary_encode()
         seeds = np.array([hash_of(n) for n in names.dictionary.to_pylist()], np.uint64)
         self.langs, self.lang = names.dictionary, names.indices.to_numpy(zero_copy_only=False)[self.row] if len(start) else start
@@ -71,10 +76,16 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(taken))
 
 
+def _powers(base: int, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The first n powers of ``base`` among 64-bit numbers, or those ``at`` places."""
+    low, high = (np.cumprod(np.r_[np.uint64(1), np.full(k, b % (1 << 64), np.uint64)])[:k] for k, b in ((1 << 11, base), ((n >> 11) + 1, pow(base, 1 << 11, 1 << 64))))
+    return np.multiply.outer(high, low).ravel()[:n] if at is None else high[at >> 11] * low[at & 2047]
+
+
 def hash_of(text: str) -> int:
     """A 64-bit hash of a string, the same in every process."""
     b = np.frombuffer(text.encode(), np.uint8)
-    return int(mixed(np.array([(_BYTE[b] * _PLACE[np.arange(len(b)) & 1023]).sum(dtype=np.uint64)], np.uint64))[0])
+    return int(mixed(np.array([(_BYTE[b] * _powers(_BASE, len(b))).sum(dtype=np.uint64)], np.uint64))[0])
 
 
 def _longer(words: Words, hashes: np.ndarray, k: int) -> np.ndarray:
@@ -162,7 +173,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for part in text_slices(batch, 0, most_bytes=_SLICE):
                 w = Words(part.column(0), part.column(1))
                 every = np.arange(len(w.hash))
-                _, at, own, n = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                own = pa.array(w.hash).dictionary_encode().indices.to_numpy()
+                n = np.bincount(own)
+                at = np.empty(len(n), np.int64)
+                at[own] = every  # any word of those that have a hash
                 strings, langs = w.strings(every, every, 0), w.lang[at]
                 phrase = strings.take(pa.array(at))
                 if pc.all(pc.equal(phrase.take(pa.array(own)), strings)).as_py() is False or (langs[own] != w.lang).any():
@@ -193,10 +207,12 @@ def _with_words(known: Bitmap, words: DataFrame, least: int) -> Bitmap:
     return known.with_slots(words.where(F.col("a") >= least).select("lang", "phrase"), slots_of)
 
 
-def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) -> DataFrame:
-    """Stretches of words that the candidates of a block cover, equal ones of a task summed: rows of :func:`_packed_stretches`.
+def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int, route_blocks: int = 4) -> DataFrame:
+    """Stretches of words that the candidates of a block cover, equal ones summed: rows of :func:`_packed_stretches`.
 
-    A block's stretches are together, so that each of its candidates is found in about one task and not in all.
+    A block's stretches are together, so that each of its candidates is found in about one task and not in all.  Tasks send what they have
+    by routes of ``route_blocks`` blocks; where a route ends the equal stretches of all tasks become one.  So what follows works on
+    different stretches, some rows a block, and not on rows of every task for every block.
     """
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
@@ -217,11 +233,47 @@ def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int) ->
                 at, ends = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
                 text = w.strings(first[at], reach[ends] & 0xFFFFFFFF, 1)
                 for full in sums.add(block=pa.array(block[at]), lang=w.langs.take(pa.array(w.lang[first[at]])), stretch=text, n=pa.array(np.ones(len(at), np.int64))):
+                    yield routed(full)
+        for full in sums.send():
+            yield routed(full)
+
+    def routed(full):
+        route = full.column("block").to_numpy() // route_blocks
+        order = np.argsort(route, kind="stable")
+        full, route = full.take(pa.array(order)), route[order]
+        at = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+        rows = [_as_bytes(full.slice(i, j - i)) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(route)], strict=True)]
+        return to_batch(_ROUTED, route=route[at], rows=rows)
+
+    def merged(batches):
+        sums = _Summing(schema, 1 << 30)
+        for batch in batches:
+            for data in batch.column(1):
+                for full in sums.add(**_from_bytes(data)):
                     yield _packed_stretches(full)
         for full in sums.send():
             yield _packed_stretches(full)
 
-    return _sending(texts.mapInArrow(run, ", ".join(f"{f.name} {_SPARK[f.type]}" for f in _PACKED)).repartition("block"), sent)
+    routes = texts.mapInArrow(run, "route int, rows binary").repartition("route").sortWithinPartitions("route")
+    return _sending(routes.mapInArrow(merged, ", ".join(f"{f.name} {_SPARK[f.type]}" for f in _PACKED)), sent)
+
+
+_ROUTED = pa.schema([("route", pa.int32()), ("rows", pa.binary())])
+
+
+def _as_bytes(rows: pa.RecordBatch) -> bytes:
+    """Rows in Arrow's stream format, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: pa.BinaryScalar) -> dict[str, pa.ChunkedArray]:
+    """The columns of :func:`_as_bytes`."""
+    with pa.ipc.open_stream(data.as_buffer()) as rows:
+        table = rows.read_all()
+    return dict(zip(table.column_names, table.columns, strict=True))
 
 
 _SPARK = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
@@ -322,7 +374,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     with one that is very frequent, they are dealt into shards that each get the block's candidates.  So neither an automaton's nor a
     task's size grows with the table, and few candidates are sent twice.
     """
-    spark, texts = docs.sparkSession, _texts(docs, text_col, lang_col)
+    texts = _texts(docs, text_col, lang_col)
     words = stored(word_counts(texts), "words")
     total, frequent = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") >= least)).first()
     n_chunks = chunk_bits(int(total))
@@ -339,9 +391,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     n_blocks = max(1, -(-n_slots // block_phrases), -(-int(total) // block_words))
     stretches = _kept(_stretches(texts, known, longest, n_blocks), "stretches")
     candidates = _kept(_candidates(stretches, known, longest, n_blocks), "candidates")
-    sizes = stretches.groupBy("block").agg(F.sum("bytes").alias("bytes"))
-    sizes = sizes.select("block", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes).cast("int")).alias("shards")).collect()  # one row a block
-    sizes = F.broadcast(spark.createDataFrame(sizes, "block int, shards int"))
+    sizes = F.broadcast(stretches.groupBy("block").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / shard_bytes).cast("int")).alias("shards")))  # one row a block
     left = candidates.join(sizes, "block").select("block", "lang", "phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     right = stretches.join(sizes, "block").select(*stretches.columns, F.expr("cast(pmod(xxhash64(lang, once, more), shards) as int)").alias("shard"))
     met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_scan, "lang string, phrase string, n long")

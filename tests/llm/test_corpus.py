@@ -283,6 +283,26 @@ def test_stretches_travel_packed_by_block_and_language(spark):
     assert met["en", "w0"] >= sum("w0" in text.split() for text, lang in rows if lang == "en")
 
 
+def test_equal_stretches_of_all_tasks_become_one(spark):
+    # Before, each task sent a row for each block, so rows grew with the square of the table and equal stretches stayed apart.
+    rows = [(f"w{i % 9} w{i % 7} w{i % 5}. w{i % 4}", lang) for i in range(900) for lang in ("en", "de")]
+    every = hashcount.Bitmap(20, 3, phrases._LOW_BITS)
+    every.map[:] = -1
+    met = []
+    for tasks in (1, 8):
+        texts = phrases._texts(spark.createDataFrame(rows, "text string, lang string").repartition(tasks), "text", "lang")
+        got = phrases._stretches(texts, every, 2, 12).toArrow()
+        keys = list(zip(got.column("block").to_pylist(), got.column("lang").to_pylist(), strict=True))
+        assert len(set(keys)) == len(keys) == 24
+        met.append(Counter())
+        for k, key in enumerate(keys):
+            row = got.slice(k, 1)
+            once, more = ([x for x in phrases._lines(row, c)[0].split("\n") if x] for c in ("once", "more"))
+            assert len({*once, *more}) == len(once) + len(more)
+            met[-1].update({(*key, x): 1 for x in once} | {(*key, x): n for x, n in zip(more, np.frombuffer(row.column("times")[0].as_py(), "<i8").tolist(), strict=True)})
+    assert met[0] == met[1]
+
+
 def test_slots_are_packed_as_differences():
     n = np.array([0, 1, 7, 255, 256, 1 << 31, (1 << 32) - 1], np.uint64)
     assert hashcount.unpacked(hashcount.packed(n), len(n)).tolist() == n.tolist()
