@@ -114,20 +114,21 @@ def runs_of(words: Words, known: Bitmap, longest: int, tested: int):
 
 
 class _Summing:
-    """Rows whose last column is a number: equal ones are added up before they are sent, at most ``most`` distinct ones at a time."""
+    """Rows whose last column is a number: equal ones are added up before they are sent, some ``most`` distinct ones or ``most_bytes`` at a time."""
 
-    most = 200_000
+    most, most_bytes = 200_000, 64 << 20
 
     def __init__(self, schema: pa.Schema, sent: int = 50_000):
-        self.schema, self.sent, self.parts, self.rows, self.done = schema, sent, [], 0, 0
+        self.schema, self.sent, self.parts, self.rows, self.done, self.bytes, self.done_bytes = schema, sent, [], 0, 0, 0, 0
 
     def add(self, **columns):
         """Take rows; yields what is full."""
         self.parts.append(pa.table([columns[n].cast(t) for n, t in zip(self.schema.names, self.schema.types, strict=True)], schema=self.schema))
         self.rows += len(self.parts[-1])
-        if self.rows - self.done >= self.most:
+        self.bytes += self.parts[-1].nbytes
+        if self.rows - self.done >= self.most or self.bytes - self.done_bytes >= self.most_bytes:
             self.sum()
-            if self.done >= self.most:
+            if self.done >= self.most or self.done_bytes >= self.most_bytes:
                 yield from self.send()
 
     def sum(self) -> None:
@@ -135,6 +136,7 @@ class _Summing:
         whole = pa.concat_tables(self.parts).group_by(names).aggregate([(n, "sum")])
         self.parts = [whole.rename_columns([*names, n]).cast(self.schema)]
         self.rows = self.done = len(whole)
+        self.bytes = self.done_bytes = self.parts[0].nbytes
         pa.default_memory_pool().release_unused()
 
     def send(self):
@@ -143,7 +145,7 @@ class _Summing:
             self.sum()
         for table in self.parts:
             yield from table.combine_chunks().to_batches(max_chunksize=self.sent)
-        self.parts, self.rows, self.done = [], 0, 0
+        self.parts, self.rows, self.done, self.bytes, self.done_bytes = [], 0, 0, 0, 0
 
 
 def _sending(df: DataFrame, sent: Broadcast) -> DataFrame:
@@ -207,13 +209,14 @@ def _with_words(known: Bitmap, words: DataFrame, least: int) -> Bitmap:
     return known.with_slots(words.where(F.col("a") >= least).select("lang", "phrase"), slots_of)
 
 
-def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int, route_blocks: int = 4) -> DataFrame:
+def _stretches(texts: DataFrame, known: Bitmap, longest: int, n_blocks: int, route_blocks: int | None = None) -> DataFrame:
     """Stretches of words that the candidates of a block cover, equal ones summed: rows of :func:`_packed_stretches`.
 
     A block's stretches are together, so that each of its candidates is found in about one task and not in all.  Tasks send what they have
-    by routes of ``route_blocks`` blocks; where a route ends the equal stretches of all tasks become one.  So what follows works on
-    different stretches, some rows a block, and not on rows of every task for every block.
+    by routes of ``route_blocks`` blocks, up to four as there are more blocks; where a route ends the equal stretches of all tasks become one.  So
+    what follows works on different stretches, some rows a block, and not on rows of every task for every block.
     """
+    route_blocks = route_blocks or min(4, max(1, n_blocks // 64))  # some 64 tasks before routes get wider
     sent = texts.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("block", pa.int32()), ("lang", pa.string()), ("stretch", pa.string()), ("n", pa.int64())])
 

@@ -289,9 +289,9 @@ def test_equal_stretches_of_all_tasks_become_one(spark):
     every = hashcount.Bitmap(20, 3, phrases._LOW_BITS)
     every.map[:] = -1
     met = []
-    for tasks in (1, 8):
+    for tasks, options in ((1, {}), (8, {}), (8, {"route_blocks": 5})):
         texts = phrases._texts(spark.createDataFrame(rows, "text string, lang string").repartition(tasks), "text", "lang")
-        got = phrases._stretches(texts, every, 2, 12).toArrow()
+        got = phrases._stretches(texts, every, 2, 12, **options).toArrow()
         keys = list(zip(got.column("block").to_pylist(), got.column("lang").to_pylist(), strict=True))
         assert len(set(keys)) == len(keys) == 24
         met.append(Counter())
@@ -300,7 +300,19 @@ def test_equal_stretches_of_all_tasks_become_one(spark):
             once, more = ([x for x in phrases._lines(row, c)[0].split("\n") if x] for c in ("once", "more"))
             assert len({*once, *more}) == len(once) + len(more)
             met[-1].update({(*key, x): 1 for x in once} | {(*key, x): n for x, n in zip(more, np.frombuffer(row.column("times")[0].as_py(), "<i8").tolist(), strict=True)})
-    assert met[0] == met[1]
+    assert met[0] == met[1] == met[2]
+
+
+def test_sums_are_sent_by_bytes_too(monkeypatch):
+    # Before, 200,000 rows were held whatever their length.
+    sums = phrases._Summing(pa.schema([("stretch", pa.string()), ("n", pa.int64())]))
+    monkeypatch.setattr(sums, "most_bytes", 100_000, raising=False)
+    added = lambda i: sums.add(stretch=pa.array(["x" * 9_990 + str(i)]), n=pa.array([1]))
+    assert not [b for _ in range(60) for b in added(7)]
+    sent = [b for i in range(60) for b in added(i)]
+    assert 4 <= len(sent) <= 8 and max(b.nbytes for b in sent) < 250_000
+    rest = list(sums.send())
+    assert sum(sum(b.column("n").to_pylist()) for b in [*sent, *rest]) == 120
 
 
 def test_slots_are_packed_as_differences():
